@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 from tidemark.schemas import DEFAULT_NAMING, Naming
 
@@ -71,7 +71,7 @@ def _arrow_xxhash64():
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("long")
+    @pandas_udf(T.LongType())
     def hashed(values: pd.Series) -> pd.Series:
         import xxhash
 

@@ -53,9 +53,24 @@ def trim_space(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+END_MARK = "\u241e end"
+
+
+def strict_json(c: Column) -> Column:
+    """Variant of a text that is one complete JSON value, else null.
+
+    The variant parser ignores what follows the first value. Reading the text as
+    the first member of a list whose second member is a mark shows that nothing
+    followed it.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{END_MARK}"]')))
+    whole = F.try_variant_get(listed, "$[1]", "string") == END_MARK
+    return F.when(whole, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def json_body(msg: Column) -> Column:
     """Object messages; anything that does not start with a brace or is not valid JSON is null."""
-    return F.when(msg.startswith("{"), F.try_parse_json(msg).cast(BODY_TYPE))
+    return F.when(msg.startswith("{"), strict_json(msg).cast(BODY_TYPE))
 
 
 def typed_value(text: Column) -> Column:

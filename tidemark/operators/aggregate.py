@@ -6,6 +6,7 @@ one partial row per task, not a large group.
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 from functools import reduce
 
@@ -83,43 +84,42 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: list[float], levels: i
     """Exact nearest-rank quantiles of a numeric column, as rows ``quantile, value``.
 
     No task ever holds all distinct values. The value range is cut into 4096
-    equal slots; a histogram finds the slot of each wanted rank; each further
-    level cuts those slots into 4096 again and counts only rows inside them.
-    After ``levels`` cuts the few values left in a slot are ranked directly.
+    equal slots and a histogram finds the slot of each wanted rank; each further
+    level cuts only those slots into 4096 again. After ``levels`` cuts the few
+    values left in a slot are ranked directly. Between levels one slot number
+    per wanted quantile comes back to the driver, so every level is one scan
+    with a constant filter and a partial aggregate.
     """
     bits = 12
     rows = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    lo = rows.agg(F.min("v")).scalar()
-    span = rows.agg(F.max("v") - F.min("v")).scalar()
-    placed = rows.withColumn("x", F.when(span == 0, F.lit(0.0)).otherwise((F.col("v") - lo) / span))
+    lo, hi, total = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not total:
+        return df.sparkSession.createDataFrame([], "quantile double, value double")
+    span = (hi - lo) or 1.0
+    x = (F.col("v") - F.lit(lo)) / F.lit(span)
 
     def slot(level: int) -> Column:
-        return F.floor(F.col("x") * F.lit(float(1 << (bits * level)))).cast("bigint")
-
-    total = rows.agg(F.count("*")).scalar()
-    one = df.sparkSession.range(1)
-    shares = one.select(F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("quantile"))
-    hits = shares.select(
-        "quantile", F.greatest(F.ceil(F.col("quantile") * total), F.lit(1)).alias("rank"), F.lit(0).cast("bigint").alias("cell")
-    )
-
-    def narrowed(counted: DataFrame, order: str) -> DataFrame:
-        upto = Window.partitionBy("cell").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = counted.withColumn("upto", F.sum("n").over(upto))
-        # One row per wanted quantile, so the broadcast never grows with the data.
-        found = ranked.join(F.broadcast(hits), "cell")
-        return found.filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
-
-    for level in range(1, levels + 1):
-        cells = F.broadcast(hits.select("cell").distinct())
-        inside = placed.select(slot(level - 1).alias("cell") if level > 1 else F.lit(0).cast("bigint").alias("cell"), slot(level).alias("sub"))
-        counted = inside.join(cells, "cell").groupBy("cell", "sub").agg(F.count("*").alias("n"))
-        hits = narrowed(counted, "sub").select(
-            "quantile", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), F.col("sub").alias("cell")
+        return F.floor(x * F.lit(float(1 << (bits * level)))).cast("bigint")
+
+    wanted = {float(q): (0, max(1, math.ceil(q * total))) for q in quantiles}
+    for level in range(levels + 1):
+        cells = sorted({cell for cell, _ in wanted.values()})
+        outer = slot(level) if level else F.when(F.col("v").isNotNull(), F.lit(0).cast("bigint"))
+        inner = slot(level + 1) if level < levels else F.col("v")
+        counted = (
+            rows.select(outer.alias("cell"), inner.alias("sub")).filter(F.col("cell").isin(cells)).groupBy("cell", "sub").agg(F.count("*").alias("n"))
+        )
+        upto = Window.partitionBy("cell").orderBy("sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranks = F.array(*[F.struct(F.lit(q), F.lit(c).cast("bigint"), F.lit(r).cast("bigint")) for q, (c, r) in wanted.items()])
+        hits = (
+            counted.withColumn("upto", F.sum("n").over(upto))
+            .select("*", F.explode(ranks).alias("w"))
+            .filter((F.col("w.col2") == F.col("cell")) & (F.col("w.col3") <= F.col("upto")) & (F.col("w.col3") > F.col("upto") - F.col("n")))
         )
-    cells = F.broadcast(hits.select("cell").distinct())
-    counted = placed.select(slot(levels).alias("cell"), "v").join(cells, "cell").groupBy("cell", "v").agg(F.count("*").alias("n"))
-    return narrowed(counted, "v").select("quantile", F.col("v").alias("value"))
+        if level == levels:
+            return hits.select(F.col("w.col1").alias("quantile"), F.col("sub").alias("value"))
+        found = hits.select("w.col1", "sub", F.col("w.col3") - F.col("upto") + F.col("n")).collect()
+        wanted = {q: (sub, rank) for q, sub, rank in found}
 
 
 def ingestion_delay_percentiles(
@@ -136,9 +136,9 @@ def ingestion_delay_percentiles(
         found = exact_quantiles(delay, "delay_us", shares)
         return found.select((F.col("quantile") * 100).alias("percentile"), F.col("value").alias("delay_us"))
     sketch = delay.agg(F.percentile_approx("delay_us", shares, 100_000).alias("p"))
-    pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in percentiles]).alias("percentile"), F.col("p").alias("d"))
-    exploded = sketch.select(F.explode(pairs).alias("e"))
-    return exploded.select(F.col("e")["0"].alias("percentile"), F.col("e")["1"].cast("double").alias("delay_us"))
+    named = sketch.select(F.array(*[F.lit(float(p)) for p in percentiles]).alias("percentile"), F.col("p").alias("delay_us"))
+    rows = named.select(F.inline(F.arrays_zip("percentile", "delay_us")))
+    return rows.withColumn("delay_us", F.col("delay_us").cast("double"))
 
 
 def union_fuzzy(dfs: dict[str, DataFrame | None], source_col: str = "source") -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions.parsers import strict_json
 from tidemark.operators.aggregate import latest_by, union_fuzzy
 
 SCHEMA_DOCUMENT = "array<struct<database:string,tables:array<string>,views:array<string>>>"
@@ -20,7 +21,7 @@ def live_endpoints(heartbeats: DataFrame, now: datetime, ttl_seconds: int) -> Da
 
 
 def _schemas(heartbeats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    parsed = heartbeats.withColumn("_json", F.try_parse_json("Schema"))
+    parsed = heartbeats.withColumn("_json", strict_json(F.col("Schema")))
     valid = F.coalesce(F.schema_of_variant("_json").startswith("ARRAY"), F.lit(False))
     errors = parsed.filter(~valid).select(
         F.col("ClusterEndpoint").alias("endpoint"), F.lit("schema is not a valid document").alias("reason")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.parsers import strict_json
 from tidemark.functions.timebin import rfc3339_to_nanos
 
 # Fixed value: ``<time> <stream> <tag> <message>``.
@@ -14,7 +15,7 @@ DOCKER_LINE = "struct<log:string,stream:string,time:string>"
 def _parsed(df: DataFrame, is_docker: Column, now_ns: Column) -> tuple[DataFrame, DataFrame]:
     line = F.col("line")
     doc = F.from_json(F.when(is_docker, line), DOCKER_LINE)
-    docker_ok = is_docker & F.try_parse_json(line).isNotNull()
+    docker_ok = is_docker & strict_json(line).isNotNull()
     log = F.coalesce(doc["log"], F.lit(""))
     docker_partial = ~log.endswith("\n")
     cri_time = F.regexp_extract(line, CRI_LINE, 1)

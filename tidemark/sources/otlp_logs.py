@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from tidemark.schemas import DEFAULT_NAMING, Naming
@@ -55,7 +55,7 @@ def _scalar(value: Column) -> Column:
     )
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _flatten_nested(values: pd.Series) -> pd.Series:
     """Plain JSON of nested any-values; rows with scalar values arrive as nulls and cost nothing."""
 
@@ -73,7 +73,7 @@ def _flatten_nested(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None else json.dumps(plain(json.loads(v)), ensure_ascii=False))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _encode_nested(values: pd.Series) -> pd.Series:
     """JSON text of nested any-values with scalar members in text form."""
 
