@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.parsers import strict_json
 from tidemark.operators.aggregate import latest_by, union_fuzzy
+from tidemark.session import path_exists
 
 SCHEMA_DOCUMENT = "array<struct<database:string,tables:array<string>,views:array<string>>>"
 
@@ -62,8 +62,9 @@ def federated_table(
     found: dict[str, DataFrame | None] = {}
     skipped = []
     for endpoint, root in sorted(members.items()):
-        try:
-            found[endpoint] = spark.read.parquet(f"{root.rstrip('/')}/{table}")
-        except AnalysisException:
+        path = f"{root.rstrip('/')}/{table}"
+        if path_exists(spark, path):
+            found[endpoint] = spark.read.parquet(path)
+        else:
             skipped.append(endpoint)
     return union_fuzzy(found, source_col), skipped

@@ -11,11 +11,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.labels import literal_map
-from tidemark.functions.timebin import MICROS, floor_div
+from tidemark.functions.timebin import MICROS, floor_div, in_window
 
 # Fixed value: seconds between status polls, three of which make a run stale.
 POLL_SECONDS = 600
 MAX_EXPRESSIONS = 1000
+MAX_WINDOWS = 10_000
 
 
 def select_rules(rules: DataFrame, labels: dict[str, str]) -> DataFrame:
@@ -70,27 +71,34 @@ def _expression_verdicts(rules: DataFrame, expression: Column, labels: dict[str,
 WINDOW_COLUMNS = ("window_start", "window_end")
 
 
+def window_list(windows: DataFrame) -> list[tuple[int, int]]:
+    """Start and end of each window in microseconds. Windows are job control data, at most a few hundred per rule."""
+    rows = windows.select(F.unix_micros("window_start"), F.unix_micros("window_end")).distinct()
+    found = [tuple(r) for r in rows.limit(MAX_WINDOWS + 1).collect()]
+    if len(found) > MAX_WINDOWS:
+        raise ValueError(f"more than {MAX_WINDOWS} windows in one run")
+    return sorted(found)
+
+
 def assign_windows(df: DataFrame, windows: DataFrame, ts: str = "ts") -> DataFrame:
     """Rows with the ``window_start, window_end`` of each window that holds them.
 
-    All windows have one length. A window overlaps at most two bins of that
-    length, so it is listed under those bins and rows meet it by bin number: an
-    equi-join, whatever the windows are aligned to. Windows of one rule are at
-    most a few hundred rows, and the planner broadcasts them by their size.
+    The list of windows is read once, so the scan is bounded by constants that
+    reach partition pruning and the file filters. A window overlaps at most two
+    bins of the longest window's length; it is listed under those bins and rows
+    meet it by bin number, an equi-join whatever the windows are aligned to.
     """
-    start, end = F.unix_micros("window_start"), F.unix_micros("window_end")
-    length = windows.agg(F.max(end - start)).scalar()
-    bins = windows.select(
-        *WINDOW_COLUMNS,
-        F.explode(
-            F.array_distinct(
-                F.array(floor_div(start, length), floor_div(end - 1, length))
-            )
-        ).alias("_bin"),
+    listed = window_list(windows)
+    if not listed:
+        return df.limit(0).withColumns({c: F.lit(None).cast("timestamp") for c in WINDOW_COLUMNS})
+    length = max(end - start for start, end in listed)
+    placed = sorted({(bin_no, s, e) for s, e in listed for bin_no in (s // length, (e - 1) // length)})
+    bins = df.sparkSession.createDataFrame(placed, "_bin long, _s long, _e long").select(
+        "_bin", F.timestamp_micros("_s").alias("window_start"), F.timestamp_micros("_e").alias("window_end")
     )
-    lo, hi = windows.agg(F.min("window_start")).scalar(), windows.agg(F.max("window_end")).scalar()
-    inside = df.filter((F.col(ts) >= lo) & (F.col(ts) < hi)).withColumn("_bin", floor_div(F.unix_micros(ts), length))
-    joined = inside.join(bins, "_bin")
+    lo, hi = min(s for s, _ in listed), max(e for _, e in listed)
+    inside = df.filter(in_window(F.col(ts), F.timestamp_micros(F.lit(lo)), F.timestamp_micros(F.lit(hi))))
+    joined = inside.withColumn("_bin", floor_div(F.unix_micros(ts), length)).join(bins, "_bin")
     return joined.filter((F.col(ts) >= F.col("window_start")) & (F.col(ts) < F.col("window_end"))).drop("_bin")
 
 
@@ -122,7 +130,8 @@ def run_rollup(
     The target is partitioned by ``window_start`` and only the partitions of
     these windows are overwritten, so a rerun replaces its own output.
     """
-    out = rollup_windows(df, windows, body, ts)
+    # One task writes a window's folder; a very large window is split again.
+    out = rollup_windows(df, windows, body, ts).hint("rebalance", "window_start")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_start").parquet(target)
     done = windows.select(
         F.lit(rule).alias("rule"), *WINDOW_COLUMNS, F.lit("completed").alias("state"), F.current_timestamp().alias("updated_at")
@@ -261,9 +270,13 @@ def run_rules(
     for source, members in by_source.items():
         names = [r.name for r in members]
         pending = windows.filter(F.col("rule").isin(names))
-        lo, hi = pending.agg(F.min("window_start")).scalar(), pending.agg(F.max("window_end")).scalar()
-        ts = members[0].ts
-        rows = sources[source].filter((F.col(ts) >= lo) & (F.col(ts) < hi))
+        bounds = window_list(pending)
+        if not bounds:
+            continue
+        lo, hi = bounds[0][0], max(end for _, end in bounds)
+        rows = sources[source].filter(
+            in_window(F.col(members[0].ts), F.timestamp_micros(F.lit(lo)), F.timestamp_micros(F.lit(hi)))
+        )
         shared = rows.persist(StorageLevel.MEMORY_AND_DISK) if len(members) > 1 else rows
         for rule in members:
             try:

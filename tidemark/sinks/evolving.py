@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tidemark.session import path_exists
+
 SCHEMA_LOG = "_schema_log"  # folders starting with an underscore are not read as data
 
 
@@ -22,11 +23,10 @@ def merge_schemas(old: T.StructType, new: T.StructType) -> T.StructType:
 
 def current_schema(spark: SparkSession, path: str) -> T.StructType | None:
     """Schema of the table, from its schema log; null when the table does not exist."""
-    try:
-        log = spark.read.schema("version int, schema string").json(f"{path}/{SCHEMA_LOG}")
-        latest = log.orderBy(F.desc("version")).first()
-    except AnalysisException:
+    if not path_exists(spark, f"{path}/{SCHEMA_LOG}"):
         return None
+    log = spark.read.schema("version int, schema string").json(f"{path}/{SCHEMA_LOG}")
+    latest = log.orderBy(F.desc("version")).first()
     return T.StructType.fromJson(json.loads(latest["schema"])) if latest else None
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.functions.timebin import time_bin
 from tidemark.operators.aggregate import latest_by
 from tidemark.plans import rules as plans
 from tidemark.plans.windows import backfill_windows, missing_windows
@@ -102,38 +103,38 @@ def w3_errors(spark, d):
 
 
 def offset_windows(spark, d) -> DataFrame:
-    """Windows of one hour starting 17 minutes past, for the hours that had an error event."""
+    """Windows of six hours starting 17 minutes past, for the quarter days that had an error event."""
     e = table(spark, d, "events").filter(F.col("event_type") == "error")
-    start = F.date_trunc("hour", "ts") + F.expr("INTERVAL '17' MINUTE")
-    return e.select(start.alias("window_start")).distinct().withColumn("window_end", F.col("window_start") + F.expr("INTERVAL '1' HOUR"))
+    start = time_bin(F.col("ts"), 21_600) + F.expr("INTERVAL '17' MINUTE")
+    return e.select(start.alias("window_start")).distinct().withColumn("window_end", F.col("window_start") + F.expr("INTERVAL '6' HOUR"))
 
 
-def _hourly_totals(df: DataFrame) -> DataFrame:
+def _totals(df: DataFrame) -> DataFrame:
     return df.groupBy("window_start", "event_type").agg(r6(F.sum("value")).alias("total"), F.count("*").alias("n"))
 
 
 @query(
     "W4_run_rollup",
-    f"""WITH w AS (SELECT DISTINCT {bin_sql("ts", 3600)} + 1020000000 AS s FROM events WHERE event_type = 'error')
-    SELECT s AS start_us, event_type, round(sum(value), 6) AS total, count(*) AS n FROM events JOIN w ON epoch_us(ts) >= s AND epoch_us(ts) < s + 3600000000 GROUP BY 1, 2""",
+    f"""WITH w AS (SELECT DISTINCT {bin_sql("ts", 21600)} + 1020000000 AS s FROM events WHERE event_type = 'error')
+    SELECT s AS start_us, event_type, round(sum(value), 6) AS total, count(*) AS n FROM events JOIN w ON epoch_us(ts) >= s AND epoch_us(ts) < s + 21600000000 GROUP BY 1, 2""",
 )
 def w4(spark, d):
     e, windows = table(spark, d, "events"), offset_windows(spark, d)
     target, ledger = scratch_path(spark, "rollup"), scratch_path(spark, "ledger")
     for _ in range(2):  # the second run replaces the first one's output
-        plans.run_rollup(e, windows, _hourly_totals, target, ledger, "hourly")
+        plans.run_rollup(e, windows, _totals, target, ledger, "quarter-day")
     out = spark.read.parquet(target)
     return out.select(us(F.col("window_start").cast("timestamp")).alias("start_us"), "event_type", "total", "n")
 
 
 @query(
     "W4_ledger_state",
-    f"""SELECT 'hourly' AS rule, s AS start_us, 'completed' AS state FROM (SELECT DISTINCT {bin_sql("ts", 3600)} + 1020000000 AS s FROM events WHERE event_type = 'error')""",
+    f"""SELECT 'quarter-day' AS rule, s AS start_us, 'completed' AS state FROM (SELECT DISTINCT {bin_sql("ts", 21600)} + 1020000000 AS s FROM events WHERE event_type = 'error')""",
 )
 def w4_ledger(spark, d):
     e, windows = table(spark, d, "events"), offset_windows(spark, d)
     target, ledger = scratch_path(spark, "rollup"), scratch_path(spark, "ledger")
-    plans.run_rollup(e, windows, _hourly_totals, target, ledger, "hourly")
+    plans.run_rollup(e, windows, _totals, target, ledger, "quarter-day")
     return plans.ledger_state(spark.read.parquet(ledger)).select("rule", us("window_start").alias("start_us"), "state")
 
 

@@ -1 +1,134 @@
-"""Placeholder."""
+"""Streaming jobs run to completion over the events table, and the late split."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from tidemark.operators.alerts import AlertRule
+from tidemark.session import scratch_path
+from tidemark.streaming import jobs
+from tidemark.workload.adapters import COUNTER_SQL, r6, table, us
+from tidemark.workload.aggregates import bin_sql, utc
+from tidemark.workload.registry import query
+from tidemark.workload.series import change_sql
+
+NOW = utc(2024, 1, 31)
+BATCHES = 3
+
+
+def event_files(spark, d, columns: list | None = None) -> str:
+    """The events as a few files written one after the other in event order, the input folder of a stream."""
+    path = scratch_path(spark, "stream-in")
+    e = table(spark, d, "events")
+    shaped = e.select(*columns) if columns else e
+    first, last = e.agg(F.min("event_id"), F.max("event_id")).first()
+    cuts = [first + (last + 1 - first) * i // BATCHES for i in range(BATCHES + 1)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        shaped.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def read_stream(spark, path: str, per_batch: int = 1) -> DataFrame:
+    """A stream over a folder taking ``per_batch`` files at a time."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+def finish(writer) -> None:
+    """Run a stream over what is there and stop."""
+    running = writer.trigger(availableNow=True).start()
+    running.awaitTermination()
+
+
+@query(
+    "T1_stream_rollup",
+    f"""SELECT {bin_sql("ts", 86400)} AS bin_us, event_type, round(sum(value), 6) AS total, count(*) AS n FROM events GROUP BY 1, 2
+    HAVING {bin_sql("max(ts)", 86400)} + 86400000000 <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events)""",
+)
+def t1(spark, d):
+    sdf = read_stream(spark, event_files(spark, d))
+    rolled = jobs.stream_rollup(sdf, "1 day", "1 hour", ["event_type"], {"total": F.sum("value"), "n": F.count("*")})
+    out = scratch_path(spark, "stream-rollup")
+    writer = rolled.writeStream.outputMode("append").format("parquet").option("path", out)
+    finish(writer.option("checkpointLocation", scratch_path(spark, "checkpoint")))
+    return spark.read.parquet(out).select(us("bin").alias("bin_us"), "event_type", r6(F.col("total")).alias("total"), "n")
+
+
+@query(
+    "T2_stream_ingest",
+    "SELECT 'Events' AS database, event_type AS table_name, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE value > 5 GROUP BY 2",
+)
+def t2(spark, d):
+    sdf = read_stream(spark, event_files(spark, d))
+    root = scratch_path(spark, "stream-ingest")
+    steps = [
+        lambda df: df.filter(F.col("value") > 5),
+        lambda df: df.withColumns({"database": F.lit("Events!"), "table": F.col("event_type")}),
+    ]
+    finish(jobs.stream_ingest(sdf, steps, root, scratch_path(spark, "checkpoint")))
+    out = spark.read.parquet(root).groupBy("database", F.col("table").alias("table_name"))
+    return out.agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
+
+
+@query(
+    "T3_reassemble_stream",
+    """WITH s AS (SELECT user_id, event_id, event_id % 4 = 0 AS partial, event_type || '#' || CAST(event_id AS VARCHAR) AS m,
+        coalesce(sum(CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM events)
+    SELECT 'f' || CAST(user_id AS VARCHAR) AS file, max(event_id) AS "offset", string_agg(m, '' ORDER BY event_id) AS message FROM s GROUP BY user_id, g HAVING bool_or(NOT partial)""",
+)
+def t3(spark, d):
+    columns = [
+        "event_id", F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("offset"),
+        (F.col("event_id") % 4 == 0).alias("is_partial"), F.concat("event_type", F.lit("#"), F.col("event_id").cast("string")).alias("message"),
+    ]
+    sdf = read_stream(spark, event_files(spark, d, columns)).drop("event_id")
+    out = scratch_path(spark, "stream-lines")
+    finish(
+        jobs.reassemble_stream(sdf, ["file"], out, scratch_path(spark, "state"), scratch_path(spark, "checkpoint"), slice_width=1000)
+    )
+    return spark.read.parquet(out).select("file", "offset", "message")
+
+
+@query("T4_stream_increase", change_sql("v", "SELECT sid AS series, epoch_us(ts) AS ts_us, round(v, 6) AS v FROM c"))
+def t4(spark, d):
+    value = F.when(F.col("event_id") % 97 == 0, F.col("value")).otherwise(F.col("event_id") + F.col("value") / 1000)
+    columns = ["event_id", F.col("user_id").alias("SeriesId"), F.col("ts").alias("Timestamp"), value.alias("Value")]
+    sdf = read_stream(spark, event_files(spark, d, columns)).drop("event_id")
+    out = scratch_path(spark, "stream-increase")
+    finish(jobs.stream_increase(sdf, out, scratch_path(spark, "state"), scratch_path(spark, "checkpoint")))
+    rows = spark.read.parquet(f"{out}/samples")
+    return rows.select(F.col("SeriesId").alias("series"), us("Timestamp").alias("ts_us"), r6(F.col("Value")).alias("v"))
+
+
+RULE = AlertRule("ops", "errors", "SELECT 1", destination="team")
+
+
+@query(
+    "T5_stream_alerts",
+    """SELECT DISTINCT 'ops/errors://user-' || CAST(user_id AS VARCHAR) AS correlation_id, 'Errors of user ' || CAST(user_id AS VARCHAR) AS title, 2 AS severity
+    FROM events WHERE event_type = 'error' AND value > 20""",
+)
+def t5(spark, d):
+    sdf = read_stream(spark, event_files(spark, d)).filter((F.col("event_type") == "error") & (F.col("value") > 20))
+    user = F.col("user_id").cast("string")
+    rows = sdf.select(
+        F.concat(F.lit("Errors of user "), user).alias("Title"), F.lit(2).alias("Severity"), F.concat(F.lit("user-"), user).alias("CorrelationId"), "ts"
+    )
+    found = jobs.stream_alerts(rows, RULE, "CorrelationId", "60 days")
+    out = scratch_path(spark, "stream-alerts")
+    writer = found.writeStream.outputMode("append").format("parquet").option("path", out)
+    finish(writer.option("checkpointLocation", scratch_path(spark, "checkpoint")))
+    return spark.read.parquet(out).select("correlation_id", "title", "severity")
+
+
+@query(
+    "T6_split_late",
+    "SELECT event_type, ts < TIMESTAMP '2024-01-21' AS late, count(*) AS n FROM events GROUP BY 1, 2",
+)
+def t6(spark, d):
+    on_time, late, _ = jobs.split_late(table(spark, d, "events"), NOW, 10 * 86_400)
+    both = on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return both.groupBy("event_type", "late").agg(F.count("*").alias("n"))
+
+
+__all__ = ["COUNTER_SQL"]
