@@ -98,7 +98,8 @@ def assign_windows(df: DataFrame, windows: DataFrame, ts: str = "ts") -> DataFra
     )
     lo, hi = min(s for s, _ in listed), max(e for _, e in listed)
     inside = df.filter(in_window(F.col(ts), F.timestamp_micros(F.lit(lo)), F.timestamp_micros(F.lit(hi))))
-    joined = inside.withColumn("_bin", floor_div(F.unix_micros(ts), length)).join(bins, "_bin")
+    # At most two rows per window and MAX_WINDOWS windows, checked above.
+    joined = inside.withColumn("_bin", floor_div(F.unix_micros(ts), length)).join(F.broadcast(bins), "_bin")
     return joined.filter((F.col(ts) >= F.col("window_start")) & (F.col(ts) < F.col("window_end"))).drop("_bin")
 
 
