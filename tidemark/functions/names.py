@@ -31,16 +31,20 @@ def normalize_metric_name(c: Column) -> Column:
     return F.nullif(guarded, F.lit(""))
 
 
-def metric_name(prefix: Column | None, base: Column | None, column: Column) -> Column:
-    """``[prefix_][base_]column`` with every part normalised; null when a given part is unusable."""
+def metric_name(prefix: Column | None, base: Column | None, column: Column, base_norm: Column | None = None) -> Column:
+    """``[prefix_][base_]column`` with every part normalised; null when a given part is unusable.
+
+    Pass ``base_norm`` when the base name is already normalised.
+    """
     parts = []
     usable = F.lit(True)
-    for part in (prefix, base):
+    for part, known in ((prefix, None), (base, base_norm)):
         if part is not None:
             given = F.coalesce(part, F.lit("")) != ""
-            norm = normalize_metric_name(part)
+            norm = normalize_metric_name(part) if known is None else known
             usable = usable & (~given | norm.isNotNull())
             parts.append(norm)
     last = normalize_metric_name(column)
-    joined = F.regexp_replace(F.concat_ws("_", *parts, last), "_+", "_")
-    return F.when(usable & last.isNotNull(), F.nullif(F.btrim(joined, F.lit("_")), F.lit("")))
+    joined = F.concat_ws("_", *parts, last)
+    tidy = F.when(joined.contains("__"), F.regexp_replace(joined, "_+", "_")).otherwise(joined)
+    return F.when(usable & last.isNotNull(), F.nullif(F.btrim(tidy, F.lit("_")), F.lit("")))

@@ -41,7 +41,10 @@ def body_text(body: Column, key: str | Column) -> Column:
 
 def unquote(c: Column) -> Column:
     """Drop one pair of matching quotes around the text."""
-    return F.regexp_replace(c, r"""(?s)^(["'])(.*)\1$""", "$2")
+    quoted = F.lit(False)
+    for mark in ('"', "'"):
+        quoted = quoted | (c.startswith(mark) & c.endswith(mark))
+    return F.when(quoted & (F.length(c) >= 2), c.substr(F.lit(2), F.length(c) - 2)).otherwise(c)
 
 
 def fields_of(c: Column) -> Column:
@@ -75,12 +78,12 @@ def json_body(msg: Column) -> Column:
 
 def typed_value(text: Column) -> Column:
     """Variant holding a boolean, integer or decimal number when the text is one, else the text."""
-    whole = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
-    decimal = F.when(text.rlike(r"^[+-]?[0-9]*\.[0-9]*$"), text.try_cast("double"))
+    number = F.when(text.contains("."), text.try_cast("double").cast("variant")).otherwise(
+        text.try_cast("bigint").cast("variant")
+    )
     return (
-        F.when(text.rlike(r"(?i)^(true|false)$"), F.lower(text).try_cast("boolean").cast("variant"))
-        .when(whole.isNotNull(), whole.cast("variant"))
-        .when(decimal.isNotNull(), decimal.cast("variant"))
+        F.when(text.rlike(r"^[+-]?[0-9]*\.?[0-9]*$"), F.coalesce(number, text.cast("variant")))
+        .when(F.lower(text).isin("true", "false"), (F.lower(text) == "true").cast("variant"))
         .otherwise(text.cast("variant"))
     )
 
@@ -88,16 +91,14 @@ def typed_value(text: Column) -> Column:
 def keyvalue_body(msg: Column) -> Column:
     """``key=value`` and bare ``key`` tokens; quotes group words, values are typed."""
     tokens = F.regexp_extract_all(msg, F.lit(KEY_VALUE_TOKEN), F.lit(0))
+    sides = F.transform(tokens, lambda t: F.split(t, "=", 2))
     pairs = F.transform(
-        tokens,
-        lambda t: F.struct(
-            F.substring_index(t, "=", 1).alias("key"),
-            F.when(t.contains("="), typed_value(unquote(t.substr(F.instr(t, "=") + 1, F.length(t)))))
-            .otherwise(F.lit("").cast("variant"))
-            .alias("value"),
-        ),
+        sides,
+        lambda s: F.struct(F.get(s, F.lit(0)).alias("key"), unquote(F.coalesce(F.get(s, F.lit(1)), F.lit(""))).alias("text")),
+    )
+    return F.map_from_entries(
+        F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), typed_value(p["text"]).alias("value")))
     )
-    return F.map_from_entries(pairs)
 
 
 def klog_body(msg: Column) -> Column:

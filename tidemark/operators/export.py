@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.labels import entries
 from tidemark.functions.names import metric_name, normalize_metric_name
+from tidemark.functions.once import compute_once
 from tidemark.functions.timebin import rfc3339_to_timestamp
 from tidemark.schemas import DEFAULT_NAMING, Naming
 
@@ -97,13 +98,15 @@ def to_metrics(
             return F.when(value.rlike(NUMERIC_TEXT), value.try_cast("double"))
         return value.cast("double")
 
+    ts = export_timestamp(df, cfg.timestamp_column, now)
+    df = compute_once(df, _base=base, _norm=normalize_metric_name(base), _ts=ts)
+    base, norm, ts = F.col("_base"), F.col("_norm"), F.col("_ts")
     measures = F.array(
         *[
-            F.struct(metric_name(prefix, base, F.lit(c)).alias("name"), number(c).alias("value"))
+            F.struct(metric_name(prefix, base, F.lit(c), norm).alias("name"), number(c).alias("value"))
             for c in cfg.value_columns
         ]
     )
-    ts = export_timestamp(df, cfg.timestamp_column, now)
     null_label = F.coalesce(*[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in present], F.lit(None).cast("string"))
     reason = (
         F.when(base.isNull() | (base == ""), F.lit("metric name is null or empty"))
@@ -112,9 +115,8 @@ def to_metrics(
         .when(F.exists("_m", lambda m: m["value"].isNull()), F.lit("value is null or not a number"))
         .when(F.exists("_m", lambda m: m["name"].isNull()), F.lit("metric name cannot be normalised"))
     )
-    staged = df.withColumn("_m", measures).select(
-        F.col("_m"), ts.alias("ts"), labels.alias("labels"), reason.alias("reason")
-    )
+    named = compute_once(df, _m=measures, labels=labels)
+    staged = named.select("_m", ts.alias("ts"), "labels", reason.alias("reason"))
     if strict:
         checked = staged.withColumn(
             "_m", F.when(F.col("reason").isNull(), F.col("_m")).otherwise(F.raise_error(F.col("reason")))

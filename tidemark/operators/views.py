@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions.once import compute_once, parse_once
 from tidemark.functions.timebin import in_window, rfc3339_to_timestamp
 from tidemark.operators.aggregate import project_paths
 
@@ -32,16 +33,11 @@ def create_log_view(
 
 
 # Members of a span document. Fixed values.
-SPAN_PATHS = {
-    "traceID": "$.SpanContext.TraceID",
-    "spanID": "$.SpanContext.SpanID",
-    "parentSpanID": "$.Parent.SpanID",
-    "serviceName": "$.Resource['service.name']",
-    "operationName": "$.Name",
-    "startText": "$.StartTime",
-    "endText": "$.EndTime",
-    "tags": "$.Attributes",
-}
+SPAN_DOCUMENT = (
+    "struct<Name:string,SpanContext:struct<TraceID:string,SpanID:string>,Parent:struct<SpanID:string>,"
+    "StartTime:string,EndTime:string,Attributes:string,Resource:map<string,string>>"
+)
+TRACE_ID_PATH = "$.SpanContext.TraceID"
 
 
 def trace_spans(
@@ -57,28 +53,26 @@ def trace_spans(
         rows = rows.filter(in_window(F.col("Timestamp"), start, end))
     if trace_id is not None:
         rows = rows.filter((F.col("TraceId") == trace_id) | (F.coalesce("TraceId", F.lit("")) == ""))
-    doc = F.try_parse_json("Body")
-    read = rows.select(
-        F.col("Timestamp").alias("timestamp"),
-        *[F.try_variant_get(doc, path, "string").alias(name) for name, path in SPAN_PATHS.items()],
-    )
+    read = parse_once(rows.select("Timestamp", "Body"), F.from_json("Body", SPAN_DOCUMENT))
     if trace_id is not None:
-        read = read.filter(F.col("traceID") == trace_id)
-    started, ended = rfc3339_to_timestamp(F.col("startText")), rfc3339_to_timestamp(F.col("endText"))
-    return read.select(
-        "timestamp",
-        "traceID",
-        "spanID",
-        "parentSpanID",
-        "serviceName",
-        "operationName",
-        started.alias("startTime"),
-        (F.unix_micros(ended) - F.unix_micros(started)).alias("duration"),
-        "tags",
+        read = read.filter(F.col("SpanContext.TraceID") == trace_id)
+    timed = compute_once(
+        read, _start=rfc3339_to_timestamp(F.col("StartTime")), _end=rfc3339_to_timestamp(F.col("EndTime"))
+    )
+    return timed.select(
+        F.col("Timestamp").alias("timestamp"),
+        F.col("SpanContext.TraceID").alias("traceID"),
+        F.col("SpanContext.SpanID").alias("spanID"),
+        F.col("Parent.SpanID").alias("parentSpanID"),
+        F.col("Resource")["service.name"].alias("serviceName"),
+        F.col("Name").alias("operationName"),
+        F.col("_start").alias("startTime"),
+        (F.unix_micros("_end") - F.unix_micros("_start")).alias("duration"),
+        F.col("Attributes").alias("tags"),
     )
 
 
 def trace_ids(logs: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Distinct trace ids of the spans in a time range."""
-    trace = F.try_variant_get(F.try_parse_json("Body"), SPAN_PATHS["traceID"], "string")
+    trace = F.get_json_object("Body", TRACE_ID_PATH)
     return logs.filter(in_window(F.col("Timestamp"), start, end)).select(trace.alias("traceID")).distinct()

@@ -4,44 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.parsers import strict_json
+from tidemark.functions.once import compute_once
 from tidemark.functions.timebin import rfc3339_to_nanos
 
-# Fixed value: ``<time> <stream> <tag> <message>``.
-CRI_LINE = r"(?s)^([^ ]*) ([^ ]*) ([^ ]*) (.*)$"
-DOCKER_LINE = "struct<log:string,stream:string,time:string>"
+DOCKER_LINE = "struct<log:string,stream:string,time:string,_corrupt:string>"
 
 
-def _parsed(df: DataFrame, is_docker: Column, now_ns: Column) -> tuple[DataFrame, DataFrame]:
-    line = F.col("line")
-    doc = F.from_json(F.when(is_docker, line), DOCKER_LINE)
-    docker_ok = is_docker & strict_json(line).isNotNull()
-    log = F.coalesce(doc["log"], F.lit(""))
-    docker_partial = ~log.endswith("\n")
-    cri_time = F.regexp_extract(line, CRI_LINE, 1)
-    cri_partial = F.regexp_extract(line, CRI_LINE, 3) == "P"
-    cri_ns = rfc3339_to_nanos(cri_time)
+def _parsed(df: DataFrame, now_ns: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``…, line, _docker`` with their fields; a CRI line is ``<time> <stream> <tag> <message>``."""
+    line, is_docker = F.col("line"), F.col("_docker")
+    doc = F.from_json(F.when(is_docker, line), DOCKER_LINE, {"columnNameOfCorruptRecord": "_corrupt"})
+    split_up = compute_once(df, _doc=doc, _part=F.when(~is_docker, F.split(line, " ", 4)))
+    part = [F.get("_part", F.lit(i)) for i in range(4)]
+    log, doc = F.coalesce("_doc.log", F.lit("")), F.col("_doc")
+    fields = compute_once(
+        split_up,
+        is_partial=F.when(is_docker, ~log.endswith("\n")).otherwise(part[2] == "P"),
+        _time=rfc3339_to_nanos(F.when(is_docker, F.coalesce(doc["time"], F.lit(""))).otherwise(part[0])),
+    )
+    docker_ok = is_docker & doc["_corrupt"].isNull() & F.rtrim(line).endswith("}")
     # The time of a partial line is never used, so only complete lines must have one.
-    cri_ok = ~is_docker & line.rlike(CRI_LINE) & (cri_partial | cri_ns.isNotNull())
-    staged = df.withColumns({"_docker": is_docker, "_ok": docker_ok | cri_ok})
-    rejects = staged.filter(~F.col("_ok")).drop("_ok", "_docker").withColumn(
-        "reason", F.when(F.col("line").startswith("{"), F.lit("bad docker line")).otherwise(F.lit("bad cri line"))
+    cri_ok = ~is_docker & (F.size("_part") == 4) & (F.col("is_partial") | F.col("_time").isNotNull())
+    ok = F.coalesce(docker_ok | cri_ok, F.lit(False))
+    carried = [c for c in df.columns if c not in ("line", "_docker")]
+    rejects = fields.filter(~ok).select(
+        *carried, "line", F.when(is_docker, F.lit("bad docker line")).otherwise(F.lit("bad cri line")).alias("reason")
     )
-    rows = staged.filter("_ok").withColumns(
-        {
-            "time_ns": F.when(
-                F.col("_docker"), F.coalesce(rfc3339_to_nanos(F.coalesce(doc["time"], F.lit(""))), now_ns)
-            ).otherwise(cri_ns),
-            "stream": F.when(F.col("_docker"), F.coalesce(doc["stream"], F.lit(""))).otherwise(
-                F.regexp_extract(line, CRI_LINE, 2)
-            ),
-            "is_partial": F.when(F.col("_docker"), docker_partial).otherwise(cri_partial),
-            "message": F.when(F.col("_docker"), F.regexp_replace(log, r"\n$", "")).otherwise(
-                F.regexp_extract(line, CRI_LINE, 4)
-            ),
-        }
+    rows = fields.filter(ok).select(
+        *carried,
+        F.when(is_docker, F.coalesce("_time", now_ns)).otherwise(F.col("_time")).alias("time_ns"),
+        F.when(is_docker, F.coalesce(doc["stream"], F.lit(""))).otherwise(part[1]).alias("stream"),
+        "is_partial",
+        F.when(is_docker & ~F.col("is_partial"), log.substr(F.lit(1), F.length(log) - 1))
+        .when(is_docker, log)
+        .otherwise(part[3])
+        .alias("message"),
     )
-    return rows.drop("_ok", "_docker", "line"), rejects
+    return rows, rejects
 
 
 def parse_container_lines(
@@ -57,11 +56,10 @@ def parse_container_lines(
     now = now_ns if isinstance(now_ns, Column) else F.lit(now_ns).cast("bigint")
     rows = df.filter(F.length("line") > 0)
     if detect == "line":
-        return _parsed(rows, F.col("line").startswith("{"), now)
+        return _parsed(rows.withColumn("_docker", F.col("line").startswith("{")), now)
     formats = rows.groupBy("file").agg(F.min_by(F.substring("line", 1, 1), "offset").alias("_first"))
-    known = rows.join(formats, "file").withColumn("_by_file", F.col("_first") == "{").drop("_first")
-    parsed, rejects = _parsed(known, F.col("_by_file"), now)
-    return parsed.drop("_by_file"), rejects.drop("_by_file")
+    known = rows.join(formats, "file").withColumn("_docker", F.col("_first") == "{").drop("_first")
+    return _parsed(known, now)
 
 
 def plain_lines(df: DataFrame, now_ns: int | Column) -> DataFrame:

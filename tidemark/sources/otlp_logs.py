@@ -8,12 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
+from tidemark.functions.once import compute_once
 from tidemark.schemas import DEFAULT_NAMING, Naming
 
-KEY_VALUES = "array<struct<key:string,value:variant>>"
+SCALARS = "stringValue:string,boolValue:boolean,intValue:string,doubleValue:double,bytesValue:string"
+# Values inside an attribute list: scalars are typed, nested values stay variants.
+ANY_VALUE = f"struct<{SCALARS},arrayValue:variant,kvlistValue:variant>"
+KEY_VALUES = f"array<struct<key:string,value:{ANY_VALUE}>>"
+BODY_VALUE = f"struct<{SCALARS},arrayValue:variant,kvlistValue:struct<values:{KEY_VALUES}>>"
 LOG_RECORD = (
     "struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,"
-    f"body:variant,attributes:{KEY_VALUES},traceId:string,spanId:string>"
+    f"body:{BODY_VALUE},attributes:{KEY_VALUES},traceId:string,spanId:string>"
 )
 LOGS_DOCUMENT = (
     f"struct<resourceLogs:array<struct<resource:struct<attributes:{KEY_VALUES}>,"
@@ -39,19 +44,17 @@ def log_records(df: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def _is_nested(value: Column) -> Column:
-    return F.variant_get(value, "$.kvlistValue", "variant").isNotNull() | F.variant_get(
-        value, "$.arrayValue", "variant"
-    ).isNotNull()
+    return value["kvlistValue"].isNotNull() | value["arrayValue"].isNotNull()
 
 
 def _scalar(value: Column) -> Column:
     """Variant of a scalar any-value, null for nested and empty ones."""
     return F.coalesce(
-        F.variant_get(value, "$.stringValue", "string").cast("variant"),
-        F.variant_get(value, "$.boolValue", "boolean").cast("variant"),
-        F.try_variant_get(value, "$.intValue", "string").try_cast("bigint").cast("variant"),
-        F.variant_get(value, "$.doubleValue", "double").cast("variant"),
-        F.variant_get(value, "$.bytesValue", "string").cast("variant"),
+        value["stringValue"].cast("variant"),
+        value["boolValue"].cast("variant"),
+        value["intValue"].try_cast("bigint").cast("variant"),
+        value["doubleValue"].cast("variant"),
+        value["bytesValue"].cast("variant"),
     )
 
 
@@ -101,71 +104,76 @@ def _listed(pairs: Column) -> Column:
     return F.coalesce(pairs, F.array().cast(KEY_VALUES))
 
 
+def _any_nested(pairs: Column) -> Column:
+    return F.exists(_listed(pairs), lambda a: _is_nested(a["value"]))
+
+
 def _wrapped(pairs: Column) -> Column:
     """Attribute list in the text form of one key-value any-value, when any member is nested."""
-    nested = F.exists(_listed(pairs), lambda a: _is_nested(a["value"]))
     body = F.struct(F.struct(pairs.alias("values")).alias("kvlistValue"))
-    return F.when(nested, F.to_json(body))
+    return F.when(_any_nested(pairs), F.to_json(body))
 
 
 def _scalar_map(pairs: Column) -> Column:
-    present = F.filter(
-        F.transform(_listed(pairs), lambda a: F.struct(a["key"].alias("key"), _scalar(a["value"]).alias("value"))),
-        lambda e: e["value"].isNotNull(),
+    converted = F.transform(
+        _listed(pairs), lambda a: F.struct(a["key"].alias("key"), _scalar(a["value"]).alias("value"))
     )
-    return F.map_from_entries(present)
+    return F.map_from_entries(F.filter(converted, lambda e: e["value"].isNotNull()))
 
 
 def _as_map(json_text: Column) -> Column:
     return F.parse_json(json_text).cast(BODY_TYPE)
 
 
-def _flat_map(pairs: Column) -> Column:
-    nested = _flatten_nested(_wrapped(pairs))
-    return F.when(nested.isNotNull(), _as_map(nested)).otherwise(_scalar_map(pairs))
-
-
 def _string_member(pairs: Column, key: str) -> Column:
     """Last non-empty string value of a key in an attribute list."""
     found = F.filter(
-        F.transform(_listed(pairs), lambda a: F.when(a["key"] == key, F.variant_get(a["value"], "$.stringValue", "string"))),
-        lambda v: v.isNotNull() & (v != ""),
+        _listed(pairs), lambda a: (a["key"] == key) & (F.coalesce(a["value"]["stringValue"], F.lit("")) != "")
     )
-    return F.get(found, F.size(found) - 1)
-
-
-def _body_pairs(body: Column) -> Column:
-    return F.try_variant_get(body, "$.kvlistValue.values", KEY_VALUES)
+    return F.get(found, F.size(found) - 1)["value"]["stringValue"]
 
 
 def record_destination(df: DataFrame, naming: Naming = DEFAULT_NAMING) -> DataFrame:
     """Add ``database`` and ``table`` of raw records: attributes first, then a map body."""
-    pairs, body = F.col("attributes"), _body_pairs(F.col("body"))
-    return df.withColumns(
-        {
-            "database": F.coalesce(_string_member(pairs, naming.dest_database), _string_member(body, naming.dest_database)),
-            "table": F.coalesce(_string_member(pairs, naming.dest_table), _string_member(body, naming.dest_table)),
-        }
-    )
+    pairs, body = F.col("attributes"), F.col("body.kvlistValue.values")
+
+    def found(key: str) -> Column:
+        return F.coalesce(_string_member(pairs, key), _string_member(body, key))
+
+    return compute_once(df, database=found(naming.dest_database), table=found(naming.dest_table))
 
 
 def flatten_otlp_logs(
     df: DataFrame, doc: str = "doc", naming: Naming = DEFAULT_NAMING
 ) -> tuple[DataFrame, DataFrame]:
-    """Log rows with flattened body, attributes and resource, and the records without a destination."""
+    """Log rows with flattened body, attributes and resource, and the records without a destination.
+
+    Scalar values are converted natively. Rows with nested values send only
+    those to a small Arrow function; the others send nulls.
+    """
     records = record_destination(log_records(df, doc), naming)
     ok = F.col("database").isNotNull() & F.col("table").isNotNull()
     carried = [c for c in df.columns if c != doc]
-    body = F.col("body")
-    pairs = _body_pairs(body)
-    nested_body = _flatten_nested(F.when(_is_nested(body), F.to_json(body)))
+    body, pairs = F.col("body"), F.col("body.kvlistValue.values")
+    is_map = F.col("body.kvlistValue").isNotNull()
+    nested_body = F.when(F.col("body.arrayValue").isNotNull() | (is_map & _any_nested(pairs)), F.to_json(body))
+    flat = records.filter(ok).withColumns(
+        {
+            "_body": _flatten_nested(nested_body),
+            "_attributes": _flatten_nested(_wrapped(F.col("attributes"))),
+            "_resource": _flatten_nested(_wrapped(F.col("resource_attributes"))),
+        }
+    )
+
+    def flat_map(nested: str, source: str) -> Column:
+        return F.when(F.col(nested).isNotNull(), _as_map(F.col(nested))).otherwise(_scalar_map(F.col(source)))
+
+    message = F.coalesce(F.parse_json("_body"), _scalar(body))
     flat_body = (
-        F.when(body.isNull() | F.is_variant_null(body), F.create_map().cast(BODY_TYPE))
-        .when(pairs.isNotNull() & ~F.exists(_listed(pairs), lambda a: _is_nested(a["value"])), _scalar_map(pairs))
-        .when(F.variant_get(body, "$.kvlistValue", "variant").isNotNull(), _as_map(nested_body))
-        .otherwise(
-            F.create_map(F.lit(naming.message_key), F.coalesce(F.parse_json(nested_body), _scalar(body)))
-        )
+        F.when(is_map & F.col("_body").isNotNull(), _as_map(F.col("_body")))
+        .when(is_map, _scalar_map(pairs))
+        .when(message.isNotNull(), F.create_map(F.lit(naming.message_key), message))
+        .otherwise(F.create_map().cast(BODY_TYPE))
     )
     routing = F.create_map(
         F.lit(naming.database),
@@ -173,13 +181,13 @@ def flatten_otlp_logs(
         F.lit(naming.reserved_prefix + "table"),
         F.col("table").cast("variant"),
     )
-    logs = records.filter(ok).select(
+    logs = flat.select(
         *carried,
         F.col("timeUnixNano").cast("bigint").alias("time_ns"),
         F.coalesce(F.col("observedTimeUnixNano").cast("bigint"), F.lit(0).cast("bigint")).alias("observed_ns"),
         flat_body.alias("body"),
-        F.map_concat(_flat_map(F.col("attributes")), routing).alias("attributes"),
-        _flat_map(F.col("resource_attributes")).alias("resource"),
+        F.map_concat(flat_map("_attributes", "attributes"), routing).alias("attributes"),
+        flat_map("_resource", "resource_attributes").alias("resource"),
         "database",
         "table",
     )
@@ -191,30 +199,20 @@ def flatten_otlp_logs(
 
 def _quoted(c: Column) -> Column:
     """JSON string literal of a text."""
-    return F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    listed = F.to_json(F.array(c))
+    return listed.substr(F.lit(2), F.length(listed) - 2)
 
 
 def encoded_body(body: Column) -> Column:
     """Text of an any-value body: strings verbatim, maps and lists as JSON, other scalars quoted."""
     nested = _encode_nested(F.when(_is_nested(body), F.to_json(body)))
-    string_value = F.variant_get(body, "$.stringValue", "string")
-    other = F.coalesce(
-        F.variant_get(body, "$.boolValue", "boolean").cast("string"),
-        F.variant_get(body, "$.intValue", "string"),
-        F.variant_get(body, "$.doubleValue", "string"),
-        F.lit(""),
-    )
-    return F.coalesce(nested, string_value, _quoted(other))
+    other = F.coalesce(body["boolValue"].cast("string"), body["intValue"], body["doubleValue"].cast("string"), F.lit(""))
+    return F.coalesce(nested, body["stringValue"], _quoted(other))
 
 
 def string_pairs(pairs: Column) -> Column:
     """JSON object of an attribute list keeping string values; others become empty texts."""
-    as_map = F.map_from_entries(
-        F.transform(
-            _listed(pairs),
-            lambda a: F.struct(
-                a["key"], F.coalesce(F.variant_get(a["value"], "$.stringValue", "string"), F.lit(""))
-            ),
-        )
+    texts = F.transform(
+        _listed(pairs), lambda a: F.struct(a["key"], F.coalesce(a["value"]["stringValue"], F.lit("")))
     )
-    return F.to_json(as_map)
+    return F.to_json(F.map_from_entries(texts))

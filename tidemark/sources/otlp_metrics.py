@@ -1,7 +1,8 @@
 """OpenTelemetry metric documents (JSON form) to samples.
 
-Every metric turns into one array of samples, so a document is read once and
-exploded once whatever mix of shapes it holds. No shuffle is needed.
+A document is parsed once, then exploded to metrics, points and samples in turn,
+whatever mix of shapes it holds. Labels and times are read once per point. No
+shuffle is needed.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ METRIC = (
 )
 METRICS_DOCUMENT = f"struct<resourceMetrics:array<struct<scopeMetrics:array<struct<metrics:array<{METRIC}>>>>>>"
 
-SAMPLES = "array<struct<name:string,labels:map<string,string>,ts_ms:bigint,value:double>>"
 KINDS = ("gauge", "sum", "histogram", "summary", "exponentialHistogram")
 
 
@@ -64,151 +64,161 @@ def millis(time_unix_nano: Column) -> Column:
     return floor_div(F.coalesce(time_unix_nano.cast("bigint"), F.lit(0).cast("bigint")), 1_000_000)
 
 
-def _sample(name: Column, labels: Column, ts_ms: Column, value: Column) -> Column:
+def fixed6(c: Column) -> Column:
+    """Six decimals, the text form of bounds and quantiles."""
+    return F.format_string("%.6f", c)
+
+
+# One point of any kind: its labels and time, and the values its kind carries.
+POINT_FIELDS = {
+    "kind": "string",
+    "labels": "map<string,string>",
+    "ts_ms": "bigint",
+    "value": "double",
+    "total": "double",
+    "buckets": "array<string>",
+    "bounds": "array<double>",
+    "quantiles": "array<struct<quantile:double,value:double>>",
+    "scale": "int",
+    "zeros": "double",
+    "negative": BUCKETS,
+    "positive": BUCKETS,
+}
+POINT_TYPES = {
+    "gauge": NUMBER_POINT,
+    "sum": NUMBER_POINT,
+    "histogram": HISTOGRAM_POINT,
+    "summary": SUMMARY_POINT,
+    "exponentialHistogram": EXP_POINT,
+}
+
+
+def _point(kind: str, p: Column) -> Column:
+    """The common struct of one point."""
+    number = F.coalesce(p["asDouble"], p["asInt"].cast("double"), F.lit(0.0)) if kind in ("gauge", "sum") else None
+    given = {
+        "kind": F.lit(kind),
+        "labels": attribute_labels(p["attributes"]),
+        "ts_ms": millis(p["timeUnixNano"]),
+        "value": number if number is not None else F.coalesce(p["count"].cast("double"), F.lit(0.0)),
+    }
+    if kind in ("histogram", "summary", "exponentialHistogram"):
+        given["total"] = p["sum"]
+    if kind == "histogram":
+        given |= {"buckets": p["bucketCounts"], "bounds": p["explicitBounds"]}
+    if kind == "summary":
+        given |= {"total": F.coalesce(p["sum"], F.lit(0.0)), "quantiles": p["quantileValues"]}
+    if kind == "exponentialHistogram":
+        given |= {
+            "scale": p["scale"],
+            "zeros": F.coalesce(p["zeroCount"].cast("double"), F.lit(0.0)),
+            "negative": p["negative"],
+            "positive": p["positive"],
+        }
     return F.struct(
-        name.alias("name"), labels.alias("labels"), ts_ms.alias("ts_ms"), value.cast("double").alias("value")
+        *[given.get(n, F.lit(None)).cast(kind_type).alias(n) for n, kind_type in POINT_FIELDS.items()]
     )
 
 
-def _none() -> Column:
-    return F.array().cast(SAMPLES)
+def _point_rows(metrics: DataFrame, kinds: list[str]) -> DataFrame:
+    """One row per point of the given kinds, so labels and time are read once per point."""
+    carried = [c for c in metrics.columns if c not in KINDS]
 
+    def points(kind: str) -> Column:
+        listed = F.coalesce(F.col(kind)["dataPoints"], F.array().cast(f"array<{POINT_TYPES[kind]}>"))
+        return F.transform(listed, lambda p: _point(kind, p))
 
-def _with_label(labels: Column, key: str, value: Column) -> Column:
-    return F.map_concat(labels, F.create_map(F.lit(key), value))
+    every = [points(k) for k in kinds]
+    return metrics.select(*carried, F.inline(F.concat(*every) if len(every) > 1 else every[0]))
 
 
-def _number(text: Column) -> Column:
-    return F.coalesce(text.cast("double"), F.lit(0.0))
+PARTS = "array<struct<suffix:string,key:string,bound:string,value:double>>"
 
 
-def fixed6(c: Column) -> Column:
-    """Six decimals, the text form of bounds and quantiles."""
-    return F.format_string("%.6f", c)
+def _part(suffix: str, value: Column, key: str | None = None, bound: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(suffix).alias("suffix"),
+        F.lit(key).cast("string").alias("key"),
+        (F.lit(None).cast("string") if bound is None else bound).alias("bound"),
+        value.cast("double").alias("value"),
+    )
 
 
-def _number_samples(name: Column, points: Column) -> Column:
-    return F.transform(
-        points,
-        lambda p: _sample(
-            name,
-            attribute_labels(p["attributes"]),
-            millis(p["timeUnixNano"]),
-            F.coalesce(p["asDouble"], p["asInt"].cast("double"), F.lit(0.0)),
-        ),
-    )
+def _none() -> Column:
+    return F.array().cast(PARTS)
 
 
-def _suffix(name: Column, text: str) -> Column:
-    return F.concat(name, F.lit(text))
-
-
-def _histogram_samples(name: Column, points: Column, cumulative: bool) -> Column:
-    def of_point(p: Column) -> Column:
-        labels, ts = attribute_labels(p["attributes"]), millis(p["timeUnixNano"])
-        counts = F.coalesce(p["bucketCounts"], F.array().cast("array<string>"))
-
-        def bucket(count: Column, i: Column) -> Column:
-            last = i == F.size(counts) - 1
-            bound = F.when(last, F.lit("+Inf")).otherwise(fixed6(F.get(p["explicitBounds"], i)))
-            value = (
-                F.aggregate(F.slice(counts, 1, i + 1), F.lit(0.0), lambda acc, c: acc + c.cast("double"))
-                if cumulative
-                else count
-            )
-            return _sample(_suffix(name, "_bucket"), _with_label(labels, "le", bound), ts, value)
-
-        total = F.when(
-            p["sum"].isNotNull(), F.array(_sample(_suffix(name, "_sum"), labels, ts, p["sum"]))
-        ).otherwise(_none())
-        return F.concat(
-            F.array(_sample(_suffix(name, "_count"), labels, ts, _number(p["count"]))),
-            total,
-            F.transform(counts, bucket),
-        )
+def _count_and_sum() -> Column:
+    total = F.when(F.col("total").isNotNull(), F.array(_part("_sum", F.col("total")))).otherwise(_none())
+    return F.concat(F.array(_part("_count", F.col("value"))), total)
 
-    return F.flatten(F.transform(points, of_point))
-
-
-def _summary_samples(name: Column, points: Column) -> Column:
-    def of_point(p: Column) -> Column:
-        labels, ts = attribute_labels(p["attributes"]), millis(p["timeUnixNano"])
-        quantiles = F.coalesce(p["quantileValues"], F.array().cast("array<struct<quantile:double,value:double>>"))
-        return F.concat(
-            F.array(
-                _sample(_suffix(name, "_count"), labels, ts, _number(p["count"])),
-                _sample(_suffix(name, "_sum"), labels, ts, F.coalesce(p["sum"], F.lit(0.0))),
-            ),
-            F.transform(
-                quantiles,
-                lambda q: _sample(name, _with_label(labels, "quantile", fixed6(q["quantile"])), ts, q["value"]),
-            ),
-        )
 
-    return F.flatten(F.transform(points, of_point))
+def _bucket_parts(cumulative: bool) -> Column:
+    counts = F.coalesce("buckets", F.array().cast("array<string>"))
 
+    def bucket(count: Column, i: Column) -> Column:
+        last = i == F.size(counts) - 1
+        bound = F.when(last, F.lit("+Inf")).otherwise(fixed6(F.get("bounds", i)))
+        value = count.cast("double")
+        if cumulative:
+            value = F.aggregate(F.slice(counts, 1, i + 1), F.lit(0.0), lambda acc, c: acc + c.cast("double"))
+        return _part("_bucket", value, "le", bound)
 
-def _exp_samples(name: Column, points: Column) -> Column:
-    """Bucket samples of exponential histograms.
+    return F.transform(counts, bucket)
 
-    Bucket ``i`` of a side covers ``(base^i, base^(i+1)]`` with base
-    ``2^(2^-scale)``, as the OpenTelemetry data model defines it.
-    """
 
-    def of_point(p: Column) -> Column:
-        labels, ts = attribute_labels(p["attributes"]), millis(p["timeUnixNano"])
-        base = F.pow(F.lit(2.0), F.pow(F.lit(2.0), -p["scale"]))
-
-        def side(buckets: Column, sign: int) -> Column:
-            counts = F.coalesce(buckets["bucketCounts"], F.array().cast("array<string>"))
-            # The upper bound of a negative bucket is its end nearer to zero.
-            shift = 1 if sign > 0 else 0
-            return F.transform(
-                counts,
-                lambda c, i: _sample(
-                    _suffix(name, "_bucket"),
-                    _with_label(
-                        labels,
-                        "le",
-                        fixed6(F.lit(float(sign)) * F.pow(base, F.coalesce(buckets["offset"], F.lit(0)) + i + shift)),
-                    ),
-                    ts,
-                    c,
-                ),
-            )
-
-        zero = _sample(_suffix(name, "_bucket"), _with_label(labels, "le", fixed6(F.lit(0.0))), ts, _number(p["zeroCount"]))
-        total = F.when(
-            p["sum"].isNotNull(), F.array(_sample(_suffix(name, "_sum"), labels, ts, p["sum"]))
-        ).otherwise(_none())
-        return F.concat(
-            F.array(_sample(_suffix(name, "_count"), labels, ts, _number(p["count"]))),
-            total,
-            side(p["negative"], -1),
-            F.array(zero),
-            side(p["positive"], 1),
+def _quantile_parts() -> Column:
+    listed = F.coalesce("quantiles", F.array().cast(POINT_FIELDS["quantiles"]))
+    return F.transform(listed, lambda q: _part("", q["value"], "quantile", fixed6(q["quantile"])))
+
+
+def _exp_parts() -> Column:
+    """Bucket ``i`` of a side covers ``(base^i, base^(i+1)]`` with base ``2^(2^-scale)``, as the data model defines it."""
+    base = F.pow(F.lit(2.0), F.pow(F.lit(2.0), -F.col("scale")))
+
+    def side(name: str, sign: int) -> Column:
+        buckets = F.col(name)
+        counts = F.coalesce(buckets["bucketCounts"], F.array().cast("array<string>"))
+        # The upper bound of a negative bucket is its end nearer to zero.
+        first = F.coalesce(buckets["offset"], F.lit(0)) + (1 if sign > 0 else 0)
+        return F.transform(
+            counts, lambda c, i: _part("_bucket", c, "le", fixed6(F.lit(float(sign)) * F.pow(base, first + i)))
         )
 
-    return F.flatten(F.transform(points, of_point))
+    zero = F.array(_part("_bucket", F.col("zeros"), "le", fixed6(F.lit(0.0))))
+    return F.concat(_count_and_sum(), side("negative", -1), zero, side("positive", 1))
 
 
-def _exploded(metrics: DataFrame, samples: Column) -> DataFrame:
-    carried = [c for c in metrics.columns if c not in KINDS and c != "name"]
-    rows = metrics.select(*carried, F.inline(samples))
-    return rows.withColumn("ts", F.timestamp_millis("ts_ms")).drop("ts_ms")
+def _samples(points: DataFrame, parts: Column) -> DataFrame:
+    """One row per sample: the point's labels, with the part's own label added."""
+    carried = [c for c in points.columns if c not in (*POINT_FIELDS, "name")]
+    rows = points.select(*carried, "name", "labels", "ts_ms", F.inline(parts))
+    return rows.select(
+        *carried,
+        F.concat("name", "suffix").alias("name"),
+        F.when(F.col("key").isNull(), F.col("labels"))
+        .otherwise(F.map_concat("labels", F.create_map("key", "bound")))
+        .alias("labels"),
+        "value",
+        F.timestamp_millis("ts_ms").alias("ts"),
+    )
 
 
-def _points(kind: str, point_type: str) -> Column:
-    return F.coalesce(F.col(kind)["dataPoints"], F.array().cast(f"array<{point_type}>"))
+def _number_parts() -> Column:
+    return F.array(_part("", F.col("value")))
 
 
-def _number_points() -> Column:
-    return F.when(F.col("gauge").isNotNull(), _points("gauge", NUMBER_POINT)).otherwise(_points("sum", NUMBER_POINT))
+def _histogram_parts(cumulative: bool) -> Column:
+    return F.concat(_count_and_sum(), _bucket_parts(cumulative))
+
+
+def _summary_parts() -> Column:
+    return F.concat(_count_and_sum(), _quantile_parts())
 
 
 def number_points(metrics: DataFrame) -> DataFrame:
     """Samples of gauges and sums."""
-    return _exploded(metrics, _number_samples(F.col("name"), _number_points()))
+    return _samples(_point_rows(metrics, ["gauge", "sum"]), _number_parts())
 
 
 def histogram_points(metrics: DataFrame, cumulative: bool = False) -> DataFrame:
@@ -217,33 +227,34 @@ def histogram_points(metrics: DataFrame, cumulative: bool = False) -> DataFrame:
     Buckets carry the count of their own interval; ``cumulative=True`` gives the
     running count a Prometheus histogram has.
     """
-    points = _points("histogram", HISTOGRAM_POINT)
-    return _exploded(metrics, _histogram_samples(F.col("name"), points, cumulative))
+    return _samples(_point_rows(metrics, ["histogram"]), _histogram_parts(cumulative))
 
 
 def summary_points(metrics: DataFrame) -> DataFrame:
     """``_count``, ``_sum`` and one sample per quantile."""
-    return _exploded(metrics, _summary_samples(F.col("name"), _points("summary", SUMMARY_POINT)))
+    return _samples(_point_rows(metrics, ["summary"]), _summary_parts())
 
 
 def exp_histogram_points(metrics: DataFrame) -> DataFrame:
     """Opt-in expansion of exponential histograms, which the document reader rejects."""
-    return _exploded(metrics, _exp_samples(F.col("name"), _points("exponentialHistogram", EXP_POINT)))
+    return _samples(_point_rows(metrics, ["exponentialHistogram"]), _exp_parts())
 
 
 def flatten_otlp_metrics(df: DataFrame, doc: str = "doc", cumulative: bool = False) -> tuple[DataFrame, DataFrame]:
     """All samples of the documents, and the rejected metrics with their point counts."""
     metrics = metric_rows(df, doc)
-    name = F.col("name")
-    samples = F.concat(
-        _number_samples(name, _number_points()),
-        _histogram_samples(name, _points("histogram", HISTOGRAM_POINT), cumulative),
-        _summary_samples(name, _points("summary", SUMMARY_POINT)),
+    points = _point_rows(metrics, list(KINDS[:-1]))
+    kind = F.col("kind")
+    samples = _samples(
+        points,
+        F.when(kind.isin("gauge", "sum"), _number_parts())
+        .when(kind == "histogram", _histogram_parts(cumulative))
+        .otherwise(_summary_parts()),
     )
     carried = [c for c in metrics.columns if c not in KINDS and c != "name"]
     known = F.lit(False)
-    for kind in KINDS[:-1]:
-        known = known | F.col(kind).isNotNull()
+    for name in KINDS[:-1]:
+        known = known | F.col(name).isNotNull()
     is_exp = F.col("exponentialHistogram").isNotNull()
     rejects = metrics.filter(~known).select(
         *carried,
@@ -251,6 +262,6 @@ def flatten_otlp_metrics(df: DataFrame, doc: str = "doc", cumulative: bool = Fal
         F.when(is_exp, F.lit("unsupported type ExponentialHistogram"))
         .otherwise(F.lit("unknown metric type"))
         .alias("reason"),
-        F.when(is_exp, F.size(_points("exponentialHistogram", EXP_POINT))).otherwise(0).alias("points"),
+        F.when(is_exp, F.coalesce(F.size("exponentialHistogram.dataPoints"), F.lit(0))).otherwise(0).alias("points"),
     )
-    return _exploded(metrics.filter(known), samples), rejects
+    return samples, rejects

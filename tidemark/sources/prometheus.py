@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.labels import series_id
+from tidemark.functions.once import compute_once
 from tidemark.schemas import DEFAULT_NAMING, Naming
 
 # Shape of one sample line: name, optional label block, value, optional time.
@@ -14,8 +15,10 @@ LABEL_SHAPE = r'[^=}][^=]*="?[^"\\]*+(?:\\.[^"\\]*+)*+",?'
 LABEL = r'([^=}][^=]*)="?([^"\\]*+(?:\\.[^"\\]*+)*+)",?'
 LINE = (
     r"(?s)^[ \t]*([^{ \t]*)[ \t]*(?:\{((?:" + LABEL_SHAPE + r")*)\})?"
-    r"[ \t]*([^ \t]+)(?:[ \t]+([^ \t]+))?"
+    r"[ \t]*([^ \t]+)(?:[ \t]+([^ \t]+))?.*$"
 )
+# Parts of a matched line, the label block last because only it may hold any character.
+PARTS = "$1\x00$3\x00$4\x00$2"
 NUMBER = r"(?i)^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|[+-]?inf(inity)?|[+-]?nan)$"
 
 
@@ -24,7 +27,7 @@ def _unescape(c: Column) -> Column:
         F.split(c, r"\\\\"),
         lambda p: F.replace(F.replace(p, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")),
     )
-    return F.array_join(pieces, "\\")
+    return F.when(c.contains("\\"), F.array_join(pieces, "\\")).otherwise(c)
 
 
 def parse_prometheus_lines(
@@ -38,27 +41,20 @@ def parse_prometheus_lines(
     scrape = scrape_ts if isinstance(scrape_ts, Column) else F.lit(scrape_ts)
     text = F.col(line)
     lines = df.filter(~text.rlike(r"^[ \t]*(#|$)"))
-    block = F.regexp_extract(text, LINE, 2)
-    value_text = F.regexp_extract(text, LINE, 3)
-    time_text = F.regexp_extract(text, LINE, 4)
+    # One match per line: the groups are written behind each other and split again.
+    split_up = compute_once(lines, _part=F.split(F.regexp_replace(text, LINE, PARTS), "\x00", 4))
+    value_text, time_text, block = (F.get("_part", F.lit(i)) for i in (1, 2, 3))
     value = F.when(value_text.rlike(NUMBER), F.regexp_replace(value_text, "(?i)^[+-]nan$", "NaN").try_cast("double"))
     millis = F.when(time_text == "", F.lit(0)).when(time_text.rlike("^-?[0-9]+$"), time_text.try_cast("bigint"))
+    parsed = compute_once(split_up, sample_value=value, millis=millis)
+    ok = F.col("sample_value").isNotNull() & F.col("millis").isNotNull()
     keys = F.regexp_extract_all(block, F.lit(LABEL), F.lit(1))
     values = F.transform(F.regexp_extract_all(block, F.lit(LABEL), F.lit(2)), _unescape)
-    parsed = lines.withColumns(
-        {
-            "name": F.regexp_extract(text, LINE, 1),
-            "labels": F.map_from_arrays(keys, values),
-            "sample_value": F.when(text.rlike(LINE), value),
-            "millis": millis,
-        }
-    )
-    ok = F.col("sample_value").isNotNull() & F.col("millis").isNotNull()
     carried = [c for c in df.columns if c != line]
     samples = parsed.filter(ok).select(
         *carried,
-        "name",
-        "labels",
+        F.get("_part", F.lit(0)).alias("name"),
+        F.map_from_arrays(keys, values).alias("labels"),
         F.col("sample_value").alias("value"),
         F.when(F.col("millis") == 0, scrape).otherwise(F.timestamp_millis("millis")).alias("ts"),
     )
