@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 from tidemark.schemas import DEFAULT_NAMING, Naming
 
@@ -68,9 +70,6 @@ def xxhash64_seed0(text: Column) -> Column:
 
 
 def _arrow_xxhash64():
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf(T.LongType())
     def hashed(values: pd.Series) -> pd.Series:
         import xxhash
