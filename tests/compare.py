@@ -85,7 +85,7 @@ def main(argv: list[str]) -> int:
             problem = difference(got, sql_result(con, q.sql)) if q.sql else None
             status = "ok" if not problem else "DIFF"
         except Exception as error:
-            took, got, status, problem = time.time() - started, ([], []), "FAIL", f"{type(error).__name__}: {str(error)[:1500]}"
+            took, got, status, problem = time.time() - started, ([], []), "FAIL", f"{type(error).__name__}: {str(error)[:400]}"
         bad += status != "ok"
         print(f"{status:5} {name:40} {len(got[1]):8} rows {took:6.2f}s {'' if q.sql else '(rows only)'}", flush=True)
         if problem:

@@ -87,6 +87,19 @@ def test_compaction_keeps_rows(spark):
     assert spark.read.parquet(out).count() == 1000
 
 
+def test_compaction_in_place_touches_small_folders_only(spark):
+    path = scratch_path(spark, "in-place")
+    wide = spark.range(3000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"), F.lit("big").alias("p"))
+    wide.coalesce(1).write.partitionBy("p").parquet(path)
+    spark.range(100).select("id", F.lit("x").alias("text"), F.lit("small").alias("p")).repartition(10).write.mode("append").partitionBy("p").parquet(path)
+    big = {r["file"] for r in layout.list_files(spark, path).filter("folder LIKE '%p=big'").collect()}
+    layout.compact(spark, path, None, ["p"], target_bytes=50_000)
+    after = layout.list_files(spark, path)
+    assert {r["file"] for r in after.filter("folder LIKE '%p=big'").collect()} == big
+    assert after.filter("folder LIKE '%p=small'").count() < 10
+    assert {r["p"]: r["count"] for r in spark.read.parquet(path).groupBy("p").count().collect()} == {"big": 3000, "small": 100}
+
+
 def test_registry(spark):
     path = scratch_path(spark, "registry")
     register_schema(spark.sql("SELECT 1 AS a"), "t", path, datetime(2024, 1, 1, tzinfo=UTC))

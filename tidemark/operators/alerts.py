@@ -124,8 +124,11 @@ def throttle(
     """
     order = order or ["correlation_id", "title"]
     per_rule = Window.partitionBy(rule).orderBy(*order)
-    emitted = notifications.withColumn("_n", F.row_number().over(per_rule)).filter(F.col("_n") <= cap).drop("_n")
-    over = notifications.groupBy(rule).agg(F.count("*").alias("_n"), F.max("destination").alias("_d")).filter(F.col("_n") > cap)
+    ranked = notifications.withColumn("_n", F.row_number().over(per_rule))
+    emitted = ranked.filter(F.col("_n") <= cap).drop("_n")
+    flooded = notifications.groupBy(rule).agg(F.count("*").alias("_count")).filter(F.col("_count") > cap)
+    owners = ranked.filter(F.col("_n") <= 1).select(rule, F.col("destination").alias("_d"))
+    over = flooded.join(owners, rule)
     failure = F.concat(F.lit("notification-failure/"), F.col(rule))
     flags = over.select(
         F.col("_d").alias("destination"),

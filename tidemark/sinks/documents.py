@@ -6,19 +6,29 @@ slice into chunks of at most ``max_entries``, before its rows are listed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.timebin import bin_micros
+from tidemark.functions.timebin import MICROS, bin_micros, floor_div
+from tidemark.operators.slices import with_running_count
 from tidemark.schemas import DEFAULT_NAMING, Naming
 
 SLICE_SECONDS = 3600
 MAX_ENTRIES = 10_000
 
 
+SUB_SLICES = 60
+
+
 def _chunked(df: DataFrame, keys: list[str], order: list[str], micros: Column, slice_seconds: int, max_entries: int) -> DataFrame:
-    sliced = df.withColumn("_slice", bin_micros(micros, slice_seconds))
-    numbered = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    return sliced.withColumn("chunk", F.floor((F.row_number().over(numbered) - 1) / F.lit(max_entries)).cast("int"))
+    """Add the time slice of each row and its chunk inside the slice.
+
+    The position inside a slice is counted per sub-slice, so a tag or series
+    that fills a whole slice is still numbered by many tasks.
+    """
+    sliced = df.withColumn("_begin", bin_micros(micros, slice_seconds))
+    sub = floor_div(micros, max(1, slice_seconds * MICROS // SUB_SLICES))
+    numbered = with_running_count(sliced, [*keys, "_begin"], order, F.lit(True), sub)
+    return numbered.withColumn("chunk", floor_div(F.col("_before"), max_entries).cast("int")).drop("_before", "_all")
 
 
 def merged_attributes(cluster_labels: dict[str, str], added: dict[str, str]) -> dict[str, str]:
@@ -46,7 +56,7 @@ def to_otlp_gauges(
     pairs = F.sort_array(F.map_entries(public))
     rows = samples.select("name", pairs.alias("_attrs"), F.unix_millis("ts").alias("_ms"), "value")
     chunked = _chunked(rows, ["name", "_attrs"], ["_ms", "value"], F.col("_ms") * F.lit(1000), slice_seconds, max_entries)
-    grouped = chunked.groupBy("name", "_attrs", "_slice", "chunk").agg(
+    grouped = chunked.groupBy("name", "_attrs", "_begin", "chunk").agg(
         F.sort_array(F.collect_list(F.struct("_ms", "value"))).alias("_points")
     )
     points = F.transform(
@@ -69,7 +79,7 @@ def to_otlp_gauges(
     document = F.struct(F.array(resource).alias("resourceMetrics"))
     return grouped.select(
         "name",
-        F.timestamp_micros("_slice").alias("slice_start"),
+        F.timestamp_micros("_begin").alias("slice_start"),
         "chunk",
         F.size("_points").alias("points"),
         F.to_json(document).alias("doc"),
@@ -95,7 +105,7 @@ def group_by_tag(
     micros = F.col("seconds") * F.lit(1_000_000)
     chunked = _chunked(rows, ["tag"], ["time_ns", "body"], micros, slice_seconds, max_entries)
     return (
-        chunked.groupBy("tag", "_slice", "chunk")
+        chunked.groupBy("tag", "_begin", "chunk")
         .agg(F.sort_array(F.collect_list(F.struct("seconds", "nanos", "body"))).alias("entries"))
-        .select("tag", F.timestamp_micros("_slice").alias("slice_start"), "chunk", "entries")
+        .select("tag", F.timestamp_micros("_begin").alias("slice_start"), "chunk", "entries")
     )

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 # Smallest batch worth writing and most files in a batch.
 TARGET_BYTES = 100 * 1024 * 1024
 MAX_FILES = 25
+# Most ranges of one write, and most folder names sent to every executor.
+MAX_RANGES = 100_000
+MAX_BROADCAST_FOLDERS = 50_000
 
 
 def layout_order(columns: list[str]) -> list[str]:
@@ -16,6 +19,13 @@ def layout_order(columns: list[str]) -> list[str]:
     return ["Timestamp"] if "Timestamp" in columns else columns[:1]
 
 
+def range_partitions(df: DataFrame, target_bytes: int = TARGET_BYTES) -> int:
+    """Partitions for a range shuffle: the session's setting, or more when the planner's size estimate asks for it."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(configured, -(-estimate // target_bytes)), MAX_RANGES)
+
+
 def write_layout(df: DataFrame, path: str, mode: str = "append") -> None:
     """Write ordered by series and time inside day partitions.
 
@@ -23,11 +33,12 @@ def write_layout(df: DataFrame, path: str, mode: str = "append") -> None:
     and row groups keep narrow series and time bounds for scan pruning.
     """
     order = layout_order(df.columns)
+    parts = range_partitions(df)
     if "Timestamp" not in df.columns:
-        df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).parquet(path)
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.mode(mode).parquet(path)
         return
     dated = df.withColumn("day", F.to_date("Timestamp"))
-    ranged = dated.repartitionByRange("day", *order).sortWithinPartitions("day", *order)
+    ranged = dated.repartitionByRange(parts, "day", *order).sortWithinPartitions("day", *order)
     ranged.write.mode(mode).partitionBy("day").parquet(path)
 
 
@@ -62,21 +73,41 @@ def plan_compaction(files: DataFrame, target_bytes: int = TARGET_BYTES, max_file
 
 
 def compact(
-    spark: SparkSession, path: str, out: str, partition_by: list[str] | None = None,
+    spark: SparkSession, path: str, out: str | None = None, partition_by: list[str] | None = None,
     target_bytes: int = TARGET_BYTES, max_files: int = MAX_FILES,
 ) -> DataFrame:
-    """Rewrite a table into files of about ``target_bytes`` below ``out`` and return the plan.
+    """Rewrite small files into files of about ``target_bytes`` and return the plan they were chosen by.
 
-    Rows follow the batch of their file, so a task writes one batch of one folder.
+    Without ``out`` only the folders of small files are rewritten, in place, by
+    dynamic partition overwrite. With ``out`` the whole table is written there.
+    Rows are rebalanced by partition: the adaptive plan merges what is small and
+    splits what is large, so a partition holding most of the table is written by
+    many tasks.
     """
     plan = plan_compaction(list_files(spark, path), target_bytes, max_files)
-    rows = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_path"))
-    keyed = rows.join(plan.select(F.col("file").alias("_file"), "batch"), "_file")
-    batched = keyed.hint("rebalance", "batch").drop("_file", "batch")
-    writer = batched.write.mode("overwrite")
+    rows = spark.read.parquet(path)
+    columns = rows.columns
+    if out is None:
+        if not partition_by:
+            raise ValueError("compaction in place needs a partitioned table")
+        small = plan.filter("small").select(F.col("folder").alias("_folder")).distinct()
+        if small.limit(MAX_BROADCAST_FOLDERS + 1).count() <= MAX_BROADCAST_FOLDERS:
+            small = F.broadcast(small)
+        own = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+        rows = rows.withColumn("_folder", own).join(small, "_folder", "left_semi").select(*columns)
+    balanced = rows.hint("rebalance", *(partition_by or []))
+    writer = balanced.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(out)
+    if out is None:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory)
+    spark.conf.set(advisory, str(target_bytes))
+    try:
+        writer.parquet(out or path)
+    finally:
+        spark.conf.set(advisory, before)
     return plan
 
 

@@ -57,9 +57,10 @@ def parse_container_lines(
     rows = df.filter(F.length("line") > 0)
     if detect == "line":
         return _parsed(rows.withColumn("_docker", F.col("line").startswith("{")), now)
-    formats = rows.groupBy("file").agg(F.min_by(F.substring("line", 1, 1), "offset").alias("_first"))
-    known = rows.join(formats, "file").withColumn("_docker", F.col("_first") == "{").drop("_first")
-    return _parsed(known, now)
+    # Offset and format in one number, so the aggregate keeps fixed-width state and needs no sort.
+    brace = F.when(F.col("line").startswith("{"), 1).otherwise(0)
+    formats = rows.groupBy("file").agg((F.min(F.col("offset") * 2 + brace) % 2 == 1).alias("_docker"))
+    return _parsed(rows.join(formats, "file"), now)
 
 
 def plain_lines(df: DataFrame, now_ns: int | Column) -> DataFrame:
