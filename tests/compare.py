@@ -28,9 +28,9 @@ def normal(v):
     if isinstance(v, float):
         return None if math.isnan(v) else float(f"{v:.9g}")
     if isinstance(v, bool):
-        return int(v)
+        return ("bool", v)
     if hasattr(v, "as_tuple"):
-        return float(f"{float(v):.9g}")
+        return ("decimal", float(v))
     if isinstance(v, (list, tuple)):
         return tuple(normal(x) for x in v)
     return v
@@ -60,7 +60,7 @@ def difference(spark_side, sql_side) -> str | None:
     if len(sr) != len(dr):
         return f"row counts {len(sr)} != {len(dr)}; first spark {sr[:1]} first sql {dr[:1]}"
     for a, b in zip(sr, dr):
-        if a != b:
+        if a != b or [type(x) for x in a] != [type(x) for x in b]:
             return f"spark {a}\n      sql   {b}  columns {sc}"
     return None
 

@@ -73,7 +73,7 @@ def q3(spark, d):
     "Q4_service_health",
     f"""WITH m AS (SELECT {bin_sql("ts", 300)} AS b, 's' || CAST(user_id % 5 AS VARCHAR) AS service, value FROM events WHERE event_type IN ('click', 'purchase')),
       l AS (SELECT {bin_sql("ts", 300)} AS b, 's' || CAST(user_id % 5 AS VARCHAR) AS service, count(*) AS n FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1, 2)
-    SELECT m.service, m.b AS bin_us, round(sum(value), 6) AS request_count, round(avg(value / 2), 6) AS avg_duration, coalesce(sum(n), 0) AS error_count, coalesce(max(n), 0) AS errors
+    SELECT m.service, m.b AS bin_us, round(sum(value), 6) AS request_count, round(avg(value / 2), 6) AS avg_duration, CAST(coalesce(sum(n), 0) AS BIGINT) AS error_count, coalesce(max(n), 0) AS errors
     FROM m LEFT JOIN l ON l.b = m.b AND l.service = m.service GROUP BY 1, 2""",
 )
 def q4(spark, d):
@@ -95,7 +95,7 @@ def _delays(spark, d) -> DataFrame:
 
 @query(
     "Q5_ingestion_delay_exact",
-    """SELECT p AS percentile, CAST(CASE p WHEN 50 THEN a WHEN 90 THEN b WHEN 99 THEN c ELSE m END AS DOUBLE) AS delay_us
+    """SELECT CAST(p AS DOUBLE) AS percentile, CAST(CASE p WHEN 50 THEN a WHEN 90 THEN b WHEN 99 THEN c ELSE m END AS DOUBLE) AS delay_us
     FROM (SELECT quantile_disc(x, 0.5) AS a, quantile_disc(x, 0.9) AS b, quantile_disc(x, 0.99) AS c, max(x) AS m
           FROM (SELECT CAST(trunc(l_extendedprice * 1000) AS BIGINT) AS x FROM lineitem)), (VALUES (50.0), (90.0), (99.0), (100.0)) AS t(p)""",
 )
@@ -184,7 +184,7 @@ def q11(spark, d):
 @query(
     "Q12_project_paths",
     """SELECT event_id, json_extract_string(props, '$.k') AS k_text, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k_real,
-      NULL AS absent, epoch_us(ts) AS ts_us FROM events""",
+      CAST(NULL AS VARCHAR) AS absent, epoch_us(ts) AS ts_us FROM events""",
 )
 def q12(spark, d):
     e = table(spark, d, "events")

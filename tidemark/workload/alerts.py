@@ -113,7 +113,7 @@ def n5(spark, d):
 
 @query(
     "N5_throttle_flags",
-    """SELECT 'Alert ops/' || event_type || ' has too many notifications in eastus' AS title, 'notification-failure/ops/' || event_type AS correlation_id, 3 AS severity
+    """SELECT 'Alert ops/' || event_type || ' has too many notifications in eastus' AS title, 'notification-failure/ops/' || event_type AS correlation_id, CAST(3 AS BIGINT) AS severity
     FROM events GROUP BY event_type HAVING count(*) > 25""",
 )
 def n5_flags(spark, d):
@@ -151,7 +151,7 @@ def n7(spark, d):
     "N8_evaluation_report",
     """SELECT 'ops' AS namespace, CAST(user_id AS VARCHAR) AS name, count(*) AS evaluations, count(*) FILTER (event_type = 'click') AS success, count(*) FILTER (event_type = 'error') AS user_error,
       count(*) FILTER (event_type = 'view') AS service_error, count(*) FILTER (event_type = 'signup') AS setup_error, count(*) FILTER (event_type = 'purchase') AS throttled,
-      sum(event_id % 7) AS row_count, sum(event_id % 3) AS alerts, round(avg(value), 6) AS average_duration_s FROM events GROUP BY 2""",
+      CAST(sum(event_id % 7) AS BIGINT) AS row_count, CAST(sum(event_id % 3) AS BIGINT) AS alerts, round(avg(value), 6) AS average_duration_s FROM events GROUP BY 2""",
 )
 def n8(spark, d):
     kind = F.col("event_type")

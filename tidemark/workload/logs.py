@@ -73,7 +73,7 @@ def s6_rejects(spark, d):
     return rejects.select("offset", (F.col("line") == "{not json").alias("docker"))
 
 
-@query("S6_plain_lines", """SELECT event_id AS "offset", 5 AS time_ns, props AS message FROM events""")
+@query("S6_plain_lines", """SELECT event_id AS "offset", CAST(5 AS BIGINT) AS time_ns, props AS message FROM events""")
 def s6_plain(spark, d):
     lines = table(spark, d, "events").select(F.col("event_id").alias("offset"), F.col("props").alias("line"))
     return plain_lines(lines, 5).select("offset", "time_ns", "message")

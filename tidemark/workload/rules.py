@@ -141,7 +141,7 @@ def w4_ledger(spark, d):
 @query(
     "W7_rule_health",
     f"""WITH {RULE_SQL}, c AS (SELECT rule, count(*) FILTER (state <> 'backlog') AS submitted, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'running') AS in_flight,
-        count(*) FILTER (state = 'backlog') AS backlog, sum(attempts - 1) AS retried, min(start_us) FILTER (state = 'running') AS oldest FROM ledger GROUP BY 1),
+        count(*) FILTER (state = 'backlog') AS backlog, CAST(sum(attempts - 1) AS BIGINT) AS retried, min(start_us) FILTER (state = 'running') AS oldest FROM ledger GROUP BY 1),
       x AS (SELECT rule.*, c.*, interval_s * 1000000 AS step, {NOW_SQL} AS now_us, {NOW_SQL} - delay_s * 1000000 - last_us AS elapsed FROM rule LEFT JOIN c ON c.rule = rule.rule),
       f AS (SELECT *, CASE WHEN last_us IS NULL THEN true ELSE elapsed >= step END AS due, coalesce(elapsed < step // 2, false) AS just_run,
         coalesce(now_us - oldest > greatest(step, 1800000000), false) AS stale, coalesce(elapsed > step AND elapsed // step - backlog > 1, false) AS gap FROM x)
@@ -155,7 +155,7 @@ def w7(spark, d):
 
 @query(
     "W7_backfill_progress",
-    f"""WITH {REQUEST_SQL}, c AS (SELECT rule, count(*) FILTER (state <> 'retry') AS submitted, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'failed') AS failed, sum(attempts - 1) AS retried FROM ledger GROUP BY 1)
+    f"""WITH {REQUEST_SQL}, c AS (SELECT rule, count(*) FILTER (state <> 'retry') AS submitted, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'failed') AS failed, CAST(sum(attempts - 1) AS BIGINT) AS retried FROM ledger GROUP BY 1)
     SELECT req.rule, req.request_id, (end_us - start_us) // step AS windows, coalesce(submitted, 0) AS submitted, coalesce(completed, 0) AS completed, coalesce(retried, 0) AS retried,
       CASE WHEN coalesce(failed, 0) > 0 THEN 'Failed' WHEN coalesce(completed, 0) >= (end_us - start_us) // step THEN 'Completed' WHEN coalesce(submitted, 0) > 0 THEN 'Running' ELSE 'Pending' END AS phase
     FROM req LEFT JOIN c ON c.rule = req.rule AND req.request_id <> ''""",

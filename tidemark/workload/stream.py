@@ -105,7 +105,7 @@ RULE = AlertRule("ops", "errors", "SELECT 1", destination="team")
 
 @query(
     "T5_stream_alerts",
-    """SELECT DISTINCT 'ops/errors://user-' || CAST(user_id AS VARCHAR) AS correlation_id, 'Errors of user ' || CAST(user_id AS VARCHAR) AS title, 2 AS severity
+    """SELECT DISTINCT 'ops/errors://user-' || CAST(user_id AS VARCHAR) AS correlation_id, 'Errors of user ' || CAST(user_id AS VARCHAR) AS title, CAST(2 AS BIGINT) AS severity
     FROM events WHERE event_type = 'error' AND value > 20""",
 )
 def t5(spark, d):
