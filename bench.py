@@ -71,7 +71,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     only = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n]
     spark = build_session(
         "tidemark-bench",

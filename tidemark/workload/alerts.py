@@ -167,10 +167,15 @@ def n8(spark, d):
     return out.withColumnRenamed("rows", "row_count")
 
 
-@query("N8_run_alerts")
+@query(
+    "N8_run_alerts",
+    f"""WITH {NOISY_SQL} SELECT 'noisy-users' AS name, CASE WHEN count(*) > 25 THEN 'throttled' ELSE 'success' END AS outcome, count(*) AS row_count, least(count(*), 25) AS alerts FROM noisy
+    UNION ALL SELECT 'broken', 'user_error', 0, 0 UNION ALL SELECT 'flood', CASE WHEN count(*) > 25 THEN 'throttled' ELSE 'success' END, count(*), least(count(*), 25) FROM events""",
+)
 def n8_run(spark, d):
     _events_view(spark, d)
     broken = ops.AlertRule("ops", "broken", "SELECT nothing FROM alert_events", destination="team-b")
     flood = ops.AlertRule("ops", "flood", lambda s, p: s.table("alert_events").select(F.lit("t").alias("title"), F.lit(1).alias("severity")))
     sent: list[DataFrame] = []
-    return ops.run_alerts(spark, [RULE, broken, flood], NOW, sent.append).drop("duration_s")
+    out = ops.run_alerts(spark, [RULE, broken, flood], NOW, sent.append)
+    return out.select("name", "outcome", F.col("rows").alias("row_count"), "alerts")

@@ -51,7 +51,7 @@ def container_lines(spark, d) -> DataFrame:
         )
     )
     cri = F.concat_ws(" ", stamp, "stream", F.when(F.col("is_partial"), F.lit("P")).otherwise("F"), "message")
-    broken = F.when(F.col("user_id") % 2 == 0, F.lit("{not json")).otherwise("{no time here and more")
+    broken = F.when(F.col("user_id") % 2 == 0, F.lit("{not json")).otherwise("no-time here and more")
     line = F.when(F.col("offset") % 50 == 49, broken).when(F.col("user_id") % 2 == 0, docker).otherwise(cri)
     return lines.select("file", "offset", line.alias("line"))
 
@@ -81,8 +81,8 @@ def s6_plain(spark, d):
 
 @query(
     "S7_route_kernel_records",
-    """WITH t AS (SELECT s_suppkey, 'db' || CAST(s_nationkey AS VARCHAR) AS database, s_name AS table_name, s_suppkey % 4 AS p,
-        CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_suppkey * 50 END AS processed FROM supplier)
+    """WITH t AS (SELECT n_nationkey, 'db' || CAST(n_regionkey AS VARCHAR) AS database, n_name AS table_name, n_nationkey % 4 AS p,
+        CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE n_nationkey * 50 END AS processed FROM nation)
     SELECT event_id AS seq, database, table_name, user_id % 8 AS priority FROM events, t
     WHERE user_id % 8 <= CASE p WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 6 ELSE 1 END AND (processed = 0 OR event_id > processed)""",
 )
@@ -91,12 +91,14 @@ def s7(spark, d):
         F.col("event_id").alias("seq"), (F.col("user_id") % 8).cast("int").alias("priority"), F.col("event_type").alias("message")
     )
     names = F.array(F.lit("Error"), F.lit("warn"), F.lit(""), F.lit("alert"))
-    targets = table(spark, d, "supplier").select(
-        F.concat(F.lit("db"), F.col("s_nationkey").cast("string")).alias("database"), F.col("s_name").alias("table"),
-        F.get(names, (F.col("s_suppkey") % 4).cast("int")).alias("priority"),
-        F.when(F.col("s_suppkey") % 3 == 0, 0).otherwise(F.col("s_suppkey") * 50).alias("processed"),
+    # One destination per nation, so the fan-out per record does not grow with the data.
+    targets = table(spark, d, "nation").select(
+        F.concat(F.lit("db"), F.col("n_regionkey").cast("string")).alias("database"), F.col("n_name").alias("table"),
+        F.get(names, (F.col("n_nationkey") % 4).cast("int")).alias("priority"),
+        F.when(F.col("n_nationkey") % 3 == 0, 0).otherwise(F.col("n_nationkey") * 50).alias("processed"),
     )
-    return route_kernel_records(records, targets).select("seq", "database", F.col("table").alias("table_name"), "priority")
+    out = route_kernel_records(records, targets)
+    return out.select("seq", "database", F.col("table").alias("table_name"), F.col("priority").cast("bigint").alias("priority"))
 
 
 @query(
