@@ -11,6 +11,11 @@ from tidemark.functions.timebin import in_window, rfc3339_to_timestamp
 from tidemark.operators.aggregate import project_paths
 
 
+def _sql_text(text: str) -> str:
+    """SQL literal of a text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def create_log_view(
     spark: SparkSession, name: str, logs: DataFrame, mapping: dict[str, tuple[str, str, str]], catalog_schema: str | None = None
 ) -> DataFrame:
@@ -25,7 +30,7 @@ def create_log_view(
         view.createOrReplaceTempView(name)
         return spark.table(name)
     columns = ", ".join(
-        f"try_cast(try_variant_get(try_parse_json({column}), '{path}', 'string') AS {kind}) AS `{out}`"
+        f"try_cast(try_variant_get(try_parse_json({column}), {_sql_text(path)}, 'string') AS {kind}) AS `{out}`"
         for out, (column, path, kind) in mapping.items()
     )
     spark.sql(f"CREATE OR REPLACE VIEW {catalog_schema}.`{name}` AS SELECT {columns} FROM `{name}`")

@@ -129,7 +129,16 @@ def stream_increase(
     return sdf.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
-def stream_alerts(sdf: DataFrame, rule: AlertRule, correlation: str, within: str, ts: str = "ts") -> DataFrame:
-    """Notifications of a stream of alert rows, one per correlation id within the watermark delay."""
-    unique = sdf.withWatermark(ts, within).dropDuplicatesWithinWatermark([correlation])
+def stream_alerts(
+    sdf: DataFrame, rule: AlertRule, correlation: str, within: str, ts: str = "ts", salts: int = 16
+) -> DataFrame:
+    """Notifications of a stream of alert rows, one per correlation id within the watermark delay.
+
+    Repeats are dropped per (id, salt) first and per id after, so an id that
+    floods the stream is spread over ``salts`` tasks and only a few rows of it meet.
+    """
+    salt = F.pmod(F.xxhash64(*sdf.columns), F.lit(salts).cast("bigint"))
+    spread = sdf.withWatermark(ts, within).withColumn("_salt", salt)
+    few = spread.dropDuplicatesWithinWatermark([correlation, "_salt"]).drop("_salt")
+    unique = few.dropDuplicatesWithinWatermark([correlation])
     return to_notifications(unique.drop(ts), rule)[0]
