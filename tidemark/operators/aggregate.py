@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.labels import xxhash64_seed0
+from tidemark.functions.once import compute_once
 from tidemark.functions.timebin import MICROS, bin_micros, floor_div, in_window, time_bin
 
 AGGREGATES = {
@@ -239,13 +240,15 @@ def distinct_values(df: DataFrame, expr: Column) -> DataFrame:
 
 def project_paths(df: DataFrame, paths: dict[str, tuple[str, str, str]]) -> DataFrame:
     """Columns read from JSON members: ``{name: (column, path, type)}``; unreadable values are null."""
-    variant = {c: F.col(c) if kind == "variant" else F.try_parse_json(c) for c, kind in df.dtypes}
+    kinds = dict(df.dtypes)
+    used = {column for column, _, _ in paths.values()}
+    parsed = {c: F.col(c) if kinds[c] == "variant" else F.try_parse_json(c) for c in sorted(used)}
+    docs = compute_once(df.select(*sorted(used)), **{f"_doc_{c}": v for c, v in parsed.items()})
     columns = []
     for name, (column, path, kind) in paths.items():
-        value = variant[column]
-        text = F.try_variant_get(value, path, "string")
+        text = F.try_variant_get(F.col(f"_doc_{column}"), path, "string")
         columns.append((text if kind == "string" else text.try_cast(kind)).alias(name))
-    return df.select(*columns)
+    return docs.select(*columns)
 
 
 def contains_ci(c: Column, text: str) -> Column:
