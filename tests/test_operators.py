@@ -98,6 +98,16 @@ def test_sliced_increase_equals_plain_window(spark, slice_seconds):
     assert sorted(map(tuple, series.increase(df, slice_seconds=slice_seconds).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
+def test_null_keys_keep_their_rows(spark):
+    rows = [(None, datetime(2024, 1, 1, h), float(h * h)) for h in range(10)] + [(0, datetime(2024, 1, 1, h), 1.0) for h in range(5)]
+    df = spark.createDataFrame(rows, "SeriesId long, Timestamp timestamp, Value double")
+    got = [(r["SeriesId"], r["Value"]) for r in series.increase(df, slice_seconds=7200).orderBy("SeriesId", "Timestamp").collect()]
+    assert got == [(None, 0.0)] + [(None, float(2 * h - 1)) for h in range(1, 10)] + [(0, 0.0)] * 5
+    lines = spark.createDataFrame([(None, 1, True, "a"), (None, 2, False, "b"), ("", 1, False, "c")], "stream string, offset long, is_partial boolean, message string")
+    joined = logs.reassemble_lines(lines, ["stream"], slice_width=2)
+    assert sorted(((r["stream"], r["message"]) for r in joined.collect()), key=str) == [("", "c"), (None, "ab")]
+
+
 def test_rate_divides_by_gap(spark):
     rows = [(1, datetime(2024, 1, 1, 0, 0, 0), 10.0), (1, datetime(2024, 1, 1, 0, 0, 5), 20.0), (1, datetime(2024, 1, 1, 0, 0, 6), 4.0), (1, datetime(2024, 1, 1, 0, 0, 8), 6.0)]
     df = spark.createDataFrame(rows, "SeriesId long, Timestamp timestamp, Value double")
