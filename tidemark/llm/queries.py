@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import curriculum, license_scan, minimax_shards, token_files
+from tidemark.llm import curriculum, license_scan, minimax_shards, phrase_index, simhash_gph, token_files
 from tidemark.llm.rows import table
 from tidemark.session import configure
 
@@ -63,3 +63,35 @@ FROM c, generate_series(1, copies)"""
 @query
 def op8_minimax_shards(spark, sf_dir):
     return minimax_shards.shard_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_simhash_gph(spark, sf_dir):
+    return simhash_gph.simhash_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_phrase_index(spark, sf_dir):
+    return phrase_index.passage_digest(phrase_index.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+SQL["op10_phrase_index"] = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, len(list_slice(w, i, i + 9)) AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM bw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+runs AS (
+  SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM dw, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item_id, i, runs.n FROM runs JOIN win USING (phrase, n)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words ON words.doc_id = dw.doc_id LEFT JOIN found ON found.doc_id = dw.doc_id"""
