@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import curriculum, license_scan, minimax_shards, phrase_index, simhash_gph, token_files
+from tidemark.llm import curriculum, license_scan, minimax_shards, phrase_index, simhash_gph, token_files, toxic_neighbours
 from tidemark.llm.rows import table
 from tidemark.session import configure
 
@@ -95,3 +95,8 @@ found AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS i
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
        sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words ON words.doc_id = dw.doc_id LEFT JOIN found ON found.doc_id = dw.doc_id"""
+
+
+@query
+def op7_toxic_neighbours(spark, sf_dir):
+    return toxic_neighbours.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
