@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import curriculum, license_scan, minimax_shards, phrase_index, simhash_gph, token_files, toxic_neighbours
+from tidemark.llm import curriculum, html_density, license_scan, minimax_shards, phrase_index, simhash_gph, token_files, toxic_neighbours
 from tidemark.llm.rows import table
 from tidemark.session import configure
 
@@ -100,3 +100,8 @@ FROM dw LEFT JOIN words ON words.doc_id = dw.doc_id LEFT JOIN found ON found.doc
 @query
 def op7_toxic_neighbours(spark, sf_dir):
     return toxic_neighbours.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_html_density(spark, sf_dir):
+    return html_density.extract_text(table(spark, sf_dir, "pages"))
