@@ -29,7 +29,7 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,14 +39,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.llm.piece_encoder import PieceEncoder
 from tidemark.llm.rows import stored, texts, worker_cache
 from tidemark.session import scratch_path
 
 MAGIC = b"TKZ1"
 ENTRY = np.dtype([("at", "<u8"), ("length", "<u4"), ("ids", "<u4")])
-CACHED_PIECES = 500_000
-PIECES_AT_ONCE = 20_000
-TEXTS_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -59,82 +57,11 @@ class Settings:
     sample_chars: int = 20_000
 
 
-class Encoder:
-    """The tokenizer's ids of whole texts as bytes, with a memory of pieces.
-
-    A byte-level tokenizer splits before a single space between two words, so a text is
-    the sum of its pieces there. Texts with white space before a space, or with what may
-    be an added token, are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.lengths = np.zeros(size, np.int64)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.lengths[i] = len(token)  # a byte-level token has one character for each byte
-        self.by_piece = self.splits_at_spaces(path)
-        self.pieces: dict[str, bytes | None] = {}
-
-    @staticmethod
-    def splits_at_spaces(path: str) -> bool:
-        """Whether the tokenizer is a plain byte-level one, for which texts may be cut at spaces."""
-        with open(path, encoding="utf-8") as file:
-            parts = json.load(file)
-        pre = parts.get("pre_tokenizer") or {}
-        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        return bool(plain and not parts.get("normalizer"))
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces in one text each ``PIECES_AT_ONCE``; token lengths tell where each ends."""
-        known, width = self.pieces, self.dtype.itemsize
-        for at in range(0, len(pieces), PIECES_AT_ONCE):
-            some = []
-            for p in pieces[at : at + PIECES_AT_ONCE]:
-                if not p or p[-1].isspace() or "<|" in p:
-                    known[p] = None
-                else:
-                    some.append(p)
-            joined = " " + " ".join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
-            spaces = np.frombuffer(joined.encode(), np.uint8) == 32
-            ends = np.append(np.flatnonzero(spaces)[1:], len(spaces))
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="left") + 1
-            data, before = ids.tobytes(), 0
-            for piece, cut in zip(some, (cuts * width).tolist()):
-                known[piece] = data[before:cut]
-                before = cut
-
-    def encode(self, batch: list[str]) -> Iterator[bytes]:
-        if not self.by_piece:
-            yield from map(self.whole, batch)
-            return
-        for at in range(0, len(batch), TEXTS_AT_ONCE):
-            split = [text.split(" ") for text in batch[at : at + TEXTS_AT_ONCE]]
-            words = set().union(*[s[1:] for s in split])
-            if len(self.pieces) > CACHED_PIECES:  # long pieces seldom come again
-                self.pieces = {p: self.pieces[p] for p in sorted(self.pieces, key=len)[: CACHED_PIECES // 2]}
-            self.learn([p for p in words if p not in self.pieces])
-            known = self.pieces
-            for first, *rest in split:
-                try:
-                    if not first or first[-1].isspace() or "<|" in first:
-                        raise TypeError
-                    yield self.whole(first) + b"".join([known[p] for p in rest])
-                except (TypeError, KeyError):
-                    yield self.whole(" ".join([first, *rest]))
-
-
-def encoder(path: str) -> Encoder:
+def encoder(path: str) -> PieceEncoder:
+    """One encoder, with what it remembers, for each Python process."""
     cache = worker_cache("encoders")
     if path not in cache:
-        cache[path] = Encoder(path)
+        cache[path] = PieceEncoder(path)
     return cache[path]
 
 
@@ -152,7 +79,7 @@ def train_dictionary(docs: DataFrame, settings: Settings, folder: str) -> str:
     def serialize(batches):
         own = encoder(settings.tokenizer)
         for batch in batches:
-            ids = list(own.encode([t.decode() for t in texts(batch.column(1))]))
+            ids = [i.tobytes() for i in own.encode(list(texts(batch.column(1))))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     rows = small.where(F.col("doc_id").isin(chosen)).mapInArrow(serialize, "ids binary").limit(settings.sample).collect()
@@ -231,9 +158,9 @@ def write_token_files(docs: DataFrame, folder: str, settings: Settings, parts: i
             if not batch.num_rows:
                 continue
             writer = writer or _Writer(fs, f"{path}/{name}", {"width": width, "dictionary": dictionary, "end_id": settings.end_id}, compressor)
-            for ids in own.encode([t.decode() for t in texts(batch.column(1))]):
-                writer.add(ids + end, width)
-                total += len(ids) // width + 1
+            for ids in own.encode(list(texts(batch.column(1)))):
+                writer.add(ids.tobytes() + end, width)
+                total += len(ids) + 1
             writer.keys.append(batch.column(0))
         if writer:
             writer.close()
