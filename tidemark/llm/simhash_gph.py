@@ -190,7 +190,7 @@ def thresholds(values: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def signatures(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """(key, fp): where each fingerprint is stored and looked up."""
+    """(key, node, fp): where each fingerprint is stored and looked up."""
     masks = [
         [np.array([sum(1 << b for b in c) for d in range(t + 1) for c in combinations(range(len(g)), d)], np.int64) for t in range(MOST + 1)]
         for g in plan.groups
@@ -199,7 +199,7 @@ def signatures(nodes: DataFrame, plan: Plan) -> DataFrame:
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                part = batch.column(0).slice(at, 2048)
+                node, part = (batch.column(c).slice(at, 2048) for c in (0, 1))
                 values = values_of(bits_of(part.to_pylist()), plan.groups)
                 chosen = thresholds(values, plan)
                 keys, rows = [], []
@@ -211,10 +211,10 @@ def signatures(nodes: DataFrame, plan: Plan) -> DataFrame:
                             near = masks[i][max(t, 0)]
                             keys.append((base | (values[i][at_t][:, None] ^ near[None, :])).ravel())
                             rows.append(np.repeat(at_t, len(near)))
-                rows = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.take(pa.array(rows))], ["key", "fp"])
+                rows = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), node.take(rows), part.take(rows)], ["key", "node", "fp"])
 
-    return nodes.select("fp").mapInArrow(run, "key long, fp binary")
+    return nodes.select("node", "fp").mapInArrow(run, "key long, node long, fp binary")
 
 
 def spanning_links(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -239,48 +239,51 @@ def spanning_links(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints: enough to connect all that are linked."""
+    """Edges (u, v) between the nodes of distinct fingerprints: enough to connect all that are linked."""
     plan = make_plan(nodes, radius)
     if plan is None:
-        return nodes.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+        return nodes.select(F.col("node").alias("u"), F.col("node").alias("v"))
     met = signatures(nodes, plan)
     large = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGEST_GROUP)
     large = large.select("key", F.ceil(F.col("n") / LARGEST_GROUP).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.least(own, k) * F.col("chunks") + F.greatest(own, k))
     cells = met.join(large, "key", "left").withColumn("cell", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
-    grouped = cells.select("key", "cell", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell", "fp")
+    grouped = cells.select("key", "cell", "node", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
 
     def run(batches):
-        def flush(fps):
+        def flush(ids, fps):
             if len(fps) < 2:
                 return []
             members = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1)
-            return [(fps[a], fps[b]) for a, b in spanning_links(members, radius)]
+            return [(ids[a], ids[b]) for a, b in spanning_links(members, radius)]
 
-        current, fps, found = None, [], []
+        def edges(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["u", "v"])
+
+        current, ids, fps, found = None, [], [], []
         for batch in batches:
-            for key, cell, fp in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for key, cell, node, fp in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if (key, cell) != current:
-                    found += flush(fps)
-                    current, fps = (key, cell), []
-                if not fps or fps[-1] != fp:
+                    found += flush(ids, fps)
+                    current, ids, fps = (key, cell), [], []
+                if not ids or ids[-1] != node:
+                    ids.append(node)
                     fps.append(fp)
                 if len(found) >= 50_000:
-                    yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in found], pa.binary()), "v": pa.array([x for _, x in found], pa.binary())})
+                    yield edges(found)
                     found = []
-        found += flush(fps)
-        yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in found], pa.binary()), "v": pa.array([x for _, x in found], pa.binary())})
+        yield edges(found + flush(ids, fps))
 
-    return grouped.mapInArrow(run, "u binary, v binary").distinct()
+    return grouped.mapInArrow(run, "u long, v long").distinct()
 
 
 def classes(rows: DataFrame, radius: int) -> DataFrame:
     """For rows of fingerprints(): every ``fp`` with the ``first`` row (missing, doc_id, text_hash) of its component."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("first")
-    nodes = stored(rows.groupBy("fp").agg(first), "fingerprints")
+    nodes = stored(rows.groupBy("fp").agg(first).withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     stars = components(links(nodes, radius))
-    placed = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = nodes.join(stars.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("first"))
     return placed.select("fp", "root").join(firsts, "root").select("fp", "first")
 
