@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import curriculum, html_density, license_scan, minimax_shards, phrase_index, simhash_gph, token_files, toxic_neighbours
+from tidemark.llm import collision_ann, context_tree, curriculum, html_density, license_scan, minimax_shards, phrase_index, simhash_gph, token_files, toxic_neighbours
 from tidemark.llm.rows import table
 from tidemark.session import configure
 
@@ -105,3 +105,13 @@ def op7_toxic_neighbours(spark, sf_dir):
 @query
 def op3_html_density(spark, sf_dir):
     return html_density.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_context_tree(spark, sf_dir):
+    return context_tree.language_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_collision_ann(spark, sf_dir):
+    return collision_ann.search(table(spark, sf_dir, "embeddings"))
