@@ -11,12 +11,13 @@ looked up for many texts at once in arrays.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 
 GROUP_BYTES = 1 << 20
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -187,11 +188,11 @@ class PieceEncoder:
             yield ids[before:stop]
             before = stop
 
-    def encode(self, texts: Sequence[bytes]) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         group: list[bytes] = []
         size = 0
-        for text in [*texts, None]:
+        for text in chain(texts, [None]):
             long = text is not None and (not self.cut or len(text) > GROUP_BYTES // 2 or not text)
             if group and (text is None or long or size + len(text) > GROUP_BYTES):
                 yield from self.group(group)

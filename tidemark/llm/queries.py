@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import collision_ann, context_tree, curriculum, html_density, license_scan, minimax_shards, phrase_index, simhash_gph, token_files, toxic_neighbours
-from tidemark.llm.rows import table
+from tidemark.llm.rows import table, tuned
+from tidemark.llm.stages import TOKENIZER
 from tidemark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,14 +16,10 @@ SQL: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(configure(spark), sf_dir)
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(tuned(configure(spark)), sf_dir)
     return fn
 
 
-def token_settings() -> token_files.Settings:
-    return token_files.Settings(public_tokenizers.path("byte_bpe_50k.json"))
-
-
 @query
 def op1_license_scan(spark, sf_dir):
     return license_scan.license_digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
@@ -31,7 +27,7 @@ def op1_license_scan(spark, sf_dir):
 
 @query
 def op2_token_files(spark, sf_dir):
-    return token_files.token_digest(table(spark, sf_dir, "documents"), token_settings())
+    return token_files.token_digest(table(spark, sf_dir, "documents"), token_files.Settings(TOKENIZER))
 
 
 @query

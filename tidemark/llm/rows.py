@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.session import scratch_path
 
 SLICE = 256
+BATCH_ROWS = 1000
 
 
 def _word_table() -> bytes:
@@ -50,6 +51,12 @@ def texts(column: pa.Array) -> Iterator[bytes]:
             yield value or b""
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Small Arrow batches: a batch of very long texts must still fit beside others in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

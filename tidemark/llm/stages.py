@@ -1,24 +1,46 @@
-"""The stages of the corpus pipeline: documents in, documents out."""
+"""The stages of the corpus pipeline: documents in, documents out.
+
+Every stage works on all rows it is given, returns all columns of documents (extra ones
+too), and takes labels and test items from the tables beside them. Empty tables pass
+through as such.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import curriculum, queries, token_files
+from tidemark.llm import curriculum, phrase_index, simhash_gph, token_files, toxic_neighbours
+from tidemark.llm.rows import table, tuned
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are more likely harmless than toxic."""
+    tuned(spark)
+    return toxic_neighbours.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates (five-word shingles, similarity from 0.8)."""
+    tuned(spark)
+    return simhash_gph.keep_first(docs)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    tuned(spark)
+    return phrase_index.without_passages(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in the order of training."""
+    tuned(spark)
     return curriculum.mixed(docs, curriculum.mix_plan(docs))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents; what is read back from them."""
-    return token_files.token_digest(docs, queries.token_settings())
-
-
-def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
-
-
-keep_one_of_each_group = keep_uncontaminated = keep_harmless
+    tuned(spark)
+    return token_files.token_digest(docs, token_files.Settings(TOKENIZER))

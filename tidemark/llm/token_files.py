@@ -79,7 +79,7 @@ def train_dictionary(docs: DataFrame, settings: Settings, folder: str) -> str:
     def serialize(batches):
         own = encoder(settings.tokenizer)
         for batch in batches:
-            ids = [i.tobytes() for i in own.encode(list(texts(batch.column(1))))]
+            ids = [i.tobytes() for i in own.encode(texts(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     rows = small.where(F.col("doc_id").isin(chosen)).mapInArrow(serialize, "ids binary").limit(settings.sample).collect()
@@ -158,7 +158,7 @@ def write_token_files(docs: DataFrame, folder: str, settings: Settings, parts: i
             if not batch.num_rows:
                 continue
             writer = writer or _Writer(fs, f"{path}/{name}", {"width": width, "dictionary": dictionary, "end_id": settings.end_id}, compressor)
-            for ids in own.encode(list(texts(batch.column(1)))):
+            for ids in own.encode(texts(batch.column(1))):
                 writer.add(ids.tobytes() + end, width)
                 total += len(ids) + 1
             writer.keys.append(batch.column(0))
