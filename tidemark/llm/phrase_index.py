@@ -64,8 +64,8 @@ def blocks(benchmark: DataFrame, width: int = WIDTH, item_id: str = "item_id", t
         yield Block(items, sorted(windows), vocabulary)
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Segments of posting lists. ``rows`` tells documents with equal ids apart; position 0 of a document is its ``start``."""
+def build_index(docs: DataFrame, vocabulary: dict[bytes, int], row: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Segments of posting lists. ``row`` is a column that tells documents with equal ids apart; without it rows are numbered."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
@@ -101,7 +101,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], doc_id: str = "do
             yield segment()
 
     source = docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), (F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()).alias("row"), F.col(f"`{text}`").cast("string").alias("text")
+        F.col(f"`{doc_id}`").alias("doc_id"), (F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias("row"), F.col(f"`{text}`").cast("string").alias("text")
     )
     return source.mapInArrow(run, f"doc_ids array<{kind}>, row_ids array<long>, n_words array<int>, terms array<int>, counts array<int>, positions array<int>")
 
@@ -216,17 +216,18 @@ def search(index: DataFrame, block: Block, item_type: str, slack: int | None = N
     return index.mapInArrow(run, f"doc_id {kind}, row_id long, n_words long, matches {span}, near {span}")
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slack: int | None = None) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slack: int | None = None, row: str | None = None) -> DataFrame:
     """Matches of all items in all documents, one row per document."""
     item_type = benchmark.schema["item_id"].dataType.simpleString()
-    source = docs.select("doc_id", "text", *(["_row"] if "_row" in docs.columns else []))
+    source = docs.select("doc_id", "text", *([row] if row else []))
     waiting = blocks(benchmark, width)
     some = list(islice(waiting, 2))
-    if len(some) > 1 and "_row" not in source.columns:  # rows must be known again in the next pass
-        source = stored(source.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    parts = [search(stored(build_index(source, b.vocabulary), "index"), b, item_type, slack) for b in chain(some, waiting)]
+    if len(some) > 1 and not row:  # rows must be known again in the next pass
+        row = "_row"
+        source = stored(source.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    parts = [search(stored(build_index(source, b.vocabulary, row), "index"), b, item_type, slack) for b in chain(some, waiting)]
     if not parts:
-        parts = [search(build_index(source, {}), Block([], [], {}), item_type, slack)]
+        parts = [search(build_index(source, {}, row), Block([], [], {}), item_type, slack)]
     if len(parts) == 1:
         return parts[0]
     union = parts[0]
@@ -254,5 +255,5 @@ def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents in which no item window occurs, with all their columns."""
     numbered = stored(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("_row")), "numbered")
     source = numbered.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "_row")
-    hit = find_passages(source, benchmark).where(F.size("matches") > 0).select(F.col("row_id").alias("_row"))
+    hit = find_passages(source, benchmark, row="_row").where(F.size("matches") > 0).select(F.col("row_id").alias("_row"))
     return numbered.join(hit, "_row", "left_anti").select("row.*")

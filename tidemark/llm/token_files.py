@@ -86,7 +86,7 @@ def train_dictionary(docs: DataFrame, settings: Settings, folder: str) -> str:
     samples = sorted(bytes(r["ids"]) for r in rows)
     try:
         data = zstandard.train_dictionary(settings.dictionary_bytes, samples, level=settings.level).as_bytes()
-    except zstandard.ZstdError:
+    except (zstandard.ZstdError, ValueError):
         return ""
     name = hashlib.sha256(data).hexdigest()
     fs, path = open_folder(folder)
