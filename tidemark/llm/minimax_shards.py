@@ -71,14 +71,17 @@ def smallest_capacity(totals: DataFrame, shards: int) -> tuple[int, list[int]]:
     low = max(largest, -(-total // shards))  # no capacity below can do
     high = low + largest  # always feasible
     while True:
+        lowest, highest = greedy([low, high], shards, totals)
+        if low == high:
+            return low, lowest
         step = max(1, (high - low) // (PROBES + 1))
         inside = F.lit(False)
-        for a, b in zip(*greedy([low, high], shards, totals)):
+        for a, b in zip(lowest, highest):
             inside = inside | F.col("total").between(a, b)
         tail = totals.where(inside).select("total")
         if tail.count() <= TAIL_ROWS:
             return finish(sorted(r["total"] for r in tail.collect()), low, high, shards, total)
-        tried = [c for c in range(low + step, high, step)][:PROBES]
+        tried = [*range(low, high, step)][: PROBES + 1]
         good = [cuts[-1] >= total for cuts in greedy(tried, shards, totals)]
         for c, ok in zip(tried, good):
             if ok:
