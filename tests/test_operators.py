@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from tidemark.operators import aggregate, alerts, export, logs, relabel, series
 from tidemark.plans import rules as plans
-from tidemark.plans.windows import backfill_windows, missing_windows
+from tidemark.plans.windows import backfill_windows, missing_windows, newest_windows
 from tidemark.sources.containers import parse_container_lines
 from tidemark.sources.otlp_logs import flatten_otlp_logs, log_records
 from tidemark.sources.otlp_metrics import flatten_otlp_metrics
@@ -159,7 +159,9 @@ def test_missing_windows(spark):
     assert got["late"] == [(datetime(2024, 1, 1, h), 3600) for h in (8, 10, 11)]
     assert "edge" not in got  # its next window closes exactly at now - delay
     starts = [s for s, _ in got["old"]]
-    assert len(starts) == 200 and starts[-1] == datetime(2024, 1, 1, 12, 32)
+    assert starts[0] == datetime(2023, 1, 1) and starts[-1] == datetime(2024, 1, 1, 12, 32)
+    kept, left_out = newest_windows(rules, ledger, now, 200)
+    assert kept.filter("rule = 'old'").count() == 200 and kept.count() + left_out.count() == missing_windows(rules, ledger, now).count()
     assert all(b - a == timedelta(seconds=60) for a, b in zip(starts, starts[1:]))
 
 
@@ -185,7 +187,7 @@ def test_backfill_resumes_without_gaps(spark):
 
 @pytest.mark.parametrize(
     "request_id,hours,seconds,error",
-    [("", 2, 0, "RequestID"), ("q", 0, 0, "after StartTime"), ("q", 0, 60, "at least one"), ("q", 2, 60, "exact multiple")],
+    [("", 2, 0, "no request id"), ("q", 0, 0, "empty or reversed"), ("q", 0, 60, "whole number"), ("q", 2, 60, "whole number")],
 )
 def test_backfill_errors(spark, request_id, hours, seconds, error):
     rules = spark.createDataFrame([("r", 3600, 0, None)], RULES)

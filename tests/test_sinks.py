@@ -192,7 +192,8 @@ def test_rollup_sql_binds_parameters(spark):
     spark.createDataFrame([(datetime(2024, 1, 1, h), "e") for h in range(5)], "ts timestamp, region string").createOrReplaceTempView("rows_for_sql")
     target = scratch_path(spark, "sql-rollup")
     body = "SELECT count(*) AS n, :_region AS region FROM rows_for_sql WHERE ts >= :_startTime AND ts < :_endTime AND region = :_region"
-    plans.run_rollup_sql(spark, body, datetime(2024, 1, 1, 1, tzinfo=UTC), datetime(2024, 1, 1, 3, tzinfo=UTC), {"region": "e"}, target)
+    windows = spark.createDataFrame([(datetime(2024, 1, 1, 1, tzinfo=UTC), datetime(2024, 1, 1, 3, tzinfo=UTC))], "window_start timestamp, window_end timestamp")
+    plans.run_rollup_sql(spark, body, windows, {"region": "e"}, target, scratch_path(spark, "ledger"), "r")
     row = spark.read.parquet(target).first()
     assert (row["n"], row["region"]) == (2, "e")
 

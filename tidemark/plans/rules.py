@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
+from hashlib import sha1
+from itertools import islice
 
-from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.labels import literal_map
-from tidemark.functions.timebin import MICROS, floor_div, in_window
+from tidemark.functions.timebin import MICROS, in_window
+from tidemark.session import delete_path, path_exists, stored
 
 # Fixed value: seconds between status polls, three of which make a run stale.
 POLL_SECONDS = 600
-MAX_EXPRESSIONS = 1000
-MAX_WINDOWS = 10_000
 
 
 def select_rules(rules: DataFrame, labels: dict[str, str]) -> DataFrame:
@@ -48,59 +49,69 @@ def select_rules(rules: DataFrame, labels: dict[str, str]) -> DataFrame:
 
 
 def _expression_verdicts(rules: DataFrame, expression: Column, labels: dict[str, str]) -> Column:
-    """Constant map from each distinct expression of the rule table to true, false or error."""
+    """Verdict on each rule's expression (true, false or error), looked up by its text.
+
+    Texts are analysed one by one, without a job; those that are predicates are
+    evaluated together in one job over one row. A text that fails at run time is
+    found by halving the set it failed in.
+    """
     spark = rules.sparkSession
-    found = [
-        r[0] for r in rules.select(expression.alias("e")).filter("e != ''").distinct().limit(MAX_EXPRESSIONS + 1).collect()
-    ]
-    if len(found) > MAX_EXPRESSIONS:
-        raise ValueError(f"more than {MAX_EXPRESSIONS} different criteria expressions")
     row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in labels.items()])
-    verdicts = {}
-    for text in found:
+    texts = rules.select(expression.alias("e")).filter("e != ''").distinct().toLocalIterator()
+    verdicts, sound = {}, []
+    for (text,) in texts:
         try:
-            value = row.select(F.expr(text).alias("v"))
-            if value.schema["v"].dataType.simpleString() != "boolean":
-                raise ValueError("not a boolean")
-            verdicts[text] = "true" if value.first()["v"] else "false"
+            kind = row.select(F.expr(text).alias("v")).schema["v"].dataType.simpleString()
+            verdicts[text] = "error"
+            if kind == "boolean":
+                sound.append(text)
         except Exception:  # a bad expression is an outcome, not a failure
             verdicts[text] = "error"
+    waiting = [sound]
+    while waiting:
+        some = waiting.pop()
+        if not some:
+            continue
+        try:
+            values = row.select(F.array(*[F.expr(t) for t in some])).first()[0]
+            verdicts |= {t: "true" if v else "false" for t, v in zip(some, values)}
+        except Exception:
+            if len(some) > 1:
+                waiting += [some[: len(some) // 2], some[len(some) // 2 :]]
     return literal_map(verdicts)
 
 
 WINDOW_COLUMNS = ("window_start", "window_end")
 
 
-def window_list(windows: DataFrame) -> list[tuple[int, int]]:
-    """Start and end of each window in microseconds. Windows are job control data, at most a few hundred per rule."""
-    rows = windows.select(F.unix_micros("window_start"), F.unix_micros("window_end")).distinct()
-    found = [tuple(r) for r in rows.limit(MAX_WINDOWS + 1).collect()]
-    if len(found) > MAX_WINDOWS:
-        raise ValueError(f"more than {MAX_WINDOWS} windows in one run")
-    return sorted(found)
+def _length_class(start: Column, end: Column) -> Column:
+    """Smallest power of two, in microseconds, that is no shorter than the window: its exponent."""
+    return F.ceil(F.log2(F.greatest(end - start, F.lit(1).cast("bigint")))).cast("int")
 
 
 def assign_windows(df: DataFrame, windows: DataFrame, ts: str = "ts") -> DataFrame:
     """Rows with the ``window_start, window_end`` of each window that holds them.
 
-    The list of windows is read once, so the scan is bounded by constants that
-    reach partition pruning and the file filters. A window overlaps at most two
-    bins of the longest window's length; it is listed under those bins and rows
-    meet it by bin number, an equi-join whatever the windows are aligned to.
+    Of the windows only the outer bounds and the length classes present (at most 64)
+    come to the driver; the bounds reach partition pruning and the file filters.
+    Windows are grouped by length class. Within a class a window overlaps at most two
+    bins as long as the class, is listed under those, and rows meet it by (class, bin):
+    an equi-join in which a row sees only windows about as long as its bin.
     """
-    listed = window_list(windows)
-    if not listed:
+    listed = windows.select(*WINDOW_COLUMNS).distinct()
+    start, end = F.unix_micros("window_start"), F.unix_micros("window_end")
+    facts = listed.agg(F.min(start).alias("lo"), F.max(end).alias("hi"), F.collect_set(_length_class(start, end)).alias("classes")).first()
+    if facts["lo"] is None:
         return df.limit(0).withColumns({c: F.lit(None).cast("timestamp") for c in WINDOW_COLUMNS})
-    length = max(end - start for start, end in listed)
-    placed = sorted({(bin_no, s, e) for s, e in listed for bin_no in (s // length, (e - 1) // length)})
-    bins = df.sparkSession.createDataFrame(placed, "_bin long, _s long, _e long").select(
-        "_bin", F.timestamp_micros("_s").alias("window_start"), F.timestamp_micros("_e").alias("window_end")
-    )
-    lo, hi = min(s for s, _ in listed), max(e for _, e in listed)
-    inside = df.filter(in_window(F.col(ts), F.timestamp_micros(F.lit(lo)), F.timestamp_micros(F.lit(hi))))
-    # At most two rows per window and MAX_WINDOWS windows, checked above.
-    joined = inside.withColumn("_bin", floor_div(F.unix_micros(ts), length)).join(F.broadcast(bins), "_bin")
-    return joined.filter((F.col(ts) >= F.col("window_start")) & (F.col(ts) < F.col("window_end"))).drop("_bin")
+    width = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_class"))
+    first, last = (F.call_function("div", x - F.pmod(x, width), width) for x in (start, end - 1))
+    bins = listed.withColumn("_class", _length_class(start, end)).withColumn("_bin", F.explode(F.array_distinct(F.array(first, last))))
+    inside = df.filter(in_window(F.col(ts), F.timestamp_micros(F.lit(facts["lo"])), F.timestamp_micros(F.lit(facts["hi"]))))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    placed = inside.withColumn("_class", F.explode(F.array(*[F.lit(c) for c in sorted(facts["classes"])])))
+    placed = placed.withColumn("_bin", F.call_function("div", at - F.pmod(at, width), width))
+    joined = placed.join(bins, ["_class", "_bin"])
+    return joined.filter((F.col(ts) >= F.col("window_start")) & (F.col(ts) < F.col("window_end"))).drop("_class", "_bin")
 
 
 def rollup_windows(
@@ -117,6 +128,45 @@ def rollup_windows(
     return out
 
 
+def _record(windows: DataFrame, ledger: str, rule: str, state: str) -> None:
+    """Append a ledger row per window; ``attempts`` counts the runs of a window, this one included.
+
+    A rule has a folder of its own in the ledger, so rules that run at once do not meet in one write.
+    """
+    spark, folder = windows.sparkSession, f"{ledger}/writer=r{sha1(rule.encode()).hexdigest()[:16]}"
+    rows = windows.select(F.lit(rule).alias("rule"), *WINDOW_COLUMNS, F.lit(state).alias("state"), F.current_timestamp().alias("updated_at"))
+    attempts = F.lit(1).cast("bigint")
+    if path_exists(spark, folder):
+        begun = spark.read.parquet(folder).filter((F.col("rule") == rule) & (F.col("state") == "running"))
+        tries = begun.groupBy("window_start").agg(F.count("*").alias("_tries"))
+        rows = rows.join(tries, "window_start", "left")
+        attempts = F.coalesce("_tries", F.lit(0)) + F.lit(1 if state == "running" else 0)
+    rows.select("rule", *WINDOW_COLUMNS, "state", attempts.alias("attempts"), "updated_at").write.mode("append").parquet(folder)
+
+
+def replace_windows(out: DataFrame, windows: DataFrame, target: str, rule: str) -> None:
+    """Make the rows of ``out`` the only rows of these windows of a rule in ``target``.
+
+    The target is partitioned by (rule, window_start): rules that share it never touch
+    each other's rows. Windows without rows are cleared too.
+    """
+    spark = out.sparkSession
+    # One task writes a window's folder; a very large window is split again.
+    rows = out.withColumn("rule", F.lit(rule)).hint("rebalance", "window_start")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rule", "window_start").parquet(target)
+    if not path_exists(spark, target):
+        return
+    stored_rows = spark.read.parquet(target)
+    if "rule" not in stored_rows.columns:  # nothing was ever written
+        return
+    old = stored_rows.filter(F.col("rule") == rule).select(F.col("window_start").cast("timestamp").alias("window_start"), F.col("_metadata.file_path").alias("file")).distinct()
+    filled = out.select("window_start").distinct()
+    empty = windows.select("window_start").distinct().join(filled, "window_start", "left_anti")
+    folders = old.join(empty, "window_start", "left_semi").select(F.regexp_replace("file", "/[^/]*$", "").alias("folder")).distinct()
+    for row in folders.toLocalIterator():
+        delete_path(spark, row["folder"])
+
+
 def run_rollup(
     df: DataFrame,
     windows: DataFrame,
@@ -126,35 +176,52 @@ def run_rollup(
     rule: str,
     ts: str = "ts",
 ) -> None:
-    """Compute the windows in one job, write them to ``target`` and record them in ``ledger``.
+    """Compute the windows in one job, replace them in ``target`` and record them in ``ledger``.
 
-    The target is partitioned by ``window_start`` and only the partitions of
-    these windows are overwritten, so a rerun replaces its own output.
+    The list of windows is fixed first; the ledger says ``running`` for all of them, then
+    ``completed`` or ``failed``. A rerun replaces the rule's own output of these windows.
     """
-    # One task writes a window's folder; a very large window is split again.
-    out = rollup_windows(df, windows, body, ts).hint("rebalance", "window_start")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_start").parquet(target)
-    done = windows.select(
-        F.lit(rule).alias("rule"), *WINDOW_COLUMNS, F.lit("completed").alias("state"), F.current_timestamp().alias("updated_at")
-    )
-    done.write.mode("append").parquet(ledger)
+    listed = stored(windows.select(*WINDOW_COLUMNS).distinct(), "windows")
+    _record(listed, ledger, rule, "running")
+    try:
+        replace_windows(stored(rollup_windows(df, listed, body, ts), "rollup-rows"), listed, target, rule)
+    except Exception:
+        _record(listed, ledger, rule, "failed")
+        raise
+    _record(listed, ledger, rule, "completed")
 
 
 def run_rollup_sql(
-    spark: SparkSession, body: str, start: datetime, end: datetime, labels: dict[str, str], target: str
+    spark: SparkSession, body: str, windows: DataFrame, labels: dict[str, str], target: str, ledger: str, rule: str, at_once: int = 50
 ) -> None:
-    """Run a Spark SQL body for one window with ``:_startTime``, ``:_endTime`` and ``:_<label>`` bound as parameters."""
-    params = {"_startTime": start, "_endTime": end, **{f"_{k}": v for k, v in labels.items()}}
-    out = spark.sql(body, args=params).withColumn("window_start", F.lit(start))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_start").parquet(target)
+    """Run a Spark SQL body for each window with ``:_startTime``, ``:_endTime`` and ``:_<label>`` bound as parameters.
+
+    The results of ``at_once`` windows are written together, the oldest windows first.
+    """
+    listed = stored(windows.select(*WINDOW_COLUMNS).distinct(), "windows")
+    waiting = listed.orderBy("window_start", "window_end").toLocalIterator()
+
+    def result(row) -> DataFrame:
+        params = {"_startTime": row["window_start"], "_endTime": row["window_end"], **{f"_{k}": v for k, v in labels.items()}}
+        return spark.sql(body, args=params).withColumn("window_start", F.lit(row["window_start"]))
+
+    while some := list(islice(waiting, at_once)):
+        chunk = spark.createDataFrame([(r["window_start"], r["window_end"]) for r in some], "window_start timestamp, window_end timestamp")
+        _record(chunk, ledger, rule, "running")
+        try:
+            out = reduce(DataFrame.unionByName, map(result, some))
+            replace_windows(stored(out, "rollup-rows"), chunk, target, rule)
+        except Exception:
+            _record(chunk, ledger, rule, "failed")
+            raise
+        _record(chunk, ledger, rule, "completed")
 
 
 def ledger_state(ledger: DataFrame) -> DataFrame:
     """Latest state of each tracked window."""
-    row = F.struct("updated_at", "state", "window_end")
-    return (
-        ledger.groupBy("rule", "window_start").agg(F.max(row).alias("_r")).select("rule", "window_start", "_r.window_end", "_r.state")
-    )
+    row = F.struct("updated_at", (F.col("state") != "running").alias("done"), "state", "attempts", "window_end")
+    latest = ledger.groupBy("rule", "window_start").agg(F.max(row).alias("_r"))
+    return latest.select("rule", "window_start", "_r.window_end", "_r.state", "_r.attempts")
 
 
 def last_ends(ledger: DataFrame) -> DataFrame:
@@ -246,46 +313,43 @@ def backfill_progress(requests: DataFrame, rules: DataFrame, ledger: DataFrame)
 
 @dataclass(frozen=True)
 class RollupRule:
-    """A rollup rule run by :func:`run_rules`."""
+    """A rollup rule run by :func:`run_rules`; ``body`` works on rows with their windows, or is SQL with parameters."""
 
     name: str
     source: str
-    body: Callable[[DataFrame], DataFrame]
+    body: Callable[[DataFrame], DataFrame] | str
     target: str
     ts: str = "ts"
     labels: dict[str, str] = field(default_factory=dict)
 
 
 def run_rules(
-    rules: list[RollupRule], sources: dict[str, DataFrame], windows: DataFrame, ledger: str
+    rules: list[RollupRule], sources: dict[str, DataFrame], windows: DataFrame, ledger: str, at_once: int = 4
 ) -> dict[str, str | None]:
-    """Run many rules, reading each shared source once; the result maps each rule to its error or None.
+    """Run many rules, ``at_once`` side by side; the result maps each rule with windows to its error or None.
 
-    ``windows`` has ``rule, window_start, window_end`` rows. Only rows inside the
-    pending windows of a source's rules are kept between its rules.
+    ``windows`` has ``rule, window_start, window_end`` rows. Every rule reads its source
+    within the bounds of its own windows and time column; whatever goes wrong in a rule
+    is its own outcome.
     """
-    outcome: dict[str, str | None] = {}
-    by_source: dict[str, list[RollupRule]] = {}
-    for rule in rules:
-        by_source.setdefault(rule.source, []).append(rule)
-    for source, members in by_source.items():
-        names = [r.name for r in members]
-        pending = windows.filter(F.col("rule").isin(names))
-        bounds = window_list(pending)
-        if not bounds:
-            continue
-        lo, hi = bounds[0][0], max(end for _, end in bounds)
-        rows = sources[source].filter(
-            in_window(F.col(members[0].ts), F.timestamp_micros(F.lit(lo)), F.timestamp_micros(F.lit(hi)))
-        )
-        shared = rows.persist(StorageLevel.MEMORY_AND_DISK) if len(members) > 1 else rows
-        for rule in members:
-            try:
-                own = pending.filter(F.col("rule") == rule.name).select(*WINDOW_COLUMNS)
-                run_rollup(shared, own, rule.body, rule.target, ledger, rule.name, rule.ts)
-                outcome[rule.name] = None
-            except (AnalysisException, ValueError) as error:
-                outcome[rule.name] = str(error)
-        if len(members) > 1:
-            shared.unpersist()
-    return outcome
+    listed = stored(windows.select("rule", *WINDOW_COLUMNS), "rule-windows")
+    waiting = {r["rule"] for r in listed.select("rule").distinct().toLocalIterator()}
+
+    def run(rule: RollupRule) -> str | None:
+        own = listed.filter(F.col("rule") == rule.name)
+        try:
+            if isinstance(rule.body, str):
+                run_rollup_sql(listed.sparkSession, rule.body, own, rule.labels, rule.target, ledger, rule.name)
+            else:
+                run_rollup(sources[rule.source], own, rule.body, rule.target, ledger, rule.name, rule.ts)
+        except Exception as error:
+            return f"{type(error).__name__}: {error}"
+        return None
+
+    due = [r for r in rules if r.name in waiting]
+    targets: dict[str, list[RollupRule]] = {}
+    for rule in due:  # dynamic overwrites of one folder take turns
+        targets.setdefault(rule.target, []).append(rule)
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        groups = pool.map(lambda members: [(r.name, run(r)) for r in members], targets.values())
+        return dict(pair for group in groups for pair in group)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions.timebin import time_bin
 from tidemark.operators.aggregate import latest_by
 from tidemark.plans import rules as plans
-from tidemark.plans.windows import backfill_windows, missing_windows
+from tidemark.plans.windows import backfill_windows, missing_windows, newest_windows
 from tidemark.session import scratch_path
 from tidemark.workload.adapters import r6, table, us
 from tidemark.workload.aggregates import bin_sql, utc
@@ -53,18 +53,30 @@ RULE_SQL = f"""rule AS (SELECT 'rule_' || CAST(user_id AS VARCHAR) AS rule, user
     event_id % 3 + 1 AS attempts FROM (SELECT *, row_number() OVER (PARTITION BY rule, start_us ORDER BY ts DESC) AS n FROM placed) WHERE n = 1)"""
 
 
-@query(
-    "W2_missing_windows",
-    f"""WITH {RULE_SQL}, eff AS (SELECT *, {NOW_SQL} - delay_s * 1000000 AS eff_us, interval_s * 1000000 AS step FROM rule),
+TRACKED_SQL = f"""WITH {RULE_SQL}, eff AS (SELECT *, {NOW_SQL} - delay_s * 1000000 AS eff_us, interval_s * 1000000 AS step FROM rule),
       gen AS (SELECT rule, step, unnest(CASE WHEN last_us IS NULL THEN [eff_us // step * step - step] ELSE list_filter(range(last_us, eff_us, step), lambda s: s + step < eff_us) END) AS start_us FROM eff),
       fresh AS (SELECT gen.* FROM gen LEFT JOIN ledger USING (rule, start_us) WHERE ledger.rule IS NULL),
       every AS (SELECT rule, start_us, step, true AS new FROM fresh UNION ALL SELECT rule, start_us, NULL, false FROM ledger),
-      ranked AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY start_us DESC) AS n FROM every)
-    SELECT rule, start_us, start_us + step AS end_us FROM ranked WHERE n <= 200 AND new""",
-)
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY start_us DESC) AS n FROM every)"""
+
+
+def in_us(windows: DataFrame) -> DataFrame:
+    return windows.select("rule", us("window_start").alias("start_us"), us("window_end").alias("end_us"))
+
+
+@query("W2_missing_windows", f"{TRACKED_SQL} SELECT rule, start_us, start_us + step AS end_us FROM ranked WHERE n <= 200 AND new")
 def w2(spark, d):
-    out = missing_windows(rule_table(spark, d), ledger_table(spark, d), NOW)
-    return out.select("rule", us("window_start").alias("start_us"), us("window_end").alias("end_us"))
+    return in_us(newest_windows(rule_table(spark, d), ledger_table(spark, d), NOW, 200)[0])
+
+
+@query("W2_left_out_windows", f"{TRACKED_SQL} SELECT rule, start_us, start_us + step AS end_us FROM ranked WHERE n > 200 AND new")
+def w2_left_out(spark, d):
+    return in_us(newest_windows(rule_table(spark, d), ledger_table(spark, d), NOW, 200)[1])
+
+
+@query("W2_all_missing_windows", f"{TRACKED_SQL} SELECT rule, start_us, start_us + step AS end_us FROM ranked WHERE new")
+def w2_all(spark, d):
+    return in_us(missing_windows(rule_table(spark, d), ledger_table(spark, d), NOW))
 
 
 def request_table(spark, d) -> DataFrame:
@@ -81,8 +93,8 @@ def request_table(spark, d) -> DataFrame:
 
 REQUEST_SQL = f"""{RULE_SQL}, req AS (SELECT rule, user_id, CASE WHEN user_id % 17 = 0 THEN '' ELSE 'req_' || rule END AS request_id, first_us AS start_us, interval_s * 1000000 AS step,
       first_us + interval_s * 1000000 * (user_id % 40) + CASE WHEN user_id % 7 = 0 THEN 1000000 ELSE 0 END AS end_us, user_id % 25 AS flight FROM rule),
-    checked AS (SELECT *, CASE WHEN request_id = '' THEN 'RequestID must be set' WHEN end_us <= start_us THEN 'EndTime must be after StartTime'
-      WHEN end_us - start_us < step THEN 'Backfill range must cover at least one full interval' WHEN (end_us - start_us) % step <> 0 THEN 'Backfill range must be an exact multiple of the interval' END AS error FROM req)"""
+    checked AS (SELECT *, CASE WHEN request_id = '' THEN 'no request id' WHEN end_us <= start_us THEN 'range is empty or reversed'
+      WHEN (end_us - start_us) % step <> 0 THEN 'range is not a whole number of intervals' END AS error FROM req)"""
 
 
 @query(
@@ -206,3 +218,111 @@ def w10(spark, d):
         raise RuntimeError(str(problems))
     outs = [spark.read.parquet(paths[n]).select(F.lit(n).alias("rule"), us(F.col("window_start").cast("timestamp")).alias("start_us"), "v") for n in ("totals", "errors")]
     return outs[0].unionByName(outs[1])
+
+
+DAY_SQL = bin_sql("ts", 86400)
+
+
+def days_of(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    days = e.select(F.date_trunc("day", "ts").alias("window_start")).distinct()
+    return days.withColumn("window_end", F.col("window_start") + F.expr("INTERVAL '1' DAY"))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    return df.groupBy("window_start").agg(F.count("*").alias("n"))
+
+
+@query(
+    "W4_emptied_rerun",
+    f"""SELECT {DAY_SQL} AS start_us, count(*) FILTER (value > 20) AS n FROM events GROUP BY 1 HAVING count(*) FILTER (value > 20) > 0""",
+)
+def w4_emptied(spark, d):
+    """All days are rolled up, then again from fewer rows: days that lost all rows are cleared."""
+    e, days = table(spark, d, "events"), days_of(spark, d)
+    target, ledger = scratch_path(spark, "rollup"), scratch_path(spark, "ledger")
+    for rows in (e, e.filter("value > 20")):
+        plans.run_rollup(rows, days, _counted, target, ledger, "daily")
+    return spark.read.parquet(target).select(us(F.col("window_start").cast("timestamp")).alias("start_us"), "n")
+
+
+@query(
+    "W4_shared_target",
+    f"""SELECT 'all' AS rule, {DAY_SQL} AS start_us, count(*) AS n FROM events GROUP BY 2
+    UNION ALL SELECT 'errors', {DAY_SQL}, count(*) FROM events WHERE event_type = 'error' GROUP BY 2""",
+)
+def w4_shared(spark, d):
+    e, days = table(spark, d, "events"), days_of(spark, d)
+    target, ledger = scratch_path(spark, "rollup"), scratch_path(spark, "ledger")
+    for name, rows in (("all", e), ("errors", e.filter("event_type = 'error'"))):
+        plans.run_rollup(rows, days, _counted, target, ledger, name)
+    return spark.read.parquet(target).select("rule", us(F.col("window_start").cast("timestamp")).alias("start_us"), "n")
+
+
+@query(
+    "W4_mixed_lengths",
+    f"""WITH w AS (SELECT DISTINCT {DAY_SQL} AS s, {DAY_SQL} + 86400000000 AS e FROM events
+      UNION SELECT DISTINCT {bin_sql("ts", 600)}, {bin_sql("ts", 600)} + 600000000 FROM events WHERE event_type = 'error'
+      UNION SELECT min({DAY_SQL}), min({DAY_SQL}) + 30 * 86400000000 FROM events)
+    SELECT s AS start_us, e AS end_us, count(*) AS n FROM w JOIN events ON epoch_us(ts) >= s AND epoch_us(ts) < e GROUP BY 1, 2""",
+)
+def w4_mixed(spark, d):
+    """Windows of ten minutes, a day and thirty days in one run."""
+    e = table(spark, d, "events")
+    short = e.filter("event_type = 'error'").select(time_bin(F.col("ts"), 600).alias("window_start")).distinct()
+    days = days_of(spark, d)
+    long = days.agg(F.min("window_start").alias("window_start")).withColumn("window_end", F.col("window_start") + F.expr("INTERVAL '30' DAY"))
+    windows = days.unionByName(short.withColumn("window_end", F.col("window_start") + F.expr("INTERVAL '10' MINUTE"))).unionByName(long)
+    out = plans.rollup_windows(e, windows, lambda df: df.groupBy("window_start", "window_end").agg(F.count("*").alias("n")))
+    return out.select(us("window_start").alias("start_us"), us("window_end").alias("end_us"), "n")
+
+
+@query(
+    "W10_time_columns",
+    f"""WITH t AS (SELECT *, ts + INTERVAL 40 DAY AS seen FROM events)
+    SELECT 'by_ts' AS rule, {DAY_SQL} AS start_us, count(*) AS n FROM t GROUP BY 2
+    UNION ALL SELECT 'by_seen', {bin_sql("seen", 86400)}, count(*) FROM t GROUP BY 2""",
+)
+def w10_time_columns(spark, d):
+    """Two rules of one source, each with a time column of its own."""
+    e = table(spark, d, "events").withColumn("seen", F.col("ts") + F.expr("INTERVAL '40' DAY"))
+    days = days_of(spark, d).withColumn("rule", F.lit("by_ts"))
+    moved = days.select(*[(F.col(c) + F.expr("INTERVAL '40' DAY")).alias(c) for c in ("window_start", "window_end")], F.lit("by_seen").alias("rule"))
+    target = scratch_path(spark, "rollup")
+    rules = [plans.RollupRule("by_ts", "events", _counted, target), plans.RollupRule("by_seen", "events", _counted, target, ts="seen")]
+    problems = {k: v for k, v in plans.run_rules(rules, {"events": e}, days.unionByName(moved), scratch_path(spark, "ledger")).items() if v}
+    if problems:
+        raise RuntimeError(str(problems))
+    return spark.read.parquet(target).select("rule", us(F.col("window_start").cast("timestamp")).alias("start_us"), "n")
+
+
+@query(
+    "W10_outcomes",
+    """WITH n AS (SELECT count(DISTINCT date_trunc('day', ts)) AS days FROM events)
+    SELECT rule, CAST(submitted AS BIGINT) AS submitted, CAST(completed AS BIGINT) AS completed, CAST(failed AS BIGINT) AS failed, CAST(retried AS BIGINT) AS retried, CAST(rows AS BIGINT) AS rows FROM (
+      SELECT 'broken' AS rule, days AS submitted, 0 AS completed, days AS failed, days AS retried, 0 AS rows FROM n
+      UNION ALL SELECT 'good', days, days, 0, days, days FROM n
+      UNION ALL SELECT 'labelled', days, days, 0, days, (SELECT count(DISTINCT date_trunc('day', ts)) FROM events WHERE event_type = 'error') FROM n)""",
+)
+def w10_outcomes(spark, d):
+    """A sound rule, one that fails at run time and one in SQL with a label, run twice; what their health then says."""
+    e, days = table(spark, d, "events"), days_of(spark, d)
+    e.createOrReplaceTempView("events_of_rules")
+    names = ("good", "broken", "labelled")
+    paths = {n: scratch_path(spark, f"rule-{n}") for n in (*names, "ledger")}
+    text = """SELECT count(*) AS n FROM events_of_rules WHERE ts >= :_startTime AND ts < :_endTime AND event_type = :_kind HAVING count(*) > 0"""
+    bodies = {"good": _counted, "broken": lambda df: _counted(df.filter(F.raise_error(F.lit("broken")).cast("boolean"))), "labelled": text}
+    rules = [plans.RollupRule(n, "events", bodies[n], paths[n], labels={"kind": "error"}) for n in names]
+    windows = days.withColumn("rule", F.explode(F.array(*[F.lit(n) for n in names])))
+    for _ in range(2):
+        plans.run_rules(rules, {"events": e}, windows, paths["ledger"])
+    state = plans.ledger_state(spark.read.parquet(paths["ledger"]))
+    known = spark.createDataFrame([(n, 86_400, 0) for n in names], "rule string, interval_s int, delay_s int")
+    known = known.withColumns({"last_end": F.lit(None).cast("timestamp"), "managed": F.lit(True), "selected": F.lit(True)})
+    health = plans.rule_health(known, state, NOW)
+    rows = None
+    for n in ("good", "labelled"):
+        part = spark.read.parquet(paths[n]).select("rule")
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.groupBy("rule").agg(F.count("*").alias("rows"))
+    return health.join(rows, "rule", "left").fillna(0, ["rows"]).select("rule", "submitted", "completed", "failed", "retried", "rows")
