@@ -8,7 +8,7 @@ from tidemark.operators.alerts import AlertRule
 from tidemark.operators.logs import reassemble_lines
 from tidemark.operators.series import increase
 from tidemark.operators.views import create_log_view
-from tidemark.session import scratch_path
+from tidemark.session import delete_path, scratch_path
 from tidemark.streaming import jobs
 from tidemark.workload.stream import finish, read_stream
 
@@ -23,11 +23,22 @@ def feed(spark, batches, schema):
 
 def test_redelivered_batches_are_stored_once(spark):
     path = feed(spark, [[("a", i)] * 3 for i in range(4)], "table string, v int")
+    root, checkpoint = scratch_path(spark, "ingest"), scratch_path(spark, "cp")
+    steps = [lambda df: df.withColumn("database", F.lit("Db"))]
+    finish(jobs.stream_ingest(read_stream(spark, path), steps, root, checkpoint))
+    delete_path(spark, f"{checkpoint}/commits/3")  # as if the job had died before its last commit
+    finish(jobs.stream_ingest(read_stream(spark, path), steps, root, checkpoint))
+    assert spark.read.parquet(root).count() == 12
+
+
+def test_streams_share_a_root(spark):
+    path = feed(spark, [[("a", i), (None, i)] for i in range(4)], "table string, v int")
     root = scratch_path(spark, "ingest")
-    for _ in range(2):  # a new checkpoint delivers every batch again
-        steps = [lambda df: df.withColumn("database", F.lit("Db"))]
+    steps = [lambda df: df.withColumn("database", F.lit("Db"))]
+    for _ in range(2):
         finish(jobs.stream_ingest(read_stream(spark, path), steps, root, scratch_path(spark, "cp")))
-    assert spark.read.parquet(root).count() == 12
+    assert spark.read.parquet(root).count() == 8
+    assert spark.read.parquet(f"{root}-unrouted").count() == 8
 
 
 def test_partial_lines_wait_across_batches(spark):
@@ -60,7 +71,7 @@ def test_flooding_id_gives_one_alert(spark):
     rows = [(f"id{i % 2 if i % 9 == 0 else 0}", f"n{i}", start + timedelta(seconds=i)) for i in range(300)]
     path = feed(spark, [rows[:150], rows[150:]], "CorrelationId string, Extra string, ts timestamp")
     sdf = read_stream(spark, path).withColumns({"Title": F.lit("t"), "Severity": F.lit(1)})
-    found = jobs.stream_alerts(sdf, AlertRule("ns", "r", "SELECT 1"), "CorrelationId", "1 hour")
+    found = jobs.stream_alerts(sdf, AlertRule("ns", "r", "SELECT 1"), "CorrelationId", "1 hour")[0]
     out = scratch_path(spark, "alerts")
     finish(found.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "cp")))
     assert sorted(r["correlation_id"] for r in spark.read.parquet(out).collect()) == ["ns/r://id0", "ns/r://id1"]

@@ -6,10 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from tidemark.plans.rules import select_rules
 from tidemark.schemas import NOTIFICATION_SCHEMA
+from tidemark.session import stored
 
 # Result columns with a meaning of their own, and the default notification cap. Fixed values.
 RESERVED_COLUMNS = ("title", "description", "severity", "recipient", "summary", "correlationid")
@@ -69,7 +71,13 @@ def _whole_severity(df: DataFrame, column: str) -> Column:
 
 
 def to_notifications(df: DataFrame, rule: AlertRule) -> tuple[DataFrame, DataFrame]:
-    """Notifications of query rows, and the rows that are not valid ones with the reason.
+    """Notifications of query rows, and the rows that are not valid ones with the reason."""
+    judged = judge_notifications(df, rule)
+    return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")
+
+
+def judge_notifications(df: DataFrame, rule: AlertRule) -> DataFrame:
+    """Query rows as notifications, with the ``reason`` why a row is not a valid one, null for valid ones.
 
     Reserved columns match in any case; all others become custom fields as text.
     Severity accepts whole numbers, decimals (cut to the whole part) and numeric
@@ -98,7 +106,7 @@ def to_notifications(df: DataFrame, rule: AlertRule) -> tuple[DataFrame, DataFra
         .when((title_bytes == 0) | (title_bytes > MAX_TITLE), F.lit("title must be between 1 and 512 chars"))
         .when(severity.isNull() | (severity == F.lit(-(1 << 63))), F.lit("severity must be specified"))
     )
-    notified = df.select(
+    return df.select(
         (F.lit(rule.destination) if rule.destination else text("recipient")).alias("destination"),
         text("title").alias("title"),
         text("summary").alias("summary"),
@@ -111,7 +119,6 @@ def to_notifications(df: DataFrame, rule: AlertRule) -> tuple[DataFrame, DataFra
         fields.alias("custom_fields"),
         reason.alias("reason"),
     )
-    return notified.filter("reason IS NULL").drop("reason"), notified.filter("reason IS NOT NULL")
 
 
 def throttle(
@@ -191,35 +198,55 @@ SUCCESS, USER_ERROR, SERVICE_ERROR, SETUP_ERROR, THROTTLED = (
 )
 
 
+def matching_rules(spark: SparkSession, rules: list[AlertRule], labels: dict[str, str]) -> list[AlertRule]:
+    """The rules whose criteria hold for the labels of this place."""
+    rows = [(i, r.criteria or None, r.criteria_expression) for i, r in enumerate(rules)]
+    table = spark.createDataFrame(rows, "rule int, criteria map<string,array<string>>, expression string")
+    chosen = select_rules(table, labels).filter("selected").select("rule").collect()
+    return [rules[i] for i in sorted(r["rule"] for r in chosen)]
+
+
+def _run_alert(
+    spark: SparkSession, rule: AlertRule, now: datetime, sink: Callable[[DataFrame], None], cap: int, region: str
+) -> tuple[str, int, int, str]:
+    """Outcome, valid rows, notifications sent and message of one rule; its query runs once."""
+    if not rule.name or not rule.namespace or rule.interval <= timedelta(0):
+        return SETUP_ERROR, 0, 0, "a rule needs a namespace, a name and an interval"
+    try:
+        judged = stored(judge_notifications(evaluate_alert(spark, rule, now, region), rule), "alert-rows")
+        found = judged.agg(F.count_if(F.col("reason").isNull()).alias("rows"), F.min("reason").alias("reason")).first()
+        if found["reason"]:
+            raise ValueError(found["reason"])
+    except (AnalysisException, ValueError) as error:
+        sink(failure_notification(spark, rule, str(error)))
+        return USER_ERROR, 0, 0, str(error)
+    emitted, flags = throttle(judged.drop("reason"), cap, region=region)
+    sink(emitted.unionByName(flags))
+    if found["rows"] > cap:
+        return THROTTLED, found["rows"], cap, "Too many notifications sent"
+    return SUCCESS, found["rows"], found["rows"], ""
+
+
 def run_alerts(
-    spark: SparkSession, rules: list[AlertRule], now: datetime, sink: Callable[[DataFrame], None], cap: int = DEFAULT_CAP, region: str = ""
+    spark: SparkSession, rules: list[AlertRule], now: datetime, sink: Callable[[DataFrame], None], cap: int = DEFAULT_CAP,
+    region: str = "", labels: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Evaluate every rule, hand its notifications to ``sink`` and return one outcome row per rule.
+    """Evaluate the rules whose criteria match ``labels``, hand their notifications to ``sink``, return one outcome row each.
 
-    One failing rule does not stop the others; a failing query sends one
-    notification to the rule's own destination.
+    Whatever fails in one rule, its query, its code or the sink, is that rule's outcome
+    and does not stop the others; a query in error sends one notification to the rule's
+    own destination.
     """
     import time
 
     outcomes = []
-    for rule in rules:
-        started, outcome, rows, alerts, message = time.monotonic(), SUCCESS, 0, 0, ""
+    for rule in matching_rules(spark, rules, labels or {}):
+        started = time.monotonic()
         try:
-            result = evaluate_alert(spark, rule, now, region)
-            ok, bad = to_notifications(result, rule)
-            if not bad.isEmpty():
-                raise ValueError(bad.select("reason").first()[0])
-            emitted, flags = throttle(ok, cap, region=region)
-            sink(emitted.unionByName(flags))
-            rows = ok.count()
-            alerts = min(rows, cap)
-            if rows > cap:
-                outcome, message = THROTTLED, "Too many notifications sent"
-        except (AnalysisException, ValueError) as error:
-            outcome, message = USER_ERROR, str(error)
-            sink(failure_notification(spark, rule, message))
-        except PySparkException as error:
-            outcome, message = SERVICE_ERROR, str(error)
+            result = _run_alert(spark, rule, now, sink, cap, region)
+        except Exception as error:
+            result = SERVICE_ERROR, 0, 0, f"{type(error).__name__}: {error}"
+        outcome, rows, alerts, message = result
         outcomes.append((rule.namespace, rule.name, outcome, rows, alerts, time.monotonic() - started, message))
     return spark.createDataFrame(
         outcomes,

@@ -77,12 +77,12 @@ def to_metrics(
     """One metric row (``name, value, ts, labels``) per value column of each result row.
 
     Names are ``[prefix_]base_column``. With ``strict`` a bad row fails the job;
-    otherwise the result is ``(metrics, rejects)``. ``limit`` is the exporter's
-    own row cap per query, off by default.
+    otherwise the result is ``(metrics, rejects)``. A result with more than ``limit``
+    rows, when one is set, is an error; no row is left out.
     """
     check_export(df, cfg)
-    if limit is not None:
-        df = df.limit(limit)
+    if limit is not None and df.limit(limit + 1).count() > limit:
+        raise ValueError(f"the query result has more than {limit} rows")
     present = [c for c in cfg.label_columns if c in df.columns]
     base = F.col(f"`{cfg.metric_name_column}`") if cfg.metric_name_column else F.lit(cfg.default_metric_name)
     prefix = F.lit(cfg.effective_prefix) if cfg.effective_prefix else None

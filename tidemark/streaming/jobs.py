@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.operators.alerts import AlertRule, to_notifications
@@ -34,22 +34,35 @@ def split_late(df: DataFrame, now: datetime | Column, delay_seconds: int, ts: st
     return observed.filter(~late), observed.filter(late), seen
 
 
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """Identity of the stream that a checkpoint belongs to; a restart from it keeps it."""
+    (row,) = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).collect()
+    return row[0]
+
+
 def stream_ingest(
-    sdf: DataFrame, transforms: list[Callable[[DataFrame], DataFrame]], root: str, checkpoint: str
+    sdf: DataFrame, transforms: list[Callable[[DataFrame], DataFrame]], root: str, checkpoint: str, unrouted: str | None = None
 ) -> DataStreamWriter:
     """Transform and write each micro-batch to its destinations; call ``start()`` on the result.
 
-    Output is partitioned by destination and batch, and a batch overwrites only
-    its own partitions, so a batch delivered twice is stored once.
+    Output is partitioned by destination, stream and batch, and a batch overwrites
+    only its own partitions: a batch delivered twice is stored once, and streams that
+    share a root never touch each other's rows. Rows without a destination go to
+    ``unrouted`` (``root`` with ``-unrouted`` added).
     """
+    leftovers = unrouted or f"{root.rstrip('/')}-unrouted"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = with_destination(apply_transforms(batch, transforms))
-        routed = rows.filter(F.col("database").isNotNull() & F.col("table").isNotNull())
-        stamped = routed.withColumn("batch", F.lit(batch_id)).hint("rebalance", "database", "table")
-        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "database", "table", "batch"
-        ).parquet(root)
+        stamped = rows.withColumns({"run": F.lit(run_of(batch.sparkSession, checkpoint)), "batch": F.lit(batch_id)})
+        stamped = stamped.persist(StorageLevel.MEMORY_AND_DISK)
+        routed = F.col("database").isNotNull() & F.col("table").isNotNull()
+        try:
+            for path, part, folders in ((root, routed, ["database", "table"]), (leftovers, ~routed, [])):
+                writer = stamped.filter(part).hint("rebalance", *(folders or ["batch"])).write.mode("overwrite")
+                writer.option("partitionOverwriteMode", "dynamic").partitionBy(*folders, "run", "batch").parquet(path)
+        finally:
+            stamped.unpersist()
 
     return sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -131,14 +144,16 @@ def stream_increase(
 
 def stream_alerts(
     sdf: DataFrame, rule: AlertRule, correlation: str, within: str, ts: str = "ts", salts: int = 16
-) -> DataFrame:
-    """Notifications of a stream of alert rows, one per correlation id within the watermark delay.
+) -> tuple[DataFrame, DataFrame]:
+    """Notifications of a stream of alert rows, one per correlation id within the watermark delay, and invalid rows.
 
-    Repeats are dropped per (id, salt) first and per id after, so an id that
-    floods the stream is spread over ``salts`` tasks and only a few rows of it meet.
+    Rows without an id are each an alert of their own. Repeats of an id are dropped per
+    (id, salt) first and per id after, so an id that floods the stream is spread over
+    ``salts`` tasks and only a few rows of it meet.
     """
+    has_id = F.coalesce(correlation, F.lit("")) != ""
+    marked = sdf.withWatermark(ts, within)
     salt = F.pmod(F.xxhash64(*sdf.columns), F.lit(salts).cast("bigint"))
-    spread = sdf.withWatermark(ts, within).withColumn("_salt", salt)
-    few = spread.dropDuplicatesWithinWatermark([correlation, "_salt"]).drop("_salt")
-    unique = few.dropDuplicatesWithinWatermark([correlation])
-    return to_notifications(unique.drop(ts), rule)[0]
+    few = marked.filter(has_id).withColumn("_salt", salt).dropDuplicatesWithinWatermark([correlation, "_salt"]).drop("_salt")
+    unique = few.dropDuplicatesWithinWatermark([correlation]).unionByName(marked.filter(~has_id))
+    return to_notifications(unique.drop(ts), rule)

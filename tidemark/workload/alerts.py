@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.labels import label_text
 from tidemark.functions.timebin import time_bin
+from tidemark.session import scratch_path
 from tidemark.operators import alerts as ops
 from tidemark.workload.adapters import table, us
 from tidemark.workload.aggregates import bin_sql, utc
@@ -56,7 +57,7 @@ def _raw_rows(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
     kind = F.col("doc_id") % 6
     return docs.select(
-        F.when(kind == 1, F.lit("")).when(kind == 5, F.lit(None).cast("string")).otherwise(F.substring("text", 1, 600)).alias("TITLE"),
+        F.when(kind == 1, F.lit("")).when(kind == 5, F.lit(None).cast("string")).otherwise(F.col("text")).alias("TITLE"),
         F.when(kind == 2, F.lit("high")).when(kind == 3, F.lit("2.5")).otherwise(F.col("n_chars").cast("string")).alias("severity"),
         F.when(kind == 4, F.lit("")).when(kind == 0, F.lit("ops/docs://d")).otherwise(F.col("doc_id").cast("string")).alias("correlationId"),
         F.col("source").alias("recipient"), F.col("doc_id").cast("string").alias("doc"),
@@ -64,7 +65,7 @@ def _raw_rows(spark, d) -> DataFrame:
 
 
 DOC_RULE = ops.AlertRule("ops", "docs", "SELECT 1")
-DOC_SQL = """alert AS (SELECT *, doc_id % 6 AS kind, CASE WHEN doc_id % 6 = 1 THEN '' ELSE substr(text, 1, 600) END AS title FROM documents),
+DOC_SQL = """alert AS (SELECT *, doc_id % 6 AS kind, CASE WHEN doc_id % 6 = 1 THEN '' ELSE text END AS title FROM documents),
   judged AS (SELECT *, CASE WHEN kind = 5 THEN 'query result column has nil value: TITLE' WHEN kind IN (2, 3) THEN 'failed to convert severity to int'
     WHEN strlen(title) = 0 OR strlen(title) > 512 THEN 'title must be between 1 and 512 chars' END AS reason FROM alert)"""
 
@@ -179,3 +180,46 @@ def n8_run(spark, d):
     sent: list[DataFrame] = []
     out = ops.run_alerts(spark, [RULE, broken, flood], NOW, sent.append)
     return out.select("name", "outcome", F.col("rows").alias("row_count"), "alerts")
+
+
+@query(
+    "N8_sent",
+    f"""WITH {NOISY_SQL}, n AS (SELECT count(*) AS n FROM noisy), f AS (SELECT count(*) AS n FROM events)
+    SELECT 'ops/noisy-users' AS source, least(n, 25) AS n FROM n WHERE n > 0
+    UNION ALL SELECT 'notification-failure/ops/noisy-users', 1 FROM n WHERE n > 25
+    UNION ALL SELECT 'ops/flood', least(n, 25) FROM f UNION ALL SELECT 'notification-failure/ops/flood', 1 FROM f WHERE n > 25
+    UNION ALL SELECT 'ops/broken', 1""",
+)
+def n8_sent(spark, d):
+    """What arrives at the sink: rules that fail in their code, or whose criteria say no, send nothing and stop nobody."""
+    _events_view(spark, d)
+    one = lambda s, p: s.table("alert_events").select(F.lit("t").alias("title"), F.lit(1).alias("severity"))
+    rules = [
+        ops.AlertRule("ops", "crash", lambda s, p: 1 // 0), ops.AlertRule("ops", "elsewhere", one, criteria={"region": ["west"]}),
+        ops.AlertRule("ops", "never", one, criteria_expression="region = 'north'"), RULE,
+        ops.AlertRule("ops", "broken", "SELECT nothing FROM alert_events", destination="team-b"), ops.AlertRule("ops", "flood", one, criteria={"region": ["EAST"]}),
+    ]
+    path = scratch_path(spark, "sent")
+    ops.run_alerts(spark, rules, NOW, lambda df: df.write.mode("append").parquet(path), labels={"region": "east"})
+    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(
+    "N8_outcomes",
+    """SELECT * FROM (VALUES ('crash', 'service_error'), ('lost', 'service_error'), ('idle', 'setup_error')) t(name, outcome)
+    UNION ALL SELECT 'fine', 'success' FROM events HAVING count(*) > 0""",
+)
+def n8_outcomes(spark, d):
+    """A rule whose code fails, one whose notifications cannot be delivered, one that cannot be set up, and a sound one."""
+    _events_view(spark, d)
+    few = lambda s, p: s.table("alert_events").limit(1).select(F.lit("t").alias("title"), F.lit(1).alias("severity"))
+
+    def sink(df: DataFrame) -> None:
+        if not df.filter("source = 'ops/lost'").isEmpty():
+            raise OSError("no route")
+
+    rules = [
+        ops.AlertRule("ops", "crash", lambda s, p: 1 // 0), ops.AlertRule("ops", "lost", few),
+        ops.AlertRule("ops", "idle", few, interval=NOW - NOW), ops.AlertRule("ops", "fine", few),
+    ]
+    return ops.run_alerts(spark, rules, NOW, sink).select("name", "outcome")

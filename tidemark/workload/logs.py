@@ -232,7 +232,7 @@ def l5_rejects(spark, d):
       ELSE 'message=string:' || props || '};' END AS body FROM events""",
 )
 def l6(spark, d):
-    text = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.substring("props", 2, 100)).otherwise(F.concat("props", F.lit("}")))
+    text = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.expr("substring(props, 2)")).otherwise(F.concat("props", F.lit("}")))
     e = table(spark, d, "events").select("event_id", text.alias("message"))
     return ops.parse_messages(e, ["json"]).select("event_id", body_pairs(F.col("body")).alias("body"))
 

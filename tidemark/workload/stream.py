@@ -24,7 +24,7 @@ def event_files(spark, d, columns: list | None = None) -> str:
     first, last = e.agg(F.min("event_id"), F.max("event_id")).first()
     cuts = [first + (last + 1 - first) * i // BATCHES for i in range(BATCHES + 1)]
     for lo, hi in zip(cuts, cuts[1:]):
-        shaped.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi)).coalesce(1).write.mode("append").parquet(path)
+        shaped.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi)).write.mode("append").parquet(path)
     return path
 
 
@@ -100,6 +100,23 @@ def t4(spark, d):
     return rows.select(F.col("SeriesId").alias("series"), us("Timestamp").alias("ts_us"), r6(F.col("Value")).alias("v"))
 
 
+@query(
+    "T2_two_streams",
+    """SELECT event_type AS table_name, 2 * count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY 1
+    UNION ALL SELECT 'unrouted', 2 * count(*) FROM events WHERE event_type = 'click'""",
+)
+def t2_two(spark, d):
+    """Two streams with checkpoints of their own into one root: both streams' rows stay, unrouted ones too."""
+    path, root = event_files(spark, d), scratch_path(spark, "stream-ingest")
+    table_of = F.when(F.col("event_type") != "click", F.col("event_type"))
+    steps = [lambda df: df.withColumns({"database": F.lit("Events"), "table": table_of})]
+    for _ in range(2):
+        finish(jobs.stream_ingest(read_stream(spark, path), steps, root, scratch_path(spark, "checkpoint"), f"{root}-rest"))
+    stored = spark.read.parquet(root).groupBy(F.col("table").alias("table_name")).agg(F.count("*").alias("n"))
+    rest = spark.read.parquet(f"{root}-rest").agg(F.lit("unrouted").alias("table_name"), F.count("*").alias("n"))
+    return stored.unionByName(rest)
+
+
 RULE = AlertRule("ops", "errors", "SELECT 1", destination="team")
 
 
@@ -114,13 +131,32 @@ def t5(spark, d):
     rows = sdf.select(
         F.concat(F.lit("Errors of user "), user).alias("Title"), F.lit(2).alias("Severity"), F.concat(F.lit("user-"), user).alias("CorrelationId"), "ts"
     )
-    found = jobs.stream_alerts(rows, RULE, "CorrelationId", "60 days")
+    found, _ = jobs.stream_alerts(rows, RULE, "CorrelationId", "60 days")
     out = scratch_path(spark, "stream-alerts")
     writer = found.writeStream.outputMode("append").format("parquet").option("path", out)
     finish(writer.option("checkpointLocation", scratch_path(spark, "checkpoint")))
     return spark.read.parquet(out).select("correlation_id", "title", "severity")
 
 
+@query(
+    "T5_alerts_without_id",
+    """SELECT 'valid' AS kind, count(*) AS n FROM events WHERE event_type = 'error' AND event_id % 3 <> 0
+    UNION ALL SELECT 'rejected', count(*) FROM events WHERE event_type = 'error' AND event_id % 3 = 0""",
+)
+def t5_without_id(spark, d):
+    """Alert rows without a correlation id, a third of them without a severity: each is its own alert or reject."""
+    sdf = read_stream(spark, event_files(spark, d)).filter("event_type = 'error'")
+    severity = F.when(F.col("event_id") % 3 != 0, F.lit("2")).otherwise("high")
+    rows = sdf.select(F.lit("Error").alias("Title"), severity.alias("Severity"), F.lit("").alias("CorrelationId"), "ts")
+    kinds = []
+    for kind, found in zip(("valid", "rejected"), jobs.stream_alerts(rows, RULE, "CorrelationId", "60 days")):
+        out = scratch_path(spark, "stream-alerts")
+        writer = found.writeStream.outputMode("append").format("parquet").option("path", out)
+        finish(writer.option("checkpointLocation", scratch_path(spark, "checkpoint")))
+        kinds.append(spark.read.parquet(out).agg(F.lit(kind).alias("kind"), F.count("*").alias("n")))
+    return kinds[0].unionByName(kinds[1])
+
+
 @query(
     "T6_split_late",
     "SELECT event_type, ts < TIMESTAMP '2024-01-21' AS late, count(*) AS n FROM events GROUP BY 1, 2",
