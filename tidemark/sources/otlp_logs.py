@@ -10,6 +10,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tidemark.functions.once import compute_once
 from tidemark.schemas import DEFAULT_NAMING, Naming
+from tidemark.sources.otlp_metrics import unreadable
 
 SCALARS = "stringValue:string,boolValue:boolean,intValue:string,doubleValue:double,bytesValue:string"
 # Values inside an attribute list: scalars are typed, nested values stay variants.
@@ -43,6 +44,22 @@ def log_records(df: DataFrame, doc: str = "doc") -> DataFrame:
     return per_record.select(*carried, "resource_attributes", "r.*")
 
 
+def unreadable_documents(df: DataFrame, doc: str = "doc") -> DataFrame:
+    """Rows whose document cannot be read, without it, in the form of the other rejects."""
+    content = F.from_json(F.col(doc), "resourceLogs variant")["resourceLogs"]
+    carried = [c for c in df.columns if c != doc]
+    return df.filter(unreadable(F.col(doc), content)).select(
+        *carried, F.lit(None).cast("string").alias("timeUnixNano"), F.lit("document is not readable").alias("reason")
+    )
+
+
+def bad_time() -> Column:
+    """Whether a time of a record is given but is not a number."""
+    return (F.col("timeUnixNano").isNotNull() & F.col("timeUnixNano").try_cast("bigint").isNull()) | (
+        F.col("observedTimeUnixNano").isNotNull() & F.col("observedTimeUnixNano").try_cast("bigint").isNull()
+    )
+
+
 def _is_nested(value: Column) -> Column:
     return value["kvlistValue"].isNotNull() | value["arrayValue"].isNotNull()
 
@@ -70,8 +87,9 @@ def _flatten_nested(values: pd.Series) -> pd.Series:
             return {p["key"]: plain(p["value"], depth + 1) for p in pairs if p.get("value")}
         if "arrayValue" in value:
             return [plain(v, depth + 1) for v in value["arrayValue"].get("values", []) if v]
-        (kind, scalar), = value.items()
-        return int(scalar) if kind == "intValue" else scalar
+        for kind, scalar in value.items():
+            return int(scalar) if kind == "intValue" else scalar
+        return None
 
     return values.map(lambda v: v if v is None else json.dumps(plain(json.loads(v)), ensure_ascii=False))
 
@@ -146,13 +164,15 @@ def record_destination(df: DataFrame, naming: Naming = DEFAULT_NAMING) -> DataFr
 def flatten_otlp_logs(
     df: DataFrame, doc: str = "doc", naming: Naming = DEFAULT_NAMING
 ) -> tuple[DataFrame, DataFrame]:
-    """Log rows with flattened body, attributes and resource, and the records without a destination.
+    """Log rows with flattened body, attributes and resource, and what was not read: documents, and
+    records without a destination or with a bad time.
 
     Scalar values are converted natively. Rows with nested values send only
     those to a small Arrow function; the others send nulls.
     """
     records = record_destination(log_records(df, doc), naming)
-    ok = F.col("database").isNotNull() & F.col("table").isNotNull()
+    routed = F.col("database").isNotNull() & F.col("table").isNotNull()
+    ok = routed & ~bad_time()
     carried = [c for c in df.columns if c != doc]
     body, pairs = F.col("body"), F.col("body.kvlistValue.values")
     is_map = F.col("body.kvlistValue").isNotNull()
@@ -183,8 +203,8 @@ def flatten_otlp_logs(
     )
     logs = flat.select(
         *carried,
-        F.col("timeUnixNano").cast("bigint").alias("time_ns"),
-        F.coalesce(F.col("observedTimeUnixNano").cast("bigint"), F.lit(0).cast("bigint")).alias("observed_ns"),
+        F.col("timeUnixNano").try_cast("bigint").alias("time_ns"),
+        F.coalesce(F.col("observedTimeUnixNano").try_cast("bigint"), F.lit(0).cast("bigint")).alias("observed_ns"),
         flat_body.alias("body"),
         F.map_concat(flat_map("_attributes", "attributes"), routing).alias("attributes"),
         flat_map("_resource", "resource_attributes").alias("resource"),
@@ -192,9 +212,11 @@ def flatten_otlp_logs(
         "table",
     )
     rejects = records.filter(~ok).select(
-        *carried, "timeUnixNano", F.lit("destination database and table are missing").alias("reason")
+        *carried,
+        "timeUnixNano",
+        F.when(~routed, F.lit("destination database and table are missing")).otherwise(F.lit("time is not a number")).alias("reason"),
     )
-    return logs, rejects
+    return logs, rejects.unionByName(unreadable_documents(df, doc))
 
 
 def _quoted(c: Column) -> Column:

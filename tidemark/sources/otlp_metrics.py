@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.timebin import floor_div
 
-ATTRIBUTES = "array<struct<key:string,value:struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double>>>"
+ATTRIBUTES = (
+    "array<struct<key:string,value:struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double,bytesValue:string,"
+    "arrayValue:variant,kvlistValue:variant>>>"
+)
 NUMBER_POINT = f"struct<attributes:{ATTRIBUTES},timeUnixNano:string,asDouble:double,asInt:string>"
 HISTOGRAM_POINT = (
     f"struct<attributes:{ATTRIBUTES},timeUnixNano:string,count:string,sum:double,"
@@ -36,6 +39,21 @@ METRICS_DOCUMENT = f"struct<resourceMetrics:array<struct<scopeMetrics:array<stru
 KINDS = ("gauge", "sum", "histogram", "summary", "exponentialHistogram")
 
 
+def unreadable(doc: Column, content: Column) -> Column:
+    """Whether a text is not a JSON object; only texts without ``content`` after parsing are looked at again."""
+    is_object = F.ltrim(doc).startswith("{") & F.try_parse_json(doc).isNotNull()
+    return F.when(content.isNull(), ~F.coalesce(is_object, F.lit(False))).otherwise(F.lit(False))
+
+
+def unreadable_documents(df: DataFrame, doc: str = "doc") -> DataFrame:
+    """Rows whose document cannot be read, without it, in the form of the other rejects."""
+    content = F.from_json(F.col(doc), "resourceMetrics variant")["resourceMetrics"]
+    carried = [c for c in df.columns if c != doc]
+    return df.filter(unreadable(F.col(doc), content)).select(
+        *carried, F.lit(None).cast("string").alias("name"), F.lit("document is not readable").alias("reason"), F.lit(0).alias("points")
+    )
+
+
 def metric_rows(df: DataFrame, doc: str = "doc") -> DataFrame:
     """One row per metric of the documents in column ``doc``."""
     carried = [c for c in df.columns if c != doc]
@@ -49,11 +67,12 @@ def metric_rows(df: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def attribute_labels(attributes: Column) -> Column:
-    """Label map of an attribute list; scalar values in text form."""
+    """Label map of an attribute list: scalar values in text form, lists and maps as JSON."""
 
     def text(v: Column) -> Column:
         return F.coalesce(
-            v["stringValue"], v["boolValue"].cast("string"), v["intValue"], v["doubleValue"].cast("string"), F.lit("")
+            v["stringValue"], v["boolValue"].cast("string"), v["intValue"], v["doubleValue"].cast("string"), v["bytesValue"],
+            F.to_json(v["arrayValue"]), F.to_json(v["kvlistValue"]), F.lit(""),
         )
 
     listed = F.coalesce(attributes, F.array().cast(ATTRIBUTES))
@@ -61,7 +80,7 @@ def attribute_labels(attributes: Column) -> Column:
 
 
 def millis(time_unix_nano: Column) -> Column:
-    return floor_div(F.coalesce(time_unix_nano.cast("bigint"), F.lit(0).cast("bigint")), 1_000_000)
+    return floor_div(F.coalesce(time_unix_nano.try_cast("bigint"), F.lit(0).cast("bigint")), 1_000_000)
 
 
 def fixed6(c: Column) -> Column:
@@ -72,6 +91,7 @@ def fixed6(c: Column) -> Column:
 # One point of any kind: its labels and time, and the values its kind carries.
 POINT_FIELDS = {
     "kind": "string",
+    "bad": "string",
     "labels": "map<string,string>",
     "ts_ms": "bigint",
     "value": "double",
@@ -93,14 +113,36 @@ POINT_TYPES = {
 }
 
 
+def _unread(text: Column, to: str) -> Column:
+    """Whether a number in text form is given but cannot be read."""
+    return text.isNotNull() & text.try_cast(to).isNull()
+
+
+def _bad_number(kind: str, p: Column) -> Column:
+    """What is wrong with the numbers of a point, null if nothing is."""
+    values = [p["asInt"]] if kind in ("gauge", "sum") else [p["count"]]
+    lists = []
+    if kind == "histogram":
+        lists = [p["bucketCounts"]]
+    if kind == "exponentialHistogram":
+        values, lists = [*values, p["zeroCount"]], [p["negative"]["bucketCounts"], p["positive"]["bucketCounts"]]
+    wrong = F.lit(False)
+    for value in values:
+        wrong = wrong | _unread(value, "double")
+    for counts in lists:
+        wrong = wrong | F.coalesce(F.exists(counts, lambda c: _unread(c, "double")), F.lit(False))
+    return F.when(_unread(p["timeUnixNano"], "bigint"), F.lit("time is not a number")).when(wrong, F.lit("value is not a number"))
+
+
 def _point(kind: str, p: Column) -> Column:
     """The common struct of one point."""
-    number = F.coalesce(p["asDouble"], p["asInt"].cast("double"), F.lit(0.0)) if kind in ("gauge", "sum") else None
+    number = F.coalesce(p["asDouble"], p["asInt"].try_cast("double"), F.lit(0.0)) if kind in ("gauge", "sum") else None
     given = {
         "kind": F.lit(kind),
+        "bad": _bad_number(kind, p),
         "labels": attribute_labels(p["attributes"]),
         "ts_ms": millis(p["timeUnixNano"]),
-        "value": number if number is not None else F.coalesce(p["count"].cast("double"), F.lit(0.0)),
+        "value": number if number is not None else F.coalesce(p["count"].try_cast("double"), F.lit(0.0)),
     }
     if kind in ("histogram", "summary", "exponentialHistogram"):
         given["total"] = p["sum"]
@@ -111,7 +153,7 @@ def _point(kind: str, p: Column) -> Column:
     if kind == "exponentialHistogram":
         given |= {
             "scale": p["scale"],
-            "zeros": F.coalesce(p["zeroCount"].cast("double"), F.lit(0.0)),
+            "zeros": F.coalesce(p["zeroCount"].try_cast("double"), F.lit(0.0)),
             "negative": p["negative"],
             "positive": p["positive"],
         }
@@ -140,7 +182,7 @@ def _part(suffix: str, value: Column, key: str | None = None, bound: Column | No
         F.lit(suffix).alias("suffix"),
         F.lit(key).cast("string").alias("key"),
         (F.lit(None).cast("string") if bound is None else bound).alias("bound"),
-        value.cast("double").alias("value"),
+        value.try_cast("double").alias("value"),
     )
 
 
@@ -159,12 +201,13 @@ def _bucket_parts(cumulative: bool) -> Column:
     def bucket(count: Column, i: Column) -> Column:
         last = i == F.size(counts) - 1
         bound = F.when(last, F.lit("+Inf")).otherwise(fixed6(F.get("bounds", i)))
-        value = count.cast("double")
-        if cumulative:
-            value = F.aggregate(F.slice(counts, 1, i + 1), F.lit(0.0), lambda acc, c: acc + c.cast("double"))
-        return _part("_bucket", value, "le", bound)
+        return _part("_bucket", count, "le", bound)
 
-    return F.transform(counts, bucket)
+    numbers = F.transform(counts, lambda c: c.try_cast("double"))
+    if cumulative:  # one running fold over the buckets
+        none = F.array().cast("array<double>")
+        numbers = F.aggregate(numbers, none, lambda acc, c: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + c)))
+    return F.transform(numbers, bucket)
 
 
 def _quantile_parts() -> Column:
@@ -192,7 +235,7 @@ def _exp_parts() -> Column:
 def _samples(points: DataFrame, parts: Column) -> DataFrame:
     """One row per sample: the point's labels, with the part's own label added."""
     carried = [c for c in points.columns if c not in (*POINT_FIELDS, "name")]
-    rows = points.select(*carried, "name", "labels", "ts_ms", F.inline(parts))
+    rows = points.filter(F.col("bad").isNull()).select(*carried, "name", "labels", "ts_ms", F.inline(parts))
     return rows.select(
         *carried,
         F.concat("name", "suffix").alias("name"),
@@ -241,7 +284,7 @@ def exp_histogram_points(metrics: DataFrame) -> DataFrame:
 
 
 def flatten_otlp_metrics(df: DataFrame, doc: str = "doc", cumulative: bool = False) -> tuple[DataFrame, DataFrame]:
-    """All samples of the documents, and the rejected metrics with their point counts."""
+    """All samples of the documents, and what was not read: documents, metrics of unknown kind, points with bad numbers."""
     metrics = metric_rows(df, doc)
     points = _point_rows(metrics, list(KINDS[:-1]))
     kind = F.col("kind")
@@ -264,4 +307,5 @@ def flatten_otlp_metrics(df: DataFrame, doc: str = "doc", cumulative: bool = Fal
         .alias("reason"),
         F.when(is_exp, F.coalesce(F.size("exponentialHistogram.dataPoints"), F.lit(0))).otherwise(0).alias("points"),
     )
-    return samples, rejects
+    wrong = points.filter(F.col("bad").isNotNull()).select(*carried, "name", F.col("bad").alias("reason"), F.lit(1).alias("points"))
+    return samples, rejects.unionByName(wrong).unionByName(unreadable_documents(df, doc))

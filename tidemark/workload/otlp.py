@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.labels import label_text
 from tidemark.operators.logs import encode_otlp_logs
+from tidemark.schemas import DEFAULT_NAMING
 from tidemark.sources.otlp_logs import flatten_otlp_logs, log_records
 from tidemark.sources.otlp_metrics import (
     exp_histogram_points,
@@ -236,3 +237,57 @@ def l1(spark, d):
 
 
 __all__ = ["log_documents", "metric_documents", "r6"]
+
+
+def broken_documents(spark, d, document: str) -> DataFrame:
+    """A document per event: sound ones, and each kind of unreadable one; ``document`` holds TIME for the event's time."""
+    e = table(spark, d, "events")
+    kind = F.col("event_id") % 6
+    ns = (F.unix_micros("ts") * 1000).cast("string")
+    good = F.replace(F.lit(document), F.lit("TIME"), ns)
+    return e.select(
+        "event_id",
+        F.when(kind == 0, good)
+        .when(kind == 1, F.substring_index(good, ":", 4))
+        .when(kind == 2, F.lit(None).cast("string"))
+        .when(kind == 3, F.concat(F.lit("["), good, F.lit("]")))
+        .when(kind == 4, F.replace(F.lit(document), F.lit("TIME"), F.lit("noon")))
+        .otherwise("{}")
+        .alias("doc"),
+    )
+
+
+METRIC_DOCUMENT = (
+    '{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"level","gauge":{"dataPoints":[{"timeUnixNano":"TIME","asDouble":1.5,'
+    '"attributes":[{"key":"berths","value":{"arrayValue":{"values":[{"stringValue":"a"},{"intValue":"2"}]}}}]}]}}]}]}]}'
+)
+LOG_DOCUMENT = (
+    '{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"timeUnixNano":"TIME","body":{"stringValue":"x"},"attributes":['
+    '{"key":"DATABASE","value":{"stringValue":"Db"}},{"key":"TABLE","value":{"stringValue":"Tab"}}]}]}]}]}'
+).replace("DATABASE", DEFAULT_NAMING.dest_database).replace("TABLE", DEFAULT_NAMING.dest_table)
+BROKEN_SQL = """SELECT CASE event_id % 6 WHEN 0 THEN 'read' WHEN 4 THEN 'time is not a number' ELSE 'document is not readable' END AS outcome, count(*) AS n
+    FROM events WHERE event_id % 6 <> 5 GROUP BY 1"""
+
+
+def _outcomes(read: DataFrame, rejects: DataFrame) -> DataFrame:
+    both = read.select(F.lit("read").alias("outcome")).unionByName(rejects.select(F.col("reason").alias("outcome")))
+    return both.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("S4_unreadable_metrics", BROKEN_SQL)
+def s4_unreadable(spark, d):
+    return _outcomes(*flatten_otlp_metrics(broken_documents(spark, d, METRIC_DOCUMENT)))
+
+
+@query("S5_unreadable_logs", BROKEN_SQL)
+def s5_unreadable(spark, d):
+    return _outcomes(*flatten_otlp_logs(broken_documents(spark, d, LOG_DOCUMENT)))
+
+
+@query(
+    "S4_nested_labels",
+    """SELECT event_id, '{"values":[{"stringValue":"a"},{"intValue":"2"}]}' AS berths FROM events WHERE event_id % 6 = 0""",
+)
+def s4_nested(spark, d):
+    samples, _ = flatten_otlp_metrics(broken_documents(spark, d, METRIC_DOCUMENT))
+    return samples.select("event_id", F.col("labels")["berths"].alias("berths"))
