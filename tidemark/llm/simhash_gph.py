@@ -278,20 +278,24 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     return grouped.mapInArrow(run, "u long, v long").distinct()
 
 
-def classes(rows: DataFrame, radius: int) -> DataFrame:
-    """For rows of fingerprints(): every ``fp`` with the ``first`` row (missing, doc_id, text_hash) of its component."""
+def components_of(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows of fingerprints(): every ``fp`` with its ``root``, and every root with the ``first`` row of its component.
+
+    First rows are structs (missing, doc_id, text_hash).
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("first")
     nodes = stored(rows.groupBy("fp").agg(first).withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     stars = components(links(nodes, radius))
     placed = nodes.join(stars.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    firsts = placed.groupBy("root").agg(F.min("first").alias("first"))
-    return placed.select("fp", "root").join(firsts, "root").select("fp", "first")
+    placed = stored(placed.select("fp", "root", "first"), "components")
+    return placed.select("fp", "root"), placed.groupBy("root").agg(F.min("first").alias("first"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, words64: int = 1) -> DataFrame:
     """doc_id, text_hash, fp and ``first`` (the first row of its component) of every row."""
     rows = stored(fingerprints(docs, shingle, words64), "fingerprint-rows")
-    return rows.join(classes(rows, radius), "fp")
+    placed, firsts = components_of(rows, radius)
+    return rows.join(placed.join(firsts, "root").drop("root"), "fp")
 
 
 def keep_first(docs: DataFrame, radius: int = 16, shingle: int = 5, words64: int = 2) -> DataFrame:
@@ -302,7 +306,7 @@ def keep_first(docs: DataFrame, radius: int = 16, shingle: int = 5, words64: int
     and unrelated texts (64 bits apart) practically never.
     """
     rows = stored(fingerprints(docs, shingle, words64), "fingerprint-rows")
-    kept = classes(rows, radius).select("first").distinct()
+    kept = components_of(rows, radius)[1]
     keys = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     text = F.col("text").cast("string")
     hashed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(text, text.isNull()).alias("_text"))
