@@ -32,7 +32,7 @@ from tidemark.llm.rows import stored, texts, words
 
 WIDTH = 10
 BLOCK_WORDS = 500_000
-SEGMENT_WORDS = 400_000
+SEGMENT_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], row: str | None =
                 terms.append(number[known])
                 places.append((known + at).astype(np.int32))
                 at += len(found) + 1  # a place without a word, so that no phrase runs into the next document
-                if at >= SEGMENT_WORDS or len(keys) >= 20_000:
+                if at >= SEGMENT_WORDS or len(keys) >= 10_000:
                     yield segment()
                     keys, rows, sizes, terms, places, at = [], [], [], [], [], 0
         if keys:

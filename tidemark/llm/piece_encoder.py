@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 SLOTS = 1 << 21
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 

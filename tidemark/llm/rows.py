@@ -79,6 +79,11 @@ def unpacked(df: DataFrame) -> DataFrame:
 
 
 def worker_cache(name: str) -> dict[Any, Any]:
-    """A dict that lives as long as its Python process; functions arrive by value, so module globals do not."""
+    """A dict that lives as long as its Python process; functions arrive by value, so module globals do not.
+
+    A process serves one operator after the other: what another one kept is dropped.
+    """
     module = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker"))
-    return module.__dict__.setdefault(name, {})
+    if getattr(module, "owner", None) != name:
+        module.owner, module.kept = name, {}
+    return module.kept

@@ -28,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.rows import texts, words
+from tidemark.llm.rows import texts, words, worker_cache
 
 FOLDS = 5
+KNOWN = 4_000  # votes that a task remembers
 
 
 @dataclass(frozen=True)
@@ -244,7 +245,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        known: dict[tuple, tuple[float, list[dict]]] = {}
+        known: dict[tuple, tuple[float, list[dict]]] = worker_cache("votes")
+        known.clear()
         number = model.terms
         for batch in batches:
             scores, evidence = [], []
@@ -257,7 +259,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                 counts = Counter(hits)
                 key = tuple(sorted(counts.items()))
                 if key not in known:
-                    if len(known) >= 20_000:
+                    if len(known) >= KNOWN:
                         known.clear()
                     known[key] = vote(model, counts)
                 scores.append(known[key][0])
@@ -285,7 +287,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        known: dict[tuple, float] = {}
+        known: dict[tuple, float] = worker_cache("votes")
+        known.clear()
         number = model.terms
         for batch in batches:
             keep = []
@@ -293,7 +296,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 counts = Counter(number[w] for w in words(text) if w in number)
                 key = tuple(sorted(counts.items()))
                 if key not in known:
-                    if len(known) >= 20_000:
+                    if len(known) >= KNOWN:
                         known.clear()
                     known[key] = vote(model, counts)[0] if counts else model.base
                 keep.append(known[key] < 0.5)
