@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timebin import in_window
 from tidemark.operators import aggregate, alerts, series
+from tidemark.operators.views import trace_spans
+from tidemark.session import scratch_path
 from tidemark.workload.adapters import counters, table
 from tidemark.workload.alerts import notifications
 from tidemark.workload.registry import load_all
@@ -67,3 +69,11 @@ def test_throttle_ranks_before_the_shuffle(spark, sf_dir):
 def test_latest_combines_before_the_shuffle(spark, sf_dir):
     text = plan_text(aggregate.latest_by(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", ["o_totalprice"]))
     assert "partial_max_by" in text and text.count("Exchange hashpartitioning") == 1
+
+
+def test_trace_filter_reaches_the_scan(spark):
+    path = scratch_path(spark, "logs")
+    spark.createDataFrame([(datetime(2024, 1, 1), "{}", "a" * 32)], "Timestamp timestamp, Body string, TraceId string").write.parquet(path)
+    text = plan_text(trace_spans(spark.read.parquet(path), "b" * 32))
+    pushed = next(x for x in text.split("\n") if "PushedFilters" in x)
+    assert "EqualTo(TraceId," in pushed and "IsNull(TraceId)" in pushed

@@ -15,7 +15,6 @@ from tidemark.sinks.registry import latest_schemas, register_schema
 from tidemark.sinks.routed import read_routed, write_routed
 from tidemark.sources.otlp_metrics import flatten_otlp_metrics
 from tidemark.sources.typed_csv import parse_header, read_typed_csv
-from tidemark.streaming.state import StateTable
 
 UTC = timezone.utc
 
@@ -196,16 +195,3 @@ def test_rollup_sql_binds_parameters(spark):
     plans.run_rollup_sql(spark, body, windows, {"region": "e"}, target, scratch_path(spark, "ledger"), "r")
     row = spark.read.parquet(target).first()
     assert (row["n"], row["region"]) == (2, "e")
-
-
-def test_state_table_retries_and_folds(spark):
-    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
-    table = StateTable(spark, scratch_path(spark, "state"), ["k"], schema, full_every=3)
-    want = {}
-    for batch in range(8):
-        before = table.load(batch)
-        assert {r["k"]: r["v"] for r in before.collect()} == want
-        changed = {f"k{batch % 4}": batch, "hot": batch}
-        for _ in range(2):  # a retried batch writes the same state
-            table.save(batch, before, spark.createDataFrame(list(changed.items()), schema))
-        want |= changed

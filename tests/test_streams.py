@@ -10,7 +10,7 @@ from tidemark.operators.series import increase
 from tidemark.operators.views import create_log_view
 from tidemark.session import delete_path, scratch_path
 from tidemark.streaming import jobs
-from tidemark.workload.stream import finish, read_stream
+from tidemark.workload.stream import finish, read_stream, written
 
 
 def feed(spark, batches, schema):
@@ -45,11 +45,10 @@ def test_partial_lines_wait_across_batches(spark):
     lines = [("s", i, i % 7 != 6, f"{i},") for i in range(40)] + [("t", i, False, "x") for i in range(3)]
     schema = "stream string, offset long, is_partial boolean, message string"
     path = feed(spark, [lines[:5], lines[5:6], lines[6:30], lines[30:]], schema)
-    out = scratch_path(spark, "out")
-    finish(jobs.reassemble_stream(read_stream(spark, path), ["stream"], out, scratch_path(spark, "state"), scratch_path(spark, "cp")))
+    got = written(spark, jobs.reassemble_stream(read_stream(spark, path), ["stream"])).filter("NOT cut")
     batch = reassemble_lines(spark.createDataFrame(lines, schema), ["stream"])
     want = sorted((r["stream"], r["offset"], r["message"]) for r in batch.collect())
-    assert sorted((r["stream"], r["offset"], r["message"]) for r in spark.read.parquet(out).collect()) == want
+    assert sorted((r["stream"], r["offset"], r["message"]) for r in got.collect()) == want
 
 
 def test_stream_increase_matches_batch_and_diverts_late_rows(spark):
@@ -58,12 +57,31 @@ def test_stream_increase_matches_batch_and_diverts_late_rows(spark):
     late = [(0, start + timedelta(minutes=1, seconds=5), 5.0)]
     schema = "SeriesId long, Timestamp timestamp, Value double"
     path = feed(spark, [rows[:20], rows[20:55], late + rows[55:]], schema)
-    out = scratch_path(spark, "out")
-    finish(jobs.stream_increase(read_stream(spark, path), out, scratch_path(spark, "state"), scratch_path(spark, "cp")))
+    got = written(spark, jobs.stream_increase(read_stream(spark, path)))
     batch = increase(spark.createDataFrame(rows, schema), "prometheus")
-    got = spark.read.parquet(f"{out}/samples").select("SeriesId", "Timestamp", "Value")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select("SeriesId", "Timestamp", "Value").collect()))
-    assert [r["Value"] for r in spark.read.parquet(f"{out}/late").collect()] == [5.0]
+    columns = ["SeriesId", "Timestamp", "Value"]
+    assert sorted(map(tuple, got.filter("NOT late").select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+    assert [r["Value"] for r in got.filter("late").collect()] == [5.0]
+
+
+def state_rows(spark, checkpoint):
+    return spark.read.format("statestore").load(checkpoint).count()
+
+
+def test_finished_messages_leave_no_state(spark):
+    lines = [(f"s{i}", i, False, "whole") for i in range(20)] + [("open", 100, True, "part")]
+    path = feed(spark, [lines], "stream string, offset long, is_partial boolean, message string")
+    checkpoint = scratch_path(spark, "cp")
+    stream = jobs.reassemble_stream(read_stream(spark, path), ["stream"])
+    finish(stream.writeStream.format("parquet").option("path", scratch_path(spark, "out")).option("checkpointLocation", checkpoint))
+    assert state_rows(spark, checkpoint) == 1
+
+
+def test_endless_message_is_cut(spark):
+    lines = [("s", i, True, "0123456789") for i in range(25)] + [("s", 25, False, "!")]
+    path = feed(spark, [lines[:13], lines[13:]], "stream string, offset long, is_partial boolean, message string")
+    got = written(spark, jobs.reassemble_stream(read_stream(spark, path), ["stream"], longest=100))
+    assert sorted((r["offset"], len(r["message"]), r["cut"]) for r in got.collect()) == [(9, 100, True), (19, 100, True), (25, 51, False)]
 
 
 def test_flooding_id_gives_one_alert(spark):

@@ -57,7 +57,8 @@ def trace_spans(
     if start is not None and end is not None:
         rows = rows.filter(in_window(F.col("Timestamp"), start, end))
     if trace_id is not None:
-        rows = rows.filter((F.col("TraceId") == trace_id) | (F.coalesce("TraceId", F.lit("")) == ""))
+        own = F.col("TraceId")  # plain comparisons reach the file filters
+        rows = rows.filter((own == trace_id) | (own == "") | own.isNull())
     read = parse_once(rows.select("Timestamp", "Body"), F.from_json("Body", SPAN_DOCUMENT))
     if trace_id is not None:
         read = read.filter(F.col("SpanContext.TraceID") == trace_id)

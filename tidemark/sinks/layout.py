@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidemark.session import delete_path, stored
+
 # Smallest batch worth writing and most files in a batch.
 TARGET_BYTES = 100 * 1024 * 1024
 MAX_FILES = 25
-# Most ranges of one write, and most folder names sent to every executor.
-MAX_RANGES = 100_000
-MAX_BROADCAST_FOLDERS = 50_000
 
 
 def layout_order(columns: list[str]) -> list[str]:
@@ -23,7 +22,7 @@ def range_partitions(df: DataFrame, target_bytes: int = TARGET_BYTES) -> int:
     """Partitions for a range shuffle: the session's setting, or more when the planner's size estimate asks for it."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(configured, -(-estimate // target_bytes)), MAX_RANGES)
+    return max(configured, -(-estimate // target_bytes))
 
 
 def write_layout(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -78,29 +77,26 @@ def compact(
 ) -> DataFrame:
     """Rewrite small files into files of about ``target_bytes`` and return the plan they were chosen by.
 
-    Without ``out`` only the folders of small files are rewritten, in place, by
-    dynamic partition overwrite. With ``out`` the whole table is written there.
-    Rows are rebalanced by partition: the adaptive plan merges what is small and
-    splits what is large, so a partition holding most of the table is written by
-    many tasks.
+    Without ``out`` only the folders of small files are rewritten, in place: the new files
+    are added first, then exactly the files they replace are removed, so what other
+    writers add meanwhile stays. Until the removal ends a reader may see rows of a folder
+    twice; a run that dies in between is finished by removing the files of its plan.
+    With ``out`` the whole table is written there. Rows are rebalanced by partition: the
+    adaptive plan merges what is small and splits what is large, so a partition holding
+    most of the table is written by many tasks.
     """
-    plan = plan_compaction(list_files(spark, path), target_bytes, max_files)
+    plan = stored(plan_compaction(list_files(spark, path), target_bytes, max_files), "compaction")
     rows = spark.read.parquet(path)
     columns = rows.columns
+    small = plan.filter("small").select(F.col("file").alias("_file"))
     if out is None:
         if not partition_by:
             raise ValueError("compaction in place needs a partitioned table")
-        small = plan.filter("small").select(F.col("folder").alias("_folder")).distinct()
-        if small.limit(MAX_BROADCAST_FOLDERS + 1).count() <= MAX_BROADCAST_FOLDERS:
-            small = F.broadcast(small)
-        own = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-        rows = rows.withColumn("_folder", own).join(small, "_folder", "left_semi").select(*columns)
+        rows = rows.withColumn("_file", F.col("_metadata.file_path")).join(small, "_file", "left_semi").select(*columns)
     balanced = rows.hint("rebalance", *(partition_by or []))
-    writer = balanced.write.mode("overwrite")
+    writer = balanced.write.mode("append" if out is None else "overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    if out is None:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
     advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(advisory)
     spark.conf.set(advisory, str(target_bytes))
@@ -108,6 +104,9 @@ def compact(
         writer.parquet(out or path)
     finally:
         spark.conf.set(advisory, before)
+    if out is None:
+        for row in small.toLocalIterator():
+            delete_path(spark, row["_file"])
     return plan
 
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.alerts import AlertRule, to_notifications
-from tidemark.operators.logs import apply_transforms, reassemble_lines, withheld_lines
-from tidemark.operators.series import SLICE_SECONDS, increase
+from tidemark.operators.logs import apply_transforms
 from tidemark.sinks.routed import with_destination
-from tidemark.streaming.state import StateTable
 
 
 def stream_rollup(
@@ -67,79 +67,85 @@ def stream_ingest(
     return sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def reassemble_stream(
-    sdf: DataFrame, keys: list[str], out: str, state: str, checkpoint: str,
-    order: str = "offset", message: str = "message", slice_width: int = 100_000,
-) -> DataStreamWriter:
-    """Join partial lines across micro-batches; unfinished messages wait in the state table.
+def _output_schema(sdf: DataFrame, without: tuple[str, ...], mark: str) -> T.StructType:
+    """The stream's own columns, all nullable, and a boolean mark."""
+    fields = [T.StructField(f.name, f.dataType) for f in sdf.schema.fields if f.name not in without]
+    return T.StructType([*fields, T.StructField(mark, T.BooleanType())])
 
-    Positions grow within a stream, and an unfinished message is kept as one
-    partial line at the position of its last part.
-    """
-    kinds = {f.name: f.dataType for f in sdf.schema.fields}
-    schema = T.StructType([T.StructField(c, kinds[c]) for c in (*keys, order, message)])
-    columns = sdf.columns
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        table = StateTable(spark, state, keys, schema)
-        before = table.load(batch_id)
-        touched = batch.select(*keys).distinct()
-        carried = before.filter(F.col(message).isNotNull()).join(touched, keys, "left_semi").withColumn(
-            "is_partial", F.lit(True)
-        )
-        lines = batch.unionByName(carried, allowMissingColumns=True).select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            reassemble_lines(lines, keys, order, message, slice_width).drop("parts").write.mode("overwrite").parquet(
-                f"{out}/batch={batch_id}"
-            )
-            tails = withheld_lines(lines, keys, order, message, slice_width).drop("parts")
-            changed = touched.join(tails, keys, "left")
-            table.save(batch_id, before, changed)
-        finally:
-            lines.unpersist()
-
-    return sdf.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
+def reassemble_stream(
+    sdf: DataFrame, keys: list[str], order: str = "offset", message: str = "message",
+    longest: int = 1 << 20, idle_ms: int | None = None,
+) -> DataFrame:
+    """Join partial lines across micro-batches; an unfinished message waits in the state of its stream.
 
-def stream_increase(
-    sdf: DataFrame, out: str, state: str, checkpoint: str, slice_seconds: int = SLICE_SECONDS
-) -> DataStreamWriter:
+    Positions grow within a stream. A message that reaches ``longest`` characters without
+    an end is given out as it is, with ``cut`` set, and so is one whose stream has been
+    idle for ``idle_ms``; a finished message leaves no state.
+    """
+    out = _output_schema(sdf, ("is_partial",), "cut")
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            at, text = state.get
+            state.remove()
+            yield pd.DataFrame([dict(zip(keys, key)) | {order: at, message: text, "cut": True}]).reindex(columns=out.names)
+            return
+        rows = pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable")
+        at, text = state.get if state.exists else (None, "")
+        done = []
+        for row in rows.to_dict("records"):
+            text, at = text + (row[message] or ""), int(row[order])
+            if not row["is_partial"] or len(text) >= longest:
+                done.append(row | {message: text, "cut": bool(row["is_partial"])})
+                text, at = "", None
+        if at is not None:
+            state.update((at, text))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(done, columns=out.names)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return sdf.groupBy(*keys).applyInPandasWithState(run, out, f"at long, {message} string", "append", timeout)
+
+
+def stream_increase(sdf: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Counter increase with the previous sample of each series as state.
 
-    A reset counts from zero, because the following sample is not known yet.
-    Rows not newer than the state of their series go to ``out/late``.
+    A reset counts from zero, because the following sample is not known yet. Rows not
+    newer than the state of their series come out unchanged with ``late`` set. A series
+    idle for ``idle_ms`` is forgotten and starts anew.
     """
-    state_schema = T.StructType(
-        [
-            T.StructField("SeriesId", T.LongType()),
-            T.StructField("Timestamp", T.TimestampType()),
-            T.StructField("Value", T.DoubleType()),
-        ]
-    )
-    columns = sdf.columns
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        table = StateTable(spark, state, ["SeriesId"], state_schema)
-        before = table.load(batch_id)
-        known = before.select("SeriesId", F.col("Timestamp").alias("_seen"))
-        rows = batch.filter(~F.isnan("Value")).join(known, "SeriesId", "left").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            is_late = F.coalesce(F.col("Timestamp") <= F.col("_seen"), F.lit(False))
-            fresh = rows.filter(~is_late).select(*columns)
-            touched = fresh.select("SeriesId").distinct()
-            carried = before.join(touched, "SeriesId", "left_semi").withColumn("_carried", F.lit(True))
-            lines = fresh.withColumn("_carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
-            grown = increase(lines, "prometheus", slice_seconds).filter(~F.col("_carried")).select(*columns)
-            grown.write.mode("overwrite").parquet(f"{out}/samples/batch={batch_id}")
-            rows.filter(is_late).select(*columns).write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
-            newest = fresh.groupBy("SeriesId").agg(F.max(F.struct("Timestamp", "Value")).alias("_s"))
-            table.save(batch_id, before, newest.select("SeriesId", "_s.*"))
-        finally:
-            rows.unpersist()
-
-    return sdf.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    out = _output_schema(sdf, (), "late")
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts), ignore_index=True).sort_values(["Timestamp", "Value"], kind="stable", ignore_index=True)
+        micros = rows["Timestamp"].astype("datetime64[us]").astype("int64")
+        seen = state.get if state.exists else None
+        late = micros <= seen[0] if seen else pd.Series(False, index=rows.index)
+        fresh = rows[~late]
+        if len(fresh):
+            value = fresh["Value"]
+            before = value.shift(1)
+            if seen:
+                before.iloc[0] = seen[1]
+            grown = (value - before).mask(value < before, value)
+            if not seen:
+                grown.iloc[0] = 0.0
+            rows.loc[~late, "Value"] = grown
+            state.update((int(micros[~late].iloc[-1]), float(value.iloc[-1])))
+        if idle_ms and state.exists:
+            state.setTimeoutDuration(idle_ms)
+        yield rows.assign(late=late)[out.names]
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    clean = sdf.filter(~F.isnan("Value"))
+    return clean.groupBy("SeriesId").applyInPandasWithState(run, out, "at long, last double", "append", timeout)
 
 
 def stream_alerts(

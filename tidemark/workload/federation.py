@@ -67,7 +67,7 @@ def v8(spark, d):
     root = scratch_path(spark, "members")
     rows.write.partitionBy("n_regionkey").parquet(root)
     members = {}
-    for r in range(5):
+    for (r,) in table(spark, d, "region").select("r_regionkey").toLocalIterator():
         base = f"{root}-e{r}"
         spark.read.parquet(f"{root}/n_regionkey={r}").write.parquet(f"{base}/Customers")
         members[f"e{r}"] = base

@@ -338,9 +338,9 @@ def l13(spark, d):
 )
 def l14(spark, d):
     lines = stream_lines(spark, d).select("file", F.col("offset").alias("event_id"))
-    static = table(spark, d, "region").filter(F.col("r_regionkey") < 2).select(
+    static = table(spark, d, "region").select(  # the other regions' targets fit no pod
         F.col("r_regionkey").alias("id"),
-        F.when(F.col("r_regionkey") == 0, F.lit("building")).otherwise("").alias("namespace"), F.lit("").alias("name"),
+        F.when(F.col("r_regionkey") == 0, F.lit("building")).when(F.col("r_regionkey") == 1, "").otherwise(F.lower("r_name")).alias("namespace"), F.lit("").alias("name"),
         F.when(F.col("r_regionkey") == 1, F.create_map(F.lit("tier"), F.lit("1"))).otherwise(F.create_map().cast("map<string,string>")).alias("labels"),
         F.when(F.col("r_regionkey") == 0, F.lit("Static")).otherwise("Tier").alias("database"),
         F.when(F.col("r_regionkey") == 0, F.lit("B")).otherwise("One").alias("table"),

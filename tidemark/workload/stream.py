@@ -40,6 +40,14 @@ def finish(writer) -> None:
     running.awaitTermination()
 
 
+def written(spark, sdf: DataFrame) -> DataFrame:
+    """What a stream gives out over what is there, stored."""
+    out = scratch_path(spark, "stream-out")
+    writer = sdf.writeStream.outputMode("append").format("parquet").option("path", out)
+    finish(writer.option("checkpointLocation", scratch_path(spark, "checkpoint")))
+    return spark.read.schema(sdf.schema).parquet(out)
+
+
 @query(
     "T1_stream_rollup",
     f"""SELECT {bin_sql("ts", 86400)} AS bin_us, event_type, round(sum(value), 6) AS total, count(*) AS n FROM events GROUP BY 1, 2
@@ -82,11 +90,7 @@ def t3(spark, d):
         (F.col("event_id") % 4 == 0).alias("is_partial"), F.concat("event_type", F.lit("#"), F.col("event_id").cast("string")).alias("message"),
     ]
     sdf = read_stream(spark, event_files(spark, d, columns)).drop("event_id")
-    out = scratch_path(spark, "stream-lines")
-    finish(
-        jobs.reassemble_stream(sdf, ["file"], out, scratch_path(spark, "state"), scratch_path(spark, "checkpoint"), slice_width=1000)
-    )
-    return spark.read.parquet(out).select("file", "offset", "message")
+    return written(spark, jobs.reassemble_stream(sdf, ["file"])).select("file", "offset", "message")
 
 
 @query("T4_stream_increase", change_sql("v", "SELECT sid AS series, epoch_us(ts) AS ts_us, round(v, 6) AS v FROM c"))
@@ -94,9 +98,7 @@ def t4(spark, d):
     value = F.when(F.col("event_id") % 97 == 0, F.col("value")).otherwise(F.col("event_id") + F.col("value") / 1000)
     columns = ["event_id", F.col("user_id").alias("SeriesId"), F.col("ts").alias("Timestamp"), value.alias("Value")]
     sdf = read_stream(spark, event_files(spark, d, columns)).drop("event_id")
-    out = scratch_path(spark, "stream-increase")
-    finish(jobs.stream_increase(sdf, out, scratch_path(spark, "state"), scratch_path(spark, "checkpoint")))
-    rows = spark.read.parquet(f"{out}/samples")
+    rows = written(spark, jobs.stream_increase(sdf)).filter("NOT late")
     return rows.select(F.col("SeriesId").alias("series"), us("Timestamp").alias("ts_us"), r6(F.col("Value")).alias("v"))
 
 
