@@ -195,7 +195,7 @@ def plain_fingerprint(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(prints, radius):
+def plain_components(prints, radius, alike=lambda a, b: True):
     root = list(range(len(prints)))
 
     def find(x):
@@ -205,7 +205,7 @@ def plain_components(prints, radius):
 
     for a in range(len(prints)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= radius:
+            if (prints[a] ^ prints[b]).bit_count() <= radius and alike(a, b):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return [find(x) for x in range(len(prints))]
@@ -251,6 +251,29 @@ def test_links_lose_nothing(spark, monkeypatch, limit):
         assert [stars.get(i, i) for i in range(len(prints))] == plain_components(prints, radius)
 
 
+@pytest.mark.parametrize("small", [64, 3])
+def test_near_copies_are_found_and_others_stay(spark, monkeypatch, small):
+    """Copies with a few words changed go; texts that share less than 0.8 of their shingles stay."""
+    monkeypatch.setattr(simhash_gph, "SMALL_GROUP", small)
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows, number = [], 0
+    for group in range(12):
+        base = list(rng.choice(vocabulary, 300))
+        for _ in range(8):
+            copy = list(base)
+            for at in rng.choice(300, rng.integers(0, 3), replace=False):
+                copy[at] = "changed"
+            rows.append((number, " ".join(copy)))
+            number += 1
+        half = base[:150] + list(rng.choice(vocabulary, 150))
+        rows.append((number, " ".join(half)))
+        number += 1
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash_gph.keep_first(source).collect()}
+    assert kept == {g * 9 for g in range(12)} | {g * 9 + 8 for g in range(12)}
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7), (2001, 2000)]
     stars = {r.u: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -355,7 +378,9 @@ def test_pipeline_against_plain_steps(spark, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     rows = sorted(plain_harmless(spark, source, labels), key=lambda r: r.doc_id)
     prints = [int.from_bytes(simhash_gph.fingerprint((r.text or "").encode(), 5, 2), "big") for r in rows]
-    rows = [r for at, (r, root) in enumerate(zip(rows, plain_components(prints, 16))) if at == root]
+    sets = [simhash_gph.shingles((r.text or "").encode(), 5) for r in rows]
+    alike = lambda a, b: prints[a] == prints[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    rows = [r for at, (r, root) in enumerate(zip(rows, plain_components(prints, 22, alike))) if at == root]
     rows = [r for r in rows if not brute_passages(r.text, items)[-1]]
     plan = plain_mix([(r.doc_id, r.text, r.source) for r in rows])
     mix = []

@@ -34,6 +34,8 @@ from tidemark.llm.rows import plain_words, stored, texts
 #: Fingerprints from which correlations and candidate counts are estimated.
 SAMPLE = 512
 LARGEST_GROUP = 20_000
+SMALL_GROUP = 64
+CLOSEST = 4
 MOST = 2  # largest threshold of a partition
 ROW_COST, COMPARE_COST = 1.0, 0.004  # of one signature row and of one comparison
 
@@ -238,8 +240,26 @@ def spanning_links(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Edges (u, v) between the nodes of distinct fingerprints: enough to connect all that are linked."""
+def closest_links(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """All links of a small group; of a larger one a spanning forest and each member's ``CLOSEST`` nearest."""
+    n, found = len(members), set()
+    large = n > SMALL_GROUP
+    for at in range(0, n, 64):
+        apart = np.bitwise_count(members[at : at + 64, None, :] ^ members[None, :, :]).sum(axis=2, dtype=np.int32)
+        for i, row in enumerate(apart, start=at):
+            row[i] = radius + 1
+            near = np.flatnonzero(row <= radius)
+            if large and len(near) > CLOSEST:
+                near = near[np.argsort(row[near], kind="stable")[:CLOSEST]]
+            found.update((min(i, j), max(i, j)) for j in near.tolist())
+    return sorted(found | {(min(p), max(p)) for p in spanning_links(members, radius)} if large else found)
+
+
+def links(nodes: DataFrame, radius: int, closest: bool = False) -> DataFrame:
+    """Edges (u, v) between the nodes of distinct fingerprints: enough to connect all that are linked.
+
+    With ``closest`` there are more of them, so that a later test of each edge can drop some.
+    """
     plan = make_plan(nodes, radius)
     if plan is None:
         return nodes.select(F.col("node").alias("u"), F.col("node").alias("v"))
@@ -256,7 +276,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
             if len(fps) < 2:
                 return []
             members = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1)
-            return [(ids[a], ids[b]) for a, b in spanning_links(members, radius)]
+            return [(ids[a], ids[b]) for a, b in (closest_links if closest else spanning_links)(members, radius)]
 
         def edges(found):
             return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["u", "v"])
@@ -278,14 +298,47 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     return grouped.mapInArrow(run, "u long, v long").distinct()
 
 
-def components_of(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+def shingles(text: bytes, k: int) -> set[bytes]:
+    found = plain_words(text)
+    return {b" ".join(found[i : i + k]) for i in range(max(1, len(found) - k + 1))}
+
+
+def similar_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges whose texts' shingle sets have at least this Jaccard similarity. Only texts with an edge are moved."""
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    wanted = nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    text = F.col("text").cast("string")
+    hashed = docs.select("doc_id", text.alias("text"), F.xxhash64(text, text.isNull()).alias("text_hash"))
+    found = hashed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    # Rows that repeat have the same text: any of them will do.
+    held = stored(found.groupBy("node").agg(F.any_value("text").alias("text")), "linked-texts")
+    pairs = edges.join(held.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(texts(batch.column(2)), texts(batch.column(3))):
+                a, b = shingles(a, shingle), shingles(b, shingle)
+                both = len(a & b)
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def components_of(
+    rows: DataFrame, radius: int, docs: DataFrame | None = None, shingle: int = 5, similarity: float = 0.0
+) -> tuple[DataFrame, DataFrame]:
     """Of rows of fingerprints(): every ``fp`` with its ``root``, and every root with the ``first`` row of its component.
 
-    First rows are structs (missing, doc_id, text_hash).
+    First rows are structs (missing, doc_id, text_hash). With ``docs``, links are kept only if the texts are similar.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("first")
     nodes = stored(rows.groupBy("fp").agg(first).withColumn("node", F.monotonically_increasing_id()), "fingerprints")
-    stars = components(links(nodes, radius))
+    edges = links(nodes, radius, closest=docs is not None)
+    if docs is not None:
+        edges = similar_edges(stored(edges, "links"), nodes, docs, shingle, similarity)
+    stars = components(edges)
     placed = nodes.join(stars.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed.select("fp", "root", "first"), "components")
     return placed.select("fp", "root"), placed.groupBy("root").agg(F.min("first").alias("first"))
@@ -298,15 +351,16 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, words64:
     return rows.join(placed.join(firsts, "root").drop("root"), "fp")
 
 
-def keep_first(docs: DataFrame, radius: int = 16, shingle: int = 5, words64: int = 2) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 22, shingle: int = 5, words64: int = 2, similarity: float = 0.8) -> DataFrame:
     """One document of each component, with all its columns.
 
     Fingerprints of 128 bits over five-word shingles: sets of Jaccard similarity 0.8 are
-    about 19 bits apart, so a radius of 16 links from a similarity of some 0.8 upwards,
-    and unrelated texts (64 bits apart) practically never.
+    about 19 bits apart and unrelated ones 64, so a radius of 22 finds nearly all pairs
+    from 0.8 upwards. What it finds is then held against the shingle sets themselves;
+    texts with equal fingerprints count as similar.
     """
     rows = stored(fingerprints(docs, shingle, words64), "fingerprint-rows")
-    kept = components_of(rows, radius)[1]
+    kept = components_of(rows, radius, docs, shingle, similarity)[1]
     keys = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     text = F.col("text").cast("string")
     hashed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(text, text.isNull()).alias("_text"))
