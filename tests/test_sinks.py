@@ -5,11 +5,12 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from tidemark.operators.alerts import throttle
 from tidemark.plans import rules as plans
 from tidemark.session import scratch_path
 from tidemark.sinks import layout
 from tidemark.sinks.documents import group_by_tag, merged_attributes, to_otlp_gauges
-from tidemark.sinks.evolving import append_evolving, read_evolving
+from tidemark.sinks.evolving import SCHEMA_LOG, append_evolving, current_schema, read_evolving
 from tidemark.sinks.fan_out import fan_out
 from tidemark.sinks.registry import latest_schemas, register_schema
 from tidemark.sinks.routed import read_routed, write_routed
@@ -195,3 +196,35 @@ def test_rollup_sql_binds_parameters(spark):
     plans.run_rollup_sql(spark, body, windows, {"region": "e"}, target, scratch_path(spark, "ledger"), "r")
     row = spark.read.parquet(target).first()
     assert (row["n"], row["region"]) == (2, "e")
+
+
+def test_chunks_are_bounded_in_bytes(spark):
+    rows = [(i, f"{i:04d}" + "x" * 996) for i in range(100)]
+    logs = spark.createDataFrame(rows, "time_ns long, text string").select(
+        "time_ns", F.create_map(F.lit("m"), F.col("text").cast("variant")).alias("body"), F.create_map(F.lit("tag"), F.lit("t").cast("variant")).alias("attributes")
+    )
+    batches = group_by_tag(logs, "tag", max_bytes=10_000).orderBy("chunk").collect()
+    assert max(sum(len(e["body"]) for e in b["entries"]) for b in batches) <= 11_100
+    assert [e["nanos"] for b in batches for e in b["entries"]] == list(range(100))
+
+
+def test_writers_that_add_columns_at_once_keep_both(spark):
+    path = scratch_path(spark, "evolving")
+    append_evolving(spark.sql("SELECT 1 AS a"), path)
+    for name in ("b", "c"):  # as if each had read the log before the other wrote
+        schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField(name, T.IntegerType())])
+        entry = spark.createDataFrame([(2, schema.json())], "version int, schema string")
+        entry.write.mode("append").json(f"{path}/{SCHEMA_LOG}")
+    assert current_schema(spark, path).names == ["a", "b", "c"]
+    append_evolving(spark.sql("SELECT 2 AS A, 3 AS C"), path)
+    assert read_evolving(spark, path).columns == ["a", "b", "c"]
+    assert sorted(map(tuple, read_evolving(spark, path).collect())) == [(1, None, None), (2, None, 3)]
+
+
+def test_throttle_with_a_large_cap(spark):
+    rows = spark.range(3000).select(
+        F.lit("ops/r").alias("source"), F.format_string("%05d", "id").alias("correlation_id"), F.lit("t").alias("title"), F.lit("d").alias("destination"),
+        F.lit("").alias("summary"), F.lit("").alias("description"), F.lit(1).cast("bigint").alias("severity"), F.create_map().cast("map<string,string>").alias("custom_fields"),
+    )
+    emitted, flags = throttle(rows, cap=1500)
+    assert sorted(r[0] for r in emitted.select("correlation_id").collect()) == [f"{i:05d}" for i in range(1500)] and flags.count() == 1

@@ -17,6 +17,8 @@ from tidemark.session import stored
 RESERVED_COLUMNS = ("title", "description", "severity", "recipient", "summary", "correlationid")
 MAX_TITLE = 512
 DEFAULT_CAP = 25
+# Spark's default for the largest rank that it filters before a shuffle; salts beyond it.
+GROUP_LIMIT, SALTS = 1000, 64
 
 
 @dataclass(frozen=True)
@@ -127,11 +129,17 @@ def throttle(
     """First ``cap`` notifications per rule, and one synthetic notification per rule that had more.
 
     The rank filter runs on the map side too, so a flooding rule ships at most
-    ``cap`` rows per task.
+    ``cap`` rows per task. Above the cap up to which Spark does that, rows are ranked
+    per (rule, salt) first.
     """
     order = order or ["correlation_id", "title"]
     per_rule = Window.partitionBy(rule).orderBy(*order)
-    ranked = notifications.withColumn("_n", F.row_number().over(per_rule))
+    few = notifications
+    if cap > GROUP_LIMIT:
+        salted = notifications.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+        few = salted.withColumn("_n", F.row_number().over(Window.partitionBy(rule, "_salt").orderBy(*order)))
+        few = few.filter(F.col("_n") <= cap).drop("_n", "_salt")
+    ranked = few.withColumn("_n", F.row_number().over(per_rule))
     emitted = ranked.filter(F.col("_n") <= cap).drop("_n")
     flooded = notifications.groupBy(rule).agg(F.count("*").alias("_count")).filter(F.col("_count") > cap)
     owners = ranked.filter(F.col("_n") <= 1).select(rule, F.col("destination").alias("_d"))

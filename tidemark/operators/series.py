@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.slices import time_slice, with_neighbours
 
@@ -72,21 +72,20 @@ def counter_totals(df: DataFrame, labels: dict[str, Column], slice_seconds: int
     return changed.groupBy(*[c.alias(n) for n, c in labels.items()]).agg(F.sum("Value").alias("total"))
 
 
-def snapshot_delta(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
+def snapshot_delta(df: DataFrame, keys: list[str], ts: str = "ts", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Change between successive snapshots of cumulative ``evaluations, duration_sum, duration_count``.
 
     A value below the previous one means a restart and counts from zero. The
-    average duration is 0 when nothing was counted. A snapshot table has one row
-    per key and interval, so the window per key stays small.
+    average duration is 0 when nothing was counted.
     """
-    w = Window.partitionBy(*keys).orderBy(ts)
+    names = ["evaluations", "duration_sum", "duration_count"]
+    around = with_neighbours(df.select(*keys, ts, *names), keys, [ts], names, time_slice(F.col(ts), slice_seconds), next_too=False)
 
     def grown(name: str) -> Column:
-        before = F.coalesce(F.lag(name).over(w), F.lit(0))
+        before = F.coalesce(F.col("_prev")[name], F.lit(0))
         return F.when(F.col(name) < before, F.col(name)).otherwise(F.col(name) - before)
 
-    names = ["evaluations", "duration_sum", "duration_count"]
-    changed = df.select(*keys, ts, *[grown(n).alias(n) for n in names])
+    changed = around.select(*keys, ts, *[grown(n).alias(n) for n in names])
     return changed.withColumn(
         "average_duration",
         F.when(F.col("duration_count") == 0, F.lit(0.0)).otherwise(F.col("duration_sum") / F.col("duration_count")),

@@ -1,7 +1,8 @@
 """Grouped export documents: OpenTelemetry gauges and tagged forward batches.
 
 A group never becomes one unbounded document. It is cut into time slices, and a
-slice into chunks of at most ``max_entries``, before its rows are listed.
+slice into chunks of at most ``max_entries`` entries and some ``max_bytes`` bytes,
+before its rows are listed.
 """
 
 from __future__ import annotations
@@ -14,21 +15,32 @@ from tidemark.schemas import DEFAULT_NAMING, Naming
 
 SLICE_SECONDS = 3600
 MAX_ENTRIES = 10_000
+MAX_BYTES = 16 * 1024 * 1024
+POINT_BYTES = 96  # of a point besides its attributes
 
 
 SUB_SLICES = 60
 
 
-def _chunked(df: DataFrame, keys: list[str], order: list[str], micros: Column, slice_seconds: int, max_entries: int) -> DataFrame:
+def _chunked(
+    df: DataFrame, keys: list[str], order: list[str], micros: Column, slice_seconds: int, max_entries: int | Column,
+    size: Column | None = None, max_bytes: int = MAX_BYTES,
+) -> DataFrame:
     """Add the time slice of each row and its chunk inside the slice.
 
     The position inside a slice is counted per sub-slice, so a tag or series
-    that fills a whole slice is still numbered by many tasks.
+    that fills a whole slice is still numbered by many tasks. With ``size`` the bytes
+    before a row are counted as well; a chunk ends where either count fills up.
     """
     sliced = df.withColumn("_begin", bin_micros(micros, slice_seconds))
     sub = floor_div(micros, max(1, slice_seconds * MICROS // SUB_SLICES))
     numbered = with_running_count(sliced, [*keys, "_begin"], order, F.lit(True), sub)
-    return numbered.withColumn("chunk", floor_div(F.col("_before"), max_entries).cast("int")).drop("_before", "_all")
+    numbered = numbered.withColumn("chunk", floor_div(F.col("_before"), max_entries).cast("int")).drop("_before", "_all")
+    if size is None:
+        return numbered
+    weighed = with_running_count(numbered, [*keys, "_begin"], order, size, sub)
+    full = floor_div(F.col("_before"), max_bytes).cast("int")
+    return weighed.withColumn("chunk", F.col("chunk") + full).drop("_before", "_all")
 
 
 def merged_attributes(cluster_labels: dict[str, str], added: dict[str, str]) -> dict[str, str]:
@@ -44,7 +56,7 @@ def _attribute_list(pairs: Column) -> Column:
 
 def to_otlp_gauges(
     samples: DataFrame, resource_attrs: dict[str, str], naming: Naming = DEFAULT_NAMING,
-    slice_seconds: int = SLICE_SECONDS, max_entries: int = MAX_ENTRIES,
+    slice_seconds: int = SLICE_SECONDS, max_entries: int = MAX_ENTRIES, max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """Gauge documents per metric and label set: ``name, slice_start, chunk, points, doc``.
 
@@ -55,7 +67,11 @@ def to_otlp_gauges(
     )
     pairs = F.sort_array(F.map_entries(public))
     rows = samples.select("name", pairs.alias("_attrs"), F.unix_millis("ts").alias("_ms"), "value")
-    chunked = _chunked(rows, ["name", "_attrs"], ["_ms", "value"], F.col("_ms") * F.lit(1000), slice_seconds, max_entries)
+    # All points of a document carry the same attributes, so a count bounds its bytes.
+    point_bytes = F.octet_length(F.to_json(_attribute_list(F.col("_attrs")))) + POINT_BYTES
+    entries = F.greatest(F.lit(1), F.least(F.lit(max_entries), floor_div(F.lit(max_bytes), point_bytes)))
+    micros = F.col("_ms") * F.lit(1000)
+    chunked = _chunked(rows, ["name", "_attrs"], ["_ms", "value"], micros, slice_seconds, entries)
     grouped = chunked.groupBy("name", "_attrs", "_begin", "chunk").agg(
         F.sort_array(F.collect_list(F.struct("_ms", "value"))).alias("_points")
     )
@@ -87,7 +103,7 @@ def to_otlp_gauges(
 
 
 def group_by_tag(
-    logs: DataFrame, tag_attr: str, slice_seconds: int = SLICE_SECONDS, max_entries: int = MAX_ENTRIES
+    logs: DataFrame, tag_attr: str, slice_seconds: int = SLICE_SECONDS, max_entries: int = MAX_ENTRIES, max_bytes: int = MAX_BYTES
 ) -> DataFrame:
     """Forward batches per tag: ``tag, slice_start, chunk, entries``; rows without the tag are ignored.
 
@@ -103,7 +119,8 @@ def group_by_tag(
         F.to_json("body").alias("body"),
     ).filter(F.col("tag") != "")
     micros = F.col("seconds") * F.lit(1_000_000)
-    chunked = _chunked(rows, ["tag"], ["time_ns", "body"], micros, slice_seconds, max_entries)
+    size = F.octet_length("body")
+    chunked = _chunked(rows, ["tag"], ["time_ns", "body"], micros, slice_seconds, max_entries, size, max_bytes)
     return (
         chunked.groupBy("tag", "_begin", "chunk")
         .agg(F.sort_array(F.collect_list(F.struct("seconds", "nanos", "body"))).alias("entries"))

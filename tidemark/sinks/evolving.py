@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -12,22 +13,25 @@ SCHEMA_LOG = "_schema_log"  # folders starting with an underscore are not read a
 
 
 def merge_schemas(old: T.StructType, new: T.StructType) -> T.StructType:
-    """Columns of ``old`` followed by the columns only ``new`` has; a changed type is an error."""
-    known = {f.name: f for f in old.fields}
+    """Columns of ``old`` followed by the columns only ``new`` has, whatever their case; a changed type is an error."""
+    known = {f.name.lower(): f for f in old.fields}
     for f in new.fields:
-        if f.name in known and known[f.name].dataType != f.dataType:
-            raise ValueError(f"column {f.name} changes type from {known[f.name].dataType} to {f.dataType}")
-    added = [f for f in new.fields if f.name not in known]
+        if f.name.lower() in known and known[f.name.lower()].dataType != f.dataType:
+            raise ValueError(f"column {f.name} changes type from {known[f.name.lower()].dataType} to {f.dataType}")
+    added = [f for f in new.fields if f.name.lower() not in known]
     return T.StructType([*old.fields, *added])
 
 
 def current_schema(spark: SparkSession, path: str) -> T.StructType | None:
-    """Schema of the table, from its schema log; null when the table does not exist."""
+    """Schema of the table, from its schema log; null when the table does not exist.
+
+    All entries count, the shortest first: two writers that add columns at once both keep theirs.
+    """
     if not path_exists(spark, f"{path}/{SCHEMA_LOG}"):
         return None
     log = spark.read.schema("version int, schema string").json(f"{path}/{SCHEMA_LOG}")
-    latest = log.orderBy(F.desc("version")).first()
-    return T.StructType.fromJson(json.loads(latest["schema"])) if latest else None
+    entries = [T.StructType.fromJson(json.loads(r["schema"])) for r in log.orderBy("version", "schema").collect()]
+    return reduce(merge_schemas, entries) if entries else None
 
 
 def append_evolving(df: DataFrame, path: str, partition_by: list[str] | None = None) -> T.StructType:
@@ -39,9 +43,9 @@ def append_evolving(df: DataFrame, path: str, partition_by: list[str] | None = N
     old = current_schema(spark, path)
     fresh = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     merged = fresh if old is None else merge_schemas(old, fresh)
-    present = set(df.columns)
+    present = {c.lower() for c in df.columns}
     aligned = df.select(
-        *[F.col(f.name) if f.name in present else F.lit(None).cast(f.dataType).alias(f.name) for f in merged.fields]
+        *[F.col(f.name).alias(f.name) if f.name.lower() in present else F.lit(None).cast(f.dataType).alias(f.name) for f in merged.fields]
     )
     writer = aligned.write.mode("append")
     if partition_by:
