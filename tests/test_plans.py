@@ -16,7 +16,7 @@ from tidemark.workload.registry import load_all
 # Queries that run user code or flatten nested documents in Arrow batches.
 PYTHON_QUERIES = {"L15_apply_transforms", "S5_flatten_otlp_logs", "L1_encode_otlp_logs"}
 # Queries whose build runs jobs of its own (writes, streams); their final read is not the plan of interest.
-EAGER = ("K", "T1", "T2", "T3", "T4", "T5", "W4", "W10", "S2", "S9", "V8", "Q8", "N8_run", "metrics_ingest")
+EAGER = ("K", "T1", "T2", "T3", "T4", "T5", "W4", "W10", "S2", "S9", "V8", "Q8", "N8_", "metrics_ingest", "logs_ingest")
 
 
 def plan_text(df) -> str:

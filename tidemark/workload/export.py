@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.labels import label_text
 from tidemark.operators.export import MetricExport, to_metrics, to_series
+from tidemark.sinks.documents import merged_attributes, to_otlp_gauges
+from tidemark.sources.otlp_metrics import flatten_otlp_metrics
 from tidemark.workload.adapters import table, us
 from tidemark.workload.aggregates import utc
 from tidemark.workload.registry import query
@@ -102,3 +104,18 @@ def x7(spark, d):
     text = F.array_join(F.transform("labels", lambda e: F.concat(e["name"], F.lit("="), e["value"], F.lit(";"))), "")
     sample = F.col("samples")[0]
     return out.select(text.alias("labels"), sample["timestamp"].alias("ts_ms"), sample["value"].alias("value"))
+
+
+@query(
+    "exporter_chain",
+    f"WITH {WIDE_SQL} SELECT name, count(*) AS points, round(sum(value), 4) AS total, 'c1' AS cluster, 'blue' AS stage FROM long GROUP BY 1",
+)
+def exporter_chain(spark, d):
+    """Query result to metrics to gauge documents, the explicit attributes over the cluster's labels; read back from the documents."""
+    metrics = to_metrics(wide_results(spark, d), CONFIG, NOW)
+    attributes = merged_attributes({"cluster": "c1", "stage": "green"}, {"stage": "blue"})
+    documents = to_otlp_gauges(metrics, attributes)
+    samples, _ = flatten_otlp_metrics(documents.select("doc"))
+    names = documents.select("name", *[F.get_json_object("doc", f"$.resourceMetrics[0].resource.attributes[{i}].value.stringValue").alias(n) for i, n in enumerate(("cluster", "stage"))])
+    totals = samples.groupBy("name").agg(F.count("*").alias("points"), F.round(F.sum("value"), 4).alias("total"))
+    return totals.join(names.distinct(), "name")

@@ -10,6 +10,8 @@ from tidemark.operators import logs as ops
 from tidemark.sources.containers import parse_container_lines, plain_lines
 from tidemark.sources.host_logs import filter_journal, route_kernel_records
 from tidemark.sources.spans import spans_to_logs
+from tidemark.session import scratch_path
+from tidemark.sinks.routed import write_routed
 from tidemark.workload.adapters import LOG_SQL, label_text, log_rows, node_meta, pod_meta, table
 from tidemark.workload.registry import query
 
@@ -365,3 +367,25 @@ def l15(spark, d):
         lambda df: df.mapInPandas(_shout, df.schema),
     ]
     return ops.apply_transforms(rows, steps)
+
+
+@query(
+    "logs_ingest_path",
+    """WITH s AS (SELECT user_id, event_id, event_id % 4 = 0 AS partial, event_type || '#' || CAST(event_id AS VARCHAR) AS m,
+        coalesce(sum(CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM events),
+      whole AS (SELECT user_id, string_agg(m, '' ORDER BY event_id) AS message FROM s GROUP BY user_id, g HAVING bool_or(NOT partial))
+    SELECT 'Logs' AS database, 'Pods' AS table_name, 'pod-' || CAST(c_custkey AS VARCHAR) AS pod, count(*) AS n, CAST(sum(strlen(message)) AS BIGINT) AS chars
+    FROM whole JOIN customer ON c_custkey = user_id WHERE c_custkey % 10 <> 9 AND c_custkey % 3 <> 0 GROUP BY 3""",
+)
+def logs_ingest_path(spark, d):
+    """Lines to whole messages, with their pod's values, parsed, routed, encoded, written to their tables and read back."""
+    lines = stream_lines(spark, d).select("file", "offset", "is_partial", "message", "time_ns")
+    owned = ops.enrich_pods(ops.reassemble_lines(lines, ["file"]).drop("parts"), pod_meta(spark, d))
+    none = F.create_map().cast("map<string,variant>")
+    shaped = ops.parse_messages(owned, ["json"]).withColumns({"attributes": none, "observed_ns": F.col("time_ns")})
+    root = scratch_path(spark, "logs")
+    write_routed(ops.encode_native_logs(ops.route_logs(shaped)), root)
+    stored = spark.read.parquet(root)
+    pod = F.get_json_object("Resource", "$.pod").alias("pod")
+    text = F.get_json_object("Body", "$.message")
+    return stored.groupBy("database", F.col("table").alias("table_name"), pod).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("chars"))
