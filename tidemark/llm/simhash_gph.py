@@ -5,12 +5,13 @@ most ``radius`` bits differ, for any thresholds that sum to ``radius - partition
 in at most the threshold in some partition (a threshold of -1 leaves a partition out).
 Each fingerprint chooses its thresholds by dynamic programming on candidate counts that a
 bounded sample estimates, is stored under its value in every partition, and is looked up
-under all values within the threshold. What meets is verified on the whole fingerprint.
+under all values within the threshold. What is looked up is verified, on the whole
+fingerprint, against what is stored there.
 
 Only distinct fingerprints take part. Rows meet by (partition, value); a value with more
 than ``LARGEST_GROUP`` rows is cut into chunks and each pair of chunks becomes a group of
 its own, so no task holds more than two chunks. A group gives a spanning forest of its
-links, never all pairs: a fingerprint that has been reached is not compared again.
+links, never all pairs.
 
 Null and empty texts have fingerprint zero, linked like any other. Null ids take part;
 a component's id is its smallest id, null only if all are. Repeated rows are copies of
@@ -37,7 +38,7 @@ LARGEST_GROUP = 20_000
 SMALL_GROUP = 64
 CLOSEST = 4
 MOST = 2  # largest threshold of a partition
-ROW_COST, COMPARE_COST = 1.0, 0.004  # of one signature row and of one comparison
+ROW_COST, COMPARE_COST = 1.5, 0.006  # of one signature row and of one comparison
 
 
 def hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
@@ -192,7 +193,7 @@ def thresholds(values: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def signatures(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """(key, node, fp): where each fingerprint is stored and looked up."""
+    """(key, node, role, fp): where each fingerprint is stored (role 1), looked up (2) or both (3)."""
     masks = [
         [np.array([sum(1 << b for b in c) for d in range(t + 1) for c in combinations(range(len(g)), d)], np.int64) for t in range(MOST + 1)]
         for g in plan.groups
@@ -204,55 +205,56 @@ def signatures(nodes: DataFrame, plan: Plan) -> DataFrame:
                 node, part = (batch.column(c).slice(at, 2048) for c in (0, 1))
                 values = values_of(bits_of(part.to_pylist()), plan.groups)
                 chosen = thresholds(values, plan)
-                keys, rows = [], []
+                keys, rows, roles = [], [], []
                 for i in range(len(plan.groups)):
                     base = np.int64(i) << np.int64(48)
-                    for t in range(-1, MOST + 1):
+                    keys.append(base | values[i])
+                    rows.append(np.arange(len(part)))
+                    roles.append(np.where(chosen[i] >= 0, 3, 1))
+                    for t in range(1, MOST + 1):
                         at_t = np.flatnonzero(chosen[i] == t)
                         if len(at_t):
-                            near = masks[i][max(t, 0)]
+                            near = masks[i][t][1:]  # the first is the value itself
                             keys.append((base | (values[i][at_t][:, None] ^ near[None, :])).ravel())
                             rows.append(np.repeat(at_t, len(near)))
+                            roles.append(np.full(len(at_t) * len(near), 2))
                 rows = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), node.take(rows), part.take(rows)], ["key", "node", "fp"])
-
-    return nodes.select("node", "fp").mapInArrow(run, "key long, node long, fp binary")
-
-
-def spanning_links(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of fingerprints (rows of 64-bit words) that differ in at most ``radius`` bits."""
-    n = len(members)
-    if n <= 256:
-        apart = np.bitwise_count(members[:, None, :] ^ members[None, :, :]).sum(axis=2)
-        if (apart <= radius).sum() == n:
-            return []
-    links, rest = [], np.arange(n)
-    while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            here = front.pop()
-            near = np.bitwise_count(members[rest] ^ members[here]).sum(axis=1) <= radius
-            if near.any():
-                hit = rest[near]
-                links += [(int(here), int(x)) for x in hit]
-                front += hit.tolist()
-                rest = rest[~near]
-    return links
-
-
-def closest_links(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """All links of a small group; of a larger one a spanning forest and each member's ``CLOSEST`` nearest."""
-    n, found = len(members), set()
-    large = n > SMALL_GROUP
-    for at in range(0, n, 64):
-        apart = np.bitwise_count(members[at : at + 64, None, :] ^ members[None, :, :]).sum(axis=2, dtype=np.int32)
-        for i, row in enumerate(apart, start=at):
-            row[i] = radius + 1
-            near = np.flatnonzero(row <= radius)
-            if large and len(near) > CLOSEST:
-                near = near[np.argsort(row[near], kind="stable")[:CLOSEST]]
-            found.update((min(i, j), max(i, j)) for j in near.tolist())
-    return sorted(found | {(min(p), max(p)) for p in spanning_links(members, radius)} if large else found)
+                role = pa.array(np.concatenate(roles).astype(np.int8))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), node.take(rows), role, part.take(rows)], ["key", "node", "role", "fp"])
+
+    return nodes.select("node", "fp").mapInArrow(run, "key long, node long, role byte, fp binary")
+
+
+def group_links(members: np.ndarray, roles: np.ndarray, radius: int, closest: bool) -> list[tuple[int, int]]:
+    """Links of the fingerprints of one group (rows of 64-bit words): those looked up against those stored.
+
+    A spanning forest of the links; with ``closest`` also the ``CLOSEST`` nearest of each
+    that is looked up, or all links if the group is small.
+    """
+    probes, held = np.flatnonzero(roles & 2), np.flatnonzero(roles & 1)
+    if not len(probes) or not len(held):
+        return []
+    found: set[tuple[int, int]] = set()
+    label = np.arange(len(members))
+    most = len(members) if len(members) <= SMALL_GROUP else CLOSEST
+    stored_words = members[held].T
+    step = max(1, (1 << 18) // len(held))
+    for at in range(0, len(probes), step):
+        some = probes[at : at + step]
+        apart = sum(np.bitwise_count(members[some, w][:, None] ^ stored_words[w][None, :]) for w in range(members.shape[1]))
+        near_all = (apart <= radius) & (held[None, :] != some[:, None])
+        for i in np.flatnonzero(near_all.any(axis=1)):
+            p, at_near = int(some[i]), np.flatnonzero(near_all[i])
+            near = held[at_near]
+            if closest:
+                order = np.argsort(apart[i, at_near], kind="stable")[:most]
+                found.update((min(p, q), max(p, q)) for q in near[order].tolist())
+            others, first = np.unique(label[near], return_index=True)
+            for other, q in zip(others.tolist(), near[first].tolist()):
+                if other != label[p]:
+                    label[label == other] = label[p]
+                    found.add((min(p, q), max(p, q)))
+    return sorted(found)
 
 
 def links(nodes: DataFrame, radius: int, closest: bool = False) -> DataFrame:
@@ -269,31 +271,31 @@ def links(nodes: DataFrame, radius: int, closest: bool = False) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.least(own, k) * F.col("chunks") + F.greatest(own, k))
     cells = met.join(large, "key", "left").withColumn("cell", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
-    grouped = cells.select("key", "cell", "node", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
+    grouped = cells.select("key", "cell", "node", "role", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
 
     def run(batches):
-        def flush(ids, fps):
+        def flush(ids, roles, fps):
             if len(fps) < 2:
                 return []
             members = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1)
-            return [(ids[a], ids[b]) for a, b in (closest_links if closest else spanning_links)(members, radius)]
+            return [(ids[a], ids[b]) for a, b in group_links(members, np.array(roles), radius, closest)]
 
         def edges(found):
             return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["u", "v"])
 
-        current, ids, fps, found = None, [], [], []
+        current, ids, roles, fps, found = None, [], [], [], []
         for batch in batches:
-            for key, cell, node, fp in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for key, cell, node, role, fp in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if (key, cell) != current:
-                    found += flush(ids, fps)
-                    current, ids, fps = (key, cell), [], []
-                if not ids or ids[-1] != node:
-                    ids.append(node)
-                    fps.append(fp)
+                    found += flush(ids, roles, fps)
+                    current, ids, roles, fps = (key, cell), [], [], []
+                ids.append(node)
+                roles.append(role)
+                fps.append(fp)
                 if len(found) >= 50_000:
                     yield edges(found)
                     found = []
-        yield edges(found + flush(ids, fps))
+        yield edges(found + flush(ids, roles, fps))
 
     return grouped.mapInArrow(run, "u long, v long").distinct()
 
