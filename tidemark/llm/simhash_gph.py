@@ -38,7 +38,7 @@ LARGEST_GROUP = 20_000
 SMALL_GROUP = 64
 CLOSEST = 4
 MOST = 2  # largest threshold of a partition
-ROW_COST, COMPARE_COST = 1.5, 0.006  # of one signature row and of one comparison
+ROW_COST, COMPARE_COST = 3.0, 0.0005  # of one signature row (its shuffle and disk) and of one comparison
 
 
 def hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
