@@ -274,6 +274,28 @@ def test_near_copies_are_found_and_others_stay(spark, monkeypatch, small):
     assert kept == {g * 9 for g in range(12)} | {g * 9 + 8 for g in range(12)}
 
 
+def test_all_links_of_large_groups_are_tested(spark, monkeypatch):
+    """A true pair whose nearest fingerprints are texts below the similarity: found however few links a round gives."""
+    monkeypatch.setattr(simhash_gph, "SMALL_GROUP", 2)
+    monkeypatch.setattr(simhash_gph, "CLOSEST", 1)
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = list(rng.choice(vocabulary, 200))
+    rows = []
+    for number in range(150):  # most pairs within the radius lie below 0.8
+        copy = list(base)
+        for at in rng.choice(20, 6, replace=False) * 10:
+            copy[at] = f"own{number}x{at}" if at % 40 == 0 else f"own{at}"
+        rows.append((number, " ".join(copy)))
+    prints = [int.from_bytes(simhash_gph.fingerprint(t.encode(), 5, 2), "big") for _, t in rows]
+    sets = [simhash_gph.shingles(t.encode(), 5) for _, t in rows]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    roots = plain_components(prints, 22, alike)
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash_gph.keep_first(source).collect()}
+    assert kept == set(roots) and 1 < len(kept) < len(rows)
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7), (2001, 2000)]
     stars = {r.u: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

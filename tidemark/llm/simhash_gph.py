@@ -20,6 +20,7 @@ each other. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -35,8 +36,11 @@ from tidemark.llm.rows import plain_words, stored, texts
 #: Fingerprints from which correlations and candidate counts are estimated.
 SAMPLE = 512
 LARGEST_GROUP = 20_000
+# Of verified links only the order of the tests: the first round gives all links of groups up to SMALL_GROUP, and
+# CLOSEST of each member of larger ones; each round that follows gives GROWTH times as many, until none is left out.
 SMALL_GROUP = 64
 CLOSEST = 4
+GROWTH = 16
 MOST = 2  # largest threshold of a partition
 ROW_COST, COMPARE_COST = 3.0, 0.0005  # of one signature row (its shuffle and disk) and of one comparison
 
@@ -225,18 +229,13 @@ def signatures(nodes: DataFrame, plan: Plan) -> DataFrame:
     return nodes.select("node", "fp").mapInArrow(run, "key long, node long, role byte, fp binary")
 
 
-def group_links(members: np.ndarray, roles: np.ndarray, radius: int, closest: bool) -> list[tuple[int, int]]:
-    """Links of the fingerprints of one group (rows of 64-bit words): those looked up against those stored.
-
-    A spanning forest of the links; with ``closest`` also the ``CLOSEST`` nearest of each
-    that is looked up, or all links if the group is small.
-    """
+def group_links(members: np.ndarray, roles: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links in one group (rows of 64-bit words): those looked up against those stored."""
     probes, held = np.flatnonzero(roles & 2), np.flatnonzero(roles & 1)
     if not len(probes) or not len(held):
         return []
     found: set[tuple[int, int]] = set()
     label = np.arange(len(members))
-    most = len(members) if len(members) <= SMALL_GROUP else CLOSEST
     stored_words = members[held].T
     step = max(1, (1 << 18) // len(held))
     for at in range(0, len(probes), step):
@@ -244,11 +243,8 @@ def group_links(members: np.ndarray, roles: np.ndarray, radius: int, closest: bo
         apart = sum(np.bitwise_count(members[some, w][:, None] ^ stored_words[w][None, :]) for w in range(members.shape[1]))
         near_all = (apart <= radius) & (held[None, :] != some[:, None])
         for i in np.flatnonzero(near_all.any(axis=1)):
-            p, at_near = int(some[i]), np.flatnonzero(near_all[i])
-            near = held[at_near]
-            if closest:
-                order = np.argsort(apart[i, at_near], kind="stable")[:most]
-                found.update((min(p, q), max(p, q)) for q in near[order].tolist())
+            p = int(some[i])
+            near = held[near_all[i]]
             others, first = np.unique(label[near], return_index=True)
             for other, q in zip(others.tolist(), near[first].tolist()):
                 if other != label[p]:
@@ -257,47 +253,118 @@ def group_links(members: np.ndarray, roles: np.ndarray, radius: int, closest: bo
     return sorted(found)
 
 
-def links(nodes: DataFrame, radius: int, closest: bool = False) -> DataFrame:
-    """Edges (u, v) between the nodes of distinct fingerprints: enough to connect all that are linked.
+def group_pairs(members: np.ndarray, roles: np.ndarray, labels: np.ndarray, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Links of one group between different labels: of each that is looked up, to the ``most`` nearest stored.
 
-    With ``closest`` there are more of them, so that a later test of each edge can drop some.
+    A bounded number of comparisons at a time: places of both ends, and whether links were left out.
     """
-    plan = make_plan(nodes, radius)
-    if plan is None:
-        return nodes.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    probes, held = np.flatnonzero(roles & 2), np.flatnonzero(roles & 1)
+    if not len(probes) or not len(held):
+        return
+    stored_words = members[held].T
+    step = max(1, (1 << 18) // len(held))
+    for at in range(0, len(probes), step):
+        some = probes[at : at + step]
+        apart = sum(np.bitwise_count(members[some, w][:, None] ^ stored_words[w][None, :]) for w in range(members.shape[1]))
+        near = (apart <= radius) & (labels[held][None, :] != labels[some][:, None])
+        cut = np.flatnonzero(near.sum(axis=1) > most)
+        for i in cut.tolist():
+            far_first = np.flatnonzero(near[i])
+            near[i, far_first[np.argsort(apart[i, far_first], kind="stable")[most:]]] = False
+        i, j = np.nonzero(near)
+        yield some[i], held[j], len(cut) > 0
+
+
+def group_rows(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(key, cell, node, role, fp) of all groups; keys with too many rows are cut into a cell per pair of chunks."""
     met = signatures(nodes, plan)
     large = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGEST_GROUP)
     large = large.select("key", F.ceil(F.col("n") / LARGEST_GROUP).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.least(own, k) * F.col("chunks") + F.greatest(own, k))
     cells = met.join(large, "key", "left").withColumn("cell", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
-    grouped = cells.select("key", "cell", "node", "role", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
+    return cells.select("key", "cell", "node", "role", "fp")
 
-    def run(batches):
-        def flush(ids, roles, fps):
-            if len(fps) < 2:
-                return []
-            members = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1)
-            return [(ids[a], ids[b]) for a, b in group_links(members, np.array(roles), radius, closest)]
 
+def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple[int, int], list[list]]]:
+    """The groups of rows sorted by (key, cell): both, and lists of the columns after them."""
+    current, held = None, [[] for _ in range(columns)]
+    for batch in batches:
+        for key, cell, *values in zip(*(batch.column(i).to_pylist() for i in range(columns + 2))):
+            if (key, cell) != current:
+                if current is not None:
+                    yield current, held
+                current, held = (key, cell), [[] for _ in range(columns)]
+            for column, value in zip(held, values):
+                column.append(value)
+    if current is not None:
+        yield current, held
+
+
+def as_words(fps: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1)
+
+
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Edges (u, v) between the nodes of distinct fingerprints: enough to connect all that are linked."""
+    plan = make_plan(nodes, radius)
+    if plan is None:
+        return nodes.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    rows = group_rows(nodes, plan).repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
+
+    def run(batches):
         def edges(found):
             return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["u", "v"])
 
-        current, ids, roles, fps, found = None, [], [], [], []
-        for batch in batches:
-            for key, cell, node, role, fp in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (key, cell) != current:
-                    found += flush(ids, roles, fps)
-                    current, ids, roles, fps = (key, cell), [], [], []
-                ids.append(node)
-                roles.append(role)
-                fps.append(fp)
-                if len(found) >= 50_000:
-                    yield edges(found)
-                    found = []
-        yield edges(found + flush(ids, roles, fps))
+        found = []
+        for _, (ids, roles, fps) in grouped(batches, 3):
+            if len(fps) > 1:
+                found += [(ids[a], ids[b]) for a, b in group_links(as_words(fps), np.array(roles), radius)]
+            if len(found) >= 50_000:
+                yield edges(found)
+                found = []
+        yield edges(found)
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
 
-    return grouped.mapInArrow(run, "u long, v long").distinct()
+
+def pairs_and_rest(rows: DataFrame, stars: DataFrame | None, radius: int, most: int, small: int) -> DataFrame:
+    """Of group_rows(): links (u, v) between nodes of different stars, and again the rows (v is null) of groups that have more of them.
+
+    Groups of at most ``small`` rows give all their links.
+    """
+    if stars is None:
+        labelled = rows.withColumn("label", F.col("node"))
+    else:
+        labelled = rows.join(stars.withColumnRenamed("u", "node"), "node", "left").withColumn("label", F.coalesce("root", "node"))
+    labelled = labelled.select("key", "cell", "node", "role", "fp", "label").repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
+    names = ["u", "v", "key", "cell", "role", "fp"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.binary()]
+
+    def run(batches):
+        def made(columns):
+            n = len(columns[0])
+            return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        waiting, size = [], 0
+        for (key, cell), (ids, roles, fps, labels) in grouped(batches, 4):
+            n, left_out = len(ids), False
+            if n < 2:
+                continue
+            node = np.array(ids, np.int64)
+            for a, b, cut in group_pairs(as_words(fps), np.array(roles), np.array(labels, np.int64), radius, n if n <= small else most):
+                left_out |= cut
+                waiting.append((np.minimum(node[a], node[b]), np.maximum(node[a], node[b])))
+                size += len(a)
+                if size >= 50_000:
+                    yield made([*map(np.concatenate, zip(*waiting)), None, None, None, None])
+                    waiting, size = [], 0
+            if left_out:
+                yield made([node, None, np.full(n, key), np.full(n, cell), roles, fps])
+        if waiting:
+            yield made([*map(np.concatenate, zip(*waiting)), None, None, None, None])
+
+    return labelled.mapInArrow(run, "u long, v long, key long, cell int, role byte, fp binary")
 
 
 def shingles(text: bytes, k: int) -> set[bytes]:
@@ -328,24 +395,52 @@ def similar_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle:
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def components_of(
-    rows: DataFrame, radius: int, docs: DataFrame | None = None, shingle: int = 5, similarity: float = 0.0
-) -> tuple[DataFrame, DataFrame]:
+def numbered(rows: DataFrame) -> DataFrame:
+    """The distinct fingerprints as nodes, each with its first row."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("first")
+    return stored(rows.groupBy("fp").agg(first).withColumn("node", F.monotonically_increasing_id()), "fingerprints")
+
+
+def components_of(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     """Of rows of fingerprints(): every ``fp`` with its ``root``, and every root with the ``first`` row of its component.
 
-    First rows are structs (missing, doc_id, text_hash). With ``docs``, links are kept only if the texts are similar.
+    First rows are structs (missing, doc_id, text_hash).
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("first")
-    nodes = stored(rows.groupBy("fp").agg(first).withColumn("node", F.monotonically_increasing_id()), "fingerprints")
-    edges = links(nodes, radius, closest=docs is not None)
-    if docs is not None:
-        edges = similar_edges(stored(edges, "links"), nodes, docs, shingle, similarity)
-    stars = components(edges)
-    placed = nodes.join(stars.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stored(placed.select("fp", "root", "first"), "components")
+    nodes = numbered(rows)
+    placed = stored(with_root(nodes, components(links(nodes, radius))), "components")
     return placed.select("fp", "root"), placed.groupBy("root").agg(F.min("first").alias("first"))
 
 
+def with_root(nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    placed = nodes.join(stars.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return placed.select("fp", "root", "first")
+
+
+def verified_stars(nodes: DataFrame, radius: int, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Components (u, root) over all links within the radius whose texts are similar.
+
+    Links are tested in rounds. A round gives, of each node in each group, the nearest nodes of other components that
+    are not tested yet; groups of which links were left out come again with larger numbers. At the end every link is
+    tested or lies within one component.
+    """
+    plan = make_plan(nodes, radius)
+    none = nodes.where("false").select(F.col("node").alias("u"), F.col("node").alias("root"))
+    if plan is None:
+        return none
+    rows, stars, tested, most, small = group_rows(nodes, plan), None, None, CLOSEST, SMALL_GROUP
+    while True:
+        given = stored(pairs_and_rest(rows, stars, radius, most, small), "links")
+        pairs = given.where("v is not null").select("u", "v").distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        alike = similar_edges(pairs, nodes, docs, shingle, similarity)
+        stars = components(alike if stars is None else alike.union(stars.select("u", F.col("root").alias("v"))))
+        rows = given.where("v is null").select("key", "cell", F.col("u").alias("node"), "role", "fp")
+        if rows.isEmpty():
+            return stars
+        most, small = most * GROWTH, 0
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, words64: int = 1) -> DataFrame:
     """doc_id, text_hash, fp and ``first`` (the first row of its component) of every row."""
     rows = stored(fingerprints(docs, shingle, words64), "fingerprint-rows")
@@ -362,7 +457,9 @@ def keep_first(docs: DataFrame, radius: int = 22, shingle: int = 5, words64: int
     texts with equal fingerprints count as similar.
     """
     rows = stored(fingerprints(docs, shingle, words64), "fingerprint-rows")
-    kept = components_of(rows, radius, docs, shingle, similarity)[1]
+    nodes = numbered(rows)
+    placed = with_root(nodes, verified_stars(nodes, radius, docs, shingle, similarity))
+    kept = placed.groupBy("root").agg(F.min("first").alias("first"))
     keys = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     text = F.col("text").cast("string")
     hashed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(text, text.isNull()).alias("_text"))
