@@ -296,6 +296,29 @@ def test_all_links_of_large_groups_are_tested(spark, monkeypatch):
     assert kept == set(roots) and 1 < len(kept) < len(rows)
 
 
+def test_repeats_neither_join_nor_part_texts(spark):
+    """Against all pairs of shingle sets, without fingerprints: filler over half of a text, and passages repeated in one copy."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    some = lambda n: " ".join(rng.choice(vocabulary, n))
+    rows = [f"{'filler ' * 400}{some(200)}" for _ in range(6)]
+    for _ in range(6):
+        text = some(300)
+        rows += [text, f"{text} {(text[:150] + ' ') * 20}", text.upper().replace(" ", "  ")]
+    sets = [simhash_gph.shingles(t.encode(), 5) for t in rows]
+    roots = plain_components([0] * len(rows), 0, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    source = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash_gph.keep_first(source).collect()} == set(roots) == {0, 1, 2, 3, 4, 5, 6, 9, 12, 15, 18, 21}
+
+
+def test_equal_fingerprints_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(simhash_gph, "print_of", lambda h, words64: bytes(8 * words64))
+    monkeypatch.setattr(simhash_gph, "LARGEST_GROUP", 4)
+    rows = [(i, " ".join(f"t{i // 2}x{j}" for j in range(30)) + " end" * (i % 2)) for i in range(12)]
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_gph.keep_first(source).collect()) == [0, 2, 4, 6, 8, 10]
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7), (2001, 2000)]
     stars = {r.u: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

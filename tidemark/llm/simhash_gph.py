@@ -8,7 +8,8 @@ bounded sample estimates, is stored under its value in every partition, and is l
 under all values within the threshold. What is looked up is verified, on the whole
 fingerprint, against what is stored there.
 
-Only distinct fingerprints take part. Rows meet by (partition, value); a value with more
+Only distinct fingerprints take part (with verification on texts, distinct pairs of
+fingerprint and set of shingles). Rows meet by (partition, value); a value with more
 than ``LARGEST_GROUP`` rows is cut into chunks and each pair of chunks becomes a group of
 its own, so no task holds more than two chunks. A group gives a spanning forest of its
 links, never all pairs.
@@ -75,8 +76,7 @@ def majority(h: np.ndarray) -> bytes:
     return np.packbits(counts * 2 > len(h)).tobytes() if len(h) else bytes(8)
 
 
-def fingerprint(text: bytes, shingle: int = 4, words64: int = 1, seed: int = 42) -> bytes:
-    h = hashes(text, shingle, seed)
+def print_of(h: np.ndarray, words64: int) -> bytes:
     parts = [majority(h)]
     for _ in range(words64 - 1):
         h = mixed_again(h)
@@ -84,18 +84,33 @@ def fingerprint(text: bytes, shingle: int = 4, words64: int = 1, seed: int = 42)
     return b"".join(parts)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, words64: int = 1) -> DataFrame:
-    """doc_id, ``text_hash`` and ``fp`` (8 * ``words64`` bytes) of every row."""
+def fingerprint(text: bytes, shingle: int = 4, words64: int = 1, seed: int = 42, repeats: bool = False) -> bytes:
+    """Of the set of a text's shingles; with ``repeats`` a shingle counts as often as it occurs."""
+    h = hashes(text, shingle, seed)
+    return print_of(h if repeats else np.unique(h), words64)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, words64: int = 1, repeats: bool = True) -> DataFrame:
+    """doc_id, ``text_hash``, ``fp`` (8 * ``words64`` bytes) and ``same`` of every row.
+
+    ``same`` tells what has one fingerprint apart: without ``repeats`` it is a 128-bit hash of the set of shingles,
+    so rows that share it have equal sets; with them it is null.
+    """
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t, shingle, words64) for t in texts(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], ["doc_id", "text_hash", "fp"])
+            fps, sets = [], []
+            for text in texts(batch.column(2)):
+                h = hashes(text, shingle, 42)
+                h = h if repeats else np.unique(h)
+                fps.append(print_of(h, words64))
+                sets.append(None if repeats else xxhash.xxh3_128_digest(h.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "text_hash", "fp", "same"])
 
     text = F.col("text").cast("string")
     source = docs.select("doc_id", F.xxhash64(text, text.isNull()).alias("text_hash"), text.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, text_hash long, fp binary")
+    return source.mapInArrow(run, f"doc_id {kind}, text_hash long, fp binary, same binary")
 
 
 @dataclass(frozen=True)
@@ -280,7 +295,7 @@ def group_rows(nodes: DataFrame, plan: Plan) -> DataFrame:
     met = signatures(nodes, plan)
     large = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGEST_GROUP)
     large = large.select("key", F.ceil(F.col("n") / LARGEST_GROUP).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.least(own, k) * F.col("chunks") + F.greatest(own, k))
     cells = met.join(large, "key", "left").withColumn("cell", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
     return cells.select("key", "cell", "node", "role", "fp")
@@ -396,9 +411,9 @@ def similar_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """The distinct fingerprints as nodes, each with its first row."""
+    """The distinct fingerprints (and sets of shingles) as nodes, each with its first row."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("first")
-    return stored(rows.groupBy("fp").agg(first).withColumn("node", F.monotonically_increasing_id()), "fingerprints")
+    return stored(rows.groupBy("fp", "same").agg(first).withColumn("node", F.monotonically_increasing_id()), "fingerprints")
 
 
 def components_of(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
@@ -443,20 +458,20 @@ def verified_stars(nodes: DataFrame, radius: int, docs: DataFrame, shingle: int,
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, words64: int = 1) -> DataFrame:
     """doc_id, text_hash, fp and ``first`` (the first row of its component) of every row."""
-    rows = stored(fingerprints(docs, shingle, words64), "fingerprint-rows")
+    rows = stored(fingerprints(docs, shingle, words64).drop("same"), "fingerprint-rows").withColumn("same", F.lit(None).cast("binary"))
     placed, firsts = components_of(rows, radius)
-    return rows.join(placed.join(firsts, "root").drop("root"), "fp")
+    return rows.drop("same").join(placed.join(firsts, "root").drop("root"), "fp")
 
 
 def keep_first(docs: DataFrame, radius: int = 22, shingle: int = 5, words64: int = 2, similarity: float = 0.8) -> DataFrame:
     """One document of each component, with all its columns.
 
-    Fingerprints of 128 bits over five-word shingles: sets of Jaccard similarity 0.8 are
-    about 19 bits apart and unrelated ones 64, so a radius of 22 finds nearly all pairs
-    from 0.8 upwards. What it finds is then held against the shingle sets themselves;
-    texts with equal fingerprints count as similar.
+    Fingerprints of 128 bits over the sets of five-word shingles: sets of Jaccard similarity
+    0.8 are about 19 bits apart and unrelated ones 64, so a radius of 22 finds nearly all
+    pairs from 0.8 upwards. What it finds, equal fingerprints too, is then held against the
+    shingle sets themselves; only texts with equal sets are taken together without that.
     """
-    rows = stored(fingerprints(docs, shingle, words64), "fingerprint-rows")
+    rows = stored(fingerprints(docs, shingle, words64, repeats=False), "fingerprint-rows")
     nodes = numbered(rows)
     placed = with_root(nodes, verified_stars(nodes, radius, docs, shingle, similarity))
     kept = placed.groupBy("root").agg(F.min("first").alias("first"))
