@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import collision_ann, context_tree, curriculum, html_density, license_scan, minimax_shards, phrase_index, simhash_gph, token_files, toxic_neighbours
+from tidemark.llm import (
+    collision_ann, context_tree, curriculum, hard_negatives, html_density, license_scan, minimax_shards, phrase_index, simhash_gph, spelling_variants, token_files,
+    toxic_neighbours, trusted_ratio,
+)
 from tidemark.llm.rows import table, tuned
 from tidemark.llm.stages import TOKENIZER
 from tidemark.session import configure
@@ -111,3 +114,36 @@ def op5_context_tree(spark, sf_dir):
 @query
 def op9_collision_ann(spark, sf_dir):
     return collision_ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_rotated_negatives(spark, sf_dir):
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), relabel=hard_negatives.shifted_label())
+
+
+SQL["op11_rotated_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS INTEGER) AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 50 * positive_score AND 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
+@query
+def op12_trusted_ratio(spark, sf_dir):
+    return trusted_ratio.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants.group_variants(table(spark, sf_dir, "documents"), misspell=199)
