@@ -55,10 +55,13 @@ def test_stored_metrics_shape(spark):
 
 
 def test_container_lines(spark):
-    stamp = "2021-07-01T00:00:00.000000000Z"
-    cri = [f"{stamp} stdout P log1 ", f"{stamp} stderr P e1 ", f"{stamp} stdout P log2 ", f"{stamp} stdout F log3", f"{stamp} stderr F ", f"{stamp} stdout P open"]
-    docker = [json.dumps({"log": t, "stream": "stdout", "time": stamp}) for t in ("log1 ", "log2 ", "log3\n", "tail")]
-    bad = [f"{stamp} stdout F", f"{stamp} stdout ", f"{stamp} ", stamp, "2021-07-01T stdout F logmsg", '{"a": "b"}']
+    stamp, at = "2024-05-06T07:08:09.000000001Z", 1714979289000000001
+    # A line is <time> <stdout or stderr> <P or F> <text>.
+    parts = [("stdout", "P", "left "), ("stderr", "P", "warn"), ("stdout", "P", "middle "), ("stdout", "F", "right"), ("stderr", "F", ""), ("stdout", "P", "never ended")]
+    cri = [" ".join([stamp, *p]) for p in parts]
+    docker = [json.dumps({"log": t, "stream": "stdout", "time": stamp}) for t in ("left ", "middle ", "right\n", "no end")]
+    whole = cri[3].split(" ")
+    bad = [" ".join(whole[:n]) for n in (3, 1)] + [" ".join(whole[:2]) + " ", whole[0] + " ", " ".join(["yesterday", *whole[1:]]), json.dumps({"log": 1})]
     rows = [("cri", i, x) for i, x in enumerate(cri + bad)] + [("docker", i, x) for i, x in enumerate(docker + ['{"log":"x\\n","stream":"s"', "plain"])]
     df = spark.createDataFrame(rows, "file string, offset long, line string")
     parsed, rejects = parse_container_lines(df)
@@ -66,9 +69,8 @@ def test_container_lines(spark):
     assert parsed.count() + rejects.count() == len(rows)
     joined = logs.reassemble_lines(parsed, ["file", "stream"], slice_width=2)
     got = {(r["file"], r["stream"], r["message"], r["time_ns"], r["parts"]) for r in joined.collect()}
-    at = 1625097600000000000
-    assert got == {("cri", "stdout", "log1 log2 log3", at, 3), ("cri", "stderr", "e1 ", at, 2), ("docker", "stdout", "log1 log2 log3", at, 3)}
-    by_line, _ = parse_container_lines(df.filter("line NOT IN ('plain', '{\"a\": \"b\"}')"), detect="line")
+    assert got == {("cri", "stdout", "left middle right", at, 3), ("cri", "stderr", "warn", at, 2), ("docker", "stdout", "left middle right", at, 3)}
+    by_line, _ = parse_container_lines(df.filter("line NOT IN ('plain', '{\"log\": 1}')"), detect="line")
     assert by_line.count() == parsed.count()
 
 

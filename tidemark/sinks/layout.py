@@ -10,6 +10,11 @@ from tidemark.session import delete_path, stored
 TARGET_BYTES = 100 * 1024 * 1024
 MAX_FILES = 25
 
+# Most partitions an estimate of the planner may ask for unchecked; joins multiply estimates, unknown sizes are 2^63.
+BELIEVED = 100_000
+# Columns that single rows are looked up by.
+LOOKUP = ("TraceId", "SeriesId")
+
 
 def layout_order(columns: list[str]) -> list[str]:
     """Sort columns of a table: series and time, else time, else the first column."""
@@ -18,27 +23,43 @@ def layout_order(columns: list[str]) -> list[str]:
     return ["Timestamp"] if "Timestamp" in columns else columns[:1]
 
 
+def sampled_bytes(df: DataFrame, fraction: float = 0.01) -> int:
+    """Size of a frame from one pass: its rows are counted and a share of them is measured as JSON."""
+    picked = F.when(F.rand(7) < fraction, F.octet_length(F.to_json(F.struct(*df.columns))))
+    seen = df.select(picked.alias("size")).agg(F.count("*").alias("rows"), F.avg("size").alias("size")).first()
+    return int(seen["rows"] * (seen["size"] or 0))
+
+
 def range_partitions(df: DataFrame, target_bytes: int = TARGET_BYTES) -> int:
-    """Partitions for a range shuffle: the session's setting, or more when the planner's size estimate asks for it."""
+    """Partitions for a range shuffle: the session's setting, or more when the frame's size asks for it.
+
+    The planner's estimate is believed up to ``BELIEVED`` partitions. What is above, and rows
+    that have no estimate (made in Python, an RDD or a micro-batch), are measured on a sample.
+    """
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate // target_bytes > BELIEVED:
+        estimate = sampled_bytes(df)
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(configured, -(-estimate // target_bytes))
 
 
-def write_layout(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_layout(df: DataFrame, path: str, mode: str = "append", lookup: tuple[str, ...] = LOOKUP, **options: str) -> None:
     """Write ordered by series and time inside day partitions.
 
     Ranges are cut on (day, series, time), so a hot series is split over tasks
-    and row groups keep narrow series and time bounds for scan pruning.
+    and row groups keep narrow series and time bounds for scan pruning. Columns of
+    ``lookup`` get bloom filters, so a read of one id skips the row groups without it
+    even where the order does not help. ``options`` go to the Parquet writer.
     """
     order = layout_order(df.columns)
     parts = range_partitions(df)
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in lookup if c in df.columns}
     if "Timestamp" not in df.columns:
-        df.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.mode(mode).parquet(path)
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.mode(mode).options(**blooms, **options).parquet(path)
         return
     dated = df.withColumn("day", F.to_date("Timestamp"))
     ranged = dated.repartitionByRange(parts, "day", *order).sortWithinPartitions("day", *order)
-    ranged.write.mode(mode).partitionBy("day").parquet(path)
+    ranged.write.mode(mode).options(**blooms, **options).partitionBy("day").parquet(path)
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

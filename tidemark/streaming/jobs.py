@@ -8,11 +8,11 @@ from datetime import datetime
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from tidemark.operators.alerts import AlertRule, to_notifications
 from tidemark.operators.logs import apply_transforms
+from tidemark.operators.slices import NO_SLICE, number_slice, time_slice
 from tidemark.sinks.routed import with_destination
 
 
@@ -73,79 +73,283 @@ def _output_schema(sdf: DataFrame, without: tuple[str, ...], mark: str) -> T.Str
     return T.StructType([*fields, T.StructField(mark, T.BooleanType())])
 
 
+def with_arbitrary_state(spark: SparkSession) -> None:
+    """State variables of processors need Spark's RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+# Names of the columns that steer rows between two steps.
+SLICE, LANE, OWNER, BORDER, ROLE = "tm_slice", "tm_lane", "tm_owner", "tm_border", "tm_role"
+LANES = 64
+# What a row is to the second step: finished, the first row of a piece, the last sample of a piece, an open rest, an open rest with its end.
+DONE, FIRST, LAST, OPEN, END = range(5)
+
+
+class _Processor(StatefulProcessor):
+    """Frames of one group in, frames of fixed columns out."""
+
+    def __init__(self, out: list[str]):
+        self.out = out
+
+    def init(self, handle) -> None:
+        self.handle = handle
+
+    def frame(self, rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+        parts = [r for r in rows if len(r)]
+        return pd.concat(parts, ignore_index=True).sort_values(order, kind="stable", ignore_index=True) if parts else pd.DataFrame(columns=self.out)
+
+    def finished(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows that need no state, frame by frame."""
+        for part in rows:
+            yield part[self.out]
+
+    def close(self) -> None:
+        pass
+
+
+def _owned(sdf: DataFrame, keys: list[str]) -> DataFrame:
+    """Key columns as one JSON text: pandas would turn a key beside null keys into a float."""
+    return sdf.withColumn(OWNER, F.to_json(F.struct(*keys))).drop(*keys)
+
+
+def _steps(out: T.StructType, keys: list[str]) -> tuple[T.StructType, T.StructType]:
+    """Columns between the two steps and behind them, with the owner in place of the keys."""
+    plain = [T.StructField(OWNER, T.StringType()), *[f for f in out if f.name not in keys]]
+    return T.StructType([*plain, T.StructField(SLICE, T.LongType()), T.StructField(ROLE, T.IntegerType())]), T.StructType(plain)
+
+
+def _second_step(first: DataFrame, processor: StatefulProcessor, plain: T.StructType, out: T.StructType, keys: list[str], timed: bool) -> DataFrame:
+    """Border rows by owner, finished rows as they are, spread over lanes; only a ``timed`` step keeps the stream running without data."""
+    border = F.col(ROLE) != DONE
+    lane = F.when(border, -1).otherwise(F.pmod(F.xxhash64(OWNER, SLICE), F.lit(LANES)).cast("int"))
+    spread = first.withColumns({LANE: lane, BORDER: F.when(border, F.col(OWNER)).otherwise("")}).groupBy(LANE, BORDER)
+    done = spread.transformWithStateInPandas(processor, plain, "append", "ProcessingTime" if timed else "none")
+    owner = F.from_json(OWNER, T.StructType([f for f in out if f.name in keys]))
+    return done.withColumn(OWNER, owner).select(*[F.col(OWNER)[f.name].alias(f.name) if f.name in keys else f.name for f in out])
+
+
+class LinePieces(_Processor):
+    """Lines of one slice of a stream: whole messages, and the rests before the first and after the last end."""
+
+    def __init__(self, out: list[str], order: str, message: str, joined: bool):
+        super().__init__(out)
+        self.order, self.message, self.joined = order, message, joined
+
+    def handleInputRows(self, key, rows, timers):
+        lines = self.frame(rows, [self.order])
+        if not len(lines):
+            return
+        lines[self.message] = lines[self.message].fillna("")
+        ends = ~lines["is_partial"].astype(bool)
+        number = ends.cumsum() - ends  # the message a line belongs to, within the piece
+        last = int(ends.sum())
+        inner = (number > 0) & (number < last)
+        joined = lines.groupby(number)[self.message].transform("".join) if len(lines) > 1 else lines[self.message]
+        done = lines[inner & ends].assign(**{self.message: joined[inner & ends], "cut": False, ROLE: DONE})
+        outer = ~inner
+        if self.joined:
+            closing = outer & (number != number.shift(-1))
+            rest = lines[closing].assign(**{self.message: joined[closing]})
+        else:
+            rest = lines[outer]
+        yield pd.concat([done, rest.assign(**{"cut": False, ROLE: ends[rest.index].map({True: END, False: OPEN})})])[self.out]
+
+
+class LineJoiner(_Processor):
+    """Rests of one stream, in order; the open message waits in the state."""
+
+    def __init__(self, out: list[str], order: str, message: str, longest: int | None, idle_ms: int | None):
+        super().__init__(out)
+        self.order, self.message, self.longest, self.idle_ms = order, message, longest, idle_ms
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.open = handle.getValueState("open", "at long, text string")
+
+    def handleInputRows(self, key, rows, timers):
+        if not key[1]:
+            yield from self.finished(rows)
+            return
+        at, text = self.open.get() if self.open.exists() else (None, "")
+        had, pieces, done = at is not None, [text], []
+        size = len(text)
+        for row in self.frame(rows, [self.order]).to_dict("records"):
+            pieces.append(row[self.message])
+            at, size = int(row[self.order]), size + len(row[self.message])
+            cut = row[ROLE] == OPEN
+            if not cut or (self.longest and size >= self.longest):
+                done.append(row | {self.message: "".join(pieces), "cut": cut})
+                pieces, size, at = [], 0, None
+        if at is not None:
+            self.open.update((at, "".join(pieces)))
+        elif had:
+            self.open.clear()
+        if self.idle_ms:
+            for timer in [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield pd.DataFrame(done, columns=self.out)
+
+    def handleExpiredTimer(self, key, timers, expired):
+        if self.open.exists():
+            at, text = self.open.get()
+            self.open.clear()
+            given = {OWNER: key[1], self.order: at, self.message: text, "cut": True}
+            yield pd.DataFrame([given]).reindex(columns=self.out)
+
+
 def reassemble_stream(
     sdf: DataFrame, keys: list[str], order: str = "offset", message: str = "message",
-    longest: int = 1 << 20, idle_ms: int | None = None,
+    longest: int | None = None, idle_ms: int | None = None, slice_width: int = 100_000,
 ) -> DataFrame:
     """Join partial lines across micro-batches; an unfinished message waits in the state of its stream.
 
-    Positions grow within a stream. A message that reaches ``longest`` characters without
-    an end is given out as it is, with ``cut`` set, and so is one whose stream has been
-    idle for ``idle_ms``; a finished message leaves no state.
+    Positions grow within a stream. Lines are first joined per (stream, slice of
+    ``slice_width`` positions), so one stream is worked by many tasks; only what is open at
+    the borders of a slice meets the state of the stream. With ``longest`` a message that
+    reaches that many characters without an end is given out as it is, with ``cut`` set, and
+    so is one whose stream has been idle for ``idle_ms``; a finished message leaves no state.
     """
+    with_arbitrary_state(sdf.sparkSession)
     out = _output_schema(sdf, ("is_partial",), "cut")
+    steps, plain = _steps(out, keys)
+    sliced = _owned(sdf, keys).withColumn(SLICE, F.coalesce(number_slice(F.col(order), slice_width), F.lit(NO_SLICE)))
+    pieces = sliced.groupBy(OWNER, SLICE).transformWithStateInPandas(LinePieces(steps.names, order, message, longest is None), steps, "append", "none")
+    return _second_step(pieces, LineJoiner(plain.names, order, message, longest, idle_ms), plain, out, keys, bool(idle_ms))
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            at, text = state.get
-            state.remove()
-            yield pd.DataFrame([dict(zip(keys, key)) | {order: at, message: text, "cut": True}]).reindex(columns=out.names)
+
+class SlicedCounter(_Processor):
+    """Samples of one (series, lane of slices): changes within each slice, and its first and last sample for the series' state.
+
+    The state is the newest sample of the lane, so a series has at most one of them for each
+    lane. What is not newer is late: its slice, or a later one, has been seen that far.
+    """
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("lane_last", "slice long, at long, value double")
+
+    def handleInputRows(self, key, rows, timers):
+        data = self.frame(rows, ["Timestamp", "Value"])
+        if not len(data):
             return
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable")
-        at, text = state.get if state.exists else (None, "")
-        done = []
-        for row in rows.to_dict("records"):
-            text, at = text + (row[message] or ""), int(row[order])
-            if not row["is_partial"] or len(text) >= longest:
-                done.append(row | {message: text, "cut": bool(row["is_partial"])})
-                text, at = "", None
-        if at is not None:
-            state.update((at, text))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(done, columns=out.names)
+        seen = self.last.get() if self.last.exists() else None
+        for number, given in data.groupby(SLICE, sort=True):
+            known = seen if seen and seen[0] == number else None
+            micros = given["Timestamp"].astype("datetime64[us]").astype("int64")
+            late = micros <= seen[1] if seen else pd.Series(False, index=given.index)
+            fresh = given[~late]
+            given = given.assign(late=late, **{ROLE: DONE})
+            if len(fresh):
+                value, first = fresh["Value"], fresh.index[0]
+                before = value.shift(1)
+                if known:
+                    before.iloc[0] = known[2]
+                grown = (value - before).mask(value < before, value)
+                if not known:
+                    grown.iloc[0] = value.iloc[0]
+                    given.loc[first, ROLE] = FIRST
+                given.loc[~late, "Value"] = grown
+                seen = (int(number), int(micros[~late].iloc[-1]), float(value.iloc[-1]))
+                # The last sample goes on as it was, to be the state of the series.
+                given = pd.concat([given, fresh.iloc[[-1]].assign(late=False, **{ROLE: LAST})])
+            yield given[self.out]
+        self.last.update(seen)
+
+
+class SeriesCounter(_Processor):
+    """First and last samples of the slices of one series; the newest sample is the state."""
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return sdf.groupBy(*keys).applyInPandasWithState(run, out, f"at long, {message} string", "append", timeout)
+    def __init__(self, out: list[str], idle_ms: int | None):
+        super().__init__(out)
+        self.idle_ms = idle_ms
 
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("series_last", "at long, value double", self.idle_ms)
 
-def stream_increase(sdf: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    def handleInputRows(self, key, rows, timers):
+        if not key[1]:
+            yield from self.finished(rows)
+            return
+        seen = self.last.get() if self.last.exists() else None
+        # The first sample of a slice can be its last one too: it comes before itself.
+        borders = self.frame(rows, ["Timestamp", ROLE])
+        micros = borders["Timestamp"].astype("datetime64[us]").astype("int64")
+        done = []
+        for at, row in zip(micros, borders.to_dict("records")):
+            at, value = int(at), float(row["Value"])
+            if row[ROLE] == FIRST:
+                if seen and at <= seen[0]:
+                    done.append(row | {"late": True})
+                    continue
+                change = 0.0 if not seen else value if value < seen[1] else value - seen[1]
+                done.append(row | {"Value": change, "late": False})
+            if not seen or at > seen[0]:
+                seen = (at, value)
+        if seen:
+            self.last.update(seen)
+        yield pd.DataFrame(done, columns=self.out)
+
+
+def stream_increase(sdf: DataFrame, idle_ms: int | None = None, slice_seconds: int = 86_400, lanes: int = 64) -> DataFrame:
     """Counter increase with the previous sample of each series as state.
 
-    A reset counts from zero, because the following sample is not known yet. Rows not
-    newer than the state of their series come out unchanged with ``late`` set. A series
-    idle for ``idle_ms`` is forgotten and starts anew.
+    A reset counts from zero, because the following sample is not known yet. Changes are
+    taken per (series, lane of time slices), so one series is worked by up to ``lanes``
+    tasks; only the first and last samples of slices meet the state of the series. Rows not
+    newer than what their lane has seen come out unchanged with ``late`` set, and so does
+    the first row of a slice that is not newer than the series. A series idle for
+    ``idle_ms`` is forgotten and starts anew.
     """
+    with_arbitrary_state(sdf.sparkSession)
     out = _output_schema(sdf, (), "late")
+    steps, plain = _steps(out, ["SeriesId"])
+    sliced = _owned(sdf.filter(~F.isnan("Value")), ["SeriesId"]).withColumn(SLICE, F.coalesce(time_slice(F.col("Timestamp"), slice_seconds), F.lit(NO_SLICE)))
+    laned = sliced.withColumn(LANE, F.pmod(SLICE, F.lit(lanes)))
+    pieces = laned.groupBy(OWNER, LANE).transformWithStateInPandas(SlicedCounter(steps.names), steps, "append", "none")
+    return _second_step(pieces, SeriesCounter(plain.names, idle_ms), plain, out, ["SeriesId"], bool(idle_ms))
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(["Timestamp", "Value"], kind="stable", ignore_index=True)
-        micros = rows["Timestamp"].astype("datetime64[us]").astype("int64")
-        seen = state.get if state.exists else None
-        late = micros <= seen[0] if seen else pd.Series(False, index=rows.index)
-        fresh = rows[~late]
-        if len(fresh):
-            value = fresh["Value"]
-            before = value.shift(1)
-            if seen:
-                before.iloc[0] = seen[1]
-            grown = (value - before).mask(value < before, value)
-            if not seen:
-                grown.iloc[0] = 0.0
-            rows.loc[~late, "Value"] = grown
-            state.update((int(micros[~late].iloc[-1]), float(value.iloc[-1])))
-        if idle_ms and state.exists:
-            state.setTimeoutDuration(idle_ms)
-        yield rows.assign(late=late)[out.names]
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    clean = sdf.filter(~F.isnan("Value"))
-    return clean.groupBy("SeriesId").applyInPandasWithState(run, out, "at long, last double", "append", timeout)
+
+class LateMarker(_Processor):
+    """Marks rows whose window has been given out: its end is not after the watermark."""
+
+    def handleInputRows(self, key, rows, timers):
+        closed = timers.getCurrentWatermarkInMs() * 1000
+        for part in rows:
+            part[ROLE] = part["tm_end"] <= closed
+            # Rows in an open window may be older than the watermark, which no step may give out: in the same window, at it.
+            part["tm_time"] = part["tm_at"].clip(lower=closed).astype("datetime64[us]")
+            yield part[self.out]
+
+
+def stream_rollup_with_late(
+    sdf: DataFrame, step: str, delay: str, dims: list[str], aggs: dict[str, Column], ts: str = "ts", lanes: int = 16
+) -> DataFrame:
+    """Rollup of :func:`stream_rollup` that also gives out every row that came too late for its window.
+
+    Rows out: ``bin``, the dimensions, the aggregates and ``late_row``. In a bin ``late_row`` is
+    null. A late row, or one without a time, comes out as JSON with a null bin and aggregates
+    of its own, together with its exact copies. A step before the rollup compares each row's
+    window with the watermark and moves late rows to the watermark, so the rollup drops none:
+    bins and late rows together are all rows.
+    """
+    with_arbitrary_state(sdf.sparkSession)
+    columns, never = sdf.columns, -(1 << 62)
+    timed = sdf.withColumn("tm_row", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})).withWatermark(ts, delay)
+    end = F.when(F.col(ts).isNull(), never).otherwise(F.unix_micros(F.window(F.coalesce(ts, F.timestamp_micros(F.lit(0))), step)["end"]))
+    shaped = timed.withColumns({"tm_end": end, "tm_at": F.coalesce(F.unix_micros(ts), F.lit(never)), LANE: F.pmod(F.xxhash64("tm_row"), F.lit(lanes))})
+    kept = [f for f in sdf.schema.fields if f.name != ts]
+    steps = [("tm_row", T.StringType()), ("tm_at", T.LongType()), ("tm_time", T.TimestampType()), (ROLE, T.BooleanType())]
+    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in kept], *[T.StructField(n, kind) for n, kind in steps]])
+    # Without the watermarked column Spark does not drop late rows before this step sees them.
+    unmarked = shaped.select(*[f.name for f in kept], "tm_row", "tm_end", "tm_at", LANE).groupBy(LANE)
+    marked = unmarked.transformWithStateInPandas(LateMarker(out.names), out, "append", "EventTime", eventTimeColumnName="tm_time")
+    late_row = F.when(F.col(ROLE), F.col("tm_row")).alias("late_row")
+    restored = marked.withColumn(ts, F.when(F.col("tm_at") != never, F.timestamp_micros("tm_at")))
+    grouped = restored.groupBy(F.window("tm_time", step).alias("tm_window"), *dims, late_row).agg(*[a.alias(n) for n, a in aggs.items()])
+    return grouped.select(F.when(F.col("late_row").isNull(), F.col("tm_window.start")).alias("bin"), *dims, *aggs, "late_row")
 
 
 def stream_alerts(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.labels import label_text
 from tidemark.operators import relabel
@@ -59,12 +59,16 @@ def k2(spark, d):
     return read_evolving(spark, path)
 
 
-@query("K3_write_layout", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS series FROM events GROUP BY 1")
+@query("K3_write_layout", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS series, CAST(0 AS BIGINT) AS out_of_order FROM events GROUP BY 1")
 def k3(spark, d):
     path = scratch_path(spark, "layout")
     lay.write_layout(counters(spark, d).drop("Labels"), path)
-    out = spark.read.parquet(path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"))
-    return out.agg(F.count("*").alias("n"), F.count_distinct("SeriesId").alias("series"))
+    # Rows of a file that come before an earlier row of their series, or of an earlier series.
+    file = Window.partitionBy("_metadata.file_path").orderBy("_metadata.row_index")
+    before, now = F.lag(F.struct("SeriesId", "Timestamp")).over(file), F.struct("SeriesId", "Timestamp")
+    rows = spark.read.parquet(path).withColumn("wrong", F.coalesce(before > now, F.lit(False)))
+    out = rows.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return out.agg(F.count("*").alias("n"), F.count_distinct("SeriesId").alias("series"), F.count_if("wrong").alias("out_of_order"))
 
 
 @query("K4_compact", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 6) AS quantity FROM lineitem GROUP BY 1")
@@ -144,14 +148,17 @@ def k9(spark, d):
 
 @query(
     "Q8_table_details",
-    "SELECT 'orders' AS table_name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem",
+    """SELECT 'orders' AS table_name, count(*) AS n, CAST(3 AS BIGINT) AS extents, TRUE AS sized FROM orders
+    UNION ALL SELECT 'lineitem', count(*), CAST(5 AS BIGINT), TRUE FROM lineitem""",
 )
 def q8(spark, d):
     root = scratch_path(spark, "inventory")
-    for name in ("orders", "lineitem"):
-        table(spark, d, name).write.parquet(f"{root}/{name}")
+    for name, files in (("orders", 3), ("lineitem", 5)):
+        table(spark, d, name).repartition(files).write.parquet(f"{root}/{name}")
     out = lay.table_details(spark, root, NOW, ["orders", "lineitem"])
-    return out.filter(F.col("bytes") > 0).select(F.col("table").alias("table_name"), F.col("rows").alias("n"))
+    # A row takes at least a byte and less than its columns as text.
+    sized = (F.col("bytes") > F.col("rows")) & (F.col("bytes") < 500 * F.col("rows"))
+    return out.select(F.col("table").alias("table_name"), F.col("rows").alias("n"), "extents", sized.alias("sized"))
 
 
 @query(

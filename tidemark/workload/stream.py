@@ -62,6 +62,27 @@ def t1(spark, d):
     return spark.read.parquet(out).select(us("bin").alias("bin_us"), "event_type", r6(F.col("total")).alias("total"), "n")
 
 
+@query(
+    "T6_stream_late",
+    "SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1",
+)
+def t6_stream(spark, d):
+    """The newest third of the events comes first: bins in time and late rows together are all events."""
+    path = scratch_path(spark, "stream-in")
+    e = table(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    first, last = e.agg(F.min("event_id"), F.max("event_id")).first()
+    newest = F.col("event_id") >= first + (last - first) * 2 // 3
+    # A row of a later year moves the watermark, so that what waits behind it is given out.
+    end = spark.sql("SELECT CAST(0 AS BIGINT) AS event_id, 'end' AS event_type, TIMESTAMP '2100-01-01' AS ts, CAST(0 AS DOUBLE) AS value")
+    for part in (e.filter(newest), e.filter(~newest | newest.isNull()), end):
+        part.coalesce(1).write.mode("append").parquet(path)
+    aggs = {"n": F.count("*"), "total": F.sum("value")}
+    out = written(spark, jobs.stream_rollup_with_late(read_stream(spark, path), "1 day", "1 hour", ["event_type"], aggs))
+    if out.groupBy(F.col("late_row").isNull()).count().count() != 2:
+        raise RuntimeError("bins and late rows are both expected")
+    return out.filter("event_type <> 'end'").groupBy("event_type").agg(F.sum("n").alias("n"), r6(F.sum("total")).alias("total"))
+
+
 @query(
     "T2_stream_ingest",
     "SELECT 'Events' AS database, event_type AS table_name, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE value > 5 GROUP BY 2",
