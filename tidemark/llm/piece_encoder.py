@@ -4,8 +4,9 @@ A byte-level tokenizer cuts a text before any merge: always before a single spac
 single line end, and before a full stop or comma after a letter or digit. A text is the
 sum of its pieces at such places, wherever the characters around them are plain; other
 places are left inside a piece. Each distinct piece is encoded once by the tokenizer.
-Pieces are found, told apart (by two 64-bit polynomial hashes and their length) and
-looked up for many texts at once in arrays.
+Pieces are found, told apart and looked up for many texts at once in arrays. The key of a
+piece of at most ``SHORT`` bytes is those bytes and their number; longer ones, which are
+few, have 120 bits of their XXH3 hash.
 """
 
 from __future__ import annotations
@@ -15,10 +16,38 @@ from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
+import xxhash
 
 GROUP_BYTES = 1 << 19
 SLOTS = 1 << 21
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+SHORT = 15
+LONG_MARK = 0xFF << 56  # where short keys have their length
+ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def slots(keys: np.ndarray) -> np.ndarray:
+    """Where to look for keys first."""
+    with np.errstate(over="ignore"):
+        mixed = (keys[:, 0] ^ (keys[:, 1] * np.uint64(ODD[0]))) * np.uint64(ODD[1])
+    return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+
+
+def piece_keys(joined: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A pair of 64-bit numbers for each piece."""
+    eight = np.lib.stride_tricks.sliding_window_view(np.frombuffer(joined + bytes(16), np.uint8), 8)
+    sizes = (stops - starts).astype(np.uint64)
+    out = np.empty((len(starts), 2), np.uint64)
+    for i in range(2):
+        words = np.ascontiguousarray(eight[starts + 8 * i]).view("<u8").ravel()
+        kept = np.clip(sizes.astype(np.int64) - 8 * i, 0, 8 - i).astype(np.uint64) * np.uint64(8)
+        # Shifts by 64 are undefined: all eight bytes need no mask.
+        mask = np.where(kept < 64, (np.uint64(1) << np.minimum(kept, np.uint64(63))) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
+        out[:, i] = words & mask
+    out[:, 1] |= sizes << np.uint64(56)
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        h = xxhash.xxh3_128_intdigest(joined[starts[i] : stops[i]])
+        out[i] = h & 0xFFFFFFFFFFFFFFFF, h >> 64 | LONG_MARK
+    return out
 
 
 class _Memory:
@@ -39,7 +68,7 @@ class _Memory:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each piece, -1 if it is not known."""
         found = np.full(len(keys), -1, np.int32)
-        open_, slot = np.arange(len(keys)), (keys[:, 0] & np.uint64(SLOTS - 1)).astype(np.int64)
+        open_, slot = np.arange(len(keys)), slots(keys)
         while len(open_):
             at = self.at[slot]
             same = (self.keys[slot] == keys[open_]).all(axis=1) & (at >= 0)
@@ -59,7 +88,7 @@ class _Memory:
         self.sizes[first : first + n] = sizes
         self.ids[self.used : self.used + len(ids)] = ids
         self.count, self.used = first + n, self.used + len(ids)
-        left, slot = np.arange(n), (keys[:, 0] & np.uint64(SLOTS - 1)).astype(np.int64)
+        left, slot = np.arange(n), slots(keys)
         while len(left):
             free = self.at[slot] < 0
             self.at[slot[free]] = first + left[free]  # of several for one slot the last stays
@@ -105,15 +134,6 @@ class PieceEncoder:
             self.lengths[i] = len(token)  # a byte-level token has one character for each byte
         self.cut = self.is_plain_byte_level(path)
         self.memory = _Memory(self.dtype)
-        self.powers = [self.geometric(base) for base in BASES]
-        self.inverse = [self.geometric(pow(base, -1, 1 << 64)) for base in BASES]
-
-    @staticmethod
-    def geometric(base: int) -> np.ndarray:
-        """The powers of a number, modulo 2**64."""
-        steps = np.full(GROUP_BYTES + 1, base, np.uint64)
-        steps[0] = 1
-        return np.cumprod(steps, dtype=np.uint64)
 
     @staticmethod
     def is_plain_byte_level(path: str) -> bool:
@@ -127,19 +147,6 @@ class PieceEncoder:
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype)
 
-    def hashes(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Two hashes of each piece; sums wrap around by design."""
-        out = np.empty((len(starts), 2), np.uint64)
-        with np.errstate(over="ignore"):
-            values = data.astype(np.uint64) + np.uint64(1)
-            for i in range(2):
-                sums = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(values * self.powers[i][: len(data)], out=sums[1:])
-                h = (sums[stops] - sums[starts]) * self.inverse[i][starts] + (stops - starts).astype(np.uint64)
-                h = (h ^ (h >> np.uint64(32))) * np.uint64(BASES[1 - i])
-                out[:, i] = h ^ (h >> np.uint64(29))
-        return out
-
     def learn(self, pieces: list[bytes], joinable: list[bool], keys: np.ndarray) -> None:
         """Encode new pieces: those that follow a space in one text, the others each for itself."""
         run = [i for i, ok in enumerate(joinable) if ok]
@@ -167,14 +174,14 @@ class PieceEncoder:
         begin[ends[:-1]] = True
         starts = np.flatnonzero(begin)
         stops = np.append(starts[1:], len(data))
-        keys = self.hashes(data, starts, stops)
+        keys = piece_keys(joined, starts, stops)
         if self.memory.count > SLOTS // 2:
             self.memory.clear()
         numbers = self.memory.find(keys)
         new = np.flatnonzero(numbers < 0)
         if len(new):
-            _, at = np.unique(keys[new, 0], return_index=True)
-            first = new[at]
+            order = new[np.lexsort((keys[new, 1], keys[new, 0]))]
+            first = np.sort(order[np.append(True, (keys[order[1:]] != keys[order[:-1]]).any(axis=1))])
             a, b = starts[first], stops[first]
             plain = (data[a] == 32) & (b - a > 1) & (data[np.minimum(a + 1, len(data) - 1)] > 32) & (data[b - 1] > 32) & (data[b - 1] < 127)
             pieces = [joined[x:y] for x, y in zip(a.tolist(), b.tolist())]
