@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.rows import stored, texts, words
 
 WIDTH = 10
+BROADCAST_ROWS = 2_000_000  # numbers of rows that are broadcast; more are joined
 BLOCK_WORDS = 500_000
 SEGMENT_WORDS = 200_000
 
@@ -256,4 +257,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     numbered = stored(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("_row")), "numbered")
     source = numbered.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "_row")
     hit = find_passages(source, benchmark, row="_row").where(F.size("matches") > 0).select(F.col("row_id").alias("_row"))
+    hit = stored(hit, "contaminated")
+    # Few rows go, as a rule: their numbers travel instead of all texts.
+    hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
     return numbered.join(hit, "_row", "left_anti").select("row.*")

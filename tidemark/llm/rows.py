@@ -10,7 +10,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.session import scratch_path
+from tidemark.session import delete_path, scratch_path
 
 SLICE = 256
 BATCH_ROWS = 1000
@@ -61,14 +61,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders written by stored() in this process and not yet removed.
+WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there and no task is run twice."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession, since: int, until: int) -> None:
+    """Remove the folders that stored() wrote between two lengths of ``WRITTEN``: what is computed from them is stored elsewhere."""
+    for path in WRITTEN[since:until]:
+        delete_path(spark, path)
+    del WRITTEN[since:until]
+
+
 def packed(df: DataFrame, **extra: Column) -> DataFrame:
     """All columns of a frame in one struct ``row``, beside computed columns whose names cannot clash."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[c.alias(n) for n, c in extra.items()])

@@ -39,7 +39,7 @@ SAMPLE = 512
 LARGEST_GROUP = 20_000
 # Of verified links only the order of the tests: the first round gives all links of groups up to SMALL_GROUP, and
 # CLOSEST of each member of larger ones; each round that follows gives GROWTH times as many, until none is left out.
-SMALL_GROUP = 64
+SMALL_GROUP = 8
 CLOSEST = 4
 GROWTH = 16
 MOST = 2  # largest threshold of a partition
@@ -93,8 +93,8 @@ def fingerprint(text: bytes, shingle: int = 4, words64: int = 1, seed: int = 42,
 def fingerprints(docs: DataFrame, shingle: int = 4, words64: int = 1, repeats: bool = True) -> DataFrame:
     """doc_id, ``text_hash``, ``fp`` (8 * ``words64`` bytes) and ``same`` of every row.
 
-    ``same`` tells what has one fingerprint apart: without ``repeats`` it is a 128-bit hash of the set of shingles,
-    so rows that share it have equal sets; with them it is null.
+    ``same`` tells what has one fingerprint apart: without ``repeats`` it is a 128-bit hash of the set of shingles
+    and its size in four bytes, so rows that share it have equal sets; with them it is null.
     """
 
     def run(batches):
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, words64: int = 1, repeats: b
                 h = hashes(text, shingle, 42)
                 h = h if repeats else np.unique(h)
                 fps.append(print_of(h, words64))
-                sets.append(None if repeats else xxhash.xxh3_128_digest(h.tobytes()))
+                sets.append(None if repeats else xxhash.xxh3_128_digest(h.tobytes()) + len(h).to_bytes(4, "big"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "text_hash", "fp", "same"])
 
     text = F.col("text").cast("string")
@@ -388,7 +388,15 @@ def shingles(text: bytes, k: int) -> set[bytes]:
 
 
 def similar_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges whose texts' shingle sets have at least this Jaccard similarity. Only texts with an edge are moved."""
+    """The edges whose texts' shingle sets have at least this Jaccard similarity.
+
+    Sets of too different sizes are told apart without their texts; only texts that still have an edge are moved.
+    """
+    size = F.conv(F.hex(F.substring("same", 17, 4)), 16, 10).cast("long")
+    sized = lambda end: nodes.select(F.col("node").alias(end), size.alias(f"{end}_size"))
+    # One more in the smaller set: two of its shingles may have shared a hash.
+    enough = F.least("u_size", "v_size") + 1 >= F.greatest("u_size", "v_size") * similarity
+    edges = stored(edges.join(sized("u"), "u").join(sized("v"), "v").where(enough).select("u", "v"), "near-in-size")
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     wanted = nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     text = F.col("text").cast("string")

@@ -8,7 +8,8 @@ through as such.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm import curriculum, phrase_index, simhash_gph, token_files, toxic_neighbours
 from tidemark.llm.rows import table, tuned
@@ -40,7 +41,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return curriculum.mixed(docs, curriculum.mix_plan(docs))
 
 
+def file_order(docs: DataFrame) -> list[Column]:
+    """Place of each row in the files that hold it; none for rows that are in no file."""
+    name = F.col("_metadata.file_name")
+    place = [F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]
+    try:
+        docs.select(*place)
+    except AnalysisException:
+        return []
+    return place
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents; what is read back from them."""
+    """Token files of all documents in the order in which they stand in their files, the order of training; what is read back."""
     tuned(spark)
-    return token_files.token_digest(docs, token_files.Settings(TOKENIZER))
+    return token_files.token_digest(docs, token_files.Settings(TOKENIZER), order=file_order(docs))

@@ -29,14 +29,14 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm.piece_encoder import PieceEncoder
@@ -138,10 +138,15 @@ class _Writer:
         self.out.close()
 
 
-def write_token_files(docs: DataFrame, folder: str, settings: Settings, parts: int | None = None) -> DataFrame:
-    """Write files below ``folder``; returns their list: part (ascending id ranges), file, docs, ids."""
+def write_token_files(docs: DataFrame, folder: str, settings: Settings, parts: int | None = None, order: Sequence[Column] = ()) -> DataFrame:
+    """Write files below ``folder``; returns their list: part (ascending ranges), file, docs, ids.
+
+    Documents stand in the order of ``order`` and then of their ids.
+    """
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    places = [f"place_{i}" for i in range(len(order))]
+    placed = [c.alias(n) for c, n in zip(order, places)]
+    source = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *placed)
     dictionary = train_dictionary(source, settings, folder)
 
     def write(batches):
@@ -168,8 +173,8 @@ def write_token_files(docs: DataFrame, folder: str, settings: Settings, parts: i
                 {"part": pa.array([part], pa.int32()), "file": [name], "docs": pa.array([len(writer.entries)], pa.int64()), "ids": pa.array([total], pa.int64())}
             )
 
-    ranged = source.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    ordered = ranged.sortWithinPartitions("doc_id", "text")
+    ranged = source.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *places, "doc_id")
+    ordered = ranged.sortWithinPartitions(*places, "doc_id", "text").select("doc_id", "text")
     return stored(ordered.mapInArrow(write, "part int, file string, docs long, ids long"), "token-files")
 
 
@@ -239,9 +244,8 @@ def crc_of(ids: np.ndarray) -> dict:
     return {"ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())}
 
 
-def token_digest(docs: DataFrame, settings: Settings, folder: str | None = None) -> DataFrame:
+def token_digest(docs: DataFrame, settings: Settings, folder: str | None = None, order: Sequence[Column] = ()) -> DataFrame:
     """Write the files, read them back: doc_id, start, n_tokens and the checksum of each document's ids."""
     folder = folder or scratch_path(docs.sparkSession, "tokens")
-    source = docs.select(F.col("doc_id"), F.col("text"))
-    files = write_token_files(source, folder, settings)
-    return read_token_files(files, folder, source.schema, "ids_crc32 long", crc_of)
+    files = write_token_files(docs, folder, settings, order=order)
+    return read_token_files(files, folder, docs.select("doc_id").schema, "ids_crc32 long", crc_of)
