@@ -39,7 +39,7 @@ SAMPLE = 512
 LARGEST_GROUP = 20_000
 # Of verified links only the order of the tests: the first round gives all links of groups up to SMALL_GROUP, and
 # CLOSEST of each member of larger ones; each round that follows gives GROWTH times as many, until none is left out.
-SMALL_GROUP = 8
+SMALL_GROUP = 64
 CLOSEST = 4
 GROWTH = 16
 MOST = 2  # largest threshold of a partition
