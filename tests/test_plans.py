@@ -1,6 +1,6 @@
 """Physical plans: native operators, pushed filters, no nested loops, skew-safe windows."""
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.timebin import in_window
 from tidemark.operators import aggregate, alerts, series
 from tidemark.operators.views import trace_spans
+from tidemark.plans import rules
 from tidemark.session import scratch_path
 from tidemark.workload.adapters import counters, table
 from tidemark.workload.alerts import notifications
@@ -77,3 +78,57 @@ def test_trace_filter_reaches_the_scan(spark):
     text = plan_text(trace_spans(spark.read.parquet(path), "b" * 32))
     pushed = next(x for x in text.split("\n") if "PushedFilters" in x)
     assert "EqualTo(TraceId," in pushed and "IsNull(TraceId)" in pushed
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sql_body_of_many_windows_is_one_scan(spark, tmp_path):
+    """Windows without rows, repeated starts, quoted parameter names and a tail comment, against one run per window."""
+    base = datetime(2024, 1, 1)
+    spark.createDataFrame([(base + timedelta(minutes=7 * i), i % 5, float(i)) for i in range(600)], "at timestamp, kind int, v double").write.parquet(str(tmp_path / "t"))
+    spark.read.parquet(str(tmp_path / "t")).createOrReplaceTempView("bounded_rows")
+    starts = [base + timedelta(hours=h) for h in range(-2, 80, 9)]
+    windows = spark.createDataFrame([(s, s + timedelta(hours=n)) for s in starts for n in (1, 2)], "window_start timestamp, window_end timestamp")
+    bodies = [
+        "SELECT count(*) AS n, ':_endTime' AS word, sum(v) AS v FROM `bounded_rows` WHERE at >= :_startTime AND at < :_endTime AND kind <> :_skip -- :_startTime",
+        "WITH a AS (SELECT kind, v, :_startTime AS s FROM `bounded_rows` WHERE at BETWEEN :_startTime AND :_endTime - INTERVAL 1 MICROSECOND) SELECT kind, s, max(v) AS v FROM a WHERE kind <> :_skip GROUP BY kind, s",
+        "SELECT x.kind, count(*) AS n FROM `bounded_rows` x WHERE x.at >= :_startTime AND x.at < :_endTime AND kind > :_skip GROUP BY x.kind HAVING count(*) > 3",
+    ]
+    for body in bodies:
+        got = rules.rollup_windows_sql(spark, body, windows, {"skip": 2}, {"bounded_rows": "at"})
+        want = []
+        for w in windows.collect():
+            alone = spark.sql(body, args={"_startTime": w.window_start, "_endTime": w.window_end, "_skip": 2})
+            want += [(*r, w.window_start) for r in alone.collect()]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        plan = _plan(got)
+        assert plan.count("Relation [at") == 1 and "NestedLoop" not in plan_text(got)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("windows_", "rows_"))]
+
+
+def test_rules_of_one_source_share_a_scan(spark, tmp_path):
+    base = datetime(2024, 1, 1)
+    spark.createDataFrame([(base + timedelta(minutes=i), i % 3, i) for i in range(3000)], "ts timestamp, kind int, v int").write.parquet(str(tmp_path / "t"))
+    source = spark.read.parquet(str(tmp_path / "t"))
+    bodies = {f"r{i}": rules.Totals({"n": "count(*)", "v": "sum(v)"}, ("kind",) if i % 2 else (), f"v % 10 >= {i}" if i % 3 else None) for i in range(10)}
+    windows = spark.createDataFrame([(f"r{i}", base + timedelta(hours=h), base + timedelta(hours=h + 1 + i % 2)) for i in range(10) for h in range(0, 40, 2)], "rule string, window_start timestamp, window_end timestamp")
+    out, pick = rules.shared_rollup(source, windows, bodies)
+    assert _plan(out).count("Relation [ts") == 1
+    for name, body in bodies.items():
+        alone = rules.rollup_windows(source, windows.filter(F.col("rule") == name), body)
+        assert sorted(map(tuple, pick(out, name).select(alone.columns).collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_a_failing_rule_leaves_those_it_shares_a_scan_with(spark):
+    base = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(base, 1)], "ts timestamp, v int")
+    paths = {n: scratch_path(spark, n) for n in ("good", "bad", "ledger")}
+    made = [rules.RollupRule("good", "s", rules.Totals({"n": "count(*)"}), paths["good"]), rules.RollupRule("bad", "s", rules.Totals({"n": "sum(raise_error('no'))"}), paths["bad"])]
+    windows = spark.createDataFrame([(n, base, base + timedelta(hours=1)) for n in ("good", "bad")], "rule string, window_start timestamp, window_end timestamp")
+    outcome = rules.run_rules(made, {"s": rows}, windows, paths["ledger"])
+    assert outcome["good"] is None and outcome["bad"]
+    assert spark.read.parquet(paths["good"]).first()["n"] == 1
+    state = {r["rule"]: r["state"] for r in rules.ledger_state(spark.read.parquet(paths["ledger"])).collect()}
+    assert state == {"good": "completed", "bad": "failed"}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
 from hashlib import sha1
-from itertools import islice
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -89,20 +90,21 @@ def _length_class(start: Column, end: Column) -> Column:
     return F.ceil(F.log2(F.greatest(end - start, F.lit(1).cast("bigint")))).cast("int")
 
 
-def assign_windows(df: DataFrame, windows: DataFrame, ts: str = "ts") -> DataFrame:
+def assign_windows(df: DataFrame, windows: DataFrame, ts: str = "ts", tags: tuple[str, ...] = ()) -> DataFrame:
     """Rows with the ``window_start, window_end`` of each window that holds them.
 
+    ``tags`` are further string columns of ``windows`` to carry along, such as the rule.
     Of the windows only the outer bounds and the length classes present (at most 64)
     come to the driver; the bounds reach partition pruning and the file filters.
     Windows are grouped by length class. Within a class a window overlaps at most two
     bins as long as the class, is listed under those, and rows meet it by (class, bin):
     an equi-join in which a row sees only windows about as long as its bin.
     """
-    listed = windows.select(*WINDOW_COLUMNS).distinct()
+    listed = windows.select(*tags, *WINDOW_COLUMNS).distinct()
     start, end = F.unix_micros("window_start"), F.unix_micros("window_end")
     facts = listed.agg(F.min(start).alias("lo"), F.max(end).alias("hi"), F.collect_set(_length_class(start, end)).alias("classes")).first()
     if facts["lo"] is None:
-        return df.limit(0).withColumns({c: F.lit(None).cast("timestamp") for c in WINDOW_COLUMNS})
+        return df.limit(0).withColumns({t: F.lit(None).cast("string") for t in tags} | {c: F.lit(None).cast("timestamp") for c in WINDOW_COLUMNS})
     width = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_class"))
     first, last = (F.call_function("div", x - F.pmod(x, width), width) for x in (start, end - 1))
     bins = listed.withColumn("_class", _length_class(start, end)).withColumn("_bin", F.explode(F.array_distinct(F.array(first, last))))
@@ -191,30 +193,56 @@ def run_rollup(
     _record(listed, ledger, rule, "completed")
 
 
-def run_rollup_sql(
-    spark: SparkSession, body: str, windows: DataFrame, labels: dict[str, str], target: str, ledger: str, rule: str, at_once: int = 50
-) -> None:
-    """Run a Spark SQL body for each window with ``:_startTime``, ``:_endTime`` and ``:_<label>`` bound as parameters.
+#: Quoted text, quoted names and comments, in which no parameter is bound, or one of the two window parameters.
+BOUNDS = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|:(_startTime|_endTime)\b""", re.S)
+BOUND_COLUMNS = {"_startTime": "_window.window_start", "_endTime": "_window.window_end"}
 
-    The results of ``at_once`` windows are written together, the oldest windows first.
+
+def rollup_windows_sql(spark: SparkSession, body: str, windows: DataFrame, labels: dict[str, str], reads: dict[str, str]) -> DataFrame:
+    """Rollup rows of a Spark SQL body for many windows in one plan, with their ``window_start``.
+
+    The windows are the outer side of a lateral join and ``:_startTime`` and ``:_endTime``
+    columns of theirs; ``:_<label>`` are bound as parameters. ``reads`` names the tables or
+    views (without a catalog) that the body bounds by the window, with their time column:
+    each is scanned once, its rows meet the windows as in :func:`assign_windows`, and
+    inside the body the name stands for the rows of the body's window. A body gives
+    the same rows as if it ran for each window alone, windows without rows included.
     """
-    listed = stored(windows.select(*WINDOW_COLUMNS).distinct(), "windows")
-    waiting = listed.orderBy("window_start", "window_end").toLocalIterator()
+    key = uuid4().hex
+    listed = windows.select(*WINDOW_COLUMNS).distinct()
+    listed.createOrReplaceTempView(f"windows_{key}")
+    views = [f"windows_{key}"]
+    scoped = []
+    for number, (name, ts) in enumerate(reads.items()):
+        rows = spark.table(name)
+        placed = assign_windows(rows, listed, ts).withColumnsRenamed({"window_start": "_ws", "window_end": "_we"})
+        placed.createOrReplaceTempView(f"rows_{key}_{number}")
+        views.append(f"rows_{key}_{number}")
+        columns = ", ".join(f"`{c}`" for c in rows.columns)
+        scoped.append(f"`{name}` AS (SELECT {columns} FROM rows_{key}_{number} WHERE _ws = _window.window_start AND _we = _window.window_end)")
+    bound = BOUNDS.sub(lambda m: BOUND_COLUMNS[m[1]] if m[1] else m[0], body)
+    scope = f"WITH {', '.join(scoped)} " if scoped else ""
+    text = f"SELECT _window.window_start AS _start, _body.* FROM windows_{key} _window, LATERAL ({scope}SELECT * FROM (\n{bound}\n)) _body"
+    try:
+        out = spark.sql(text, args={f"_{k}": v for k, v in labels.items()})
+        return out.withColumn("window_start", F.col("_start")).drop("_start")
+    finally:
+        for view in views:
+            spark.catalog.dropTempView(view)
 
-    def result(row) -> DataFrame:
-        params = {"_startTime": row["window_start"], "_endTime": row["window_end"], **{f"_{k}": v for k, v in labels.items()}}
-        return spark.sql(body, args=params).withColumn("window_start", F.lit(row["window_start"]))
 
-    while some := list(islice(waiting, at_once)):
-        chunk = spark.createDataFrame([(r["window_start"], r["window_end"]) for r in some], "window_start timestamp, window_end timestamp")
-        _record(chunk, ledger, rule, "running")
-        try:
-            out = reduce(DataFrame.unionByName, map(result, some))
-            replace_windows(stored(out, "rollup-rows"), chunk, target, rule)
-        except Exception:
-            _record(chunk, ledger, rule, "failed")
-            raise
-        _record(chunk, ledger, rule, "completed")
+def run_rollup_sql(
+    spark: SparkSession, body: str, windows: DataFrame, labels: dict[str, str], target: str, ledger: str, rule: str, reads: dict[str, str]
+) -> None:
+    """Run a Spark SQL body for all windows in one job (:func:`rollup_windows_sql`), replace them and record them."""
+    listed = stored(windows.select(*WINDOW_COLUMNS).distinct(), "windows")
+    _record(listed, ledger, rule, "running")
+    try:
+        replace_windows(stored(rollup_windows_sql(spark, body, listed, labels, reads), "rollup-rows"), listed, target, rule)
+    except Exception:
+        _record(listed, ledger, rule, "failed")
+        raise
+    _record(listed, ledger, rule, "completed")
 
 
 def ledger_state(ledger: DataFrame) -> DataFrame:
@@ -311,9 +339,29 @@ def backfill_progress(requests: DataFrame, rules: DataFrame, ledger: DataFrame)
     return joined.select("rule", "request_id", total.alias("windows"), "submitted", "completed", "retried", phase.alias("phase"))
 
 
+@dataclass(frozen=True)
+class Totals:
+    """A rollup body as data: SQL aggregates by output name, per window and ``by`` columns, over rows that meet ``where``.
+
+    Alone it is a body like any other; several over one source share a scan.
+    """
+
+    aggs: dict[str, str]
+    by: tuple[str, ...] = ()
+    where: str | None = None
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        kept = rows.filter(self.where) if self.where else rows
+        return kept.groupBy("window_start", *self.by).agg(*[F.expr(text).alias(name) for name, text in self.aggs.items()])
+
+
 @dataclass(frozen=True)
 class RollupRule:
-    """A rollup rule run by :func:`run_rules`; ``body`` works on rows with their windows, or is SQL with parameters."""
+    """A rollup rule run by :func:`run_rules`.
+
+    ``body`` is a :class:`Totals`, a function of rows with their windows, or SQL with
+    parameters, which bounds the tables in ``reads`` (name and time column) by its window.
+    """
 
     name: str
     source: str
@@ -321,6 +369,34 @@ class RollupRule:
     target: str
     ts: str = "ts"
     labels: dict[str, str] = field(default_factory=dict)
+    reads: dict[str, str] = field(default_factory=dict)
+
+
+def shared_rollup(df: DataFrame, windows: DataFrame, bodies: dict[str, Totals], ts: str = "ts") -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:
+    """Rollup rows of many rules over one source from one scan, and a function that picks a rule's rows out of them.
+
+    ``windows`` has ``rule, window_start, window_end``. The outer bounds of all windows and
+    the union of all conditions reach the scan. A row meets the windows of every rule that
+    wants it and is combined under (rule, window, by columns) before the one shuffle; a
+    column that a rule does not group by is null in its groups, and an aggregate that
+    several rules ask for is computed once.
+    """
+    dims = sorted({c for b in bodies.values() for c in b.by})
+    texts = sorted({t for b in bodies.values() for t in b.aggs.values()})
+    conditions = [F.coalesce(F.expr(b.where).cast("boolean"), F.lit(False)) if b.where else F.lit(True) for b in bodies.values()]
+    wanted = reduce(lambda a, b: a | b, conditions)
+    tagged = windows.filter(F.col("rule").isin(list(bodies))).withColumnRenamed("rule", "_rule")
+    placed = assign_windows(df.filter(wanted), tagged, ts, ("_rule",))
+    placed = placed.filter(reduce(lambda a, b: a | b, [(F.col("_rule") == n) & c for n, c in zip(bodies, conditions)]))
+    keys = [F.when(F.col("_rule").isin([n for n, b in bodies.items() if c in b.by]), F.col(c)).alias(f"_by{i}") for i, c in enumerate(dims)]
+    out = placed.groupBy("_rule", "window_start", *keys).agg(*[F.expr(t).alias(f"_agg{i}") for i, t in enumerate(texts)])
+
+    def pick(rows: DataFrame, name: str) -> DataFrame:
+        body = bodies[name]
+        columns = [F.col(f"_by{dims.index(c)}").alias(c) for c in body.by] + [F.col(f"_agg{texts.index(t)}").alias(n) for n, t in body.aggs.items()]
+        return rows.filter(F.col("_rule") == name).select("window_start", *columns)
+
+    return out, pick
 
 
 def run_rules(
@@ -328,25 +404,55 @@ def run_rules(
 ) -> dict[str, str | None]:
     """Run many rules, ``at_once`` side by side; the result maps each rule with windows to its error or None.
 
-    ``windows`` has ``rule, window_start, window_end`` rows. Every rule reads its source
-    within the bounds of its own windows and time column; whatever goes wrong in a rule
-    is its own outcome.
+    ``windows`` has ``rule, window_start, window_end`` rows. Rules whose body is a
+    :class:`Totals` and whose source and time column are the same are computed in one scan
+    of it (:func:`shared_rollup`); if that job fails, each of them runs alone, so that
+    whatever goes wrong in a rule is its own outcome. Every other rule reads its source
+    within the bounds of its own windows.
     """
     listed = stored(windows.select("rule", *WINDOW_COLUMNS), "rule-windows")
     waiting = {r["rule"] for r in listed.select("rule").distinct().toLocalIterator()}
+    due = [r for r in rules if r.name in waiting]
+    own = {r.name: listed.filter(F.col("rule") == r.name) for r in due}
+
+    together: dict[tuple[str, str], list[RollupRule]] = {}
+    for rule in due:
+        if isinstance(rule.body, Totals):
+            together.setdefault((rule.source, rule.ts), []).append(rule)
+    ready: dict[str, DataFrame] = {}
+    for (source, ts), members in together.items():
+        if len(members) < 2:
+            continue
+        for rule in members:
+            _record(own[rule.name], ledger, rule.name, "running")
+        try:
+            out, pick = shared_rollup(sources[source], listed, {r.name: r.body for r in members}, ts)
+            rows = stored(out, "shared-rollup")
+            ready |= {r.name: pick(rows, r.name) for r in members}
+        except Exception:  # run one by one below; the failed run counts as an attempt
+            for rule in members:
+                _record(own[rule.name], ledger, rule.name, "failed")
+
+    def finish(rule: RollupRule) -> None:
+        try:
+            replace_windows(ready[rule.name], own[rule.name], rule.target, rule.name)
+        except Exception:
+            _record(own[rule.name], ledger, rule.name, "failed")
+            raise
+        _record(own[rule.name], ledger, rule.name, "completed")
 
     def run(rule: RollupRule) -> str | None:
-        own = listed.filter(F.col("rule") == rule.name)
         try:
-            if isinstance(rule.body, str):
-                run_rollup_sql(listed.sparkSession, rule.body, own, rule.labels, rule.target, ledger, rule.name)
+            if rule.name in ready:
+                finish(rule)
+            elif isinstance(rule.body, str):
+                run_rollup_sql(listed.sparkSession, rule.body, own[rule.name], rule.labels, rule.target, ledger, rule.name, rule.reads)
             else:
-                run_rollup(sources[rule.source], own, rule.body, rule.target, ledger, rule.name, rule.ts)
+                run_rollup(sources[rule.source], own[rule.name], rule.body, rule.target, ledger, rule.name, rule.ts)
         except Exception as error:
             return f"{type(error).__name__}: {error}"
         return None
 
-    due = [r for r in rules if r.name in waiting]
     targets: dict[str, list[RollupRule]] = {}
     for rule in due:  # dynamic overwrites of one folder take turns
         targets.setdefault(rule.target, []).append(rule)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.timebin import time_bin
@@ -312,7 +314,7 @@ def w10_outcomes(spark, d):
     paths = {n: scratch_path(spark, f"rule-{n}") for n in (*names, "ledger")}
     text = """SELECT count(*) AS n FROM events_of_rules WHERE ts >= :_startTime AND ts < :_endTime AND event_type = :_kind HAVING count(*) > 0"""
     bodies = {"good": _counted, "broken": lambda df: _counted(df.filter(F.raise_error(F.lit("broken")).cast("boolean"))), "labelled": text}
-    rules = [plans.RollupRule(n, "events", bodies[n], paths[n], labels={"kind": "error"}) for n in names]
+    rules = [plans.RollupRule(n, "events", bodies[n], paths[n], labels={"kind": "error"}, reads={"events_of_rules": "ts"}) for n in names]
     windows = days.withColumn("rule", F.explode(F.array(*[F.lit(n) for n in names])))
     for _ in range(2):
         plans.run_rules(rules, {"events": e}, windows, paths["ledger"])
@@ -326,3 +328,55 @@ def w10_outcomes(spark, d):
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.groupBy("rule").agg(F.count("*").alias("rows"))
     return health.join(rows, "rule", "left").fillna(0, ["rows"]).select("rule", "submitted", "completed", "failed", "retried", "rows")
+
+
+@query(
+    "W4_sql_windows",
+    """WITH w AS (SELECT unnest(range((SELECT min(epoch_us(ts)) // 600000000 * 600000000 FROM events), (SELECT max(epoch_us(ts)) FROM events) + 1, 600000000)) AS s),
+      counted AS (SELECT epoch_us(ts) // 600000000 * 600000000 AS s, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 6) AS total FROM events WHERE event_type <> 'error' GROUP BY 1)
+    SELECT w.s AS start_us, coalesce(n, 0) AS n, coalesce(users, 0) AS users, total FROM w LEFT JOIN counted USING (s)""",
+)
+def w4_sql_windows(spark, d):
+    """A body in SQL for every ten minutes of the table, empty ones included, in one plan."""
+    e = table(spark, d, "events")
+    e.createOrReplaceTempView("events_of_windows")
+    ends = e.agg(time_bin(F.min("ts"), 600).alias("lo"), time_bin(F.max("ts"), 600).alias("hi"))
+    starts = ends.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL '10' MINUTE"))).alias("window_start"))
+    windows = starts.withColumn("window_end", F.col("window_start") + F.expr("INTERVAL '10' MINUTE"))
+    body = """SELECT count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 6) AS total
+    FROM events_of_windows WHERE ts >= :_startTime AND ts < :_endTime AND event_type <> :_kind -- ':_endTime' is open"""
+    out = plans.rollup_windows_sql(spark, body, windows, {"kind": "error"}, {"events_of_windows": "ts"})
+    return out.select(us("window_start").alias("start_us"), "n", "users", "total")
+
+
+SHARED = {
+    "all": plans.Totals({"n": "count(*)", "total": "sum(value)"}),
+    "by_type": plans.Totals({"n": "count(*)", "total": "sum(value)"}, ("event_type",)),
+    "errors": plans.Totals({"n": "count(*)", "total": "max(value)"}, where="event_type = 'error'"),
+    "by_user": plans.Totals({"n": "count(*)", "total": "min(value)"}, ("user_id", "event_type"), "value > 20"),
+}
+
+
+@query(
+    "W10_shared_scan",
+    f"""SELECT 'all' AS rule, {DAY_SQL} AS start_us, NULL AS event_type, NULL AS user_id, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 2
+    UNION ALL SELECT 'by_type', {DAY_SQL}, event_type, NULL, count(*), round(sum(value), 6) FROM events GROUP BY 2, 3
+    UNION ALL SELECT 'errors', {DAY_SQL}, NULL, NULL, count(*), round(max(value), 6) FROM events WHERE event_type = 'error' GROUP BY 2
+    UNION ALL SELECT 'by_user', {bin_sql("ts", 21600)}, event_type, user_id, count(*), round(min(value), 6) FROM events WHERE value > 20 GROUP BY 2, 3, 4""",
+)
+def w10_shared(spark, d):
+    """Four rules of one source, one with windows of its own length, from one scan."""
+    e, days = table(spark, d, "events"), days_of(spark, d)
+    quarters = e.select(time_bin(F.col("ts"), 21_600).alias("window_start")).distinct().withColumn("window_end", F.col("window_start") + F.expr("INTERVAL '6' HOUR"))
+    daily = days.withColumn("rule", F.explode(F.array(*[F.lit(n) for n in SHARED if n != "by_user"])))
+    paths = {n: scratch_path(spark, f"rule-{n}") for n in (*SHARED, "ledger")}
+    rules = [plans.RollupRule(n, "events", body, paths[n]) for n, body in SHARED.items()]
+    problems = {k: v for k, v in plans.run_rules(rules, {"events": e}, daily.unionByName(quarters.withColumn("rule", F.lit("by_user"))), paths["ledger"]).items() if v}
+    if problems:
+        raise RuntimeError(str(problems))
+    outs = []
+    for n, body in SHARED.items():
+        rows = spark.read.parquet(paths[n])
+        dims = [(F.col(c) if c in body.by else F.lit(None)).cast(t).alias(c) for c, t in (("event_type", "string"), ("user_id", "bigint"))]
+        outs.append(rows.select(F.lit(n).alias("rule"), us(F.col("window_start").cast("timestamp")).alias("start_us"), *dims, "n", r6(F.col("total")).alias("total")))
+    return reduce(DataFrame.unionByName, outs)
