@@ -1,6 +1,7 @@
 """Operators on small hand-made rows and against plain windows on skewed keys."""
 
 import json
+import math
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -125,6 +126,22 @@ def test_exact_quantiles(spark, values):
     assert {r["quantile"]: r["value"] for r in aggregate.exact_quantiles(df, "v", shares).collect()} == want
 
 
+def test_exact_quantiles_beside_outliers(spark, monkeypatch):
+    """Dense values beside an infinity and 1e300: cells follow ranks, and too many values are split further."""
+    dense = spark.range(1_000_000).select((F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e12).alias("v"))
+    far = spark.createDataFrame([(float("inf"),), (1e300,), (None,), (float("nan"),), (-1e300,)], "v double")
+    df = dense.unionByName(far)
+    shares = [0.0, 0.0001, 0.5, 0.999, 1.0]
+    ordered = sorted(r[0] for r in df.filter("v is not null and not isnan(v)").collect())
+    want = {q: ordered[max(1, math.ceil(q * len(ordered))) - 1] for q in shares}
+    assert {r["quantile"]: r["value"] for r in aggregate.exact_quantiles(df, "v", shares).collect()} == want
+    monkeypatch.setattr(aggregate, "RANKED", 20)
+    assert {r["quantile"]: r["value"] for r in aggregate.exact_quantiles(df, "v", shares).collect()} == want
+    monkeypatch.setattr(aggregate, "_splitters", lambda rows, shares: [1e-5] * len(shares))  # splitters that miss every rank
+    monkeypatch.setattr(aggregate, "RANKED", 10**7)
+    assert {r["quantile"]: r["value"] for r in aggregate.exact_quantiles(df, "v", shares).collect()} == want
+
+
 def test_exact_quantiles_of_nothing(spark):
     assert aggregate.exact_quantiles(spark.createDataFrame([], "v double"), "v", [0.5]).count() == 0
 

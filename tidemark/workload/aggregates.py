@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.timebin import in_window
 from tidemark.operators import aggregate as agg
 from tidemark.operators.views import create_log_view, trace_ids, trace_spans
 from tidemark.operators.logs import encode_native_logs
+from tidemark.session import stored
 from tidemark.sources.spans import spans_to_logs
 from tidemark.workload.adapters import COUNTER_SQL, LOG_SQL, METRIC_SQL, counters, log_rows, metric_samples, r6, table, us
 from tidemark.workload.logs import SPAN_SQL, spans
@@ -140,6 +141,51 @@ def q7_sketch(spark, d):
     return out.select(F.col("Labels")["table"].alias("table_name"), F.col("Value").alias("value"))
 
 
+@query(
+    "Q7_sketch_bound",
+    """SELECT event_type AS table_name, count(DISTINCT user_id) AS series, true AS within FROM events GROUP BY 1""",
+)
+def q7_bound(spark, d):
+    """Whether the sketch form is within three per cent of the exact count of each table."""
+    tables = _event_tables(spark, d)
+    sketch, exact = (agg.count_cardinality(tables, utc(2024, 3, 1), since_s=70 * 86_400, exact=e).select("Labels", F.col("Value").alias(n)) for n, e in (("about", False), ("exact", True)))
+    key = F.col("Labels")["table"].alias("table_name")
+    both = sketch.select(key, "about").join(exact.select(key, "exact"), "table_name", "full")
+    return both.select("table_name", F.col("exact").cast("bigint").alias("series"), _within("about", "exact"))
+
+
+def _within(about: str, exact: str) -> Column:
+    return F.coalesce(F.abs(F.col(about) - F.col(exact)) <= 0.03 * F.col(exact), F.lit(False)).alias("within")
+
+
+@query(
+    "V3_distinct_layers",
+    f"""SELECT {bin_sql("ts", 86400)} AS bin_us, event_type, count(DISTINCT user_id) AS users, true AS within FROM events GROUP BY 1, 2""",
+)
+def v3_distinct(spark, d):
+    """Users per day from hourly sketches that were stored, within three per cent of the exact count."""
+    e = table(spark, d, "events")
+    hourly = stored(agg.rollup_distinct(e, 3600, ["event_type"], "user_id"), "hourly-sketches")
+    daily = agg.distinct_estimate(agg.reaggregate_distinct(hourly, 86_400, ["event_type"]))
+    exact = agg.rollup(e, 86_400, ["event_type"], {"users": F.count_distinct("user_id")})
+    return daily.join(exact, ["bin", "event_type"], "full").select(us("bin").alias("bin_us"), "event_type", "users", _within("distinct", "users"))
+
+
+@query(
+    "Q5_sketch_bound",
+    """SELECT CAST(p AS DOUBLE) AS percentile, true AS within FROM (VALUES (50.0), (90.0), (99.0), (100.0)) AS t(p)""",
+)
+def q5_bound(spark, d):
+    """Whether the rank of each percentile of the sketch form is within one row in 10,000, and a row, of the wanted rank."""
+    delays = _delays(spark, d)
+    found = agg.ingestion_delay_percentiles(delays).collect()
+    x = F.unix_micros("ingested_ts") - F.unix_micros("observed_ts")
+    counts = [F.struct(F.lit(r["percentile"]).alias("percentile"), F.count_if(x < r["delay_us"]).alias("lo"), F.count_if(x <= r["delay_us"]).alias("hi")) for r in found]
+    ranks = delays.agg(F.array(*counts).alias("r"), F.count("*").alias("n")).select("n", F.inline("r"))
+    rank, slack = F.col("n") * F.col("percentile") / 100, F.col("n") / 10_000 + 1
+    return ranks.select(F.round("percentile", 3).alias("percentile"), ((F.col("lo") - slack <= rank) & (rank <= F.col("hi") + slack)).alias("within"))
+
+
 @query(
     "Q9_unused_tables",
     """WITH s AS (SELECT user_id AS t, date_trunc('day', ts) AS day, count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY 1, 2),
