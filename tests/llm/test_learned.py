@@ -145,7 +145,21 @@ def test_block_max_neighbours_are_exact():
         found, cosine = toxic_neighbours.nearest(model, counts)
         assert np.allclose(cosine, [-s for s, _ in best], atol=1e-9)
         sure = {i for s, i in best if -s > -best[-1][0] + 1e-9}
-        assert sure <= set(model.ids[found].tolist())
+        assert sure <= {model.ids[n] for n in found.tolist()}
+
+
+def test_toxicity_of_a_toxic_majority_with_text_ids(spark):
+    """Three rows in five are toxic and ids are texts: scores still tell the classes apart and name the examples."""
+    rows = []
+    for i in range(400):
+        toxic = i % 5 < 3
+        rows.append((f"d{i:03}", f"w{i % 7} w{i % 11} plain " + (f"foul{i % 3} nasty" if toxic else f"kind{i % 2}"), int(toxic)))
+    source = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id string, toxic int")
+    got = {r.doc_id: r for r in toxic_neighbours.toxicity_digest(source, labels).collect()}
+    assert all(got[i].predicted == toxic for i, _, toxic in rows)
+    toxic_ids = {i for i, _, toxic in rows if toxic and not held_out(i, 5, 0)}
+    assert all({e.doc_id for e in got[i].evidence if e.toxic} <= toxic_ids and got[i].evidence for i in got if got[i].predicted)
 
 
 def test_toxicity_on_held_out_rows(spark):

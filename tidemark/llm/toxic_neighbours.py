@@ -1,9 +1,11 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Examples are at most ``examples`` labelled training rows of each class, those with the
-smallest hash of their id. Words that speak for the label in them (log-likelihood ratio
-and share of toxic examples) are the terms; a term's inverse document frequency counts
-all documents. Examples stand in the order of their terms, in blocks; the index keeps a
+smallest hash of their id. Words that speak for the label in them (log-likelihood ratio,
+and how much larger a part of the toxic than of the other examples has them, whichever
+class is the larger) are the terms; a term's inverse document frequency counts all
+documents. With all words as terms the nearest texts are those of the same subject: half
+of the toxic texts were missed then (README). Examples stand in the order of their terms, in blocks; the index keeps a
 posting list per term and block and the largest weight in it.
 
 For a document the bounds of all blocks are the sums of its weights times the largest
@@ -39,7 +41,7 @@ class Settings:
     examples: int = 8_000  # of each class
     terms: int = 2_000
     least_ratio: float = 20.0  # log-likelihood ratio of a term
-    least_lift: float = 2.0  # share of toxic rows with a term over that of all
+    least_lift: float = 2.0  # part of the toxic examples that have a term over that of the others
     neighbours: int = 25
     block: int = 128
     prior: float = 0.5
@@ -55,7 +57,8 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 class Model:
     terms: dict[bytes, int]
     idf: np.ndarray
-    ids: np.ndarray  # example ids, by number
+    ids: list  # example ids, of the type they have in the documents, by number
+    places: np.ndarray  # of the example ids in ascending order, by number
     toxic: np.ndarray
     votes: np.ndarray  # labelled rows that an example stands for
     starts: np.ndarray  # where each (term, block) posting list begins
@@ -90,7 +93,7 @@ def example_rows(docs: DataFrame, chosen: dict) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id")
 
 
-def select_terms(examples: DataFrame, chosen: dict, totals: dict[int, int], settings: Settings) -> list[bytes]:
+def select_terms(examples: DataFrame, chosen: dict, settings: Settings) -> list[bytes]:
     """Words that the labels single out, by document counts in the examples."""
 
     def count(batches):
@@ -110,7 +113,6 @@ def select_terms(examples: DataFrame, chosen: dict, totals: dict[int, int], sett
     n0 = len(chosen) - n1
     if not n0 or not n1:
         return []
-    scale1, scale0 = totals[1] / n1, totals[0] / n0
 
     def part(seen: Column, expected: Column) -> Column:
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -119,9 +121,8 @@ def select_terms(examples: DataFrame, chosen: dict, totals: dict[int, int], sett
     all_with = t + c
     cells = [(t, all_with * n1 / n), (c, all_with * n0 / n), (n1 - t, (n - all_with) * n1 / n), (n0 - c, (n - all_with) * n0 / n)]
     ratio = 2 * sum((part(seen.cast("double"), expected) for seen, expected in cells), F.lit(0.0))
-    share = t * scale1 / (t * scale1 + c * scale0)
-    least = settings.least_lift * totals[1] / (totals[0] + totals[1])
-    good = counted.withColumn("ratio", ratio).where((share >= least) & (F.col("ratio") >= settings.least_ratio))
+    lifted = t * n0 >= c * F.lit(settings.least_lift * n1)
+    good = counted.withColumn("ratio", ratio).where(lifted & (F.col("ratio") >= settings.least_ratio))
     return sorted(bytes(r["word"]) for r in good.orderBy(F.desc("ratio"), "word").limit(settings.terms).collect())
 
 
@@ -187,8 +188,11 @@ def build_model(vectors: list[tuple], terms: list[bytes], idf: np.ndarray, scale
             weights += [w for _, w in held]
             most[t, b] = max((w for _, w in held), default=0.0)
             starts.append(len(numbers))
+    ids = [m[1] for m in made]
+    places = np.empty(len(ids), np.int64)
+    places[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
     return Model(
-        {w: i for i, w in enumerate(terms)}, idf, np.array([m[1] for m in made]), np.array([m[2] for m in made], np.int64),
+        {w: i for i, w in enumerate(terms)}, idf, ids, places, np.array([m[2] for m in made], np.int64),
         np.array([scale[m[2]] for m in made]), np.array(starts), np.array(numbers, np.int64), np.array(weights), most, base, settings,
     )
 
@@ -210,7 +214,7 @@ def nearest(model: Model, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         hit = np.flatnonzero(scores > 0)
         best_n = np.concatenate([best_n, hit + b * size])
         best_s = np.concatenate([best_s, np.round(scores[hit], 12)])
-        order = np.lexsort((model.ids[best_n], -best_s))[:k]
+        order = np.lexsort((model.places[best_n], -best_s))[:k]
         best_n, best_s = best_n[order], best_s[order]
     return best_n, best_s
 
@@ -222,7 +226,7 @@ def vote(model: Model, counts: Counter) -> tuple[float, list[dict]]:
     toxic = float((weight * model.toxic[found]).sum())
     prior = model.settings.prior
     score = (toxic + prior * model.base) / (float(weight.sum()) + prior)
-    return score, [{"doc_id": i, "toxic": t, "cosine": c} for i, t, c in zip(model.ids[found].tolist(), model.toxic[found].tolist(), cosine.tolist())]
+    return score, [{"doc_id": i, "toxic": t, "cosine": c} for i, t, c in zip([model.ids[n] for n in found.tolist()], model.toxic[found].tolist(), cosine.tolist())]
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -231,10 +235,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     sample = Counter(chosen.values())
     scale = {label: totals[label] / n for label, n in sample.items()}
     examples = example_rows(docs, chosen)
-    terms = select_terms(examples, chosen, totals, settings)
+    terms = select_terms(examples, chosen, settings)
     if not terms:
         base = totals.get(1, 0) / max(1, sum(totals.values()))
-        return Model({}, np.empty(0), np.empty(0), np.empty(0), np.empty(0), np.zeros(1, int), np.empty(0), np.empty(0), np.zeros((0, 1)), base, settings)
+        return Model({}, np.empty(0), [], np.empty(0), np.empty(0), np.empty(0), np.zeros(1, int), np.empty(0), np.empty(0), np.zeros((0, 1)), base, settings)
     counts, n = document_counts(docs, terms)
     idf = np.log((n + 1) / (counts + 1)) + 0.1
     return build_model(term_vectors(examples, terms), terms, idf, scale, settings)
@@ -264,11 +268,11 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                     known[key] = vote(model, counts)
                 scores.append(known[key][0])
                 evidence.append(known[key][1])
-            row = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int64()), ("cosine", pa.float64())])
+            row = pa.struct([("doc_id", batch.column(0).type), ("toxic", pa.int64()), ("cosine", pa.float64())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(row))], ["doc_id", "score", "evidence"])
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id:long, toxic:long, cosine:double>>")
+    return source.mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id:{kind}, toxic:long, cosine:double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -278,7 +282,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = toxicity(docs, labels)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
