@@ -99,20 +99,25 @@ def _cell(splitters: list[float]) -> Column:
     return below * 2 + F.col("v").isin(splitters).cast("int")
 
 
-def _find(sizes: DataFrame, rank: int) -> tuple[int, int]:
-    """The cell that holds a rank, and the rank inside it; ``sizes`` has a few ``cell, n`` rows per splitter."""
-    for cell, n in sorted(sizes.groupBy("cell").agg(F.sum("n").alias("n")).collect()):
+def _sizes(cells: DataFrame) -> list[tuple[int, int, int]]:
+    """Each cell's number, rows and distinct values, in order; there are a few per splitter."""
+    return sorted(tuple(r) for r in cells.groupBy("cell").agg(F.sum("n"), F.count("*")).collect())
+
+
+def _find(sizes: list[tuple[int, int, int]], rank: int) -> tuple[int, int, int]:
+    """The cell that holds a rank, the rank inside it and the number of its distinct values."""
+    for cell, n, distinct in sizes:
         if rank <= n:
             break
         rank -= n
-    return cell, rank
+    return cell, rank, distinct
 
 
-def _at_rank(values: DataFrame, rank: int) -> DataFrame:
+def _at_rank(values: DataFrame, rank: int, distinct: int) -> DataFrame:
     """The value at a rank of counted values ``v, n``; they are split until one task can rank what is left."""
-    while values.count() > RANKED:
+    while distinct > RANKED:
         cell = _cell(sorted(set(_splitters(values, [i / 64 for i in range(65)]))))
-        at, rank = _find(values.withColumn("cell", cell), rank)
+        at, rank, distinct = _find(_sizes(values.withColumn("cell", cell)), rank)
         values = values.filter(cell == at)
     upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return values.withColumn("upto", upto).filter((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select("v")
@@ -140,14 +145,16 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: list[float]) -> DataFr
     known = (F.col("cell") % 2 == 1) | F.col("cell").isin(near)
     counted = rows.withColumn("cell", cell).groupBy("cell", F.when(known, F.col("v")).alias("v")).agg(F.count("*").alias("n"))
     counted = stored(counted, "quantile-cells")
-    total = counted.agg(F.sum("n")).first()[0]
+    sizes = _sizes(counted)
+    total = sum(n for _, n, _ in sizes)
     out = []
     for q in shares:
-        at, rank = _find(counted, max(1, math.ceil(q * total)))
+        at, rank, distinct = _find(sizes, max(1, math.ceil(q * total)))
         values = counted.filter(F.col("cell") == at)
         if at % 2 == 0 and at not in near:
-            values = rows.filter(cell == at).groupBy("v").agg(F.count("*").alias("n"))
-        out.append(_at_rank(values.select("v", "n"), rank).select(F.lit(q).alias("quantile"), F.col("v").alias("value")))
+            values = stored(rows.filter(cell == at).groupBy("v").agg(F.count("*").alias("n")), "quantile-cell")
+            distinct = values.count()
+        out.append(_at_rank(values.select("v", "n"), rank, distinct).select(F.lit(q).alias("quantile"), F.col("v").alias("value")))
     return reduce(DataFrame.unionAll, out)
 
 
