@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.timebin import in_window
-from tidemark.operators import aggregate, alerts, series
+from tidemark.operators import aggregate, alerts, federation, series
 from tidemark.operators.views import trace_spans
 from tidemark.plans import rules
 from tidemark.session import scratch_path
@@ -132,3 +132,16 @@ def test_a_failing_rule_leaves_those_it_shares_a_scan_with(spark):
     assert spark.read.parquet(paths["good"]).first()["n"] == 1
     state = {r["rule"]: r["state"] for r in rules.ledger_state(spark.read.parquet(paths["ledger"])).collect()}
     assert state == {"good": "completed", "bad": "failed"}
+
+
+def test_federated_relation_is_one_scan(spark, tmp_path):
+    """Members with columns of their own and day folders: one relation, rows under the right endpoint."""
+    spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string").write.parquet(str(tmp_path / "one + 1" / "T"))
+    spark.createDataFrame([(3, 5.0)], "a int, c double").write.parquet(str(tmp_path / "T" / "T"))
+    catalog = spark.createDataFrame([("D", None, ["p", "q", "r", "s"]), ("D", "T", ["p", "q", "s"]), ("E", "T", ["r"])], "database string, table string, endpoints array<string>")
+    roots = spark.createDataFrame([("p", str(tmp_path / "one + 1")), ("q", str(tmp_path / "T") + "/"), ("s", str(tmp_path / "gone"))], "endpoint string, root string")
+    rows, left_out = federation.federated_relation(spark, catalog, roots, "D", "T")
+    assert sorted(map(tuple, rows.select("endpoint", "a", "b", "c").collect()), key=str) == [("p", 1, "x", None), ("p", 2, "y", None), ("q", 3, None, 5.0)]
+    assert _plan(rows).count("Relation [") == 1
+    assert sorted(map(tuple, left_out.collect())) == [("r", "table not in the schema"), ("s", "no folder")]
+    assert federation.federated_relation(spark, catalog, roots, "nowhere", "T")[0] is None

@@ -76,3 +76,30 @@ def v8(spark, d):
     if skipped != ["e9"]:
         raise RuntimeError(f"unexpected members skipped: {skipped}")
     return out.groupBy("endpoint").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 4).alias("balance"))
+
+
+@query(
+    "V8_from_heartbeats",
+    """SELECT 'e' || CAST(n_regionkey AS VARCHAR) AS endpoint, CAST(NULL AS VARCHAR) AS reason, count(*) AS n, count(*) FILTER (n_regionkey % 2 = 0) AS named, round(sum(c_acctbal), 4) AS balance
+    FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey < 3 GROUP BY 1, n_regionkey
+    UNION ALL SELECT 'e3', 'table not in the schema', NULL, NULL, NULL UNION ALL SELECT 'e9', 'no root', NULL, NULL, NULL""",
+)
+def v8_from_heartbeats(spark, d):
+    """Regions as endpoints, from their heartbeats to one relation: one lacks the table, one is stale, one has no root, some lack a column."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "c_acctbal", "c_name", "n_regionkey")
+    base = scratch_path(spark, "clusters")
+    regions = [r for (r,) in table(spark, d, "region").select("r_regionkey").toLocalIterator()]
+    for r in regions:
+        part = rows.filter(F.col("n_regionkey") == r).drop("n_regionkey", *(["c_name"] if r % 2 else []))
+        part.write.parquet(f"{base}/e{r}/Customers")
+    schema = F.when(F.col("r") == 3, F.lit('[{"database":"Sales","tables":["Other"]}]')).otherwise(F.lit('[{"database":"Sales","tables":["Customers"]},{"database":"Else","tables":["Customers"]}]'))
+    age = F.when(F.col("r") == 4, 20).otherwise(1)
+    beats = spark.createDataFrame([(r,) for r in [*regions, 9]], "r int").select(
+        F.timestamp_micros(us(F.lit(NOW)) - age.cast("bigint") * 3_600_000_000).alias("Timestamp"), F.concat(F.lit("e"), F.col("r").cast("string")).alias("ClusterEndpoint"), schema.alias("Schema"),
+    )
+    roots = spark.createDataFrame([(f"e{r}", f"{base}/e{r}/") for r in regions], "endpoint string, root string")
+    catalog, _ = ops.federation_catalog(ops.live_endpoints(beats, NOW, 8 * 3600))
+    out, left_out = ops.federated_relation(spark, catalog, roots, "Sales", "Customers")
+    read = out.groupBy("endpoint").agg(F.count("*").alias("n"), F.count("c_name").alias("named"), F.round(F.sum("c_acctbal"), 4).alias("balance"))
+    return read.withColumn("reason", F.lit(None).cast("string")).unionByName(left_out, allowMissingColumns=True)
