@@ -1,5 +1,6 @@
 """Physical plans: native operators, pushed filters, no nested loops, skew-safe windows."""
 
+import threading
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -145,3 +146,22 @@ def test_federated_relation_is_one_scan(spark, tmp_path):
     assert _plan(rows).count("Relation [") == 1
     assert sorted(map(tuple, left_out.collect())) == [("r", "table not in the schema"), ("s", "no folder")]
     assert federation.federated_relation(spark, catalog, roots, "nowhere", "T")[0] is None
+
+
+def test_alerts_are_evaluated_side_by_side(spark):
+    """Two rules wait for each other, which only works at once; sinks take turns and outcomes keep the order of rules."""
+    together, inside, most, sent = threading.Barrier(2, timeout=60), [], [], []
+
+    def rule(s, p):
+        together.wait()
+        return s.range(1).select(F.lit("t").alias("title"), F.lit(1).alias("severity"))
+
+    def sink(df):
+        inside.append(1)
+        most.append(len(inside))
+        sent.extend(r["source"] for r in df.collect())
+        inside.pop()
+
+    found = alerts.run_alerts(spark, [alerts.AlertRule("ops", n, rule) for n in ("b", "a")], datetime(2024, 1, 1, tzinfo=timezone.utc), sink, at_once=2)
+    assert [(r["name"], r["outcome"]) for r in found.collect()] == [("b", "success"), ("a", "success")]
+    assert max(most) == 1 and sorted(sent) == ["ops/a", "ops/b"]

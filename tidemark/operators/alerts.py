@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from threading import Lock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -237,25 +240,32 @@ def _run_alert(
 
 def run_alerts(
     spark: SparkSession, rules: list[AlertRule], now: datetime, sink: Callable[[DataFrame], None], cap: int = DEFAULT_CAP,
-    region: str = "", labels: dict[str, str] | None = None,
+    region: str = "", labels: dict[str, str] | None = None, at_once: int = 5,
 ) -> DataFrame:
     """Evaluate the rules whose criteria match ``labels``, hand their notifications to ``sink``, return one outcome row each.
 
-    Whatever fails in one rule, its query, its code or the sink, is that rule's outcome
-    and does not stop the others; a query in error sends one notification to the rule's
-    own destination.
+    ``at_once`` rules are evaluated side by side; the sink is called by one at a time, as
+    appends to one folder must be. Whatever fails in one rule, its query, its code or
+    the sink, is that rule's outcome and does not stop the others; a query in error sends
+    one notification to the rule's own destination. Outcomes are in the order of the rules.
     """
-    import time
+    turn = Lock()
 
-    outcomes = []
-    for rule in matching_rules(spark, rules, labels or {}):
+    def in_turn(notifications: DataFrame) -> None:
+        with turn:
+            sink(notifications)
+
+    def run(rule: AlertRule) -> tuple:
         started = time.monotonic()
         try:
-            result = _run_alert(spark, rule, now, sink, cap, region)
+            result = _run_alert(spark, rule, now, in_turn, cap, region)
         except Exception as error:
             result = SERVICE_ERROR, 0, 0, f"{type(error).__name__}: {error}"
         outcome, rows, alerts, message = result
-        outcomes.append((rule.namespace, rule.name, outcome, rows, alerts, time.monotonic() - started, message))
+        return rule.namespace, rule.name, outcome, rows, alerts, time.monotonic() - started, message
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        outcomes = list(pool.map(run, matching_rules(spark, rules, labels or {})))
     return spark.createDataFrame(
         outcomes,
         "namespace string, name string, outcome string, rows long, alerts long, duration_s double, message string",
