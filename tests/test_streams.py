@@ -12,7 +12,7 @@ from tidemark.operators.series import increase
 from tidemark.operators.views import create_log_view
 from tidemark.session import delete_path, scratch_path
 from tidemark.streaming import jobs
-from tidemark.workload.stream import finish, read_stream, written
+from tidemark.workload.stream import event_files, finish, read_stream, written
 
 
 def feed(spark, batches, schema):
@@ -158,3 +158,44 @@ def test_late_rows_stay_beside_the_rollup(spark):
     assert tuple(bins) == (60, 60.0)
     found = out.filter("late_row IS NOT NULL").select("k", F.get_json_object("late_row", "$.v").cast("double").alias("v"), "bin", "n", "total").collect()
     assert sorted(map(tuple, found)) == [("a", 7.0, None, 1, 7.0), ("b", 5.0, None, 1, 5.0)]
+
+
+def map_state():
+    """A map state of one group, and its entries."""
+    kept = {}
+    return types.SimpleNamespace(getValue=kept.get, updateValue=lambda k, v: kept.update({k: v}), removeKey=kept.pop), kept
+
+
+def test_one_call_takes_the_lines_of_many_streams():
+    lines = [(f"s{k}", i, (i + k) % 4 != 3, f"{k}:{i},") for k in range(5) for i in range(10)]
+    frame = pd.DataFrame(lines, columns=[jobs.OWNER, "offset", "is_partial", "message"])
+    frame[jobs.SLICE] = frame["offset"] // 6
+    columns = [jobs.OWNER, "offset", "message", "cut"]
+    first = jobs.LinePieces([*columns, jobs.SLICE, jobs.ROLE], "offset", "message", True)
+    joiner = jobs.LineJoiners(columns, "offset", "message", None, None)
+    joiner.open, kept = map_state()
+    done = []
+    for batch in (frame[frame["offset"] < 7], frame[frame["offset"] >= 7]):
+        (given,) = first.handleInputRows((1,), iter([batch]), None)
+        done += given[given[jobs.ROLE] == jobs.DONE][columns[:3]].values.tolist()
+        (given,) = joiner.handleInputRows((-1, "1"), iter([given[given[jobs.ROLE] != jobs.DONE]]), None)
+        done += given[columns[:3]].values.tolist()
+    want, still = [], {}
+    for k in range(5):
+        text = ""
+        for i in range(10):
+            text += f"{k}:{i},"
+            if (i + k) % 4 == 3:
+                want.append([f"s{k}", i, text])
+                text = ""
+        if text:
+            still[f"s{k}",] = (9, text)
+    assert sorted(done) == sorted(want) and kept == still
+
+
+def test_a_cut_of_the_events_is_one_file(spark):
+    """A batch is a cut of the ids in event order, into however many parts the table is split."""
+    root = scratch_path(spark, "tables")
+    spark.range(40).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts").repartition(8).write.parquet(f"{root}/events.parquet")
+    files = spark.read.parquet(event_files(spark, root)).groupBy(F.input_file_name().alias("f")).agg(F.min("event_id"), F.max("event_id")).collect()
+    assert sorted(tuple(r)[1:] for r in files) == [(0, 12), (13, 25), (26, 39)]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from datetime import datetime
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
@@ -79,8 +81,10 @@ def with_arbitrary_state(spark: SparkSession) -> None:
 
 
 # Names of the columns that steer rows between two steps.
-SLICE, LANE, OWNER, BORDER, ROLE = "tm_slice", "tm_lane", "tm_owner", "tm_border", "tm_role"
+SLICE, LANE, OWNER, BORDER, ROLE, BUCKET = "tm_slice", "tm_lane", "tm_owner", "tm_border", "tm_role", "tm_bucket"
 LANES = 64
+# Groups that a step is called for: each takes the rows of many keys at once, because a call costs far more than a row.
+BUCKETS = 128
 # What a row is to the second step: finished, the first row of a piece, the last sample of a piece, an open rest, an open rest with its end.
 DONE, FIRST, LAST, OPEN, END = range(5)
 
@@ -118,40 +122,47 @@ def _steps(out: T.StructType, keys: list[str]) -> tuple[T.StructType, T.StructTy
     return T.StructType([*plain, T.StructField(SLICE, T.LongType()), T.StructField(ROLE, T.IntegerType())]), T.StructType(plain)
 
 
-def _second_step(first: DataFrame, processor: StatefulProcessor, plain: T.StructType, out: T.StructType, keys: list[str], timed: bool) -> DataFrame:
-    """Border rows by owner, finished rows as they are, spread over lanes; only a ``timed`` step keeps the stream running without data."""
+def bucket(*columns: str) -> Column:
+    """Bucket of the keys in these columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
+
+
+def _second_step(
+    first: DataFrame, processor: StatefulProcessor, plain: T.StructType, out: T.StructType, keys: list[str], timed: bool, by: Column
+) -> DataFrame:
+    """Border rows by a text of their owner, finished rows as they are, spread over lanes; only a ``timed`` step keeps the stream running without data."""
     border = F.col(ROLE) != DONE
     lane = F.when(border, -1).otherwise(F.pmod(F.xxhash64(OWNER, SLICE), F.lit(LANES)).cast("int"))
-    spread = first.withColumns({LANE: lane, BORDER: F.when(border, F.col(OWNER)).otherwise("")}).groupBy(LANE, BORDER)
+    spread = first.withColumns({LANE: lane, BORDER: F.when(border, by).otherwise("")}).groupBy(LANE, BORDER)
     done = spread.transformWithStateInPandas(processor, plain, "append", "ProcessingTime" if timed else "none")
     owner = F.from_json(OWNER, T.StructType([f for f in out if f.name in keys]))
     return done.withColumn(OWNER, owner).select(*[F.col(OWNER)[f.name].alias(f.name) if f.name in keys else f.name for f in out])
 
 
 class LinePieces(_Processor):
-    """Lines of one slice of a stream: whole messages, and the rests before the first and after the last end."""
+    """Lines of some slices of streams: whole messages, and the rests before the first and after the last end of each slice."""
 
     def __init__(self, out: list[str], order: str, message: str, joined: bool):
         super().__init__(out)
         self.order, self.message, self.joined = order, message, joined
 
     def handleInputRows(self, key, rows, timers):
-        lines = self.frame(rows, [self.order])
-        if not len(lines):
+        rows = [r for r in rows if len(r)]
+        if not rows:
             return
+        by = [c for c in (OWNER, SLICE) if c in rows[0]]
+        lines = self.frame(rows, [*by, self.order])
         lines[self.message] = lines[self.message].fillna("")
         ends = ~lines["is_partial"].astype(bool)
-        number = ends.cumsum() - ends  # the message a line belongs to, within the piece
-        last = int(ends.sum())
-        inner = (number > 0) & (number < last)
-        joined = lines.groupby(number)[self.message].transform("".join) if len(lines) > 1 else lines[self.message]
-        done = lines[inner & ends].assign(**{self.message: joined[inner & ends], "cut": False, ROLE: DONE})
-        outer = ~inner
-        if self.joined:
-            closing = outer & (number != number.shift(-1))
-            rest = lines[closing].assign(**{self.message: joined[closing]})
-        else:
-            rest = lines[outer]
+        piece = lines.groupby(by, sort=False).ngroup()
+        number = ends.groupby(piece).cumsum() - ends  # the message a line belongs to, within the piece
+        inner = (number > 0) & (number < ends.groupby(piece).transform("sum"))
+        closing = (piece != piece.shift(-1)) | ends
+        texts, stops = lines[self.message].to_list(), np.flatnonzero(closing) + 1
+        whole = lines[closing].assign(**{self.message: ["".join(texts[i:j]) for i, j in zip([0, *stops[:-1]], stops)]})
+        # The last message of a piece is open if nothing ends it, and so is the first, which may have begun before.
+        done = whole[inner[closing]].assign(**{"cut": False, ROLE: DONE})
+        rest = whole[~inner[closing]] if self.joined else lines[~inner]
         yield pd.concat([done, rest.assign(**{"cut": False, ROLE: ends[rest.index].map({True: END, False: OPEN})})])[self.out]
 
 
@@ -170,27 +181,32 @@ class LineJoiner(_Processor):
         if not key[1]:
             yield from self.finished(rows)
             return
-        at, text = self.open.get() if self.open.exists() else (None, "")
-        had, pieces, done = at is not None, [text], []
-        size = len(text)
-        for row in self.frame(rows, [self.order]).to_dict("records"):
-            pieces.append(row[self.message])
-            at, size = int(row[self.order]), size + len(row[self.message])
-            cut = row[ROLE] == OPEN
-            if not cut or (self.longest and size >= self.longest):
-                done.append(row | {self.message: "".join(pieces), "cut": cut})
-                pieces, size, at = [], 0, None
-        if at is not None:
-            self.open.update((at, "".join(pieces)))
-        elif had:
+        kept = self.open.get() if self.open.exists() else None
+        done, left = self.join(kept, self.frame(rows, [self.order]).to_dict("records"))
+        if left:
+            self.open.update(left)
+        elif kept:
             self.open.clear()
         if self.idle_ms:
             for timer in [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]:
                 self.handle.deleteTimer(timer)
-            if at is not None:
+            if left:
                 self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame(done, columns=self.out)
 
+    def join(self, kept: tuple | None, rows: list[dict]) -> tuple[list[dict], tuple | None]:
+        """Finished messages of ordered rests behind an open message, and what is open then."""
+        at, text = kept or (None, "")
+        pieces, size, done = [text], len(text), []
+        for row in rows:
+            pieces.append(row[self.message])
+            at, size = int(row[self.order]), size + len(row[self.message])
+            cut = row[ROLE] == OPEN
+            if not cut or (self.longest and size >= self.longest):
+                done.append(row | {self.message: "".join(pieces), "cut": cut})
+                pieces, size, at = [], 0, None
+        return done, None if at is None else (at, "".join(pieces))
+
     def handleExpiredTimer(self, key, timers, expired):
         if self.open.exists():
             at, text = self.open.get()
@@ -199,6 +215,29 @@ class LineJoiner(_Processor):
             yield pd.DataFrame([given]).reindex(columns=self.out)
 
 
+class LineJoiners(LineJoiner):
+    """Rests of the streams of one bucket; each stream's open message waits in a map state."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "owner string", "at long, text string")
+
+    def handleInputRows(self, key, rows, timers):
+        if not key[1]:
+            yield from self.finished(rows)
+            return
+        found = []
+        for owner, rests in groupby(self.frame(rows, [OWNER, self.order]).to_dict("records"), lambda r: r[OWNER]):
+            kept = self.open.getValue((owner,))
+            done, left = self.join(kept, list(rests))
+            found += done
+            if left:
+                self.open.updateValue((owner,), left)
+            elif kept:
+                self.open.removeKey((owner,))
+        yield pd.DataFrame(found, columns=self.out)
+
+
 def reassemble_stream(
     sdf: DataFrame, keys: list[str], order: str = "offset", message: str = "message",
     longest: int | None = None, idle_ms: int | None = None, slice_width: int = 100_000,
@@ -207,16 +246,21 @@ def reassemble_stream(
 
     Positions grow within a stream. Lines are first joined per (stream, slice of
     ``slice_width`` positions), so one stream is worked by many tasks; only what is open at
-    the borders of a slice meets the state of the stream. With ``longest`` a message that
-    reaches that many characters without an end is given out as it is, with ``cut`` set, and
-    so is one whose stream has been idle for ``idle_ms``; a finished message leaves no state.
+    the borders of a slice meets the state of the stream. Slices, and then streams, are
+    dealt to ``BUCKETS`` groups, so the number of calls does not grow with that of streams;
+    with ``idle_ms`` each stream has a timer and a call of its own in the second step. With
+    ``longest`` a message that reaches that many characters without an end is given out as
+    it is, with ``cut`` set, and so is one whose stream has been idle for ``idle_ms``; a
+    finished message leaves no state.
     """
     with_arbitrary_state(sdf.sparkSession)
     out = _output_schema(sdf, ("is_partial",), "cut")
     steps, plain = _steps(out, keys)
     sliced = _owned(sdf, keys).withColumn(SLICE, F.coalesce(number_slice(F.col(order), slice_width), F.lit(NO_SLICE)))
-    pieces = sliced.groupBy(OWNER, SLICE).transformWithStateInPandas(LinePieces(steps.names, order, message, longest is None), steps, "append", "none")
-    return _second_step(pieces, LineJoiner(plain.names, order, message, longest, idle_ms), plain, out, keys, bool(idle_ms))
+    dealt = sliced.withColumn(BUCKET, bucket(OWNER, SLICE)).groupBy(BUCKET)
+    pieces = dealt.transformWithStateInPandas(LinePieces(steps.names, order, message, longest is None), steps, "append", "none")
+    kind, by = (LineJoiner, F.col(OWNER)) if idle_ms else (LineJoiners, bucket(OWNER).cast("string"))
+    return _second_step(pieces, kind(plain.names, order, message, longest, idle_ms), plain, out, keys, bool(idle_ms), by)
 
 
 class SlicedCounter(_Processor):
@@ -309,7 +353,7 @@ def stream_increase(sdf: DataFrame, idle_ms: int | None = None, slice_seconds: i
     sliced = _owned(sdf.filter(~F.isnan("Value")), ["SeriesId"]).withColumn(SLICE, F.coalesce(time_slice(F.col("Timestamp"), slice_seconds), F.lit(NO_SLICE)))
     laned = sliced.withColumn(LANE, F.pmod(SLICE, F.lit(lanes)))
     pieces = laned.groupBy(OWNER, LANE).transformWithStateInPandas(SlicedCounter(steps.names), steps, "append", "none")
-    return _second_step(pieces, SeriesCounter(plain.names, idle_ms), plain, out, ["SeriesId"], bool(idle_ms))
+    return _second_step(pieces, SeriesCounter(plain.names, idle_ms), plain, out, ["SeriesId"], bool(idle_ms), F.col(OWNER))
 
 
 class LateMarker(_Processor):

@@ -14,17 +14,23 @@ from tidemark.workload.series import change_sql
 
 NOW = utc(2024, 1, 31)
 BATCHES = 3
+# Most rows of a file, on average; a larger table has more files instead of larger ones.
+FILE_ROWS = 2_000_000
 
 
 def event_files(spark, d, columns: list | None = None) -> str:
-    """The events as a few files written one after the other in event order, the input folder of a stream."""
+    """The events as a few files written one after the other in event order, the input folder of a stream.
+
+    Each cut of the event ids is one file, and so one batch, however many parts the table is read in.
+    """
     path = scratch_path(spark, "stream-in")
     e = table(spark, d, "events")
     shaped = e.select(*columns) if columns else e
-    first, last = e.agg(F.min("event_id"), F.max("event_id")).first()
-    cuts = [first + (last + 1 - first) * i // BATCHES for i in range(BATCHES + 1)]
+    first, last, rows = e.agg(F.min("event_id"), F.max("event_id"), F.count("event_id")).first()
+    batches = max(BATCHES, -(-rows // FILE_ROWS))
+    cuts = [first + (last + 1 - first) * i // batches for i in range(batches + 1)]
     for lo, hi in zip(cuts, cuts[1:]):
-        shaped.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi)).write.mode("append").parquet(path)
+        shaped.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi)).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
