@@ -199,3 +199,30 @@ def test_a_cut_of_the_events_is_one_file(spark):
     spark.range(40).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts").repartition(8).write.parquet(f"{root}/events.parquet")
     files = spark.read.parquet(event_files(spark, root)).groupBy(F.input_file_name().alias("f")).agg(F.min("event_id"), F.max("event_id")).collect()
     assert sorted(tuple(r)[1:] for r in files) == [(0, 12), (13, 25), (26, 39)]
+
+
+def test_one_call_takes_the_samples_of_many_series():
+    start, rows = pd.Timestamp("2024-01-01"), []
+    for k in range(4):
+        rows += [(f"s{k}", start + pd.Timedelta(minutes=20 * i + k), float((i + k) ** 2 % 11)) for i in range(12)]
+    frame = pd.DataFrame(rows, columns=[jobs.OWNER, "Timestamp", "Value"])
+    frame[jobs.SLICE] = frame["Timestamp"].dt.hour
+    frame[jobs.LANE] = frame[jobs.SLICE] % 2
+    columns = [jobs.OWNER, "Timestamp", "Value", "late"]
+    sliced, series = jobs.SlicedCounter([*columns, jobs.SLICE, jobs.ROLE]), jobs.SeriesCounter(columns, None)
+    (sliced.last, lanes), (series.last, kept) = map_state(), map_state()
+    late = frame.iloc[[1, 13]].assign(Value=99.0)
+    done, cut = [], start + pd.Timedelta(minutes=150)
+    for batch in (frame[frame["Timestamp"] < cut], pd.concat([late, frame[frame["Timestamp"] >= cut]])):
+        (given,) = sliced.handleInputRows((1,), iter([batch]), None)
+        done += given[given[jobs.ROLE] == jobs.DONE][columns].values.tolist()
+        (given,) = series.handleInputRows((-1, "1"), iter([given[given[jobs.ROLE] != jobs.DONE]]), None)
+        done += given[columns].values.tolist()
+    want = [[o, t, 99.0, True] for o, t in late[[jobs.OWNER, "Timestamp"]].values.tolist()]
+    for owner, own in frame.groupby(jobs.OWNER):
+        before = None
+        for at, value in zip(own["Timestamp"], own["Value"]):
+            want.append([owner, at, 0.0 if before is None else value if value < before else value - before, False])
+            before = value
+    plain = lambda found: sorted([o, pd.Timestamp(t), v, bool(x)] for o, t, v, x in found)
+    assert plain(done) == plain(want) and len(kept) == 4 and len(lanes) == 8

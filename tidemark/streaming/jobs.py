@@ -263,47 +263,59 @@ def reassemble_stream(
     return _second_step(pieces, kind(plain.names, order, message, longest, idle_ms), plain, out, keys, bool(idle_ms), by)
 
 
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.astype("datetime64[us]").astype("int64").to_numpy()
+
+
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of rows equal in all columns begins."""
+    return np.logical_or.reduce([np.append(True, c[1:] != c[:-1]) for c in columns])
+
+
 class SlicedCounter(_Processor):
-    """Samples of one (series, lane of slices): changes within each slice, and its first and last sample for the series' state.
+    """Samples of some (series, lane of slices): changes within each slice, and its first and last sample for the series' state.
 
-    The state is the newest sample of the lane, so a series has at most one of them for each
+    The state is the newest sample of a lane, so a series has at most one of them for each
     lane. What is not newer is late: its slice, or a later one, has been seen that far.
     """
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.last = handle.getValueState("lane_last", "slice long, at long, value double")
+        self.last = handle.getMapState("lane_last", "owner string, lane long", "slice long, at long, value double")
 
     def handleInputRows(self, key, rows, timers):
-        data = self.frame(rows, ["Timestamp", "Value"])
+        data = self.frame(rows, [OWNER, LANE, SLICE, "Timestamp", "Value"])
         if not len(data):
             return
-        seen = self.last.get() if self.last.exists() else None
-        for number, given in data.groupby(SLICE, sort=True):
-            known = seen if seen and seen[0] == number else None
-            micros = given["Timestamp"].astype("datetime64[us]").astype("int64")
-            late = micros <= seen[1] if seen else pd.Series(False, index=given.index)
-            fresh = given[~late]
-            given = given.assign(late=late, **{ROLE: DONE})
-            if len(fresh):
-                value, first = fresh["Value"], fresh.index[0]
-                before = value.shift(1)
-                if known:
-                    before.iloc[0] = known[2]
-                grown = (value - before).mask(value < before, value)
-                if not known:
-                    grown.iloc[0] = value.iloc[0]
-                    given.loc[first, ROLE] = FIRST
-                given.loc[~late, "Value"] = grown
-                seen = (int(number), int(micros[~late].iloc[-1]), float(value.iloc[-1]))
-                # The last sample goes on as it was, to be the state of the series.
-                given = pd.concat([given, fresh.iloc[[-1]].assign(late=False, **{ROLE: LAST})])
+        lane = data.groupby([OWNER, LANE], sort=False).ngroup().to_numpy()
+        names = list(data.loc[_begins(lane), [OWNER, LANE]].itertuples(index=False, name=None))
+        seen = [self.last.getValue(name) for name in names]
+        known = np.array([s is not None for s in seen])
+        seen_slice, seen_at, seen_value = (np.array([s[i] if s else 0 for s in seen], kind) for i, kind in enumerate((np.int64, np.int64, float)))
+        micros = _micros(data["Timestamp"])
+        late = known[lane] & (micros <= seen_at[lane])
+        given = data.assign(late=late, **{ROLE: DONE})
+        fresh = given[~late]
+        if not len(fresh):
             yield given[self.out]
-        self.last.update(seen)
+            return
+        lane, micros, number, value = lane[~late], micros[~late], fresh[SLICE].to_numpy(), fresh["Value"].to_numpy(float)
+        begins = _begins(lane, number)
+        goes_on = begins & known[lane] & (seen_slice[lane] == number)
+        before = np.append(np.nan, value[:-1])
+        before[goes_on] = seen_value[lane[goes_on]]
+        first = begins & ~goes_on
+        grown = np.where(first | (value < before), value, value - before)
+        changed = fresh.assign(**{"Value": grown, ROLE: np.where(first, FIRST, DONE)})
+        # The last sample goes on as it was, to be the state of the series.
+        last = fresh[np.append(begins[1:], True)].assign(**{ROLE: LAST})
+        for i in np.flatnonzero(np.append(_begins(lane)[1:], True)):
+            self.last.updateValue(names[lane[i]], (int(number[i]), int(micros[i]), float(value[i])))
+        yield pd.concat([given[late], changed, last])[self.out]
 
 
 class SeriesCounter(_Processor):
-    """First and last samples of the slices of one series; the newest sample is the state."""
+    """First and last samples of the slices of the series of one bucket; the newest sample of each series is its state."""
 
     def __init__(self, out: list[str], idle_ms: int | None):
         super().__init__(out)
@@ -311,30 +323,30 @@ class SeriesCounter(_Processor):
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.last = handle.getValueState("series_last", "at long, value double", self.idle_ms)
+        self.last = handle.getMapState("series_last", "owner string", "at long, value double", self.idle_ms)
 
     def handleInputRows(self, key, rows, timers):
         if not key[1]:
             yield from self.finished(rows)
             return
-        seen = self.last.get() if self.last.exists() else None
         # The first sample of a slice can be its last one too: it comes before itself.
-        borders = self.frame(rows, ["Timestamp", ROLE])
-        micros = borders["Timestamp"].astype("datetime64[us]").astype("int64")
-        done = []
-        for at, row in zip(micros, borders.to_dict("records")):
-            at, value = int(at), float(row["Value"])
-            if row[ROLE] == FIRST:
-                if seen and at <= seen[0]:
-                    done.append(row | {"late": True})
-                    continue
-                change = 0.0 if not seen else value if value < seen[1] else value - seen[1]
-                done.append(row | {"Value": change, "late": False})
-            if not seen or at > seen[0]:
-                seen = (at, value)
-        if seen:
-            self.last.update(seen)
-        yield pd.DataFrame(done, columns=self.out)
+        borders = self.frame(rows, [OWNER, "Timestamp", ROLE])
+        if not len(borders):
+            return
+        first = (borders[ROLE] == FIRST).to_numpy()
+        samples = zip(borders[OWNER], _micros(borders["Timestamp"]).tolist(), borders["Value"].to_numpy(float).tolist(), first.tolist())
+        values, late = [], []
+        for owner, some in groupby(samples, lambda s: s[0]):
+            seen = self.last.getValue((owner,))
+            for _, at, value, is_first in some:
+                old = seen is not None and at <= seen[0]
+                if is_first:
+                    late.append(old)
+                    values.append(value if old else 0.0 if seen is None else value if value < seen[1] else value - seen[1])
+                if not old:
+                    seen = (at, value)
+            self.last.updateValue((owner,), tuple(seen))
+        yield borders[first].assign(Value=values, late=late)[self.out]
 
 
 def stream_increase(sdf: DataFrame, idle_ms: int | None = None, slice_seconds: int = 86_400, lanes: int = 64) -> DataFrame:
@@ -342,8 +354,9 @@ def stream_increase(sdf: DataFrame, idle_ms: int | None = None, slice_seconds: i
 
     A reset counts from zero, because the following sample is not known yet. Changes are
     taken per (series, lane of time slices), so one series is worked by up to ``lanes``
-    tasks; only the first and last samples of slices meet the state of the series. Rows not
-    newer than what their lane has seen come out unchanged with ``late`` set, and so does
+    tasks; only the first and last samples of slices meet the state of the series. Lanes, and
+    then series, are dealt to ``BUCKETS`` groups, so the number of calls does not grow with
+    that of series. Rows not newer than what their lane has seen come out unchanged with ``late`` set, and so does
     the first row of a slice that is not newer than the series. A series idle for
     ``idle_ms`` is forgotten and starts anew.
     """
@@ -352,8 +365,9 @@ def stream_increase(sdf: DataFrame, idle_ms: int | None = None, slice_seconds: i
     steps, plain = _steps(out, ["SeriesId"])
     sliced = _owned(sdf.filter(~F.isnan("Value")), ["SeriesId"]).withColumn(SLICE, F.coalesce(time_slice(F.col("Timestamp"), slice_seconds), F.lit(NO_SLICE)))
     laned = sliced.withColumn(LANE, F.pmod(SLICE, F.lit(lanes)))
-    pieces = laned.groupBy(OWNER, LANE).transformWithStateInPandas(SlicedCounter(steps.names), steps, "append", "none")
-    return _second_step(pieces, SeriesCounter(plain.names, idle_ms), plain, out, ["SeriesId"], bool(idle_ms), F.col(OWNER))
+    dealt = laned.withColumn(BUCKET, bucket(OWNER, LANE)).groupBy(BUCKET)
+    pieces = dealt.transformWithStateInPandas(SlicedCounter(steps.names), steps, "append", "none")
+    return _second_step(pieces, SeriesCounter(plain.names, idle_ms), plain, out, ["SeriesId"], bool(idle_ms), bucket(OWNER).cast("string"))
 
 
 class LateMarker(_Processor):
