@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.timebin import in_window
 from tidemark.operators import aggregate, alerts, federation, series
 from tidemark.operators.views import trace_spans
-from tidemark.plans import rules
+from tidemark.plans import rules, windows
 from tidemark.session import scratch_path
 from tidemark.workload.adapters import counters, table
 from tidemark.workload.alerts import notifications
@@ -165,3 +165,13 @@ def test_alerts_are_evaluated_side_by_side(spark):
     found = alerts.run_alerts(spark, [alerts.AlertRule("ops", n, rule) for n in ("b", "a")], datetime(2024, 1, 1, tzinfo=timezone.utc), sink, at_once=2)
     assert [(r["name"], r["outcome"]) for r in found.collect()] == [("b", "success"), ("a", "success")]
     assert max(most) == 1 and sorted(sent) == ["ops/a", "ops/b"]
+
+
+def test_windows_are_made_and_sorted_by_all_tasks(spark):
+    """Rules and windows are few bytes, so that their parts would be put together into one."""
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    made = spark.createDataFrame([(f"r{i}", 3600, 0, start) for i in range(50)], "rule string, interval_s int, delay_s int, last_end timestamp").coalesce(1)
+    ledger = spark.createDataFrame([("r1", start)], "rule string, window_start timestamp")
+    new, left = windows.newest_windows(made, ledger, start + timedelta(hours=100, minutes=1), 20)
+    assert new.groupBy(F.spark_partition_id()).count().count() > 4
+    assert (new.count(), left.count()) == (50 * 20, 50 * 80 - 1)

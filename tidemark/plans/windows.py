@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.timebin import MICROS, bin_micros
+from tidemark.session import spread
 
 # Fixed value: the most backfill windows of a request in flight, unless told otherwise.
 MAX_IN_FLIGHT = 20
@@ -33,7 +34,8 @@ def _untracked(rules: DataFrame, ledger: DataFrame, now: datetime) -> tuple[Data
     elapsed = F.call_function("div", F.greatest(effective - last_end - 1, F.lit(0).cast("bigint")), interval_us)
     count = F.when(first_run, F.lit(1).cast("bigint")).otherwise(elapsed)
     windows = F.explode(_windows_from(start, interval_us, F.lit(0).cast("bigint"), count))
-    generated = rules.select("rule", "interval_s", windows.alias("_start"))
+    # Few bytes of rules make many windows, and windows take few bytes in a shuffle: without spreading both, few tasks would make and sort them all.
+    generated = spread(spread(rules, "rule").select("rule", "interval_s", windows.alias("_start")), "rule", "_start")
     tracked = ledger.join(rules.select("rule"), "rule", "left_semi").select(
         "rule", F.unix_micros("window_start").alias("_start")
     ).distinct()
@@ -60,7 +62,7 @@ def newest_windows(rules: DataFrame, ledger: DataFrame, now: datetime, cap: int)
     new, tracked = _untracked(rules, ledger, now)
     every = new.withColumn("_new", F.lit(True)).unionByName(tracked.withColumn("_new", F.lit(False)), allowMissingColumns=True)
     newest = Window.partitionBy("rule").orderBy(F.desc("_start"))
-    ranked = every.withColumn("_rank", F.row_number().over(newest)).filter("_new")
+    ranked = spread(every, "rule").withColumn("_rank", F.row_number().over(newest)).filter("_new")
     return _as_windows(ranked.filter(F.col("_rank") <= cap)), _as_windows(ranked.filter(F.col("_rank") > cap))
 
 

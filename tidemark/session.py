@@ -59,6 +59,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle or the session has, and left there.
+
+    For work that costs far more than its input's bytes tell: a small file is read by few
+    tasks, and small shuffle output is put together into few.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, so that it is computed once and stays as it was."""
     path = scratch_path(df.sparkSession, name)
