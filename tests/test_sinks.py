@@ -16,6 +16,7 @@ from tidemark.sinks.registry import latest_schemas, register_schema
 from tidemark.sinks.routed import read_routed, write_routed
 from tidemark.sources.otlp_metrics import flatten_otlp_metrics
 from tidemark.sources.typed_csv import parse_header, read_typed_csv
+from tidemark.workload.layout import in_files
 
 UTC = timezone.utc
 
@@ -257,3 +258,11 @@ def test_throttle_with_a_large_cap(spark):
     )
     emitted, flags = throttle(rows, cap=1500)
     assert sorted(r[0] for r in emitted.select("correlation_id").collect()) == [f"{i:05d}" for i in range(1500)] and flags.count() == 1
+
+
+def test_files_are_written_from_the_parts_as_read(spark):
+    """Five files need no shuffle of the rows, unless a file would stay empty."""
+    rows = spark.range(100)
+    together = in_files(rows.repartition(10), 5)
+    assert together.rdd.getNumPartitions() == 5 and together.count() == 100 and "RoundRobinPartitioning(5)" not in together._jdf.queryExecution().toString()
+    assert in_files(rows.coalesce(1), 3).groupBy(F.spark_partition_id()).count().count() == 3
