@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.labels import label_text
 from tidemark.operators.logs import encode_otlp_logs
 from tidemark.schemas import DEFAULT_NAMING
+from tidemark.session import spread
 from tidemark.sources.otlp_logs import flatten_otlp_logs, log_records
 from tidemark.sources.otlp_metrics import (
     exp_histogram_points,
@@ -30,7 +31,7 @@ def _string(c: Column) -> Column:
 
 def metric_documents(spark, d) -> DataFrame:
     """One document per event holding a gauge, a sum, a histogram, a summary and an exponential histogram."""
-    e = table(spark, d, "events")
+    e = spread(table(spark, d, "events").select("event_id", "user_id", "ts", "value"))  # before the documents are made
     ns = (F.unix_micros("ts") * 1000).cast("string")
     attrs = _attrs(user=_string(F.col("user_id").cast("string"))).alias("attributes")
     text = lambda c: c.cast("string")
