@@ -226,3 +226,11 @@ def test_one_call_takes_the_samples_of_many_series():
             before = value
     plain = lambda found: sorted([o, pd.Timestamp(t), v, bool(x)] for o, t, v, x in found)
     assert plain(done) == plain(want) and len(kept) == 4 and len(lanes) == 8
+
+
+def test_alert_batches_do_not_follow_the_parts_of_the_table(spark):
+    root, seen = scratch_path(spark, "tables"), []
+    spark.range(60).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts").repartition(8).write.parquet(f"{root}/events.parquet")
+    stream = read_stream(spark, event_files(spark, root)).writeStream.foreachBatch(lambda df, i: seen.append(df.count()))
+    finish(stream.option("checkpointLocation", scratch_path(spark, "cp")))
+    assert seen == [20, 20, 20]
