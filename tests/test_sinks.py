@@ -17,6 +17,7 @@ from tidemark.sinks.routed import read_routed, write_routed
 from tidemark.sources.otlp_metrics import flatten_otlp_metrics
 from tidemark.sources.typed_csv import parse_header, read_typed_csv
 from tidemark.workload.layout import in_files
+from tidemark.workload.logs import spans
 from tidemark.workload.otlp import metric_documents
 
 UTC = timezone.utc
@@ -269,13 +270,13 @@ def test_files_are_written_from_the_parts_as_read(spark):
     assert in_files(rows.coalesce(1), 3).groupBy(F.spark_partition_id()).count().count() == 3
 
 
-def test_documents_are_made_by_all_tasks(spark):
+def test_documents_and_spans_are_made_by_all_tasks(spark):
     root = scratch_path(spark, "tables")
     at = "timestamp_seconds(id)"
     spark.range(40).selectExpr("id AS event_id", "id AS user_id", f"{at} AS ts", "CAST(id AS DOUBLE) AS value").coalesce(1).write.parquet(f"{root}/events.parquet")
     spark.range(40).selectExpr("id AS o_orderkey", f"{at} AS o_orderdate", "'p' AS o_orderpriority").coalesce(1).write.parquet(f"{root}/orders.parquet")
     line = ["id AS l_orderkey", "1 AS l_linenumber", f"{at} AS l_shipdate", "CAST(1 AS DOUBLE) AS l_quantity", "'R' AS l_returnflag"]
     spark.range(40).selectExpr(*line).coalesce(1).write.parquet(f"{root}/lineitem.parquet")
-    for made, n in ((metric_documents(spark, root), 40),):
+    for made, n in ((metric_documents(spark, root), 40), (spans(spark, root), 80)):
         parts = made.groupBy(F.spark_partition_id()).count().collect()
         assert len(parts) >= 8 and sum(p["count"] for p in parts) == n

@@ -10,7 +10,7 @@ from tidemark.operators import logs as ops
 from tidemark.sources.containers import parse_container_lines, plain_lines
 from tidemark.sources.host_logs import filter_journal, route_kernel_records
 from tidemark.sources.spans import spans_to_logs
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, spread
 from tidemark.sinks.routed import write_routed
 from tidemark.workload.adapters import LOG_SQL, label_text, log_rows, node_meta, pod_meta, table
 from tidemark.workload.registry import query
@@ -122,7 +122,8 @@ def s8(spark, d):
 
 def spans(spark, d) -> DataFrame:
     """Line items as child spans of their order, which is the root span and the trace."""
-    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    o = spread(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"))
+    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_returnflag"))
     no_events = F.array().cast("array<struct<name:string,time_ns:bigint,attributes:map<string,string>>>")
     resource = F.create_map(F.lit("service.name"), F.col("service"))
     root = o.select(
