@@ -232,13 +232,13 @@ def rollup_windows_sql(spark: SparkSession, body: str, windows: DataFrame, label
 
 
 def run_rollup_sql(
-    spark: SparkSession, body: str, windows: DataFrame, labels: dict[str, str], target: str, ledger: str, rule: str, reads: dict[str, str]
+    spark: SparkSession, body: str, windows: DataFrame, labels: dict[str, str], target: str, ledger: str, rule: str, reads: dict[str, str] | None = None
 ) -> None:
     """Run a Spark SQL body for all windows in one job (:func:`rollup_windows_sql`), replace them and record them."""
     listed = stored(windows.select(*WINDOW_COLUMNS).distinct(), "windows")
     _record(listed, ledger, rule, "running")
     try:
-        replace_windows(stored(rollup_windows_sql(spark, body, listed, labels, reads), "rollup-rows"), listed, target, rule)
+        replace_windows(stored(rollup_windows_sql(spark, body, listed, labels, reads or {}), "rollup-rows"), listed, target, rule)
     except Exception:
         _record(listed, ledger, rule, "failed")
         raise
