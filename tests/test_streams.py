@@ -12,6 +12,7 @@ from tidemark.operators.series import increase
 from tidemark.operators.views import create_log_view
 from tidemark.session import delete_path, scratch_path
 from tidemark.streaming import jobs
+from tidemark.workload import stream
 from tidemark.workload.stream import event_files, finish, read_stream, written
 
 
@@ -234,3 +235,22 @@ def test_alert_batches_do_not_follow_the_parts_of_the_table(spark):
     stream = read_stream(spark, event_files(spark, root)).writeStream.foreachBatch(lambda df, i: seen.append(df.count()))
     finish(stream.option("checkpointLocation", scratch_path(spark, "cp")))
     assert seen == [20, 20, 20]
+
+
+def test_event_files_read_the_table_once_for_all_cuts(spark, monkeypatch):
+    ids = [i * i - 50 for i in range(60)]
+    table = spark.createDataFrame([(i, datetime(2024, 1, 1)) for i in [*ids, None]], "event_id long, ts timestamp").repartition(8)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(stream, "table", lambda *_: table.mapInArrow(counted, table.schema))
+    monkeypatch.setattr(stream, "FILE_ROWS", 10)
+    files = spark.read.parquet(event_files(spark, "")).select("event_id", F.input_file_name().alias("file")).collect()
+    found = {f: sorted(r.event_id for r in files if r.file == f) for f in {r.file for r in files}}
+    cuts = [ids[0] + (ids[-1] + 1 - ids[0]) * i // 6 for i in range(7)]
+    assert sorted(found.values()) == [[i for i in ids if lo <= i < hi] for lo, hi in zip(cuts, cuts[1:])]
+    assert read.value == 2 * len(ids) + 2  # once for the ends of the ids, once for the files

@@ -12,7 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
-from tidemark.operators.alerts import AlertRule, to_notifications
+from tidemark.operators.alerts import AlertRule, judge_notifications
 from tidemark.operators.logs import apply_transforms
 from tidemark.operators.slices import NO_SLICE, number_slice, time_slice
 from tidemark.sinks.routed import with_destination
@@ -410,10 +410,8 @@ def stream_rollup_with_late(
     return grouped.select(F.when(F.col("late_row").isNull(), F.col("tm_window.start")).alias("bin"), *dims, *aggs, "late_row")
 
 
-def stream_alerts(
-    sdf: DataFrame, rule: AlertRule, correlation: str, within: str, ts: str = "ts", salts: int = 16
-) -> tuple[DataFrame, DataFrame]:
-    """Notifications of a stream of alert rows, one per correlation id within the watermark delay, and invalid rows.
+def judge_stream_alerts(sdf: DataFrame, rule: AlertRule, correlation: str, within: str, ts: str = "ts", salts: int = 16) -> DataFrame:
+    """Alert rows of a stream as notifications, one per correlation id within the watermark delay, with a ``reason`` for invalid ones.
 
     Rows without an id are each an alert of their own. Repeats of an id are dropped per
     (id, salt) first and per id after, so an id that floods the stream is spread over
@@ -424,4 +422,12 @@ def stream_alerts(
     salt = F.pmod(F.xxhash64(*sdf.columns), F.lit(salts).cast("bigint"))
     few = marked.filter(has_id).withColumn("_salt", salt).dropDuplicatesWithinWatermark([correlation, "_salt"]).drop("_salt")
     unique = few.dropDuplicatesWithinWatermark([correlation]).unionByName(marked.filter(~has_id))
-    return to_notifications(unique.drop(ts), rule)
+    return judge_notifications(unique.drop(ts), rule)
+
+
+def stream_alerts(
+    sdf: DataFrame, rule: AlertRule, correlation: str, within: str, ts: str = "ts", salts: int = 16
+) -> tuple[DataFrame, DataFrame]:
+    """Valid and invalid rows of :func:`judge_stream_alerts`: two streams with a state of their own each, if both are started."""
+    judged = judge_stream_alerts(sdf, rule, correlation, within, ts, salts)
+    return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.alerts import AlertRule
-from tidemark.session import scratch_path
+from tidemark.session import delete_path, scratch_path
 from tidemark.streaming import jobs
 from tidemark.workload.adapters import COUNTER_SQL, r6, table, us
 from tidemark.workload.aggregates import bin_sql, utc
@@ -22,15 +22,20 @@ def event_files(spark, d, columns: list | None = None) -> str:
     """The events as a few files written one after the other in event order, the input folder of a stream.
 
     Each cut of the event ids is one file, and so one batch, however many parts the table is read in.
+    The table is dealt to its cuts once, by all tasks; a file is then written from its own cut alone.
     """
-    path = scratch_path(spark, "stream-in")
+    path, dealt = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-cuts")
     e = table(spark, d, "events")
-    shaped = e.select(*columns) if columns else e
     first, last, rows = e.agg(F.min("event_id"), F.max("event_id"), F.count("event_id")).first()
     batches = max(BATCHES, -(-rows // FILE_ROWS))
-    cuts = [first + (last + 1 - first) * i // batches for i in range(batches + 1)]
-    for lo, hi in zip(cuts, cuts[1:]):
-        shaped.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi)).coalesce(1).write.mode("append").parquet(path)
+    # Cut i begins at first + (last + 1 - first) * i // batches; in decimals, because no product of ids may overflow.
+    number = F.expr(f"((CAST(event_id AS DECIMAL(20, 0)) - ({first}) + 1) * {batches} - 1) DIV {last + 1 - first}")
+    shaped = (e.select(*columns) if columns else e).withColumn("tm_cut", number).filter("tm_cut IS NOT NULL")
+    shaped.write.partitionBy("tm_cut").parquet(dealt)
+    stored = spark.read.schema(shaped.schema).parquet(dealt)
+    for i in range(batches):
+        stored.filter(F.col("tm_cut") == i).drop("tm_cut").coalesce(1).write.mode("append").parquet(path)
+    delete_path(spark, dealt)
     return path
 
 
@@ -60,7 +65,7 @@ def written(spark, sdf: DataFrame) -> DataFrame:
     HAVING {bin_sql("max(ts)", 86400)} + 86400000000 <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events)""",
 )
 def t1(spark, d):
-    sdf = read_stream(spark, event_files(spark, d))
+    sdf = read_stream(spark, event_files(spark, d, ["event_id", "event_type", "ts", "value"]))
     rolled = jobs.stream_rollup(sdf, "1 day", "1 hour", ["event_type"], {"total": F.sum("value"), "n": F.count("*")})
     out = scratch_path(spark, "stream-rollup")
     writer = rolled.writeStream.outputMode("append").format("parquet").option("path", out)
@@ -155,7 +160,7 @@ RULE = AlertRule("ops", "errors", "SELECT 1", destination="team")
     FROM events WHERE event_type = 'error' AND value > 20""",
 )
 def t5(spark, d):
-    sdf = read_stream(spark, event_files(spark, d)).filter((F.col("event_type") == "error") & (F.col("value") > 20))
+    sdf = read_stream(spark, event_files(spark, d, ["event_id", "event_type", "user_id", "ts", "value"])).filter((F.col("event_type") == "error") & (F.col("value") > 20))
     user = F.col("user_id").cast("string")
     rows = sdf.select(
         F.concat(F.lit("Errors of user "), user).alias("Title"), F.lit(2).alias("Severity"), F.concat(F.lit("user-"), user).alias("CorrelationId"), "ts"
@@ -174,15 +179,12 @@ def t5(spark, d):
 )
 def t5_without_id(spark, d):
     """Alert rows without a correlation id, a third of them without a severity: each is its own alert or reject."""
-    sdf = read_stream(spark, event_files(spark, d)).filter("event_type = 'error'")
+    sdf = read_stream(spark, event_files(spark, d, ["event_id", "event_type", "ts"])).filter("event_type = 'error'")
     severity = F.when(F.col("event_id") % 3 != 0, F.lit("2")).otherwise("high")
     rows = sdf.select(F.lit("Error").alias("Title"), severity.alias("Severity"), F.lit("").alias("CorrelationId"), "ts")
-    kinds = []
-    for kind, found in zip(("valid", "rejected"), jobs.stream_alerts(rows, RULE, "CorrelationId", "60 days")):
-        out = scratch_path(spark, "stream-alerts")
-        writer = found.writeStream.outputMode("append").format("parquet").option("path", out)
-        finish(writer.option("checkpointLocation", scratch_path(spark, "checkpoint")))
-        kinds.append(spark.read.parquet(out).agg(F.lit(kind).alias("kind"), F.count("*").alias("n")))
+    found = written(spark, jobs.judge_stream_alerts(rows, RULE, "CorrelationId", "60 days"))
+    parts = {"valid": found.filter("reason IS NULL"), "rejected": found.filter("reason IS NOT NULL")}
+    kinds = [part.agg(F.lit(kind).alias("kind"), F.count("*").alias("n")) for kind, part in parts.items()]
     return kinds[0].unionByName(kinds[1])
 
 
