@@ -101,6 +101,20 @@ def test_context_tree_is_exact(spark, monkeypatch):
     check_scores(context_tree.language_scores(df).collect(), texts, 64)
 
 
+def test_context_tree_keeps_rare_contexts(spark, monkeypatch):
+    monkeypatch.setattr(context_tree, "BLOCK_BYTES", 300)  # several blocks and buckets
+    rng = np.random.default_rng(5)
+    common = [(i, "".join(rng.choice(list("ab "), 2000))) for i in range(12)]
+    texts = [*common, (20, "a rare word: zyxwv"), (24, "zyxwv again"), (41, None), (42, "")]
+    assert sum(len((t or "").encode()) + 1 for i, t in texts if not held_out(i, 7, 2)) > 1 << 14
+    rows = context_tree.language_scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(2)).collect()
+    short = [(i, t) for i, t in texts if len(t or "") < 1000]
+    train = [(t or "").encode() for i, t in texts if not held_out(i, 7, 2)]
+    tree, by_id = PlainTree(train, 4, 1 << 60), {r.doc_id: r.score for r in rows}
+    for i, text in short:
+        assert math.isclose(by_id[i], tree.score((text or "").encode()), rel_tol=1e-5, abs_tol=1e-4)
+
+
 def test_context_tree_edges(spark):
     rows = context_tree.language_scores(docs(spark)).collect()
     assert len(rows) == docs(spark).count() and all(r.score < 0 and math.isfinite(r.score) for r in rows)

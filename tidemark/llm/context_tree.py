@@ -6,16 +6,19 @@ a context's probability is half its own estimate and half the product of its
 children's, and the estimates of all depths are mixed in proportion. The code length of
 a text is summed over its bytes and a closing zero byte; texts begin after zero bytes.
 
-All contexts of 0, 1 and 2 bytes are in the tree. A longer one is, up to ``DEPTH``, if at
-least 1 in ``NODES`` places of the corpus has it, so that a depth holds at most ``NODES``
-contexts whatever the corpus; a context's other continuations share one last child.
-
-Training gathers from the whole corpus: counts of words, and counts of (context, byte),
-each combined per task and summed by Spark, depth by depth. The latter are bounded, so
-the tree is worked out in one place and sent to the tasks as one row of 256
-log-probabilities per context (at most 98,560 rows, 101 MB). Word counts have no such
-bound: the most frequent words, at most ``FREQUENT``, are sent to the tasks and all
-others are joined.
+All contexts of up to ``DEPTH`` bytes that occur are in the tree, however rare. Counts of
+(context, byte) are packed by block of texts and dealt to buckets of contexts that agree
+in the three nearest bytes. One pass over the buckets works out the depths below two bytes
+and sums what contexts of two bytes need to know of them; those, at most 65,536 whatever
+the corpus, are mixed with the depths above in one place. A second pass gives each
+(context, byte) its log-probability and sends it back to the blocks that have it, where
+texts are scored. The number of blocks and of buckets grows with the corpus, their size
+does not. A caller who sets ``NODES`` bounds the tree: longer contexts than two bytes are
+then in it only if at least 1 in ``NODES`` places has them, and a context's other
+continuations share one last child.
+
+Word counts are summed by Spark: the most frequent words, at most ``FREQUENT``, are sent to
+the tasks and all others are joined.
 
 Null texts are empty and code the closing byte alone. Without training rows the tree
 gives every bit one half. Rows that share an id are scored separately; null ids are
@@ -26,18 +29,21 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.rows import plain_words, stored, texts
+from tidemark.llm.rows import WRITTEN, plain_words, remove_written, stored, texts
 
 FOLDS, HELD = 7, 2
 DEPTH = 4
-NODES = 1 << 14
+NODES: int | None = None  # no bound
+REST = 256  # stands for all bytes of a bounded tree that have no context of their own
+BLOCK_BYTES = 8 << 20
 FREQUENT = 200_000
 GROUP_BYTES = 1 << 20
 FLUSH_WORDS = 100_000
@@ -73,6 +79,13 @@ class Places:
         """The byte ``d`` places before each coded one."""
         return self.data[self.at - d]
 
+    def grams(self) -> np.ndarray:
+        """Context and byte of each place as a number: nearest byte, second (8 bits each), third, fourth (9 bits each), the byte itself."""
+        out = self.before(1).astype(np.int64)
+        for d, bits in ((2, 8), (3, 9), (4, 9), (0, 8)):
+            out = (out << bits) | self.before(d)
+        return out
+
 
 def coded(group: list[bytes]) -> Places:
     pad = bytes(DEPTH)
@@ -83,43 +96,88 @@ def coded(group: list[bytes]) -> Places:
     return Places(data, at, ends)
 
 
-def gather(docs: DataFrame) -> DataFrame:
-    """Partial counts of training rows: of words, of codes (context * 256 + symbol), and of texts (code -1)."""
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """Rows with an id, bytes and the block of texts they belong to: one after the other, ``BLOCK_BYTES`` and at most one text more."""
 
     def run(batches):
-        def emit(counter: Counter, codes: np.ndarray, n: np.ndarray):
-            k = len(counter)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*counter.keys(), *[None] * len(codes)], pa.binary()),
-                    pa.concat_arrays([pa.nulls(k, pa.int32()), pa.array(codes.astype(np.int32))]),
-                    pa.array(np.concatenate([np.fromiter(counter.values(), np.int64, k), n.astype(np.int64)])),
-                ],
-                ["word", "code", "n"],
-            )
+        done = 0
+        for batch in batches:
+            sizes = batch.column("n_bytes").to_numpy()
+            ends = done + np.cumsum(sizes)
+            part = batch.column("row").to_numpy() >> 33  # the partition
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((part << 33) + (ends - sizes) // BLOCK_BYTES)], [*batch.schema.names, "block"])
+            done = int(ends[-1]) if len(ends) else done
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = F.col("text").cast("string")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"), held_out().alias("held_out"), size.alias("n_bytes"))
+    return stored(source.mapInArrow(run, f"row long, doc_id {kind}, text string, held_out boolean, n_bytes long, block long"), "blocks")
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, with the sums of their counts."""
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
+
+
+def gather(blocks: DataFrame, buckets: int, shared: int) -> DataFrame:
+    """Partial counts of words of training rows, and by block and bucket the (context, byte) of all rows with their counts in training rows.
+
+    A bucket takes contexts that agree in what is left of them after a shift by ``shared`` bits.
+    """
+
+    def run(batches):
+        empty = [pa.nulls(0, t) for t in (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+        names = ["word", "n", "bucket", "block", "gram", "times"]
+
+        def filled(size: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, e.type)) for c, e in zip(names, empty)], names)
+
+        def words(counter: Counter) -> pa.RecordBatch:
+            return filled(len(counter), word=pa.array(list(counter), pa.binary()), n=pa.array(list(counter.values()), pa.int64()))
+
+        def packed(block: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            mixed = (keys >> shared).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            found, sizes = np.unique(bucket, return_counts=True)
+            gram, times = lists(keys[order], sizes), lists(counts[order], sizes)
+            return filled(len(found), bucket=pa.array(found), block=pa.array(np.full(len(found), block)), gram=gram, times=times)
 
         counter: Counter = Counter()
-        none = np.empty(0, np.int64)
+        block, keys, counts = None, [], []
         for batch in batches:
-            for group in groups(texts(batch.column(0))):
-                for text in group:
-                    counter.update(plain_words(text))
-                places = coded(group)
-                seen = np.flatnonzero(np.bincount(places.data, minlength=256))
-                number = np.zeros(256, np.int64)
-                number[seen] = np.arange(len(seen))
-                a = len(seen)
-                n = np.bincount((number[places.before(2)] * a + number[places.before(1)]) * a + number[places.before(0)])
-                full = np.flatnonzero(n)
-                codes = (seen[full // (a * a)] << 16) | (seen[full // a % a] << 8) | seen[full % a]
-                if len(counter) > FLUSH_WORDS:
-                    yield emit(counter, none, none)
-                    counter = Counter()
-                yield emit(Counter(), np.append(codes, -1), np.append(n[full], len(group)))
-        yield emit(counter, none, none)
-
-    train = docs.where(~held_out()).select(F.col("text").cast("string").alias("text"))
-    return train.mapInArrow(run, "word binary, code int, n long")
+            of = batch.column("block")
+            for number in pc.unique(of):
+                if number.as_py() != block and keys:
+                    yield packed(block, *summed(keys, counts))
+                    keys, counts = [], []
+                block = number.as_py()
+                rows = batch.filter(pc.equal(of, number))
+                for held in (False, True):
+                    for group in groups(texts(rows.filter(pc.equal(rows.column("held_out"), held)).column("text"))):
+                        found, times = np.unique(coded(group).grams(), return_counts=True)
+                        keys.append(found)
+                        counts.append(np.zeros_like(times) if held else times)
+                        if len(keys) > 8:
+                            keys, counts = [[part] for part in summed(keys, counts)]
+                        if not held:
+                            for text in group:
+                                counter.update(plain_words(text))
+                        if len(counter) > FLUSH_WORDS:
+                            yield words(counter)
+                            counter = Counter()
+        if keys:
+            yield packed(block, *summed(keys, counts))
+        yield words(counter)
+
+    schema = "word binary, n long, bucket int, block long, gram array<long>, times array<long>"
+    return blocks.select("block", "held_out", "text").mapInArrow(run, schema)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -136,152 +194,145 @@ def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - 2 * log_gamma(np.array(0.5))
 
 
-@dataclass
-class Level:
-    """The contexts of one depth: their bytes as a number (the nearest byte lowest) and the counts of the next byte."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-    parent: np.ndarray  # place of each in the level above
-
-
-class Tree:
-    """Contexts by depth, and a walk from a place in a text to its deepest context."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        keys, at = np.unique(codes >> 8, return_inverse=True)
-        deep = np.zeros((len(keys), 256))
-        np.add.at(deep, (at, codes & 255), counts)
-        parent = (keys & 255).astype(np.int64)
-        middle = np.zeros((256, 256))
-        np.add.at(middle, parent, deep)
-        top = middle.sum(axis=0, keepdims=True)
-        self.places = float(top.sum())
-        self.levels = [Level(np.zeros(1, np.int64), top, np.zeros(1, np.int64)), Level(np.arange(256), middle, np.zeros(256, np.int64)), Level(keys, deep, parent)]
-        self.second = np.full(1 << 16, -1, np.int32)
-        self.second[keys] = np.arange(len(keys))
-        self.children: list[np.ndarray] = []
-
-    def candidates(self) -> np.ndarray:
-        """Contexts one byte longer than the longest that are frequent enough: a context and its next byte are one."""
-        last = self.levels[-1]
-        depth = len(self.levels)
-        node, byte = np.nonzero(last.counts * NODES >= max(1.0, self.places))
-        keys = (last.keys[node] << 8) | byte
-        nearest = keys & ((1 << 8 * (depth - 1)) - 1)
-        return np.sort(keys[np.isin(nearest, last.keys)])
-
-    def deepen(self, keys: np.ndarray) -> None:
-        """Add a level of contexts, with counts still to come."""
-        depth, last = len(self.levels), self.levels[-1]
-        parent = np.searchsorted(last.keys, keys & ((1 << 8 * (depth - 1)) - 1))
-        table = np.full((len(last.keys) + 1, 256), -1, np.int32)  # the last row is for places without a context above
-        table[parent, keys >> 8 * (depth - 1)] = np.arange(len(keys))
-        self.levels.append(Level(keys, np.zeros((len(keys), 256)), parent))
-        self.children.append(table)
-
-    def walk(self, places: Places) -> list[np.ndarray]:
-        """Number of the context of each place at depth 2, 3, ..., -1 where there is none."""
-        found = [self.second[(places.before(2).astype(np.int32) << 8) | places.before(1)]]
-        for depth, table in enumerate(self.children, start=3):
-            found.append(table[found[-1], places.before(depth)])
-        return found
-
-
-def count_level(docs: DataFrame, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (context, next byte) at the tree's last level over all training rows."""
-    size = len(tree.levels[-1].keys) * 256
+def next_one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The estimate's probability that a one comes next."""
+    return (ones + 0.5) / (zeros + ones + 1)
 
-    def run(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for group in groups(texts(batch.column(0))):
-                places = coded(group)
-                node = tree.walk(places)[-1].astype(np.int64)
-                held = node >= 0
-                total += np.bincount(node[held] * 256 + places.before(0)[held], minlength=size)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["code", "n"])
 
-    train = docs.where(~held_out()).select(F.col("text").cast("string").alias("text"))
-    summed = train.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return summed["code"].to_numpy(), summed["n"].to_numpy()
+def held_against(own: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """How far a context's own estimate holds against its children's, from the logarithms of what both gave so far."""
+    return 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
 
 
 @dataclass
-class Scorer:
-    """The tree's walk, and a row of 256 log10-probabilities for each context where a walk can end."""
-
-    tree: Tree
-    first_row: list[int]
-    log10: np.ndarray
-
-    def rows(self, places: Places) -> np.ndarray:
-        row = self.first_row[-1] + places.before(1).astype(np.int64)  # contexts never seen in training
-        for first, node in zip(self.first_row, self.tree.walk(places)):
-            row = np.where(node >= 0, first + node, row)
-        return row
-
-
-def weigh(tree: Tree) -> Scorer:
-    """Mix the estimates of all depths for every context and byte."""
-    levels = tree.levels
-    deepest = len(levels) - 1
-    rest = []
-    for depth in range(2, deepest):
-        left = levels[depth].counts.copy()
-        np.subtract.at(left, levels[depth + 1].parent, levels[depth + 1].counts)
-        rest.append(left)
-    inner = [np.isin(np.arange(len(levels[d].keys)), levels[d + 1].parent) for d in range(2, deepest)]
-    first_row = list(np.cumsum([0, *[len(v.keys) for v in levels[2:]]]))
-    out = np.zeros((first_row[-1] + 256, 256))
+class Nodes:
+    """Nodes of one depth of the context trees of one bit of the byte: context and bits so far, and what came next there."""
+
+    first: np.ndarray  # the first key of each
+    of: np.ndarray  # the node of each key
+    zeros: np.ndarray
+    ones: np.ndarray
+
+    @classmethod
+    def split(cls, keys: np.ndarray, counts: np.ndarray, bit: int) -> Nodes:
+        """From (context, byte) in order and their counts."""
+        prefix = keys >> (8 - bit)
+        begins = np.append(True, prefix[1:] != prefix[:-1])
+        first = np.flatnonzero(begins)
+        total = np.add.reduceat(counts, first)
+        ones = np.add.reduceat(counts * ((keys >> (7 - bit)) & 1), first)
+        return cls(first, np.cumsum(begins) - 1, total - ones, ones)
+
+
+def bounded(keys: np.ndarray, counts: np.ndarray, nodes: int, places: int) -> np.ndarray:
+    """Keys with ``REST`` in place of the bytes that make a context too rare for a bounded tree."""
+    out = keys.copy()
+    for shift, rest in ((8, REST << 8), (17, REST << 17 | REST << 8)):
+        _, at = np.unique(keys >> shift, return_inverse=True)
+        rare = np.bincount(at, counts)[at] * nodes < max(1, places)
+        out[rare] = (keys[rare] >> (shift + 9) << (shift + 9)) | rest | (keys[rare] & 255)
+    return out
+
+
+def deep_levels(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, Nodes, Nodes, np.ndarray, np.ndarray]]:
+    """For each bit the nodes of depths 4 and 3 under some contexts, the parent of each of the former and the number of its
+    node at depth 2, and the logarithm of what the children of the latter gave."""
+    upper, up = np.unique((keys >> 17 << 8) | (keys & 255), return_inverse=True)
+    sums = np.bincount(up, counts, len(upper))
     for bit in range(8):
-        split = lambda c: c.reshape(len(c), 1 << bit, 2, 128 >> bit).sum(axis=3)  # noqa: B023, E731
-        next_one = lambda c: (c[..., 1] + 0.5) / (c.sum(axis=2) + 1)
-        pairs = [split(v.counts) for v in levels]
-        own = [log_estimate(c[..., 0], c[..., 1]) for c in pairs]
-        left = [split(c) for c in rest]
-        # log-probability of what each context saw, from the leaves upwards, and how far its own estimate holds against its children's
-        stay: list[np.ndarray] = [np.empty(0)] * (deepest + 1)
-        whole = own[deepest]
-        stay[deepest] = np.ones_like(whole)
-        for depth in range(deepest - 1, -1, -1):
-            below = np.zeros_like(own[depth])
-            np.add.at(below, levels[depth + 1].parent, whole)
-            if depth >= 2:
-                below += log_estimate(left[depth - 2][..., 0], left[depth - 2][..., 1])
-            stay[depth] = 1 / (1 + np.exp(np.clip(below - own[depth], -700, 700)))
-            whole = np.logaddexp(own[depth], below) - math.log(2)
-            if depth >= 2:
-                leaf = ~inner[depth - 2]
-                stay[depth][leaf], whole[leaf] = 1.0, own[depth][leaf]
-        for depth in range(1, deepest + 1):
-            nodes = np.arange(len(levels[depth].keys))
-            if depth == 1:
-                p, rows = np.full(own[1].shape, 0.5), slice(first_row[-1], None)
-            else:
-                p = next_one(left[depth - 2]) if depth < deepest else next_one(pairs[depth])
-                rows = slice(first_row[depth - 2], first_row[depth - 1])
-            for above in range(depth, -1, -1):
-                p = stay[above][nodes] * next_one(pairs[above])[nodes] + (1 - stay[above][nodes]) * p
-                nodes = levels[above].parent[nodes]
-            bits = np.stack([np.log10(1 - p), np.log10(p)], axis=2)
-            out[rows] += np.repeat(bits.reshape(len(p), 2 << bit), 128 >> bit, axis=1)
-    return Scorer(tree, first_row, out.astype(np.float32))
-
-
-def fit_tree(docs: DataFrame, codes: np.ndarray, counts: np.ndarray) -> Scorer:
-    tree = Tree(codes, counts)
-    while len(tree.levels) <= DEPTH and len(keys := tree.candidates()):
-        tree.deepen(keys)
-        code, n = count_level(docs, tree)
-        tree.levels[-1].counts.reshape(-1)[code] = n
-    return weigh(tree)
+        four, three = Nodes.split(keys, counts, bit), Nodes.split(upper, sums, bit)
+        parent = three.of[up[four.first]]
+        below = np.bincount(parent, log_estimate(four.zeros, four.ones), len(three.first))
+        at = upper[three.first]
+        yield (at >> 17 << 8) | ((at & 255 | 256) >> (8 - bit)), four, three, parent, below
+
+
+def bucket_counts(table: pa.Table, nodes: int | None, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a bucket in order, their counts, and the place among them of each (context, byte) of the bucket's rows."""
+    raw = table["gram"].combine_chunks().flatten().to_numpy()
+    times = table["times"].combine_chunks().flatten().to_numpy()
+    keys, at = np.unique(raw, return_inverse=True)
+    counts = np.bincount(at, times, len(keys))
+    if nodes:
+        keys, again = np.unique(bounded(keys, counts, nodes, places), return_inverse=True)
+        counts, at = np.bincount(again, counts, len(keys)), again[at]
+    return keys, counts, at
+
+
+def sum_below(nodes: int | None, places: int) -> Callable[[pa.Table], pa.Table]:
+    """First pass over a bucket: what each node of depth 2 (nearest byte, second, bits so far) has seen below it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts, _ = bucket_counts(table, nodes, places)
+        parts = []
+        for node, _, three, _, below in deep_levels(keys, counts):
+            whole = np.logaddexp(log_estimate(three.zeros, three.ones), below) - math.log(2)
+            found, at = np.unique(node, return_inverse=True)
+            parts.append([found, *(np.bincount(at, v, len(found)) for v in (three.zeros, three.ones, whole))])
+        return pa.table(dict(zip(("node", "zeros", "ones", "below"), map(np.concatenate, zip(*parts)))))
+
+    return run
+
+
+@dataclass
+class Top:
+    """Depths 0 to 2, mixed: at a node of depth 2 a one has probability ``fixed`` and ``share`` of what depth 3 says."""
+
+    node: np.ndarray
+    fixed: np.ndarray
+    share: np.ndarray
+
+
+def mix_top(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> Top:
+    """Mix the upper depths, from what all nodes of depth 2, in order, have seen."""
+    fixed, share = np.zeros(len(node)), np.ones(len(node))
+    at, keys, levels = np.arange(len(node)), node, []
+    for depth in (2, 1, 0) if len(node) else ():
+        own = log_estimate(zeros, ones)
+        levels.append((at, held_against(own, below), next_one(zeros, ones)))
+        whole = np.logaddexp(own, below) - math.log(2)
+        if depth:
+            keys, up = np.unique((keys >> 16 << 8) | (keys & 255), return_inverse=True)
+            zeros, ones, below = (np.bincount(up, v, len(keys)) for v in (zeros, ones, whole))
+            at = up[at]
+    for at, stay, one in reversed(levels):
+        fixed += share * stay[at] * one[at]
+        share *= 1 - stay[at]
+    return Top(node, fixed, share)
+
+
+def log_probabilities(top: Top, nodes: int | None, places: int) -> Callable[[pa.Table], pa.Table]:
+    """Second pass over a bucket: the log10-probability of each (context, byte), for each block that has it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts, at = bucket_counts(table, nodes, places)
+        total = np.zeros(len(keys))
+        for bit, (node, four, three, parent, below) in enumerate(deep_levels(keys, counts)):
+            stay = held_against(log_estimate(three.zeros, three.ones), below)
+            deep = (stay * next_one(three.zeros, three.ones))[parent] + (1 - stay[parent]) * next_one(four.zeros, four.ones)
+            above = np.searchsorted(top.node, node)[parent]
+            one = (top.fixed[above] + top.share[above] * deep)[four.of]
+            total += np.log10(np.where((keys >> (7 - bit)) & 1 == 1, one, 1 - one))
+        gram = table["gram"].combine_chunks()
+        logs = lists(total[at].astype(np.float32), gram.value_lengths().to_numpy())
+        return pa.table({"block": table["block"].combine_chunks(), "gram": gram, "log": logs})
+
+    return run
+
+
+def fit_tree(packed: DataFrame, places: int) -> DataFrame:
+    """block, gram and log: the log10-probabilities of the (context, byte) of each block, in lists."""
+    buckets = packed.select("bucket", "block", "gram", "times").groupBy("bucket")
+    seen = buckets.applyInArrow(sum_below(NODES, places), "node long, zeros double, ones double, below double")
+    at_two = seen.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
+    order = np.argsort(node := at_two["node"].to_numpy())
+    top = mix_top(node[order], *[at_two[c].to_numpy()[order] for c in ("zeros", "ones", "below")])
+    return buckets.applyInArrow(log_probabilities(top, NODES, places), "block long, gram array<long>, log array<float>")
 
 
 @dataclass
 class Model:
-    scorer: Scorer
+    logs: DataFrame  # block, gram, log of the tree
     frequent: dict[bytes, float]  # log10(count + 1)
     words: DataFrame  # word, c of the others
     tokens: int
@@ -289,11 +340,11 @@ class Model:
     ends: int
 
 
-def fit(docs: DataFrame) -> Model:
-    partial = stored(gather(docs.select("doc_id", "text")), "partial-counts")
-    codes = partial.where("word is null").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    code, n = codes["code"].to_numpy(), codes["n"].to_numpy()
-    ends = int(n[code < 0].sum())
+def fit(blocks: DataFrame) -> Model:
+    trained = F.when(~F.col("held_out"), F.col("n_bytes") + 1)
+    n_bytes, places, ends = blocks.agg(*[F.coalesce(v, F.lit(0)) for v in (F.sum("n_bytes"), F.sum(trained), F.count(trained))]).first()
+    # A bounded tree pools contexts that agree in two bytes: they must meet.
+    partial = stored(gather(blocks, max(1, n_bytes // BLOCK_BYTES), 26 if NODES else 17), "partial-counts")
     words = stored(partial.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
     total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     # The smallest count that at most FREQUENT words reach; a row per different count.
@@ -306,47 +357,48 @@ def fit(docs: DataFrame) -> Model:
         least = step["c"]
     frequent = {} if least is None else dict(zip(*words.where(F.col("c") >= least).select("word", F.log10(F.col("c") + 1)).toArrow().to_pydict().values()))
     others = words if least is None else words.where(F.col("c") < least)
-    return Model(fit_tree(docs, code[code >= 0].astype(np.int64), n[code >= 0]), frequent, others, total["n"] + ends, total["v"] + (ends > 0), ends)
+    return Model(fit_tree(partial.where("word is null"), places), frequent, others, total["n"] + ends, total["v"] + (ends > 0), ends)
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+def score_documents(blocks: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
-    scorer, frequent, ends = model.scorer, model.frequent, model.ends
+    frequent, ends = model.frequent, model.ends
     per_token = math.log10(model.tokens + model.distinct + 1)
     end_base = math.log10(ends + 1)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            at = 0
-            for group in groups(texts(batch.column(2))):
-                places = coded(group)
-                logs = scorer.log10[scorer.rows(places), places.before(0)]
-                scores = np.add.reduceat(logs, np.append(0, places.stops[:-1]), dtype=np.float64)
-                tokens, known, base, rare = [], [], [], []
-                for text in group:
-                    found = plain_words(text)
-                    sure, total, others = int(ends > 0), end_base, []
-                    for word, n in Counter(found).items():
-                        value = frequent.get(word)
-                        if value is None:
-                            others.append({"word": word, "n": n})
-                        else:
-                            sure += n
-                            total += n * value
-                    tokens.append(len(found) + 1)
-                    known.append(sure)
-                    base.append(total)
-                    rare.append(others)
-                pair = pa.struct([("word", pa.binary()), ("n", pa.int64())])
-                some = [batch.column(c).slice(at, len(group)) for c in (0, 1, 3)]
-                columns = [*some, pa.array(tokens), pa.array(known), pa.array(base), pa.array(scores), pa.array([len(t) + 1 for t in group]), pa.array(rare, pa.list_(pair))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "rare"])
-                at += len(group)
-
-    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<struct<word:binary, n:long>>"
-    scored = stored(source.mapInArrow(run, schema), "scored")
+    pair = pa.struct([("word", pa.binary()), ("n", pa.int64())])
+
+    def run(rows: pa.Table, tree: pa.Table) -> pa.Table:
+        keys, first = np.unique(tree["gram"].combine_chunks().flatten().to_numpy(), return_index=True)
+        log10 = tree["log"].combine_chunks().flatten().to_numpy()[first]
+        tokens, known, base, rare, scores = [], [], [], [], []
+        for group in groups(text for chunk in rows["text"].chunks for text in texts(chunk)):
+            places = coded(group)
+            found, at = np.unique(places.grams(), return_inverse=True)
+            logs = log10[np.searchsorted(keys, found)][at]
+            scores.append(np.add.reduceat(logs, np.append(0, places.stops[:-1]), dtype=np.float64))
+            for text in group:
+                found = plain_words(text)
+                sure, total, others = int(ends > 0), end_base, []
+                for word, n in Counter(found).items():
+                    value = frequent.get(word)
+                    if value is None:
+                        others.append({"word": word, "n": n})
+                    else:
+                        sure += n
+                        total += n * value
+                tokens.append(len(found) + 1)
+                known.append(sure)
+                base.append(total)
+                rare.append(others)
+        columns = {"n_tokens": tokens, "known": known, "base": base, "score": np.concatenate(scores), "rare": pa.array(rare, pa.list_(pair))}
+        for name, values in columns.items():
+            rows = rows.append_column(name, values if isinstance(values, pa.Array) else pa.array(values))
+        return rows.drop_columns(["text", "block"])
+
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {kind}, held_out boolean, n_bytes long, n_tokens long, known long, base double, score double, rare array<struct<word:binary, n:long>>"
+    by_block = blocks.select("row", "doc_id", "held_out", "n_bytes", "text", "block").groupBy("block")
+    scored = stored(by_block.cogroup(model.logs.groupBy("block")).applyInArrow(run, schema), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
     more = rare.join(model.words, "word").groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_base"))
     joined = scored.drop("rare").join(more, "row", "left")
@@ -359,10 +411,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
         "score",
-        (-F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
+        (-F.col("score") / F.lit(math.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
 
 
 def language_scores(docs: DataFrame) -> DataFrame:
-    source = docs.select("doc_id", "text")
-    return score_documents(source, fit(source))
+    first = len(WRITTEN)
+    blocks = in_blocks(docs.select("doc_id", "text"))
+    scores = score_documents(blocks, fit(blocks))
+    remove_written(docs.sparkSession, first, first + 2)  # blocks and partial counts: what is left to do reads scored rows and words
+    return scores
