@@ -3,12 +3,14 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.helpers import docs, documents, plain_words
 from tidemark.llm import collision_ann, context_tree, toxic_neighbours
-from tidemark.llm.rows import words
+from tidemark.llm.rows import WRITTEN, words
 
 
 class PlainTree:
@@ -115,6 +117,43 @@ def test_context_tree_keeps_rare_contexts(spark, monkeypatch):
         assert math.isclose(by_id[i], tree.score((text or "").encode()), rel_tol=1e-5, abs_tol=1e-4)
 
 
+def test_context_tree_keeps_its_files_small(spark, monkeypatch):
+    sizes, stored = {}, context_tree.stored
+
+    def measured(df, name):
+        out = stored(df, name)
+        sizes[name] = sum(f.stat().st_size for f in Path(WRITTEN[-1].removeprefix("file:")).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(context_tree, "stored", measured)
+    rng = np.random.default_rng(7)
+    texts = [(i, bytes(rng.choice(list(b"abcdefghijklmnop"), 5000).tolist()).decode()) for i in range(200)]  # four bits a letter
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    assert context_tree.language_scores(df).count() == 200
+    assert sizes["blocks"] < 0.65 * 200 * 5000
+    assert sizes["partial-counts"] < 2 * 200 * 5000  # nearly every place has a (context, byte) of its own
+
+
+def test_steps_are_read_back():
+    values, sizes = np.array([5, 9, 1 << 33, 2, 3, 7, (1 << 34) - 1]), np.array([3, 1, 3])
+    column = pa.chunked_array([context_tree.lists(context_tree.steps(values, sizes), sizes)])
+    assert context_tree.grams_in(column).tolist() == values.tolist()
+    assert context_tree.grams_in(pa.chunked_array([column.slice(1).combine_chunks()])).tolist() == values[3:].tolist()
+
+
+def test_packs_keep_ids_and_texts(spark, monkeypatch):
+    monkeypatch.setattr(context_tree, "PACK_BYTES", 20)
+    monkeypatch.setattr(context_tree, "BLOCK_BYTES", 70)
+    rows = [("a", "x" * 50), (None, None), ("b", ""), ("b", "é" * 9), ("c", "c" * 200), ("d", None), ("e", "e")]
+    blocks = context_tree.in_blocks(spark.createDataFrame(rows, "doc_id string, text string").coalesce(1))
+    packs = sorted(blocks.toArrow().to_pylist(), key=lambda p: p["row"])
+    table = pa.Table.from_pylist(packs, blocks.toArrow().schema)
+    assert [i for p in packs for i in p["doc_id"]] == [i for i, _ in rows]
+    assert list(context_tree.unpacked(table)) == [(t or "").encode() for _, t in rows]
+    assert [n for p in packs for n in p["n_bytes"]] == [len((t or "").encode()) for _, t in rows]
+    assert [[p["block"]] * len(p["row"]) for p in packs] == [[0], [0, 0, 0], [0], [3, 3]]
+
+
 def test_context_tree_edges(spark):
     rows = context_tree.language_scores(docs(spark)).collect()
     assert len(rows) == docs(spark).count() and all(r.score < 0 and math.isfinite(r.score) for r in rows)

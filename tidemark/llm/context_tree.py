@@ -13,7 +13,9 @@ and sums what contexts of two bytes need to know of them; those, at most 65,536
 the corpus, are mixed with the depths above in one place. A second pass gives each
 (context, byte) its log-probability and sends it back to the blocks that have it, where
 texts are scored. The number of blocks and of buckets grows with the corpus, their size
-does not. A caller who sets ``NODES`` bounds the tree: longer contexts than two bytes are
+does not. What is written and shuffled is kept small: texts in compressed packs, lists of
+(context, byte) as steps from one to the next. A caller who sets ``NODES`` bounds the
+tree: longer contexts than two bytes are
 then in it only if at least 1 in ``NODES`` places has them, and a context's other
 continuations share one last child.
 
@@ -44,6 +46,7 @@ DEPTH = 4
 NODES: int | None = None  # no bound
 REST = 256  # stands for all bytes of a bounded tree that have no context of their own
 BLOCK_BYTES = 8 << 20
+PACK_BYTES = 64 << 10
 FREQUENT = 200_000
 GROUP_BYTES = 1 << 20
 FLUSH_WORDS = 100_000
@@ -96,23 +99,49 @@ def coded(group: list[bytes]) -> Places:
     return Places(data, at, ends)
 
 
+def lists(values: np.ndarray | pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
+
+
 def in_blocks(docs: DataFrame) -> DataFrame:
-    """Rows with an id, bytes and the block of texts they belong to: one after the other, ``BLOCK_BYTES`` and at most one text more."""
+    """Packs of rows with their ids, sizes, compressed texts and the block they belong to.
+
+    A block has texts one after the other, ``BLOCK_BYTES`` and at most one text more, a pack ``PACK_BYTES`` and at most one text more.
+    """
 
     def run(batches):
+        zstd = pa.Codec("zstd", compression_level=3)
         done = 0
         for batch in batches:
             sizes = batch.column("n_bytes").to_numpy()
-            ends = done + np.cumsum(sizes)
-            part = batch.column("row").to_numpy() >> 33  # the partition
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((part << 33) + (ends - sizes) // BLOCK_BYTES)], [*batch.schema.names, "block"])
-            done = int(ends[-1]) if len(ends) else done
+            if not len(sizes):
+                continue
+            starts = done + np.cumsum(sizes) - sizes
+            block = (batch.column("row").to_numpy() >> 33 << 33) + starts // BLOCK_BYTES  # the partition and the place in it
+            first = np.flatnonzero(np.append(True, (np.diff(block) != 0) | (np.diff(starts // PACK_BYTES) != 0)))
+            ends = np.append(first[1:], len(sizes))
+            found = list(texts(batch.column("text")))
+            data = [zstd.compress(b"".join(found[i:j]), asbytes=True) for i, j in zip(first, ends)]
+            columns = {c: lists(batch.column(c), ends - first) for c in ("row", "doc_id", "held_out", "n_bytes")}
+            yield pa.RecordBatch.from_pydict({**columns, "texts": pa.array(data, pa.binary()), "block": pa.array(block[first])})
+            done = int(starts[-1] + sizes[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"), held_out().alias("held_out"), size.alias("n_bytes"))
-    return stored(source.mapInArrow(run, f"row long, doc_id {kind}, text string, held_out boolean, n_bytes long, block long"), "blocks")
+    schema = f"row array<long>, doc_id array<{kind}>, held_out array<boolean>, n_bytes array<long>, texts binary, block long"
+    return stored(source.mapInArrow(run, schema), "blocks")
+
+
+def unpacked(packs: pa.RecordBatch | pa.Table) -> Iterator[bytes]:
+    """The texts of packs, one after the other."""
+    zstd = pa.Codec("zstd")
+    for data, sizes in zip(packs.column("texts"), packs.column("n_bytes")):
+        ends = np.cumsum(sizes.values.to_numpy())
+        whole = zstd.decompress(data.as_buffer(), int(ends[-1]), asbytes=True)
+        for i, j in zip([0, *ends[:-1]], ends):
+            yield whole[i:j]
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,18 +150,29 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
 
 
-def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
+def steps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of lists one after the other, none empty, the first value of each and the steps from one to the next: they compress well."""
+    out, first = np.diff(values, prepend=0), np.cumsum(sizes) - sizes
+    out[first] = values[first]
+    return out
+
+
+def grams_in(column: pa.ChunkedArray) -> np.ndarray:
+    """The numbers that lists of steps stand for."""
+    array = column.combine_chunks()
+    out, sizes = np.cumsum(step := array.flatten().to_numpy()), array.value_lengths().to_numpy()
+    first = np.cumsum(sizes) - sizes
+    return out - np.repeat(out[first] - step[first], sizes)
 
 
 def gather(blocks: DataFrame, buckets: int, shared: int) -> DataFrame:
-    """Partial counts of words of training rows, and by block and bucket the (context, byte) of all rows with their counts in training rows.
+    """Partial counts of words of training rows, and by block and bucket the (context, byte) of all rows, as ``steps``, with their counts in training rows.
 
     A bucket takes contexts that agree in what is left of them after a shift by ``shared`` bits.
     """
 
     def run(batches):
-        empty = [pa.nulls(0, t) for t in (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+        empty = [pa.nulls(0, t) for t in (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))]
         names = ["word", "n", "bucket", "block", "gram", "times"]
 
         def filled(size: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -146,7 +186,7 @@ def gather(blocks: DataFrame, buckets: int, shared: int) -> DataFrame:
             bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             found, sizes = np.unique(bucket, return_counts=True)
-            gram, times = lists(keys[order], sizes), lists(counts[order], sizes)
+            gram, times = lists(steps(keys[order], sizes), sizes), lists(counts[order].astype(np.int32), sizes)
             return filled(len(found), bucket=pa.array(found), block=pa.array(np.full(len(found), block)), gram=gram, times=times)
 
         counter: Counter = Counter()
@@ -158,9 +198,10 @@ def gather(blocks: DataFrame, buckets: int, shared: int) -> DataFrame:
                     yield packed(block, *summed(keys, counts))
                     keys, counts = [], []
                 block = number.as_py()
-                rows = batch.filter(pc.equal(of, number))
+                packs = batch.filter(pc.equal(of, number))
+                found_texts = list(zip(packs.column("held_out").flatten().to_pylist(), unpacked(packs)))
                 for held in (False, True):
-                    for group in groups(texts(rows.filter(pc.equal(rows.column("held_out"), held)).column("text"))):
+                    for group in groups(text for is_held, text in found_texts if is_held == held):
                         found, times = np.unique(coded(group).grams(), return_counts=True)
                         keys.append(found)
                         counts.append(np.zeros_like(times) if held else times)
@@ -176,8 +217,8 @@ def gather(blocks: DataFrame, buckets: int, shared: int) -> DataFrame:
             yield packed(block, *summed(keys, counts))
         yield words(counter)
 
-    schema = "word binary, n long, bucket int, block long, gram array<long>, times array<long>"
-    return blocks.select("block", "held_out", "text").mapInArrow(run, schema)
+    schema = "word binary, n long, bucket int, block long, gram array<long>, times array<int>"
+    return blocks.select("block", "held_out", "n_bytes", "texts").mapInArrow(run, schema)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -249,7 +290,7 @@ def deep_levels(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarr
 
 def bucket_counts(table: pa.Table, nodes: int | None, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a bucket in order, their counts, and the place among them of each (context, byte) of the bucket's rows."""
-    raw = table["gram"].combine_chunks().flatten().to_numpy()
+    raw = grams_in(table["gram"])
     times = table["times"].combine_chunks().flatten().to_numpy()
     keys, at = np.unique(raw, return_inverse=True)
     counts = np.bincount(at, times, len(keys))
@@ -321,7 +362,7 @@ def log_probabilities(top: Top, nodes: int | None, places: int) -> Callable[[pa.
 
 
 def fit_tree(packed: DataFrame, places: int) -> DataFrame:
-    """block, gram and log: the log10-probabilities of the (context, byte) of each block, in lists."""
+    """block, gram and log: the log10-probabilities of the (context, byte) of each block, in lists; gram as ``steps``."""
     buckets = packed.select("bucket", "block", "gram", "times").groupBy("bucket")
     seen = buckets.applyInArrow(sum_below(NODES, places), "node long, zeros double, ones double, below double")
     at_two = seen.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
@@ -342,7 +383,7 @@ class Model:
 
 def fit(blocks: DataFrame) -> Model:
     trained = F.when(~F.col("held_out"), F.col("n_bytes") + 1)
-    n_bytes, places, ends = blocks.agg(*[F.coalesce(v, F.lit(0)) for v in (F.sum("n_bytes"), F.sum(trained), F.count(trained))]).first()
+    n_bytes, places, ends = blocks.selectExpr("inline(arrays_zip(held_out, n_bytes))").agg(*[F.coalesce(v, F.lit(0)) for v in (F.sum("n_bytes"), F.sum(trained), F.count(trained))]).first()
     # A bounded tree pools contexts that agree in two bytes: they must meet.
     partial = stored(gather(blocks, max(1, n_bytes // BLOCK_BYTES), 26 if NODES else 17), "partial-counts")
     words = stored(partial.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
@@ -367,11 +408,11 @@ def score_documents(blocks: DataFrame, model: Model) -> DataFrame:
     end_base = math.log10(ends + 1)
     pair = pa.struct([("word", pa.binary()), ("n", pa.int64())])
 
-    def run(rows: pa.Table, tree: pa.Table) -> pa.Table:
-        keys, first = np.unique(tree["gram"].combine_chunks().flatten().to_numpy(), return_index=True)
+    def run(packs: pa.Table, tree: pa.Table) -> pa.Table:
+        keys, first = np.unique(grams_in(tree["gram"]), return_index=True)
         log10 = tree["log"].combine_chunks().flatten().to_numpy()[first]
         tokens, known, base, rare, scores = [], [], [], [], []
-        for group in groups(text for chunk in rows["text"].chunks for text in texts(chunk)):
+        for group in groups(unpacked(packs)):
             places = coded(group)
             found, at = np.unique(places.grams(), return_inverse=True)
             logs = log10[np.searchsorted(keys, found)][at]
@@ -390,14 +431,12 @@ def score_documents(blocks: DataFrame, model: Model) -> DataFrame:
                 known.append(sure)
                 base.append(total)
                 rare.append(others)
-        columns = {"n_tokens": tokens, "known": known, "base": base, "score": np.concatenate(scores), "rare": pa.array(rare, pa.list_(pair))}
-        for name, values in columns.items():
-            rows = rows.append_column(name, values if isinstance(values, pa.Array) else pa.array(values))
-        return rows.drop_columns(["text", "block"])
+        ids = {c: packs[c].combine_chunks().flatten() for c in ("row", "doc_id", "held_out", "n_bytes")}
+        return pa.table({**ids, "n_tokens": tokens, "known": known, "base": base, "score": np.concatenate(scores), "rare": pa.array(rare, pa.list_(pair))})
 
-    kind = blocks.schema["doc_id"].dataType.simpleString()
+    kind = blocks.schema["doc_id"].dataType.elementType.simpleString()
     schema = f"row long, doc_id {kind}, held_out boolean, n_bytes long, n_tokens long, known long, base double, score double, rare array<struct<word:binary, n:long>>"
-    by_block = blocks.select("row", "doc_id", "held_out", "n_bytes", "text", "block").groupBy("block")
+    by_block = blocks.groupBy("block")
     scored = stored(by_block.cogroup(model.logs.groupBy("block")).applyInArrow(run, schema), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
     more = rare.join(model.words, "word").groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_base"))
