@@ -15,9 +15,8 @@ the corpus, are mixed with the depths above in one place. A second pass gives ea
 texts are scored. The number of blocks and of buckets grows with the corpus, their size
 does not. What is written and shuffled is kept small: texts in compressed packs, lists of
 (context, byte) as steps from one to the next. A caller who sets ``NODES`` bounds the
-tree: longer contexts than two bytes are
-then in it only if at least 1 in ``NODES`` places has them, and a context's other
-continuations share one last child.
+tree: longer contexts than two bytes are then in it only if at least 1 in ``NODES`` places
+has them, and a context's other continuations share one last child.
 
 Word counts are summed by Spark: the most frequent words, at most ``FREQUENT``, are sent to
 the tasks and all others are joined.
